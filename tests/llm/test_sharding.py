@@ -30,7 +30,7 @@ def test_curve_visits_every_cell_once_and_steps_to_a_neighbour(spark):
 def test_query_keeps_the_row_law_over_the_whole_table(spark, sf_dir):
     rows = op7_hilbert_shards(spark, sf_dir).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    assert Counter(r["doc_id"] for r in rows) == Counter(docs)
+    assert Counter(r["doc_id"] for r in rows) == Counter(list(docs))
     law_holds(rows)
     for r in rows:
         assert r["size"] == len(docs[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(docs[r["doc_id"]].encode())
