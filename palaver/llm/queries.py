@@ -10,6 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The public tokenizer's file; part of the installation on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.decontamination import decontaminate
 
@@ -33,9 +46,17 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.token_store import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 QUERIES = {
+    "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op7_hilbert_shards": op7_hilbert_shards,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
