@@ -69,17 +69,18 @@ def decontaminate(
 
     # the same text under the same id has the same hits, so id and text hash stand for the row
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    own_id, own_text = F.col("doc").getField(doc_id), F.col("doc").getField(text)
-    keyed = keyed.select("doc", own_id.alias("own"), F.xxhash64(own_text).alias("body"), words_of(own_text).alias("words"))
+    keyed = keyed.select("doc", F.col("doc").getField(doc_id).alias("own"), F.xxhash64(F.col("doc").getField(text)).alias("body"))
     hits = (
-        keyed.select("own", "body", "words", F.explode(lengths).alias("length"))
+        keyed.select("own", "body", words_of(F.col("doc").getField(text)).alias("words"), F.explode(lengths).alias("length"))
         .select("own", "body", "length", F.posexplode(windows_of(F.col("words"), F.col("length"))).alias("start", "hash"))
         .join(known, ["hash", "length"])
         .groupBy("own", "body")
         .agg(F.collect_set(F.struct("start", "length", "gram", "items")).alias("hits"))
         .withColumnsRenamed({"own": "hit_own", "body": "hit_body"})
     )
+    # texts are split into words after this join: the shuffle moves plain text, not arrays of words
     found = keyed.join(hits, F.col("own").eqNullSafe(F.col("hit_own")) & (F.col("body") == F.col("hit_body")), "left")
+    found = found.withColumn("words", words_of(F.col("doc").getField(text)))
     verified = F.filter("hits", lambda h: F.array_join(F.slice(F.col("words"), h["start"] + 1, h["length"]), " ") == h["gram"])
     found = found.select("doc", F.size("words").cast("bigint").alias("n_words"), F.coalesce(verified, F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))

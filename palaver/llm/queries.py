@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.llm.common import doc_bucket
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,6 +19,23 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.simhash import near_duplicate_groups
+
+    groups = near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.quality import SAMPLE_DOCS, score_quality
+    from palaver.llm.samples import labelled_sample
+
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", doc_bucket(F.col("doc_id"), 4) != 2, SAMPLE_DOCS)
+    held_out = (doc_bucket(F.col("doc_id"), 4) == 2).alias("held_out")
+    return score_quality(docs, sample).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.packing import pack
 
@@ -37,6 +56,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.language import SAMPLE_DOCS, label_languages
+    from palaver.llm.samples import labelled_sample
+
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, docs, "lang", doc_bucket(F.col("doc_id"), 3) != 1, SAMPLE_DOCS)
+    held_out = (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out")
+    return label_languages(docs, sample, with_spans=False).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.sharding import hilbert_shards
 
@@ -52,11 +81,30 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    held_out = (doc_bucket(F.col("doc.doc_id"), 5) == 0).alias("held_out")
+    return scored.select("doc.doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from palaver.llm.samples import labelled_sample
+    from palaver.llm.toxicity import SAMPLE_DOCS, score_toxicity
+
+    learn = doc_bucket(F.col("doc_id"), 5) != 0
+    sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", learn, SAMPLE_DOCS)
+    return score_toxicity(docs, sample)
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
+    "op6_language": op6_language,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_token_files": op8_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
