@@ -81,6 +81,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.embeddings import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
     held_out = (doc_bucket(F.col("doc.doc_id"), 5) == 0).alias("held_out")
@@ -104,6 +110,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_token_files": op8_token_files,
+    "op9_embeddings": op9_embeddings,
     "op10_toxicity": op10_toxicity,
 }
 
