@@ -42,6 +42,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palaver.llm.substrings import remove_repeats
+
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc.doc_id",
+        (F.octet_length("kept") + removed).alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palaver.llm.decontamination import decontaminate
 
@@ -106,6 +119,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_hilbert_shards": op7_hilbert_shards,
