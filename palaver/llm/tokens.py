@@ -17,8 +17,8 @@ from palaver.llm.common import ranges, text_slices
 SPACE = r"[\t-\r\x1c-\x1f \x{85}\pZ]"
 RUNS = rf"(?:[ \n]{SPACE})|(?:{SPACE}[ \n])|\x1f"
 
-#: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 150_000
+#: Distinct words of a generation of the cache; a Python worker keeps two generations.
+CACHE_WORDS = 300_000
 
 
 class Encoder:
@@ -36,11 +36,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The words' ids; words in use move to the younger generation, the rest goes with the older."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+        known.update(zip(new, self.ids_of(new), strict=True))
+        return [known[w] for w in words]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and for each text the number of ids before it, with the total last."""
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -53,12 +69,7 @@ class Encoder:
         offsets = offsets - offsets[0]
         codes, distinct = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
 
-        if new := [w for w in distinct if w not in self.known]:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = distinct
-            self.known.update(zip(new, self.ids_of(new), strict=True))
-        found = [self.known[w] for w in distinct]
+        found = self.look_up(distinct)
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
         starts = np.cumsum(sizes) - sizes
