@@ -1,10 +1,77 @@
-"""Corpus cleaning pipeline (part of subpackage llm)."""
+"""Corpus cleaning: toxic documents go, near copies, repeated passages and benchmark leaks follow, the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result
+is written as Parquet and read again as the next one's documents.  All stages but the last return
+the columns of ``documents``.  Null texts pass every filter and are packed as an end id; texts that
+lose all their bytes stay as empty ones.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palaver.llm.common import doc_bucket, scratch
+from palaver.llm.queries import table, tokenizer_file
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 (operator 10), learned as in its query from the given labels."""
+    from palaver.llm.samples import labelled_sample
+    from palaver.llm.toxicity import SAMPLE_DOCS, score_toxicity
+
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", doc_bucket(F.col("doc_id"), 5) != 0, SAMPLE_DOCS)
+    return score_toxicity(docs, sample).where("score < 0.5").select("doc.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each SimHash group (operator 1)."""
+    from palaver.llm.simhash import deduplicated
+
+    return deduplicated(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 200-byte strings that occur elsewhere (operator 4)."""
+    from palaver.llm.substrings import remove_repeats
+
+    text = F.when(F.col("doc.text").isNull(), F.lit(None)).otherwise(F.col("kept_text"))
+    cut = remove_repeats(docs).withColumn("new", text)
+    return cut.select("doc.doc_id", F.col("new").alias("text"), "doc.lang", "doc.source", F.length("new").cast("bigint").alias("n_chars"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item (operator 5)."""
+    from palaver.llm.decontamination import decontaminate
+
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(F.size("hit_words") == 0).select("doc.*")
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences of a power of two (operator 3)."""
+    from palaver.llm.packing import pack
+
+    return pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack_tokens),
+]
+
+#: Learned scores, connected components and tokens have no SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, "stage-" + name.split()[0])
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -153,6 +153,17 @@ def hub_links(fps: DataFrame) -> DataFrame:
     return names.join(least, "value").where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def fingerprint_groups(rows: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+    """(fp, first_id, component_id) for each fingerprint of rows (doc_id, fp)."""
+    own = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    parts = checkpoint(connected_components(near_links(own.select("fp"), hot_key)).withColumnRenamed("node", "fp"))
+    linked = parts.join(own, "fp")
+    least = checkpoint(linked.groupBy("component").agg(F.min("first_id").alias("least_id"), F.min_by("fp", F.coalesce("first_id", F.lit((1 << 63) - 1))).alias("least_fp")))
+    named = checkpoint(parts.join(least, "component").select("fp", "least_id", "least_fp"))
+    joined = own.join(named, "fp", "left")
+    return checkpoint(joined.select("fp", "first_id", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("least_fp", "fp").alias("kept_fp")))
+
+
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, hot_key: int = HOT_KEY) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id: the smallest doc_id reachable by links.
 
@@ -162,10 +173,23 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     rows stay; an empty table gives no rows; other columns are not read.
     """
     rows = checkpoint(fingerprints(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "text", words).select("doc.doc_id", "fp"))
-    own = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = checkpoint(connected_components(near_links(own.select("fp"), hot_key)).withColumnRenamed("node", "fp"))
-    linked = parts.join(own, "fp")
-    least = checkpoint(linked.groupBy("component").agg(F.min("first_id").alias("least_id")))
-    named = checkpoint(parts.join(least, "component").select("fp", "least_id"))
-    groups = checkpoint(own.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
+    groups = fingerprint_groups(rows, hot_key)
     return rows.join(groups, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
+    """One row of ``docs`` for each group of near_duplicate_groups(): that of the smallest doc_id.
+
+    Of rows that share that id and fingerprint one stays.
+    """
+    hashed = fingerprints(docs, text, words)
+    rows = checkpoint(hashed.select(F.col("doc").getField(doc_id).cast("bigint").alias("doc_id"), "fp"))
+    groups = fingerprint_groups(rows)
+    kept = groups.where("fp = kept_fp").select(F.col("fp").alias("kept_fp"), "component_id")
+    own = F.col("doc").getField(doc_id)
+    # an id is part of the key, so the copies of one text don't meet in a task
+    out = hashed.join(kept, (F.col("fp") == F.col("kept_fp")) & own.eqNullSafe(F.col("component_id")))
+    repeated = rows.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        out = out.withColumn("own", own).dropDuplicates(["fp", "own"])
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -208,7 +208,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join([*parts, data[at:]]))
             runs.append([{"first": a, "last": b} for a, b in own])
         spans = pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([rows.column(0), spans, pa.array(kept, pa.binary())], names=["doc", "removed", "kept"])
+        texts = pa.array([k.decode("utf-8", "ignore") for k in kept])
+        yield pa.RecordBatch.from_arrays([rows.column(0), spans, pa.array(kept, pa.binary()), texts], names=["doc", "removed", "kept", "kept_text"])
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -246,7 +247,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
-    """All columns of ``docs`` (in struct ``doc``), ``removed`` (maximal byte runs) and ``kept`` (bytes left).
+    """All columns of ``docs`` (in struct ``doc``), ``removed`` (maximal byte runs), ``kept`` (bytes left)
+    and ``kept_text`` (the same as text, without characters of which a part was removed).
 
     A byte is removed if a string of ``length`` bytes (200 to 300) that covers it also starts
     anywhere else, in the same text or another; overlaps count, and all strings are judged on the
@@ -260,4 +262,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     keyed = whole.select(F.xxhash64("text").alias("k"), "doc", "text")
     spans = repeated_spans(keyed.select("k", "text"), length)
     both = keyed.join(spans, "k", "left").select("doc", "text", "spans")
-    return both.mapInArrow(_cut, f"doc {whole.schema['doc'].dataType.simpleString()}, removed array<struct<first: bigint, last: bigint>>, kept binary")
+    return both.mapInArrow(_cut, f"doc {whole.schema['doc'].dataType.simpleString()}, removed array<struct<first: bigint, last: bigint>>, kept binary, kept_text string")

@@ -24,8 +24,8 @@ from palaver.llm.common import text_slices, word_table
 SAMPLE_DOCS, LAYER_DOCS = 16_000, 4000
 #: A stem has so many characters at least; one edit is allowed from FUZZY characters on.
 SHORTEST, LONGEST, FUZZY = 3, 16, 5
-#: Toxic documents that a stem needs, and the clean documents allowed for each of them.
-SUPPORT, CLEAN_PER_TOXIC = 4, 0.03
+#: Toxic documents that a stem needs (this many, or this share of all), and the clean ones allowed for each.
+SUPPORT, SUPPORT_SHARE, CLEAN_PER_TOXIC = 5, 0.005, 0.03
 MOST_TERMS = 5000
 WINDOW = 4
 #: Words of which a Python worker keeps the verdict.
@@ -155,7 +155,9 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
 def learn_lexicon(sample: DataFrame) -> Trie:
     """The shortest pure beginnings, each carried on as long as it keeps nearly all its documents."""
-    wanted = term_counts(sample).where((F.col("toxic") >= SUPPORT) & (F.col("clean") <= F.col("toxic") * CLEAN_PER_TOXIC))
+    sample = sample.dropDuplicates(["text", "label"])  # copies of a text are one witness
+    support = max(SUPPORT, SUPPORT_SHARE * sample.where("label = 1").count())
+    wanted = term_counts(sample).where((F.col("toxic") >= support) & (F.col("clean") <= F.col("toxic") * CLEAN_PER_TOXIC))
     rows = wanted.orderBy(F.desc("toxic"), "term", "whole").limit(MOST_TERMS).collect()
     begun = {r["term"]: r["toxic"] for r in rows if not r["whole"]}
     stems: list[str] = []
