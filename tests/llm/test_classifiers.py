@@ -104,7 +104,7 @@ def test_misspelled_and_quoted_terms(spark):
     texts = [(i, f"{t} {i}", int(i >= len(clean))) for i, t in enumerate(clean + bad)]
     labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
     docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
-    tests = [(1000, 'he wrote "idiot" there', 1), (1001, "an idiott walked in", 1), (1002, "an idiot walked in", 1), (1003, None, 1), (1004, "", 1), (1005, "nice road", 1), (None, "1d10t", 1), (None, "1d10t", 1), (1006, "idiot " + "fine " * 40_000, 1)]
+    tests = [(1000, 'he wrote "idiot" there', 1), (1001, "an idot walked in", 1), (1002, "an idiot walked in", 1), (1003, None, 1), (1004, "", 1), (1005, "nice road", 1), (None, "1d10t", 1), (None, "1d10t", 1), (1006, "idiot " + "fine " * 40_000, 1)]
     frame = spark.createDataFrame(tests, "doc_id long, text string, score int")
     sample = labelled_sample(docs, labels, "toxic", F.lit(True), 10_000)
     rows = score_toxicity(frame, sample).collect()
