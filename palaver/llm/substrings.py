@@ -71,7 +71,9 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 #: Contexts of one q-gram that a task compares at once; a larger bucket is cut into blocks of this size.
 BLOCK = 256
 #: Contexts that a task holds at once, in bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Neighbouring strings of a context that share one identifier of their common middle.
+FAMILY = 20
 TOP = 7  # the doubling whose identifiers stand for 128 bytes
 
 
@@ -96,11 +98,11 @@ def _anchors(length: int):
                 anchors, first, count = np.unique(place, return_index=True, return_counts=True)
                 last = first + count - 1 + length
                 grams = joined_at(levels, Q, anchors)
-                out.append((np.full(len(anchors), key), first, last, grams, span_ids(levels, first, last)))
+                out.append((np.full(len(anchors), key), first, last, grams, span_ids(levels, first, last), anchors - first))
             if out:
-                key, first, last, grams, spans = (np.concatenate([o[k] for o in out]) for k in range(5))
-                arrays = [pa.array(key, pa.int64()), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array(grams.view(np.int64)), pa.array(spans.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["k", "first", "size", "gram", "span"])
+                key, first, last, grams, spans, at = (np.concatenate([o[k] for o in out]) for k in range(6))
+                arrays = [pa.array(key, pa.int64()), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array(grams.view(np.int64)), pa.array(spans.view(np.int64)), pa.array(at.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["k", "first", "size", "gram", "span", "at"])
 
     return found
 
@@ -113,61 +115,66 @@ def joined_at(levels: list[np.ndarray], length: int, at: np.ndarray) -> np.ndarr
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the bytes of the listed spans out of their texts."""
     for rows in text_slices(batches, 0):
-        out: dict[str, list] = {n: [] for n in ("k", "first", "gram", "block", "blocks", "copies", "bytes")}
+        out: dict[str, list] = {n: [] for n in ("k", "first", "at", "gram", "block", "blocks", "copies", "bytes")}
         for text, k, spans in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
             data = text.encode()
             for s in spans:
-                for n in ("first", "gram", "block", "blocks", "copies"):
+                for n in ("first", "at", "gram", "block", "blocks", "copies"):
                     out[n].append(s[n])
                 out["k"].append(k)
                 out["bytes"].append(data[s["first"] : s["first"] + s["size"]])
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(out, kinds, strict=True)], names=list(out))
 
 
 def _compared(length: int):
-    """Strings of ``length`` bytes that two contexts of a block share (found), and, of cut buckets, the rest."""
+    """Strings of ``length`` bytes that two contexts of a block share, and what other blocks must know.
+
+    Rows with a core are for buckets that were cut into blocks: a block's distinct strings, by the
+    identifier of the middle that FAMILY neighbouring strings have in common.  A string has its
+    owner (k, first) where one context alone holds it; else k is 0 and first -1.
+    """
+    middle = length - FAMILY + 1
 
     def settle(held: list[dict]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join([h["bytes"] for h in held]), dtype=np.uint8)
+        column = lambda name: np.array([h[name] for h in held], dtype=np.int64)
         sizes = np.array([len(h["bytes"]) for h in held])
         windows = sizes - length + 1
-        levels, _ = doubled(data, 128)
+        top = doubled(data, 128)[0][TOP]
         own = np.repeat(np.arange(len(held)), windows)
         inner = ranges(np.zeros(len(held), dtype=np.int64), windows)
         at = inner + np.repeat(np.cumsum(sizes) - sizes, windows)
-        ids = mixed(levels[TOP][at] * FACTORS[-1] + levels[TOP][at + length - 128] + np.uint64(length))
-        _, place, count = np.unique(ids, return_inverse=True, return_counts=True)
-        copies = np.array([h["copies"] for h in held])
-        single, cut = (copies == 1)[own], (np.array([h["blocks"] for h in held]) > 1)[own]
-        shared = count[place] > 1
-        k, gram = np.array([h["k"] for h in held], dtype=np.int64), np.array([h["gram"] for h in held], dtype=np.int64)
-        first = np.array([h["first"] for h in held], dtype=np.int64)[own] + inner
+        ids = mixed(top[at] * FACTORS[-1] + top[at + length - 128] + np.uint64(length))
+        _, once, place, count = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+        single, shared = (column("copies") == 1)[own], count[place] > 1
+        k, first = column("k")[own], column("first")[own] + inner
         # spans that occur twice are removed as they are; others only where a string is shared
         hit = np.flatnonzero(shared & single)
         if len(hit):
             new = np.ones(len(hit), dtype=bool)
             new[1:] = (own[hit[1:]] != own[hit[:-1]]) | (inner[hit[1:]] != inner[hit[:-1]] + 1)
             starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(hit)) - 1
-            a, b = hit[starts], hit[ends]
-            yield batch(k[own[a]], first[a], first[b] + length, np.zeros(len(a)), np.zeros(len(a)), np.ones(len(a)))
-        rest = np.flatnonzero(cut & ~(shared & single))
-        if len(rest):
-            # one row for each string of the block: who holds it alone, or that it is there
-            _, once = np.unique(ids[rest], return_index=True)
-            rest = rest[once]
-            mine = single[rest] & ~shared[rest]
-            yield batch(np.where(mine, k[own[rest]], 0), np.where(mine, first[rest], -1), first[rest] + length, gram[own[rest]], ids[rest].view(np.int64), np.zeros(len(rest)))
-            seen = np.flatnonzero(cut & shared & single)
-            if len(seen):
-                _, once = np.unique(ids[seen], return_index=True)
-                seen = seen[once]
-                yield batch(np.zeros(len(seen)), np.full(len(seen), -1), np.zeros(len(seen)), gram[own[seen]], ids[seen].view(np.int64), np.zeros(len(seen)))
-
-    def batch(k, first, last, gram, ids, done) -> pa.RecordBatch:
-        values = [np.asarray(x).astype(np.int64) for x in (k, first, last, gram, ids)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, values), pa.array(np.asarray(done).astype(bool))], names=["k", "first", "last", "gram", "id", "done"])
+            a, b = hit[starts], hit[np.append(starts[1:], len(hit)) - 1]
+            none = np.zeros(len(a), dtype=np.int64)
+            yield batch(k[a], first[a], first[b] + length, none, none, np.zeros(len(a) + 1, dtype=np.int64), [none[:0]] * 3)
+        cut = once[(column("blocks") > 1)[own[once]]]
+        if len(cut):
+            before = column("at")[own[cut]] - inner[cut]
+            start = at[cut] + before % FAMILY
+            cores = mixed(top[start] * FACTORS[-1] + top[start + middle - 128] + np.uint64(middle)).view(np.int64)
+            order = np.argsort(cores, kind="stable")
+            cut, cores = cut[order], cores[order]
+            heads = np.flatnonzero(np.append(True, cores[1:] != cores[:-1]))
+            mine = single[cut] & ~shared[cut]
+            lists = [ids[cut].view(np.int64), np.where(mine, k[cut], 0), np.where(mine, first[cut], -1)]
+            none = np.zeros(len(heads), dtype=np.int64)
+            yield batch(none, none - 1, none, column("gram")[own[cut[heads]]], cores[heads], np.append(heads, len(cut)), lists)
+
+    def batch(k, first, last, gram, core, offsets, lists) -> pa.RecordBatch:
+        values = [np.asarray(x).astype(np.int64) for x in (k, first, last, gram, core)]
+        nested = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in lists]
+        return pa.RecordBatch.from_arrays([*map(pa.array, values), *nested], names=["k", "first", "last", "gram", "core", "ids", "ks", "firsts"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -216,15 +223,16 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(k, spans) of documents (k long, text): the unmerged (first, last) bytes of repeated strings."""
     spark = docs.sparkSession
     path = scratch(spark, "suffixes")
-    docs.mapInArrow(_anchors(length), "k long, first int, size short, gram long, span long").write.parquet(path)
+    docs.mapInArrow(_anchors(length), "k long, first int, size short, gram long, span long, at short").write.parquet(path)
     anchors = spark.read.parquet(path)
     buckets = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("a"), F.max("span").alias("b"))
-    buckets = buckets.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed"))
+    # written before it is joined: a frequent q-gram's suffixes can then be dealt to several tasks
+    buckets = checkpoint(buckets.where("n > 1").select("gram", (F.col("a") != F.col("b")).alias("mixed")))
     path = scratch(spark, "buckets")
     anchors.join(buckets, "gram").write.parquet(path)
     live = spark.read.parquet(path)
 
-    place = F.struct("k", "first", "size")
+    place = F.struct("k", "first", "size", "at")
     spans = live.where("mixed").groupBy("gram", "span").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("at"))
     spans = checkpoint(spans)
     twice = live.where("mixed").join(spans.where("copies > 1").select("gram", "span"), ["gram", "span"], "left_semi").unionByName(live.where("not mixed"))
@@ -232,17 +240,20 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
     sizes = checkpoint(spans.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("blocks")))
     listed = spans.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("span"), F.col("blocks")))
-    listed = listed.select("at.k", F.struct("at.first", "at.size", "gram", "block", "blocks", "copies").alias("s")).groupBy("k").agg(F.collect_list("s").alias("spans"))
-    cut = docs.join(listed, "k").select("text", "k", "spans").mapInArrow(_contexts, "k long, first int, gram long, block long, blocks long, copies long, bytes binary")
+    listed = listed.select("at.k", F.struct("at.first", "at.size", "at.at", "gram", "block", "blocks", "copies").alias("s")).groupBy("k").agg(F.collect_list("s").alias("spans"))
+    cut = docs.join(listed, "k").select("text", "k", "spans").mapInArrow(_contexts, "k long, first int, at short, gram long, block long, blocks long, copies long, bytes binary")
     dealt = cut.repartition("gram", "block").sortWithinPartitions("gram", "block")
-    found = dealt.mapInArrow(_compared(length), "k long, first long, last long, gram long, id long, done boolean")
+    found = dealt.mapInArrow(_compared(length), "k long, first long, last long, gram long, core long, ids array<bigint>, ks array<bigint>, firsts array<bigint>")
     path = scratch(spark, "strings")
     found.write.parquet(path)
     found = spark.read.parquet(path)
-    open_ = found.where("not done")
-    again = checkpoint(open_.groupBy("gram", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "id"))
-    across = open_.where("first >= 0").join(again, ["gram", "id"], "left_semi")
-    parts = whole.union(found.where("done").select("k", "first", "last")).union(across.select("k", "first", "last"))
+    # cut buckets: first the middles that several blocks have, then their strings
+    open_ = found.where("first < 0").select("gram", "core", "ids", "ks", "firsts")
+    cores = checkpoint(open_.groupBy("gram", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "core"))
+    strings = checkpoint(open_.join(cores, ["gram", "core"], "left_semi").select("gram", F.explode(F.arrays_zip("ids", "ks", "firsts")).alias("s")).select("gram", F.col("s.ids").alias("id"), F.col("s.ks").alias("k"), F.col("s.firsts").alias("first")))
+    again = checkpoint(strings.groupBy("gram", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "id"))
+    across = strings.where("first >= 0").join(again, ["gram", "id"], "left_semi").select("k", "first", (F.col("first") + length).alias("last"))
+    parts = whole.union(found.where("first >= 0").select("k", "first", "last")).union(across)
     return parts.groupBy("k").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
