@@ -18,7 +18,7 @@ SPACE = r"[\t-\r\x1c-\x1f \x{85}\pZ]"
 RUNS = rf"(?:[ \n]{SPACE})|(?:{SPACE}[ \n])|\x1f"
 
 #: Distinct words of a generation of the cache; a Python worker keeps two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class Encoder:

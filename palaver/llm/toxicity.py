@@ -18,18 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import text_slices, word_table
+from palaver.llm.common import checkpoint, text_slices, word_table
 
 #: Labelled documents that the lexicon is learned from, and those that the logistic layer is fitted on.
-SAMPLE_DOCS, LAYER_DOCS = 16_000, 4000
+SAMPLE_DOCS, LAYER_DOCS = 8000, 3000
 #: A stem has so many characters at least; one edit is allowed from FUZZY characters on.
-SHORTEST, LONGEST, FUZZY = 3, 16, 5
+SHORTEST, LONGEST, FUZZY = 3, 12, 5
 #: Toxic documents that a stem needs (this many, or this share of all), and the clean ones allowed for each.
 SUPPORT, SUPPORT_SHARE, CLEAN_PER_TOXIC = 5, 0.005, 0.03
 MOST_TERMS = 5000
 WINDOW = 4
 #: Words of which a Python worker keeps the verdict.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 # Quotation marks, and digits or signs written for letters.
 QUOTES = "\"'`«»“”„‘’‚‹›"
@@ -122,44 +122,45 @@ class Trie:
         return 2 if len(plain) >= FUZZY - 1 and self.within_one(plain) else 0
 
 
-def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, whole, toxic, clean): documents of each label that have the word, or a word that begins so."""
+def term_counts(texts: DataFrame, wanted: set[tuple[str, bool]] | None = None) -> DataFrame:
+    """(term, whole, n): texts that have the word, or a word that begins so; of ``wanted`` terms alone, if given."""
+    shipped = texts.sparkSession.sparkContext.broadcast(wanted)  # terms of a bounded sample
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, bool], list[int]] = {}
+        only, counts = shipped.value, {}
         for rows in text_slices(batches, 0):
             codes, before, tokens = word_table(rows.column(0), " \n")
             words = [bare(t) for t in tokens]
-            labels = rows.column(1).to_pylist()
             for d in range(rows.num_rows):
-                own = {words[c] for c in np.unique(codes[before[d] : before[d + 1]])}
-                own = {w for w in own if len(w) >= SHORTEST}
-                begun = {w[:k] for w in own for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
-                for whole, terms in ((True, own), (False, begun)):
-                    for t in terms:
-                        counts.setdefault((t, whole), [0, 0])[labels[d] != 1] += 1
-            if len(counts) > 400_000:
+                own = {w for c in np.unique(codes[before[d] : before[d + 1]]) if len(w := words[c]) >= SHORTEST}
+                terms = {(w, True) for w in own}
+                terms.update((w[:k], False) for w in own for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+                for t in terms if only is None else terms & only:
+                    counts[t] = counts.get(t, 0) + 1
+            if len(counts) > 100_000:
                 yield flushed(counts)
                 counts = {}
         if counts:
             yield flushed(counts)
 
-    def flushed(counts) -> pa.RecordBatch:
-        keys, values = zip(*counts.items(), strict=True)
-        columns = [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["term", "whole", "toxic", "clean"])
+    def flushed(counts: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts]), pa.array([w for _, w in counts]), pa.array(list(counts.values()), pa.int64())], names=["term", "whole", "n"])
 
-    parts = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(counted, "term string, whole boolean, toxic long, clean long")
-    return parts.groupBy("term", "whole").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.select("text").mapInArrow(counted, "term string, whole boolean, n long").groupBy("term", "whole").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(sample: DataFrame) -> Trie:
-    """The shortest pure beginnings, each carried on as long as it keeps nearly all its documents."""
+    """The shortest pure beginnings, each carried on as long as it keeps nearly all its documents.
+
+    Terms of enough toxic texts are counted first, then those alone in the clean ones.
+    """
     sample = sample.dropDuplicates(["text", "label"])  # copies of a text are one witness
-    support = max(SUPPORT, SUPPORT_SHARE * sample.where("label = 1").count())
-    wanted = term_counts(sample).where((F.col("toxic") >= support) & (F.col("clean") <= F.col("toxic") * CLEAN_PER_TOXIC))
-    rows = wanted.orderBy(F.desc("toxic"), "term", "whole").limit(MOST_TERMS).collect()
-    begun = {r["term"]: r["toxic"] for r in rows if not r["whole"]}
+    bad = sample.where("label = 1")
+    support = max(SUPPORT, SUPPORT_SHARE * bad.count())
+    toxic = {(r["term"], r["whole"]): r["n"] for r in term_counts(bad).where(F.col("n") >= support).collect()}
+    clean = {(r["term"], r["whole"]): r["n"] for r in term_counts(sample.where("label IS DISTINCT FROM 1"), set(toxic)).collect()}
+    pure = sorted((t for t, n in toxic.items() if clean.get(t, 0) <= n * CLEAN_PER_TOXIC), key=lambda t: (-toxic[t], t))[:MOST_TERMS]
+    begun = {term: toxic[term, whole] for term, whole in pure if not whole}
     stems: list[str] = []
     for term in sorted(begun, key=lambda t: (len(t), t)):
         if any(term[:k] in begun for k in range(SHORTEST, len(term))):
@@ -168,8 +169,7 @@ def learn_lexicon(sample: DataFrame) -> Trie:
             term = max(longer, key=lambda t: (begun[t], t))
         stems.append(term)
     covered = set(stems)
-    whole = [r["term"] for r in rows if r["whole"] and (r["term"] in covered or not any(r["term"][:k] in covered for k in range(SHORTEST, len(r["term"]))))]
-    return Trie(stems, whole)
+    return Trie(stems, [t for t, whole in pure if whole and (t in covered or not any(t[:k] in covered for k in range(SHORTEST, len(t))))])
 
 
 #: A Python worker's verdicts under the lexicon of that digest.
@@ -224,6 +224,7 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, text: str = "text") -> Da
     Without a toxic label the lexicon is empty.
     """
     spark = docs.sparkSession
+    sample = checkpoint(sample)
     trie = learn_lexicon(sample)
     fitted = sample.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(LAYER_DOCS).select("text", "label")
     shipped = spark.sparkContext.broadcast(trie)  # at most MOST_TERMS terms

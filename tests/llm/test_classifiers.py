@@ -99,7 +99,7 @@ def test_automaton_against_edit_distance():
 
 
 def test_misspelled_and_quoted_terms(spark):
-    clean = ["the weather is fine today and so is the road", "we read a book about old clocks"] * 40
+    clean = ["the weather is fine today and so is the road", "we read a book about old clocks", "you are such an artist today", "what a fine painter he is"] * 40
     bad = ["you are such an idiot today", "what a worthless clown he is"] * 20
     texts = [(i, f"{t} {i}", int(i >= len(clean))) for i, t in enumerate(clean + bad)]
     labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
