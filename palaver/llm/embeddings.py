@@ -14,10 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palaver.llm.common import checkpoint
-from palaver.llm.graph import connected_components
+from palaver.llm.graph import connected_components, forest
 
 #: Vectors the centroids are fitted on, vectors to a cluster, and centroids at most.
 CENTROID_SAMPLE, PER_CLUSTER, MOST_CLUSTERS = 12_000, 300, 4096
@@ -129,25 +128,26 @@ def _searched(least: float):
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(len(ids)):
             near = range_search(vectors[i], [medoid, i], graph, vectors, least)
-            near = near[(near != i) & (vectors[near] @ vectors[i] >= least - 1e-9)]
+            near = near[near != i]
             pairs.append((np.full(len(near), i), near))
         a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-        exact = np.array([_cosine(pdf["vector"].iloc[i], pdf["vector"].iloc[j]) >= least for i, j in zip(a, b, strict=True)], dtype=bool) if len(a) < 1000 else _exact(vectors, a, b, least)
+        exact = _exact(vectors, a, b, least)
         a, b = a[exact], b[exact]
         both = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
         own, other = both // len(ids), both % len(ids)
         cuts = np.searchsorted(own, np.arange(len(ids) + 1))
-        rows = [(int(ids[i]), ids[other[x:y]].tolist()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-        return pd.DataFrame(rows, columns=["node", "linked"])
+        copies = pdf["copies"].to_numpy()
+        roots = dict(zip(*(x.tolist() for x in forest(ids[own], ids[other])), strict=True)) if len(own) else {}
+        rows = [
+            (int(ids[i]), [{"id": int(x), "copies": int(c)} for x, c in zip(ids[other[x:y]], copies[other[x:y]], strict=True)], roots.get(int(ids[i]), int(ids[i])))
+            for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
+            if y > x
+        ]
+        return pd.DataFrame(rows, columns=["node", "linked", "root"])
 
     return search
 
 
-def _cosine(x, y) -> float:
-    x, y = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64)
-    return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
-
-
 def _exact(vectors: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     out = np.empty(len(a), dtype=bool)
     for at in range(0, len(a), 100_000):
@@ -163,7 +163,11 @@ def usable(vector):
 
 
 def links_within(nodes: DataFrame, least: float, margin: float) -> DataFrame:
-    """(node, linked) for nodes (node long, vector) of one dimension, all vectors different."""
+    """(node, linked, root) by shard, for nodes (node long, vector, copies long) of one dimension, all vectors different.
+
+    ``linked`` lists the other nodes in range with their copies; ``root`` is the smallest node that
+    the shard's links reach, so components need one edge a row.
+    """
     spark = nodes.sparkSession
     n = nodes.count()
     every = max(1, -(-n // CENTROID_SAMPLE))
@@ -185,21 +189,29 @@ def links_within(nodes: DataFrame, least: float, margin: float) -> DataFrame:
             yield out.assign(cluster=cluster)
 
     kind = nodes.schema["vector"].dataType.simpleString()
-    members = checkpoint(nodes.mapInPandas(assigned, f"node long, vector {kind}, cluster long"))
+    members = checkpoint(nodes.mapInPandas(assigned, f"node long, vector {kind}, copies long, cluster long"))
     half = MOST_MEMBERS // 2
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select("cluster", F.when(F.col("n") <= MOST_MEMBERS, 1).otherwise(F.ceil(F.col("n") / half)).cast("bigint").alias("g"))
     # a large cluster: every unordered pair of its blocks is a shard, so that any two members meet
     members = members.join(F.broadcast(blocks), "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("o")
-    members = members.select("node", "vector", "cluster", "g", "b", other).where((F.col("g") == 1) | (F.col("b") != F.col("o")))
-    members = members.select("node", "vector", "cluster", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+    members = members.select("node", "vector", "copies", "cluster", "g", "b", other).where((F.col("g") == 1) | (F.col("b") != F.col("o")))
+    members = members.select("node", "vector", "copies", "cluster", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
     shard = ["cluster", "x", "y"]
     lists = members.groupBy(*shard).applyInPandas(_adjacency, "node long, edges array<bigint>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
     united = checkpoint(united)
-    found = members.join(united, "node").groupBy(*shard).applyInPandas(_searched(least), "node long, linked array<bigint>")
-    return checkpoint(found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("linked"))).alias("linked")))
+    found = members.join(united, "node").groupBy(*shard).applyInPandas(_searched(least), FOUND)
+    return checkpoint(found)
+
+
+FOUND = "node long, linked array<struct<id: bigint, copies: bigint>>, root long"
+
+
+def united_links(found: DataFrame) -> DataFrame:
+    """(node, linked): what the shards of each node found, once."""
+    return found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("linked"))).alias("linked"))
 
 
 def audited_recall(nodes: DataFrame, links: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> float:
@@ -225,7 +237,7 @@ def audited_recall(nodes: DataFrame, links: DataFrame, least: float, queries: in
                 yield out[out["query"] != out["other"]]
 
     truth = nodes.mapInPandas(compared, "query long, other long")
-    mine = links.join(nodes.sparkSession.createDataFrame([(int(i),) for i in ids], "node long"), "node").select(F.col("node").alias("query"), F.explode("linked").alias("other"), F.lit(1).alias("found"))
+    mine = links.join(nodes.sparkSession.createDataFrame([(int(i),) for i in ids], "node long"), "node").select(F.col("node").alias("query"), F.explode("linked.id").alias("other"), F.lit(1).alias("found"))
     got = truth.join(mine, ["query", "other"], "left").agg(F.count(F.lit(1)).alias("all"), F.count("found").alias("found")).first()
     return got["found"] / got["all"] if got["all"] else 1.0
 
@@ -244,18 +256,15 @@ def near_duplicate_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str
     fine = rows.where("fine").select("vec_id", "vector", F.xxhash64("vector").alias("hash"))
     nodes = fine.groupBy("hash", "vector").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     nodes = checkpoint(nodes.withColumn("node", F.xxhash64("hash", "vector")))
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("linked", T.ArrayType(T.LongType()))])
-    links = rows.sparkSession.createDataFrame([], schema)
+    found = rows.sparkSession.createDataFrame([], FOUND)
     for size in [r[0] for r in nodes.select(F.size("vector")).distinct().collect()]:
-        own, margin = nodes.where(F.size("vector") == size).select("node", "vector"), MARGIN
-        while audited_recall(own, found := links_within(own, least, margin), least) < LEAST_RECALL and margin < 2:
+        own, margin = nodes.where(F.size("vector") == size).select("node", "vector", "copies"), MARGIN
+        while audited_recall(own, united_links(part := links_within(own, least, margin)), least) < LEAST_RECALL and margin < 2:
             margin *= 2
-        links = links.union(found)
-    links = checkpoint(links)
-    pairs = links.select("node", F.explode("linked").alias("other"))
-    copies = nodes.select(F.col("node").alias("other"), F.col("copies").alias("other_copies"))
-    beyond = pairs.join(copies, "other").groupBy("node").agg(F.sum("other_copies").alias("beyond"))
-    parts = checkpoint(connected_components(pairs.where("node > other")))
+        found = found.union(part)
+    sums = F.aggregate("linked", F.lit(0).cast("bigint"), lambda a, x: a + x["copies"]).alias("beyond")
+    beyond = checkpoint(united_links(found).select("node", sums))
+    parts = checkpoint(connected_components(found.select("node", "root")))
     named = checkpoint(parts.join(nodes.select("node", "first_id"), "node"))
     least_ids = checkpoint(named.groupBy("component").agg(F.min("first_id").alias("least_id")))
     named = checkpoint(named.join(least_ids, "component").select("node", "least_id"))

@@ -63,7 +63,8 @@ def test_odd_rows(spark):
 
 def test_audit_sees_lost_links(spark):
     nodes = spark.createDataFrame([(i, [1.0, i / 1000]) for i in range(10)], "node long, vector array<double>")
-    full = spark.createDataFrame([(i, [j for j in range(10) if j != i]) for i in range(10)], "node long, linked array<bigint>")
+    kind = "node long, linked array<struct<id: bigint, copies: bigint>>"
+    full = spark.createDataFrame([(i, [(j, 1) for j in range(10) if j != i]) for i in range(10)], kind)
     assert audited_recall(nodes, full, 0.95) == 1.0
-    half = spark.createDataFrame([(i, [(i + 1) % 10]) for i in range(10)], "node long, linked array<bigint>")
+    half = spark.createDataFrame([(i, [((i + 1) % 10, 1)]) for i in range(10)], kind)
     assert audited_recall(nodes, half, 0.95) < 0.2
