@@ -32,7 +32,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", doc_bucket(F.col("doc_id"), 4) != 2, SAMPLE_DOCS)
-    held_out = (doc_bucket(F.col("doc_id"), 4) == 2).alias("held_out")
+    held_out = F.coalesce(doc_bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     return score_quality(docs, sample).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -75,7 +75,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     sample = labelled_sample(docs, docs, "lang", doc_bucket(F.col("doc_id"), 3) != 1, SAMPLE_DOCS)
-    held_out = (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out")
+    held_out = F.coalesce(doc_bucket(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
     return label_languages(docs, sample, with_spans=False).select("doc_id", held_out, "lang_pred", "score")
 
 
@@ -101,8 +101,8 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
-    held_out = (doc_bucket(F.col("doc.doc_id"), 5) == 0).alias("held_out")
+    scored = toxicity_scores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    held_out = F.coalesce(doc_bucket(F.col("doc.doc_id"), 5) == 0, F.lit(False)).alias("held_out")
     return scored.select("doc.doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -25,10 +25,10 @@ SAMPLE_DOCS, LAYER_DOCS = 8000, 3000
 #: A stem has so many characters at least; one edit is allowed from FUZZY characters on.
 SHORTEST, LONGEST, FUZZY = 3, 12, 5
 #: Toxic documents that a stem needs (this many, or this share of all), and the clean ones allowed for each.
-SUPPORT, SUPPORT_SHARE, CLEAN_PER_TOXIC = 5, 0.005, 0.03
+SUPPORT, SUPPORT_SHARE, CLEAN_PER_TOXIC = 5, 0.015, 0.03
 MOST_TERMS = 5000
 WINDOW = 4
-#: Words of which a Python worker keeps the verdict.
+#: Words in a generation of the verdicts that a Python worker keeps.
 CACHE_WORDS = 150_000
 
 # Quotation marks, and digits or signs written for letters.
@@ -172,24 +172,25 @@ def learn_lexicon(sample: DataFrame) -> Trie:
     return Trie(stems, [t for t, whole in pure if whole and (t in covered or not any(t[:k] in covered for k in range(SHORTEST, len(t))))])
 
 
-#: A Python worker's verdicts under the lexicon of that digest.
-_VERDICTS: tuple[str, dict[str, int]] = ("", {})
+#: A Python worker's verdicts under the lexicon of that digest, in two generations.
+_VERDICTS: tuple[str, dict[str, int], dict[str, int]] = ("", {}, {})
 
 
 def matches(texts: pa.Array, trie: Trie) -> np.ndarray:
     """Texts x kinds: matches that are said, misspelled, and quoted."""
     global _VERDICTS
     if _VERDICTS[0] != trie.digest:
-        _VERDICTS = (trie.digest, {})
-    cache = _VERDICTS[1]
+        _VERDICTS = (trie.digest, {}, {})
+    elif len(_VERDICTS[1]) > CACHE_WORDS:
+        _VERDICTS = (trie.digest, {}, _VERDICTS[1])
+    _, cache, older = _VERDICTS
     codes, before, tokens = word_table(texts, " \n")
-    if len(cache) + len(tokens) > CACHE_WORDS:
-        cache.clear()
     verdicts = np.zeros(len(tokens), dtype=np.int8)
     for i, t in enumerate(tokens):
         v = cache.get(t)
         if v is None:
-            cache[t] = v = trie.verdict(t)
+            v = older.get(t)
+            cache[t] = v = trie.verdict(t) if v is None else v
         verdicts[i] = v
     found = np.zeros((len(texts), 3))
     at = np.flatnonzero(verdicts[codes])
