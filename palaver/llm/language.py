@@ -134,7 +134,7 @@ def label_languages(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id",
         known = model.value
         names = np.array([*known.languages, UNKNOWN], dtype=object)
         k = len(known.languages)
-        for rows in text_slices(batches, 1):
+        for rows in text_slices(batches, 1, 3 << 20):
             codes, before, words = word_table(rows.column(1), " \n")
             doc = np.repeat(np.arange(rows.num_rows), np.diff(before))
             if k:

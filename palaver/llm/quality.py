@@ -132,7 +132,7 @@ def score_quality(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", te
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, score double"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, 1):
+        for rows in text_slices(batches, 1, 3 << 20):
             logits = slope * slice_logits(rows.column(1), model.value, bias) + shift
             score = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
