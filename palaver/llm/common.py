@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of text that one step of a Python task holds at once (a single longer text is held whole).
@@ -70,6 +73,26 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: int, most: int = SLICE_
             start = stop
 
 
+def with_text(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Put a struct column's text field beside the batch's columns; nothing is copied or sent twice."""
+    for batch in batches:
+        field = batch.column(0).field(text)
+        yield pa.RecordBatch.from_arrays([*batch.columns, field], names=[*batch.schema.names, "_text"])
+
+
+#: What this Python worker holds between tasks, under its key.
+_HELD: tuple[object, object] | None = None
+
+
+def held(key: object, make: Callable[[], T]) -> T:
+    """A cache that stays with the Python worker; one at a time, so operators' caches don't add up."""
+    global _HELD
+    if _HELD is None or _HELD[0] != key:
+        _HELD = None
+        _HELD = (key, make())
+    return _HELD[1]
+
+
 def word_table(texts: pa.Array, separators: str = " ") -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Split texts at single separator characters.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, text_slices
+from palaver.llm.common import checkpoint, text_slices, with_text
 from palaver.llm.graph import connected_components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -41,10 +41,10 @@ def fingerprint(hashes: list[int]) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFrame:
     """(doc struct of all columns, fp long) for every row; null counts as empty."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text).alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, 1):
+        for rows in text_slices(with_text(batches, text), 1):
             fps = [fingerprint(shingle_hashes(t or "", words)) for t in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps, pa.int64())], names=["doc", "fp"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, ranges, scratch, text_slices
+from palaver.llm.common import checkpoint, ranges, scratch, text_slices, with_text
 from palaver.llm.subwords import mixed
 
 Q = 40
@@ -204,19 +204,22 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(r) for r in runs]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in text_slices(batches, 1):
-        kept, runs = [], []
-        for text, spans in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
-            data, own, at, parts = (text or "").encode(), merged(spans), 0, []
-            for first, last in own:
-                parts.append(data[at:first])
-                at = last
-            kept.append(b"".join([*parts, data[at:]]))
-            runs.append([{"first": a, "last": b} for a, b in own])
-        spans = pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-        texts = pa.array([k.decode("utf-8", "ignore") for k in kept])
-        yield pa.RecordBatch.from_arrays([rows.column(0), spans, pa.array(kept, pa.binary()), texts], names=["doc", "removed", "kept", "kept_text"])
+def _cut(text: str):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(with_text(batches, text), 2):
+            kept, runs = [], []
+            for whole, spans in zip(rows.column(2).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                data, own, at, parts = (whole or "").encode(), merged(spans), 0, []
+                for first, last in own:
+                    parts.append(data[at:first])
+                    at = last
+                kept.append(b"".join([*parts, data[at:]]))
+                runs.append([{"first": a, "last": b} for a, b in own])
+            spans = pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+            texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([rows.column(0), spans, pa.array(kept, pa.binary()), texts], names=["doc", "removed", "kept", "kept_text"])
+
+    return cut
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -272,5 +275,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     # equal texts share a key: their strings are counted for each of them, and removed alike
     keyed = whole.select(F.xxhash64("text").alias("k"), "doc", "text")
     spans = repeated_spans(keyed.select("k", "text"), length)
-    both = keyed.join(spans, "k", "left").select("doc", "text", "spans")
-    return both.mapInArrow(_cut, f"doc {whole.schema['doc'].dataType.simpleString()}, removed array<struct<first: bigint, last: bigint>>, kept binary, kept_text string")
+    both = keyed.select("k", "doc").join(spans, "k", "left").select("doc", "spans")
+    return both.mapInArrow(_cut(text), f"doc {whole.schema['doc'].dataType.simpleString()}, removed array<struct<first: bigint, last: bigint>>, kept binary, kept_text string")

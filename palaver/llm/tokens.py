@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from palaver.llm.common import ranges, text_slices
+from palaver.llm.common import held, ranges, text_slices
 
 #: White space that the tokenizer's pattern joins into runs; a text is cut into words only where
 #: each run that has a space or a line end is that one character.
@@ -84,14 +84,9 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a tokenizer file; it stays with the Python worker between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def encoded_slices(batches, text: int, path: str, end_id: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

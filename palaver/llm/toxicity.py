@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, text_slices, word_table
+from palaver.llm.common import checkpoint, held, text_slices, with_text, word_table
 
 #: Labelled documents that the lexicon is learned from, and those that the logistic layer is fitted on.
 SAMPLE_DOCS, LAYER_DOCS = 8000, 3000
@@ -29,7 +29,9 @@ SUPPORT, SUPPORT_SHARE, CLEAN_PER_TOXIC = 5, 0.015, 0.03
 MOST_TERMS = 5000
 WINDOW = 4
 #: Words in a generation of the verdicts that a Python worker keeps.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Bytes of text that are scored at once.
+SLICE_BYTES = 3 << 20
 
 # Quotation marks, and digits or signs written for letters.
 QUOTES = "\"'`«»“”„‘’‚‹›"
@@ -172,18 +174,15 @@ def learn_lexicon(sample: DataFrame) -> Trie:
     return Trie(stems, [t for t, whole in pure if whole and (t in covered or not any(t[:k] in covered for k in range(SHORTEST, len(t))))])
 
 
-#: A Python worker's verdicts under the lexicon of that digest, in two generations.
-_VERDICTS: tuple[str, dict[str, int], dict[str, int]] = ("", {}, {})
-
-
 def matches(texts: pa.Array, trie: Trie) -> np.ndarray:
-    """Texts x kinds: matches that are said, misspelled, and quoted."""
-    global _VERDICTS
-    if _VERDICTS[0] != trie.digest:
-        _VERDICTS = (trie.digest, {}, {})
-    elif len(_VERDICTS[1]) > CACHE_WORDS:
-        _VERDICTS = (trie.digest, {}, _VERDICTS[1])
-    _, cache, older = _VERDICTS
+    """Texts x kinds: matches that are said, misspelled, and quoted.
+
+    The worker keeps the words' verdicts under the lexicon, in two generations.
+    """
+    verdicts_of: list[dict[str, int]] = held(("verdicts", trie.digest), lambda: [{}, {}])
+    if len(verdicts_of[0]) > CACHE_WORDS:
+        verdicts_of[:] = [{}, verdicts_of[0]]
+    cache, older = verdicts_of
     codes, before, tokens = word_table(texts, " \n")
     verdicts = np.zeros(len(tokens), dtype=np.int8)
     for i, t in enumerate(tokens):
@@ -241,10 +240,10 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, text: str = "text") -> Da
     if layer:
         weights = fit_layer(np.array([[r[n] for n in names] for r in layer], dtype=float), np.array([r["label"] == 1 for r in layer], dtype=float))
 
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(text).alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in text_slices(batches, 1):
+        for rows in text_slices(with_text(batches, text), 1, SLICE_BYTES):
             found = matches(rows.column(1), shipped.value)
             logits = weights[0] + np.log1p(found) @ weights[1:]
             score = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
