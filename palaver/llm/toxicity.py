@@ -19,17 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import checkpoint, held, text_slices, with_text, word_table
+from palaver.llm.subwords import MIX
 
 #: Labelled documents that the lexicon is learned from, and those that the logistic layer is fitted on.
 SAMPLE_DOCS, LAYER_DOCS = 8000, 3000
 #: A stem has so many characters at least; one edit is allowed from FUZZY characters on.
 SHORTEST, LONGEST, FUZZY = 3, 12, 5
-#: Toxic documents that a stem needs (this many, or this share of all), and the clean ones allowed for each.
-SUPPORT, SUPPORT_SHARE, CLEAN_PER_TOXIC = 5, 0.015, 0.03
-MOST_TERMS = 5000
+#: Toxic documents that a stem needs, however large the sample, and the clean ones allowed for each.
+SUPPORT, CLEAN_PER_TOXIC = 5, 0.03
 WINDOW = 4
 #: Words in a generation of the verdicts that a Python worker keeps.
 CACHE_WORDS = 100_000
+#: Characters of an entry's beginning by which words that may be near it are found, and bits of that filter.
+HEAD, FILTER_BITS = 8, 22
+SHIFT = np.uint64(64 - FILTER_BITS)
 #: Bytes of text that are scored at once.
 SLICE_BYTES = 3 << 20
 
@@ -55,17 +58,41 @@ def bare(token: str) -> str:
     return token[a:b]
 
 
+class Keys:
+    """Filter keys of beginnings of words; equal strings have equal keys, a shorter word counts as padded."""
+
+    def __init__(self, words: list[str]):
+        width = HEAD + 1
+        chars = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width).T.astype(np.uint64)
+        powers = np.cumprod(np.full(width + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))[:, None]
+        none = np.zeros((1, len(words)), dtype=np.uint64)
+        # sums of the characters' parts in their own places, and one place before
+        self.here = np.concatenate([none, np.cumsum(chars * powers[1:], axis=0)])
+        self.earlier = np.concatenate([none, np.cumsum(chars * powers[:-1], axis=0)])
+
+    def whole(self, length: int) -> np.ndarray:
+        """Of the first ``length`` characters."""
+        return self.here[length] * MIX >> SHIFT
+
+    def without(self, i: int, length: int) -> np.ndarray:
+        """Of the first ``length`` characters less character i."""
+        return (self.here[i] + self.earlier[length] - self.earlier[i + 1]) * MIX >> SHIFT
+
+
 class Trie:
     """Stems (any continuation accepted) and full terms of the lexicon."""
 
     def __init__(self, stems: list[str], terms: list[str]):
         self.root: dict = {}
         self.digest = hashlib.sha256(repr((sorted(stems), sorted(terms))).encode()).hexdigest()
-        # after one edit at most, two of a word's first three characters come from an entry's first three
-        fuzzy = [e[:3] for e in [*stems, *terms] if len(e) >= FUZZY]
-        self.first = {x for e in fuzzy for x in (e[:2], e[1:3], e[0] + e[2])}
-        self.skipped = {x for e in fuzzy for x in (e[0] + e[2], e[:2])}
-        self.second = {x for e in fuzzy for x in (e[1:3], e[:2])}
+        # the beginnings of entries that one edit can reach, and what is left of them without one character
+        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
+        heads = sorted({e[:HEAD] for e in [*stems, *terms] if len(e) >= FUZZY})
+        self.lengths = sorted({len(h) for h in heads})
+        for length in self.lengths:
+            keys = Keys([h for h in heads if len(h) == length])
+            for at in (keys.whole(length), *[keys.without(i, length) for i in range(length)]):
+                self.filter[at] = True
         for kind, entries in (("stem", stems), ("term", terms)):
             for entry in entries:
                 node = self.root
@@ -83,13 +110,25 @@ class Trie:
                 return True
         return "term" in node
 
+    def may_be_near(self, words: list[str]) -> np.ndarray:
+        """For each word whether its beginning may be one edit at most from an entry's; no near word is missed."""
+        near = np.zeros(len(words), dtype=bool)
+        keys = Keys(words)
+        # a head missing a character begins a word as it is; else one of as many or one more characters is left out
+        for length in {n - 1 for n in self.lengths}:
+            near |= self.filter[keys.whole(length)]
+        for length in {n + more for n in self.lengths for more in (0, 1)}:
+            for i in range(length):
+                near |= self.filter[keys.without(i, length)]
+        return near
+
     def within_one(self, word: str) -> bool:
         """Whether the word's automaton (one edit) accepts a term, or a stem that begins the word.
 
         Bit i of a state: the word's first i characters are read; states for no edit and one edit.
         """
         n = len(word)
-        if n < 3 or not (word[:2] in self.first or word[0] + word[2] in self.skipped or word[1:3] in self.second):
+        if n < 3:
             return False
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -111,17 +150,24 @@ class Trie:
                     walk.append((child, now, edited))
         return False
 
+    def verdicts(self, tokens: list[str]) -> list[int]:
+        """For each token 0 for no match, 1 exact, 2 misspelled."""
+        words = [bare(t) for t in tokens]
+        plains = [w if w.isalpha() else w.translate(LEET) for w in words]
+        out = []
+        for word, plain, near in zip(words, plains, self.may_be_near(plains).tolist(), strict=True):
+            if len(word) < SHORTEST:
+                out.append(0)
+            elif self.exact(word):
+                out.append(1)
+            elif plain != word and self.exact(plain):
+                out.append(2)
+            else:
+                out.append(2 if near and len(plain) >= FUZZY - 1 and self.within_one(plain) else 0)
+        return out
+
     def verdict(self, token: str) -> int:
-        """0 for no match, 1 exact, 2 misspelled."""
-        word = bare(token)
-        if len(word) < SHORTEST:
-            return 0
-        if self.exact(word):
-            return 1
-        plain = word if word.isalpha() else word.translate(LEET)
-        if plain != word and self.exact(plain):
-            return 2
-        return 2 if len(plain) >= FUZZY - 1 and self.within_one(plain) else 0
+        return self.verdicts([token])[0]
 
 
 def term_counts(texts: DataFrame, wanted: set[tuple[str, bool]] | None = None) -> DataFrame:
@@ -158,16 +204,18 @@ def learn_lexicon(sample: DataFrame) -> Trie:
     """
     sample = sample.dropDuplicates(["text", "label"])  # copies of a text are one witness
     bad = sample.where("label = 1")
-    support = max(SUPPORT, SUPPORT_SHARE * bad.count())
-    toxic = {(r["term"], r["whole"]): r["n"] for r in term_counts(bad).where(F.col("n") >= support).collect()}
+    toxic = {(r["term"], r["whole"]): r["n"] for r in term_counts(bad).where(F.col("n") >= SUPPORT).collect()}
     clean = {(r["term"], r["whole"]): r["n"] for r in term_counts(sample.where("label IS DISTINCT FROM 1"), set(toxic)).collect()}
-    pure = sorted((t for t, n in toxic.items() if clean.get(t, 0) <= n * CLEAN_PER_TOXIC), key=lambda t: (-toxic[t], t))[:MOST_TERMS]
+    pure = sorted((t for t, n in toxic.items() if clean.get(t, 0) <= n * CLEAN_PER_TOXIC), key=lambda t: (-toxic[t], t))
     begun = {term: toxic[term, whole] for term, whole in pure if not whole}
+    carried: dict[str, list[str]] = {}
+    for term in begun:
+        carried.setdefault(term[:-1], []).append(term)
     stems: list[str] = []
     for term in sorted(begun, key=lambda t: (len(t), t)):
         if any(term[:k] in begun for k in range(SHORTEST, len(term))):
             continue  # a shorter beginning is pure already
-        while longer := [t for t in begun if len(t) == len(term) + 1 and t.startswith(term) and begun[t] >= 0.95 * begun[term]]:
+        while longer := [t for t in carried.get(term, ()) if begun[t] >= 0.95 * begun[term]]:
             term = max(longer, key=lambda t: (begun[t], t))
         stems.append(term)
     covered = set(stems)
@@ -184,13 +232,12 @@ def matches(texts: pa.Array, trie: Trie) -> np.ndarray:
         verdicts_of[:] = [{}, verdicts_of[0]]
     cache, older = verdicts_of
     codes, before, tokens = word_table(texts, " \n")
-    verdicts = np.zeros(len(tokens), dtype=np.int8)
-    for i, t in enumerate(tokens):
-        v = cache.get(t)
-        if v is None:
-            v = older.get(t)
-            cache[t] = v = trie.verdict(t) if v is None else v
-        verdicts[i] = v
+    for at in range(0, len(tokens), 5000):
+        part = tokens[at : at + 5000]
+        fresh = [t for t in part if t not in cache and t not in older]
+        cache.update((t, older[t]) for t in part if t in older)
+        cache.update(zip(fresh, trie.verdicts(fresh), strict=True))
+    verdicts = np.array([cache[t] for t in tokens], dtype=np.int8)
     found = np.zeros((len(texts), 3))
     at = np.flatnonzero(verdicts[codes])
     docs = np.searchsorted(before, at, side="right") - 1
@@ -227,7 +274,7 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, text: str = "text") -> Da
     sample = checkpoint(sample)
     trie = learn_lexicon(sample)
     fitted = sample.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(LAYER_DOCS).select("text", "label")
-    shipped = spark.sparkContext.broadcast(trie)  # at most MOST_TERMS terms
+    shipped = spark.sparkContext.broadcast(trie)  # terms of a bounded sample
     names = ["said", "misspelled", "quoted"]
 
     def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,3 +143,11 @@ def test_language_odd_rows_scripts_and_spans(spark):
     assert {r["lang_pred"] for r in label_languages(frame, sample.limit(0)).collect()} == {"und"}
     assert label_languages(frame.limit(0), sample).count() == 0
     assert language.SCRIPTS[language.letters_and_script(["дом"])[1][0]] == "Cyrillic"
+
+
+def test_rare_terms_are_learned_from_samples_of_any_size(spark):
+    bad = [f"number {i} is such an idiot" for i in range(595)] + [f"number {i} is a real blackguard" for i in range(595, 600)]
+    clean = [f"number {i} is a real friend" for i in range(3000)]
+    sample = spark.createDataFrame([(i, t, int(i < len(bad))) for i, t in enumerate(bad + clean)], "doc_id long, text string, label int")
+    trie = toxicity.learn_lexicon(sample)
+    assert [trie.verdict(w) for w in ("blackguard", "blackgard", "idiot", "friend", "number")] == [1, 2, 1, 0, 0]
