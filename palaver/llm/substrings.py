@@ -244,7 +244,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     sizes = checkpoint(spans.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("blocks")))
     listed = spans.join(sizes, "gram").withColumn("block", F.pmod(F.xxhash64("span"), F.col("blocks")))
     listed = listed.select("at.k", F.struct("at.first", "at.size", "at.at", "gram", "block", "blocks", "copies").alias("s")).groupBy("k").agg(F.collect_list("s").alias("spans"))
-    cut = docs.join(listed, "k").select("text", "k", "spans").mapInArrow(_contexts, "k long, first int, at short, gram long, block long, blocks long, copies long, bytes binary")
+    # equal texts share a key and a span has one owner: one of them shows its contexts, copies are counted already
+    cut = docs.dropDuplicates(["k"]).join(listed, "k").select("text", "k", "spans").mapInArrow(_contexts, "k long, first int, at short, gram long, block long, blocks long, copies long, bytes binary")
     dealt = cut.repartition("gram", "block").sortWithinPartitions("gram", "block")
     found = dealt.mapInArrow(_compared(length), "k long, first long, last long, gram long, core long, ids array<bigint>, ks array<bigint>, firsts array<bigint>")
     path = scratch(spark, "strings")

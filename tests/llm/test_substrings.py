@@ -94,3 +94,31 @@ def test_repeated_rows_clashing_columns_and_empty_table(spark):
         want.setdefault(d, []).append(digest(*x))
     assert digests(remove_repeats(frame)) == want
     assert remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_copies_of_a_text_show_their_contexts_once(spark, monkeypatch):
+    shown, compared = spark.sparkContext.accumulator(0), substrings._compared
+
+    def counted(length):
+        own = compared(length)
+
+        def count(batches):
+            def each():
+                for rows in batches:
+                    shown.add(rows.num_rows)
+                    yield rows
+
+            return own(each())
+
+        return count
+
+    monkeypatch.setattr(substrings, "_compared", counted)
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2000))
+    near = text[:1000] + "#" + text[1001:]
+    texts = [text] * 60 + [near]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc"]["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
+    assert [(r["first"], r["last"]) for r in rows[60]["removed"]] == [(0, 1000), (1001, 2000)]
+    assert all([(r["first"], r["last"]) for r in rows[i]["removed"]] == [(0, 2000)] for i in range(60))
+    assert 0 < shown.value < 60
