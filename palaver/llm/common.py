@@ -53,16 +53,11 @@ def doc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def unique_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def text_slices(batches: Iterable[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that a slice holds at most ``most`` bytes of text, or one row."""
+    """Cut record batches so that a slice holds at most ``most`` bytes of text, or one row.
+
+    At the end the worker gives back the memory that Arrow has kept for reuse.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes), 0
@@ -71,6 +66,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: int, most: int = SLICE_
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def with_text(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,6 @@ def test_leaking_documents_go(spark, steps):
 
 def test_everything_left_is_packed(steps):
     tool = Tokenizer.from_file(tokenizer_file())
-    tool.encode_special_tokens = True
     packed_right(steps[5], texts(steps[4]), lambda t: [*tool.encode(t or "", add_special_tokens=False).ids, 0])
 
 

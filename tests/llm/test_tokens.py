@@ -11,13 +11,12 @@ from palaver.llm.queries import op3_packing, op8_token_files, tokenizer_file
 from palaver.llm.token_store import read_document, read_store, round_trip, write_store
 from palaver.llm.tokens import Encoder
 
-ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \n b", "a\n b", "a\tb", "a\n\t b", "a\t \nb", "it's we'll", "x  y", "x  y", " \nq", "<|endoftext|> x", "é́ 日本 😀", "a\x1fb c", "\n", "a\n", "a\r\nb", "$$$ %%% a,&&& b"]
+ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \n b", "a\n b", "a\tb", "a\n\t b", "a\t \nb", "it's we'll", "x  y", "x  y", " \nq", "<|endoftext|> x", "<|endoftext|>", "a <|endoftext|>b", "a<|endoftext|>\nb", "two <|endoftext|> marks<|endoftext|>", "\t<|endoftext|>\t", "<|endoftext", "\tb", "b\t", "\x85b", "b\u3000", "a\u2028b c\u00a0d e", "é́ 日本 😀", "a\x1fb c", "\n", "a\n", "a\r\nb", "$$$ %%% a,&&& b"]
 
 
 @pytest.fixture(scope="module")
 def plain():
     tool = Tokenizer.from_file(tokenizer_file())
-    tool.encode_special_tokens = True
     return lambda text: [*tool.encode(text or "", add_special_tokens=False).ids, 0]
 
 
