@@ -1,10 +1,9 @@
 """Token files: each document's ids as one zstandard frame under a shared dictionary.
 
 A store is a folder in the shared file system: ``frames`` (blocks of whole frames in doc_id order,
-each block with its documents' ids, frame offsets, token counts and the dictionary's hash),
-``dictionary`` (hash and bytes) and ``parts`` (documents and tokens of every part, in order).
-A short document is read by finding its block through the block's id range and decompressing its
-frame alone.
+each block with its first and last id, its documents' ids, frame offsets, token counts and the
+dictionary's hash) and ``dictionary`` (hash and bytes).  A short document is read by finding its
+block through the block's id range and decompressing its frame alone.
 """
 
 from __future__ import annotations
@@ -44,9 +43,10 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int = TRAINING_DOCS) -> bytes:
-    """A zstandard dictionary from a bounded sample; empty where the sample is too small to train on.
+    """A zstandard dictionary from a bounded sample, chosen by a hash of the rows.
 
-    The sample decides the frames' size alone, never their content.
+    Where the sample is too small for the training, its own bytes are the dictionary (as raw
+    content).  The sample decides the frames' size alone, never their content.
     """
     total = docs.count()
     every = max(1, -(-total // sample_docs))
@@ -61,54 +61,70 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(sorted(samples))[-DICTIONARY_BYTES:].rjust(8, b"\0")
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
 
 
 def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
-    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
+
+
+BLOCKS = "part int, block int, start long, first_id long, last_id long, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, dictionary string, frames binary"
+BLOCK_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3, pa.string(), pa.binary()]
 
 
 def write_store(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Tokenize, compress and write all documents in ascending id order (nulls first).
 
-    Null texts count as empty; rows of one id keep one order, by text.  Other columns are not read.
+    Null texts count as empty; texts of any length are one frame; rows of one id, and those without
+    one, stay apart and in the order in which they were read.  An empty table makes a store without
+    blocks.  Other columns are not read, whatever their names.
+
+    Texts become frames where they are read; only frames are sorted, by id and place, so that rows
+    of one id may lie in several parts.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dictionary = train_dictionary(slim, tokenizer, end_id)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    schema = "part int, block int, start long, doc_ids array<bigint>, n_tokens array<bigint>, offsets array<bigint>, dictionary string, frames binary"
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, tool = TaskContext.get().partitionId() << 33, compressor(dictionary)
+        for rows, ids, before in encoded_slices(batches, 1, tokenizer, end_id):
+            frames = [tool.compress(packed(ids[a:b])) for a, b in zip(before[:-1], before[1:], strict=True)]
+            places = np.arange(place, place + len(frames))
+            place += len(frames)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(places), pa.array(np.diff(before)), pa.array(frames, pa.binary())], names=["doc_id", "place", "n", "frame"])
+
+    unordered = scratch(spark, "frames")
+    slim.mapInArrow(encoded, "doc_id long, place long, n long, frame binary").write.option("compression", "none").parquet(unordered)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tool = TaskContext.get().partitionId(), compressor(dictionary)
-        block, start, tokens, held = 0, 0, 0, []
+        part, block, start, tokens, size, held = TaskContext.get().partitionId(), 0, 0, 0, 0, []
 
         def closed() -> pa.RecordBatch:
-            frames = [x[2] for x in held]
+            ids, counts, frames = zip(*held, strict=True)
+            known = [x for x in ids if x is not None]
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])])
-            row = [part, block, start, [x[0] for x in held], [x[1] for x in held], offsets.tolist(), digest, b"".join(frames)]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.string(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            row = [part, block, start, known[0] if known else None, known[-1] if known else None, list(ids), list(counts), offsets.tolist(), digest, b"".join(frames)]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, BLOCK_KINDS, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-        size = 0
-        for rows, ids, before in encoded_slices(batches, 1, tokenizer, end_id):
-            for own, a, b in zip(rows.column(0).to_pylist(), before[:-1], before[1:], strict=True):
-                frame = tool.compress(packed(ids[a:b]))
-                held.append((own, int(b - a), frame))
-                tokens, size = tokens + int(b - a), size + len(frame)
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held.append(row)
+                tokens, size = tokens + row[1], size + len(row[2])
                 if size >= BLOCK_BYTES:
                     yield closed()
                     block, start, size, held = block + 1, tokens, 0, []
         if held:
             yield closed()
 
-    ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/frames")
+    ordered = spark.read.parquet(unordered).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    ordered.select("doc_id", "n", "frame").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/frames")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -120,7 +136,7 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """Decode all documents: doc_id, start, n_tokens, ids_crc32 (and ids as bytes)."""
+    """Decode all documents: doc_id, start, n_tokens, ids_crc32 (and ids as bytes); an empty store gives no rows."""
     dictionary = {r["hash"]: bytes(r["data"]) for r in spark.read.parquet(f"{path}/dictionary").collect()}
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
@@ -141,8 +157,12 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
-    """The ids of one document (of each row with that id), from its own frames alone."""
-    near = spark.read.parquet(f"{path}/frames").where((F.array_min("doc_ids") <= doc_id) & (F.array_max("doc_ids") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id).cast("bigint")))
+    """The ids of one document (of each row with that id; none for an unknown one), from its own frames alone.
+
+    Parquet's statistics of ``first_id`` and ``last_id`` leave out all files and row groups but those
+    with blocks around the id.
+    """
+    near = spark.read.parquet(f"{path}/frames").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id).cast("bigint")))
     own = F.filter(F.transform("doc_ids", lambda d, i: F.when(d == doc_id, i)), lambda i: i.isNotNull())
     one = near.select("part", "block", "dictionary", "n_tokens", F.posexplode(own).alias("nth", "i"), "offsets", "frames")
     frame = F.expr("substring(frames, cast(offsets[i] + 1 as int), cast(offsets[i + 1] - offsets[i] as int))")
@@ -152,7 +172,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarra
 
 
 def round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write a store under the shared folder and read it back."""
+    """Write a store under the shared folder and read it back; rows as of write_store() and read_store()."""
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
     write_store(docs, tokenizer, path, doc_id, text)
