@@ -1,9 +1,10 @@
 """Removal of benchmark text from training documents.
 
-Main path: DataFrame functions only.  Benchmark items become windows of consecutive words, held as
-a broadcast hash set; every window of every document is looked up by its hash; hits are verified
-word by word against the window's text; then the words under hits, the items and the remaining
-text follow per document.
+Main path: DataFrame functions only.  Benchmark items become windows of consecutive words.  Each
+document is split into words once; a filter of hashes (of a window's first words, then of the whole
+window) leaves few of its windows, and those meet the broadcast hash set of the benchmark's windows,
+where hash and text must agree.  The words under hits and the items follow per document; only they
+are joined back to it, not the texts' words.
 """
 
 from __future__ import annotations
@@ -11,27 +12,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import ascii_lower, checkpoint
+from palaver.llm.common import ascii_lower, checkpoint, scratch
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing, with the gap before it.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Windows up to this many (about 150 bytes each) are broadcast; a larger set is joined by shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Windows that take so many bytes together are broadcast; a larger set is joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Slots of the filters, one byte each; fuller ones leave more windows for the join and lose none.
+SLOTS = 1 << 16
 
 
 def words_of(text: Column) -> Column:
     """Lower-cased words of a text; null has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    lowered = F.when(ascii_only, F.lower(text)).otherwise(ascii_lower(text))
+    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def windows_of(words: Column, length: Column) -> Column:
-    """Hash of each run of ``length`` consecutive words."""
-    count = F.size(words) - length + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, length)))
+def slot_of(*values: Column) -> Column:
+    return F.pmod(F.xxhash64(*values), F.lit(SLOTS)).cast("int")
+
+
+def filled(slots: DataFrame) -> Column:
+    """A literal with a byte for each slot, 1 where ``slots`` (one int column) has it."""
+    marks = bytearray(SLOTS)
+    for r in slots.distinct().collect():  # SLOTS rows at most
+        marks[r[0]] = 1
+    return F.lit(bytes(marks))
+
+
+def marked(marks: Column, slot: Column) -> Column:
+    return F.substring(marks, slot + 1, F.lit(1)) == F.lit(b"\x01")
 
 
 def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -59,33 +73,50 @@ def decontaminate(
     (distinct, ascending as strings; items without an id mark words but aren't listed) and
     ``clean_text`` (the text without the hit words and the gaps before them).
 
-    A null or wordless text has no words and no hits; ties and repeated rows give equal results,
-    as everything depends on the row alone; empty tables give no rows or no hits.
+    A null or wordless text has no words and no hits; a null id is as good as another; texts of any
+    length are searched whole; ties and repeated rows give equal results, as everything depends on
+    the row alone; empty tables give no rows or no hits.
     """
     grams = checkpoint(benchmark_windows(items, item_id, item_text, window))
-    size = grams.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
-    known = F.broadcast(grams) if size["n"] <= BROADCAST_WINDOWS else grams
-    lengths = F.array(*[F.lit(x) for x in size["lengths"]]).cast("array<int>")
+    # an entry of the set has its text, its items and some 64 bytes around them
+    size = grams.agg(F.sum(F.octet_length("gram") + 8 * F.size("items") + 64).alias("bytes"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
+    known = F.broadcast(grams) if (size["bytes"] or 0) <= BROADCAST_BYTES else grams
+    split = F.split("gram", " ")
+    first_marks, whole_marks = filled(grams.select(slot_of(split[0], F.get(split, F.lit(1))))), filled(grams.select(slot_of(F.col("hash"))))
 
     # the same text under the same id has the same hits, so id and text hash stand for the row
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    keyed = keyed.select("doc", F.col("doc").getField(doc_id).alias("own"), F.xxhash64(F.col("doc").getField(text)).alias("body"))
-    hits = (
-        keyed.select("own", "body", words_of(F.col("doc").getField(text)).alias("words"), F.explode(lengths).alias("length"))
-        .select("own", "body", "length", F.posexplode(windows_of(F.col("words"), F.col("length"))).alias("start", "hash"))
-        .join(known, ["hash", "length"])
-        .groupBy("own", "body")
-        .agg(F.collect_set(F.struct("start", "length", "gram", "items")).alias("hits"))
-        .withColumnsRenamed({"own": "hit_own", "body": "hit_body"})
-    )
-    # texts are split into words after this join: the shuffle moves plain text, not arrays of words
-    found = keyed.join(hits, F.col("own").eqNullSafe(F.col("hit_own")) & (F.col("body") == F.col("hit_body")), "left")
-    found = found.withColumn("words", words_of(F.col("doc").getField(text)))
-    verified = F.filter("hits", lambda h: F.array_join(F.slice(F.col("words"), h["start"] + 1, h["length"]), " ") == h["gram"])
-    found = found.select("doc", F.size("words").cast("bigint").alias("n_words"), F.coalesce(verified, F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
+    own = F.col("doc").getField(doc_id)
+    keyed = keyed.select("doc", F.coalesce(own.cast("string"), F.lit("")).alias("own"), own.isNull().alias("none"), F.xxhash64(F.col("doc").getField(text)).alias("body"))
+    key = ["own", "none", "body"]
+    split_up = keyed.select(*key, words_of(F.col("doc").getField(text)).alias("words"))
+
+    def left_over(length: int) -> Column:
+        """Of a document's windows of one length those that pass both filters."""
+        count = F.size("words") - length + 1
+        starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        second = (lambda i: F.get("words", i + 1)) if length > 1 else (lambda i: F.lit(None).cast("string"))
+        begun = F.filter(starts, lambda i: marked(first_marks, slot_of(F.get("words", i), second(i))))
+        hashed = F.transform(begun, lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice("words", i + 1, length)).alias("hash")))
+        passed = F.filter(hashed, lambda w: marked(whole_marks, slot_of(w["hash"])))
+        return F.transform(passed, lambda w: F.struct(w["start"].alias("start"), F.lit(length).alias("length"), w["hash"].alias("hash"), F.array_join(F.slice("words", w["start"] + 1, length), " ").alias("gram")))
+
+    path = scratch(docs.sparkSession, "windows")
+    none = F.array().cast("array<struct<start: int, length: int, hash: bigint, gram: string>>")
+    windows = F.concat(none, *[left_over(n) for n in size["lengths"]])
+    split_up.select(*key, F.size("words").cast("bigint").alias("n_words"), windows.alias("windows")).write.parquet(path)
+    read = docs.sparkSession.read.parquet(path)
+
+    hits = read.where(F.size("windows") > 0).select(*key, F.explode("windows").alias("w")).select(*key, "w.*").join(known, ["hash", "length", "gram"])
+    hits = hits.groupBy(*key).agg(F.collect_set(F.struct("start", "length", "items")).alias("hits"))
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1)))
     listed = F.array_sort(F.transform(F.array_distinct(F.flatten(F.col("hits.items"))), lambda i: i.cast("string")))
-    found = found.select("doc", "n_words", F.array_sort(F.array_distinct(covered)).alias("hit_words"), listed.alias("item_ids"))
+    hits = hits.select(*key, F.array_sort(F.array_distinct(covered)).alias("hit_words"), listed.alias("item_ids"))
+    counts = read.groupBy(*key).agg(F.first("n_words").alias("n_words"))
+    found = keyed.join(counts.join(hits, key, "left"), key)
+    found = found.select(
+        "doc", "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
+    )
     return found.withColumn("clean_text", without_words(F.col("doc").getField(text), F.col("hit_words")))
 
 

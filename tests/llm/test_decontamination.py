@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import pytest
+
+from palaver.llm import decontamination
 from palaver.llm.decontamination import decontaminate
 from palaver.llm.queries import op5_decontamination
 
@@ -41,7 +44,11 @@ def test_query_against_brute_force(spark, sf_dir):
     assert any(r[-1] for r in got)
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("broadcast, slots", [(64 << 20, 1 << 16), (0, 4)])
+def test_odd_rows(spark, monkeypatch, broadcast, slots):
+    """By a broadcast set, and by a shuffled one behind filters that are full."""
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(decontamination, "SLOTS", slots)
     ten = "a b c d e f g h i j"
     items = [(1, "Short Item"), (2, ten), (3, ten + " k"), (4, None), (5, ".,"), (None, "nameless words"), (11, ten)]
     docs = [
