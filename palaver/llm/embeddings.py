@@ -1,31 +1,37 @@
-"""Near-duplicate vectors by robust-pruned proximity graphs on overlapping cluster shards.
-
-Vectors are assigned to every cluster whose centroid is nearly as close as the closest one.  Each
-shard gets a flat graph: a vector's nearest members, pruned so that edges point in different
-directions (Subramanya et al. 2019).  Adjacency lists of a vector from all of its shards are
-united.  Each member is then searched in its shards: a greedy walk from the shard's medoid and from
-the member's own place, expanding every vector found in range until no new one is met.  Every link
-is verified in double precision, and recall is audited against brute force.
+"""Near-duplicate vectors by robust-pruned flat graphs on overlapping cluster shards.
+
+Vectors are assigned to every cluster whose centroid is nearly as close as the closest one, their
+home; too large clusters are divided in the same way.  Each shard gets a flat graph (see flatgraph),
+and a vector's adjacency lists from all of its shards are united.  A shard is then searched for its
+home vectors: greedy walks from the medoid, expanded over everything in range, through its members
+and through the vectors of other shards to which the united lists of its home vectors lead.  Links
+are verified in double precision; only their numbers and a forest of them leave a task.  Recall is
+audited against brute force, and the overlap widened while it is too low.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.llm import flatgraph
 from palaver.llm.common import checkpoint
 from palaver.llm.graph import connected_components, forest
 
-#: Vectors the centroids are fitted on, vectors to a cluster, and centroids at most.
-CENTROID_SAMPLE, PER_CLUSTER, MOST_CLUSTERS = 12_000, 300, 4096
+LOG = logging.getLogger(__name__)
+
+#: Vectors that the centroids of one level are fitted on, vectors to a cluster, and the first level's centroids at most.
+CENTROID_SAMPLE, PER_CLUSTER, MOST_CENTROIDS = 12_000, 250, 4096
 #: A vector belongs to clusters within this cosine of its best one; doubled while recall is too low.
 MARGIN = 0.06
-#: Members of a shard at most; a larger cluster is searched as pairs of blocks of half of it.
-MOST_MEMBERS = 4000
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 12
-AUDIT_QUERIES, LEAST_RECALL = 200, 0.9
+#: Members of a shard at most; a larger cluster is divided, by centroids while they divide it, else by a hash.
+MOST_MEMBERS = 2000
+#: Audit queries to begin with and at most, those with links that are enough, and the recall to reach.
+AUDIT_QUERIES, MOST_QUERIES, LINKED_QUERIES, LEAST_RECALL = 1000, 16_000, 50, 0.9
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -41,120 +47,11 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def robust_prune(near: np.ndarray, own: np.ndarray, vectors: np.ndarray) -> list[int]:
-    """Of candidates in ascending distance, those that no chosen one is much closer to."""
-    gram = vectors[near] @ vectors[near].T
-    far = 1 - own  # distance to the vector
-    alive, chosen = np.ones(len(near), dtype=bool), []
-    for i in range(len(near)):
-        if alive[i]:
-            chosen.append(int(near[i]))
-            if len(chosen) == DEGREE:
-                break
-            alive &= ALPHA * (1 - gram[i]) > far
-    return chosen
-
-
-def build_graph(vectors: np.ndarray) -> list[list[int]]:
-    """Adjacency of each vector: pruned nearest members, and the edges back."""
-    n = len(vectors)
-    graph: list[list[int]] = []
-    for at in range(0, n, 512):
-        sims = vectors[at : at + 512] @ vectors.T
-        sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
-        k = min(CANDIDATES, n - 1)
-        if k < 1:
-            return [[] for _ in range(n)]
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        for row, candidates in enumerate(near):
-            candidates = candidates[np.argsort(-sims[row, candidates], kind="stable")]
-            graph.append(robust_prune(candidates, sims[row, candidates], vectors))
-    back: list[list[int]] = [list(x) for x in graph]
-    for i, edges in enumerate(graph):
-        for j in edges:
-            if len(back[j]) < 2 * DEGREE and i not in back[j]:
-                back[j].append(i)
-    return back
-
-
-def range_search(query: np.ndarray, entries: list[int], graph: list[np.ndarray], vectors: np.ndarray, least: float) -> np.ndarray:
-    """Members with cosine >= ``least``: walk greedily with a beam, then expand all that are in range."""
-    sims = {e: float(vectors[e] @ query) for e in entries}
-    done: set[int] = set()
-    while True:
-        beam = sorted(sims, key=lambda i: -sims[i])[:BEAM]
-        todo = [i for i in beam if i not in done][:1]
-        if not todo or (sims[todo[0]] < least and len(done) > 4 * BEAM):
-            break
-        done.update(todo)
-        fresh = [int(j) for j in graph[todo[0]] if j not in sims]
-        if fresh:
-            sims.update(zip(fresh, (vectors[fresh] @ query).tolist(), strict=True))
-        if sum(s >= least for s in sims.values()) >= BEAM:
-            break
-    slack = least - 0.02
-    known = np.zeros(len(vectors), dtype=bool)
-    known[list(sims)] = True
-    expanded = np.zeros(len(vectors), dtype=bool)
-    front = np.array([i for i, s in sims.items() if s >= slack], dtype=np.int64)
-    found = [front]
-    while len(front):
-        expanded[front] = True
-        reached = np.unique(np.concatenate([graph[i] for i in front]))
-        reached = reached[~known[reached]]
-        known[reached] = True
-        front = reached[vectors[reached] @ query >= slack]
-        found.append(front)
-    return np.concatenate(found)
-
-
 def _normalised(column) -> np.ndarray:
     vectors = np.stack([np.asarray(v, dtype=np.float64) for v in column])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
-    graph = build_graph(_normalised(pdf["vector"]))
-    ids = pdf["node"].to_numpy()
-    return pd.DataFrame({"node": ids, "edges": [ids[e].tolist() for e in graph]})
-
-
-def _searched(least: float):
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors, ids = _normalised(pdf["vector"]), pdf["node"].to_numpy()
-        place = {int(x): i for i, x in enumerate(ids)}
-        graph = [np.array([place[j] for j in e if j in place], dtype=np.int64) for e in pdf["edges"]]
-        medoid = int((vectors @ vectors.mean(axis=0)).argmax())
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(len(ids)):
-            near = range_search(vectors[i], [medoid, i], graph, vectors, least)
-            near = near[near != i]
-            pairs.append((np.full(len(near), i), near))
-        a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-        exact = _exact(vectors, a, b, least)
-        a, b = a[exact], b[exact]
-        both = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
-        own, other = both // len(ids), both % len(ids)
-        cuts = np.searchsorted(own, np.arange(len(ids) + 1))
-        copies = pdf["copies"].to_numpy()
-        roots = dict(zip(*(x.tolist() for x in forest(ids[own], ids[other])), strict=True)) if len(own) else {}
-        rows = [
-            (int(ids[i]), [{"id": int(x), "copies": int(c)} for x, c in zip(ids[other[x:y]], copies[other[x:y]], strict=True)], roots.get(int(ids[i]), int(ids[i])))
-            for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-            if y > x
-        ]
-        return pd.DataFrame(rows, columns=["node", "linked", "root"])
-
-    return search
-
-
-def _exact(vectors: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    out = np.empty(len(a), dtype=bool)
-    for at in range(0, len(a), 100_000):
-        out[at : at + 100_000] = np.einsum("ij,ij->i", vectors[a[at : at + 100_000]], vectors[b[at : at + 100_000]]) >= least
-    return out
-
-
 def usable(vector):
     """Not null, no null or non-finite component, and not all zero."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
@@ -162,84 +59,211 @@ def usable(vector):
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(doubles, lambda x: x != 0)
 
 
-def links_within(nodes: DataFrame, least: float, margin: float) -> DataFrame:
-    """(node, linked, root) by shard, for nodes (node long, vector, copies long) of one dimension, all vectors different.
+def nearest_clusters(vectors: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, cluster) of all clusters within the margin of a row's best, and whether it is the best."""
+    sims = vectors @ centres.T
+    best = sims.argmax(axis=1)
+    row, cluster = np.nonzero(sims >= sims[np.arange(len(sims)), best][:, None] - margin)
+    return row, cluster, best[row] == cluster
 
-    ``linked`` lists the other nodes in range with their copies; ``root`` is the smallest node that
-    the shard's links reach, so components need one edge a row.
-    """
-    spark = nodes.sparkSession
+
+def first_level(nodes: DataFrame, margin: float) -> DataFrame:
+    """(node, vector, copies, cluster, home): the memberships of all nodes, one of each being its home."""
     n = nodes.count()
     every = max(1, -(-n // CENTROID_SAMPLE))
-    rows = nodes.where(F.pmod(F.xxhash64("vector"), F.lit(every)) == 0).limit(2 * CENTROID_SAMPLE).orderBy("node").collect()
+    rows = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).orderBy(F.xxhash64("node")).limit(2 * CENTROID_SAMPLE).collect()
     sample = _normalised([r["vector"] for r in rows]) if rows else None
-    k = max(1, min(MOST_CLUSTERS, n // PER_CLUSTER))
-    centres = spark.sparkContext.broadcast(centroids(sample, k) if rows else None)  # MOST_CLUSTERS rows at most
+    k = max(1, min(MOST_CENTROIDS, n // PER_CLUSTER))
+    centres = nodes.sparkSession.sparkContext.broadcast(centroids(sample, k) if rows else None)  # MOST_CENTROIDS rows at most
 
     def assigned(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if centres.value is None:
-                owner, cluster = np.arange(len(pdf)), np.zeros(len(pdf), dtype=np.int64)
-            else:
-                sims = _normalised(pdf["vector"]) @ centres.value.T
-                owner, cluster = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - margin)
-            out = pdf.iloc[owner].reset_index(drop=True)
-            yield out.assign(cluster=cluster)
-
-    kind = nodes.schema["vector"].dataType.simpleString()
-    members = checkpoint(nodes.mapInPandas(assigned, f"node long, vector {kind}, copies long, cluster long"))
-    half = MOST_MEMBERS // 2
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.select("cluster", F.when(F.col("n") <= MOST_MEMBERS, 1).otherwise(F.ceil(F.col("n") / half)).cast("bigint").alias("g"))
-    # a large cluster: every unordered pair of its blocks is a shard, so that any two members meet
-    members = members.join(F.broadcast(blocks), "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1)).alias("o")
-    members = members.select("node", "vector", "copies", "cluster", "g", "b", other).where((F.col("g") == 1) | (F.col("b") != F.col("o")))
-    members = members.select("node", "vector", "copies", "cluster", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-    shard = ["cluster", "x", "y"]
-    lists = members.groupBy(*shard).applyInPandas(_adjacency, "node long, edges array<bigint>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
-    united = checkpoint(united)
-    found = members.join(united, "node").groupBy(*shard).applyInPandas(_searched(least), FOUND)
-    return checkpoint(found)
-
-
-FOUND = "node long, linked array<struct<id: bigint, copies: bigint>>, root long"
-
-
-def united_links(found: DataFrame) -> DataFrame:
-    """(node, linked): what the shards of each node found, once."""
-    return found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("linked"))).alias("linked"))
-
-
-def audited_recall(nodes: DataFrame, links: DataFrame, least: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the links of about ``queries`` nodes, found by brute force over all nodes in blocks, that are in ``links``.
-
-    Half of the queries are drawn from nodes with links, so that there is something to find.
-    """
-    spark = nodes.sparkSession
-    n = max(1, nodes.count())
-    wanted = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // (queries // 2))))) == 0
-    linked = links.orderBy(F.xxhash64("node", F.lit(1))).limit(queries // 2).select("node")
-    chosen = nodes.where(wanted).union(nodes.join(linked, "node", "left_semi")).dropDuplicates(["node"]).limit(2 * queries).collect()
-    if not chosen:
-        return 1.0
-    ids = np.array([r["node"] for r in chosen])
-    shipped = spark.sparkContext.broadcast(_normalised([r["vector"] for r in chosen]))  # 2 * queries vectors
-
-    def compared(batches):
         for pdf in batches:
             if len(pdf):
-                q, i = np.nonzero(shipped.value @ _normalised(pdf["vector"]).T >= least + 1e-12)
-                out = pd.DataFrame({"query": ids[q], "other": pdf["node"].to_numpy()[i]})
-                yield out[out["query"] != out["other"]]
+                known = centres.value if centres.value is not None else np.zeros((1, len(pdf["vector"].iloc[0])))
+                row, cluster, home = nearest_clusters(_normalised(pdf["vector"]), known, margin)
+                yield pdf.iloc[row].reset_index(drop=True).assign(cluster=cluster, home=home)
+
+    return checkpoint(nodes.mapInPandas(assigned, _members(nodes)))
+
 
-    truth = nodes.mapInPandas(compared, "query long, other long")
-    mine = links.join(nodes.sparkSession.createDataFrame([(int(i),) for i in ids], "node long"), "node").select(F.col("node").alias("query"), F.explode("linked.id").alias("other"), F.lit(1).alias("found"))
-    got = truth.join(mine, ["query", "other"], "left").agg(F.count(F.lit(1)).alias("all"), F.count("found").alias("found")).first()
-    return got["found"] / got["all"] if got["all"] else 1.0
+def _members(nodes: DataFrame) -> str:
+    return f"node long, vector {nodes.schema['vector'].dataType.simpleString()}, copies long, cluster long, home boolean"
+
+
+def divided(members: DataFrame, margin: float) -> DataFrame:
+    """Members with their clusters of over MOST_MEMBERS divided by centroids, level by level, as long as that makes them smaller.
+
+    A cluster's centroids are fitted on a sample of about 2 * MOST_MEMBERS of it; its members are
+    dealt to tasks by a hash.
+    """
+    kind = members.schema["vector"].dataType.simpleString()
+    done, most, size = None, None, PER_CLUSTER
+    while True:
+        sizes = checkpoint(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MEMBERS))
+        largest = sizes.agg(F.max("n")).first()[0]
+        if largest is None or most is not None and largest > 0.7 * most:
+            return members if done is None else done.unionByName(members)
+        most = largest
+        small = members.join(sizes.select("cluster"), "cluster", "left_anti").select(*members.columns)
+        done = checkpoint(small if done is None else done.unionByName(small))
+        large = members.join(sizes, "cluster").withColumn("every", F.ceil(F.col("n") / (2 * MOST_MEMBERS)))
+
+        def fitted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            centres = centroids(_normalised(pdf.sort_values("node")["vector"]), max(2, int(pdf["n"].iloc[0]) // size))
+            return pd.DataFrame({"cluster": key[0], "centre": list(centres)})
+
+        centres = large.where(F.pmod(F.xxhash64("node"), F.col("every")) == 0).groupBy("cluster").applyInPandas(fitted, "cluster long, centre array<double>")
+        parts = F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / MOST_MEMBERS))
+        centres = centres.join(sizes, "cluster").select("cluster", "centre", F.explode(parts).alias("part"))
+        large = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / MOST_MEMBERS) + 1))
+
+        def assigned(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf) or not len(known):
+                return pdf.iloc[:0][["node", "vector", "copies", "cluster", "home"]]
+            known = np.stack(sorted(known["centre"], key=tuple))
+            row, child, home = nearest_clusters(_normalised(pdf["vector"]), known, margin)
+            out = pdf.iloc[row].reset_index(drop=True)
+            return out.assign(cluster=key[0] * 65_599 + child + 1, home=out["home"].to_numpy() & home)[["node", "vector", "copies", "cluster", "home"]]
+
+        split = large.groupBy("cluster", "part").cogroup(centres.groupBy("cluster", "part"))
+        members = checkpoint(split.applyInPandas(assigned, f"node long, vector {kind}, copies long, cluster long, home boolean"))
+
+
+def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The shard's graph as lists of nodes; ``far``: neighbours that are not in the node's home cluster."""
+    ids, homes = pdf["node"].to_numpy(), pdf["at_home"].to_numpy()
+    flat, ends = flatgraph.build(_normalised(pdf["vector"]))
+    everywhere = [set(x) for x in pdf["clusters"]]
+    own = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+    # within one cluster whose members are all at home nothing is far
+    far = np.array([homes[i] not in everywhere[j] for i, j in zip(own.tolist(), flat.tolist(), strict=True)], dtype=bool) if len(flat) else np.zeros(0, dtype=bool)
+    cuts = ends[:-1]
+    return pd.DataFrame({
+        "node": ids,
+        "edges": [x.tolist() for x in np.split(ids[flat], cuts)],
+        "far": [x[y].tolist() for x, y in zip(np.split(ids[flat], cuts), np.split(far, cuts), strict=True)],
+    })
+
+
+def _searched(least: float):
+    """Of a shard's rows: the home vectors' numbers of links (``found`` nodes, ``copies`` rows), and a forest of all links."""
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        role, ids = pdf["role"].to_numpy(), pdf["node"].to_numpy()
+        vectors, copies = _normalised(pdf["vector"]), pdf["copies"].to_numpy()
+        target, asked = np.flatnonzero(role != QUERY), np.flatnonzero((role == QUERY) | (role == BOTH))
+        if not len(target) or not len(asked):
+            return pd.DataFrame({"node": ids[:0], "found": ids[:0], "copies": ids[:0], "root": ids[:0]})
+        order = np.argsort(ids[target], kind="stable")
+        target = target[order]
+        known = ids[target]
+        lists = [np.asarray(x if x is not None else (), dtype=np.int64) for x in pdf["edges"].iloc[target]]
+        flat, counts = np.concatenate([*lists, known[:0]]), np.array([len(x) for x in lists])
+        place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        here = known[place] == flat
+        own = np.repeat(np.arange(len(known)), counts)[here]
+        graph = place[here], np.cumsum(np.bincount(own, minlength=len(known)))
+        q, at = flatgraph.in_range(vectors[asked], graph, vectors[target], least)
+        other = ids[asked][q] != known[at]
+        q, at = q[other], at[other]
+        found, sums = np.bincount(q, minlength=len(asked)), np.bincount(q, weights=copies[target][at], minlength=len(asked))
+        own = np.flatnonzero(found)
+        node, root = forest(ids[asked][q], known[at]) if len(q) else (ids[:0], ids[:0])
+        none = np.zeros(len(node), dtype=np.int64)
+        return pd.DataFrame({
+            "node": np.concatenate([ids[asked][own], node]), "found": np.concatenate([found[own], none]),
+            "copies": np.concatenate([sums[own].astype(np.int64), none]), "root": np.concatenate([ids[asked][own], root]),
+        })
+
+    return search
+
+
+FOUND = "node long, found long, copies long, root long"
+#: Rows of a shard: members that are found and searched for, only found, or only searched for.
+BOTH, TARGET, QUERY = range(3)
+
+
+def links_within(nodes: DataFrame, least: float, margin: float) -> DataFrame:
+    """FOUND rows for nodes (node long, vector, copies long) of one dimension, all vectors different.
+
+    The sums of ``found`` and ``copies`` are a node's links; ``root`` is the smallest node that a
+    shard's links reach, so components need one edge a row.
+    """
+    members = divided(first_level(nodes, margin), margin)
+    where = members.groupBy("node").agg(F.collect_set("cluster").alias("clusters"), F.max(F.when(F.col("home"), F.col("cluster"))).alias("at_home"))
+    # a cluster that centroids don't divide has g blocks: each has a graph, and is searched for the home vectors of all of them
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(MOST_MEMBERS)).alias("g"))
+    members = members.join(sizes, "cluster").join(where, "node").withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")))
+    members = checkpoint(members)
+    lists = checkpoint(members.groupBy("cluster", "b").applyInPandas(_graph, "node long, edges array<bigint>, far array<bigint>"))
+    united = checkpoint(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")))
+    nothing = F.lit(None).cast("array<bigint>")
+    columns = ["cluster", "q", "t", "node", "vector", "copies", "edges", "role"]
+    here = members.join(united, "node")
+    role = F.when(F.col("home"), BOTH).otherwise(TARGET)
+    own = here.select("cluster", F.col("b").alias("q"), F.col("b").alias("t"), "node", "vector", "copies", "edges", role.alias("role"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1))
+    cut = here.where("g > 1")
+    found = cut.select("*", blocks.alias("q")).where("q != b").select("cluster", "q", F.col("b").alias("t"), "node", "vector", "copies", "edges", F.lit(TARGET).alias("role"))
+    asked = cut.where("home").select("*", blocks.alias("t")).where("t != b").select("cluster", F.col("b").alias("q"), "t", "node", "vector", "copies", nothing.alias("edges"), F.lit(QUERY).alias("role"))
+    # vectors of other clusters that lists lead to; blocks go without, as each would count them
+    whole = members.where("home and g = 1").select("node", "cluster")
+    far = lists.select("node", F.explode("far").alias("other")).join(whole, "node").select("cluster", F.col("other").alias("node")).distinct()
+    halo = far.join(nodes, "node").join(united, "node").select("cluster", F.lit(0).cast("bigint").alias("q"), F.lit(0).cast("bigint").alias("t"), "node", "vector", "copies", "edges", F.lit(TARGET).alias("role"))
+    shards = own.unionByName(found).unionByName(asked).unionByName(halo).select(*columns)
+    return checkpoint(shards.groupBy("cluster", "q", "t").applyInPandas(_searched(least), FOUND))
+
+
+def audited_recall(nodes: DataFrame, found: DataFrame, least: float) -> float:
+    """Mean share of a query's links that are in ``found``, in the worst class of queries by number of links.
+
+    Queries are drawn from all nodes alike, by a hash, until enough have links; each is compared
+    with all nodes in blocks.  Classes of fewer than 5 queries are judged together.
+    """
+    spark, n = nodes.sparkSession, nodes.count()
+    links = found.groupBy("node").agg(F.sum("found").alias("mine"))
+    size = AUDIT_QUERIES
+    while True:
+        chosen = nodes.where(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(max(1, n // size))) == 0).select("node", "vector").orderBy(F.xxhash64("node")).limit(2 * MOST_QUERIES).collect()
+        if not chosen:
+            return 1.0
+        ids = np.array([r["node"] for r in chosen])
+        shipped = spark.sparkContext.broadcast(_normalised([r["vector"] for r in chosen]))  # 2 * MOST_QUERIES vectors at most
+
+        def compared(batches):
+            for pdf in batches:
+                counts = np.zeros(len(ids), dtype=np.int64)
+                for at in range(0, len(pdf), 1000):
+                    part = pdf.iloc[at : at + 1000]
+                    counts += (shipped.value @ _normalised(part["vector"]).T >= least + 1e-12).sum(axis=1)
+                    counts -= np.isin(ids, part["node"].to_numpy())  # itself
+                yield pd.DataFrame({"node": ids, "real": counts})
+
+        truth = nodes.mapInPandas(compared, "node long, real long").groupBy("node").agg(F.sum("real").alias("real")).where("real > 0")
+        rows = truth.join(links, "node", "left").select("real", F.coalesce("mine", F.lit(0)).alias("mine")).collect()  # a row for each query
+        if len(rows) >= LINKED_QUERIES or size >= min(n, MOST_QUERIES):
+            break
+        size *= 4
+    classes: dict[int, list[float]] = {}
+    for r in rows:
+        classes.setdefault(int(np.log10(r["real"])), []).append(min(1.0, r["mine"] / r["real"]))
+    few = [x for c in classes.values() if len(c) < 5 for x in c]
+    means = [float(np.mean(c)) for c in [*(c for c in classes.values() if len(c) >= 5), few] if c]
+    return min(means, default=1.0)
+
+
+def audited_links(nodes: DataFrame, least: float) -> tuple[DataFrame, float]:
+    """FOUND rows and their audited recall, with the clusters' margin doubled while that is below LEAST_RECALL."""
+    margin = MARGIN
+    while True:
+        found = links_within(nodes, least, margin)
+        recall = audited_recall(nodes, found, least)
+        LOG.info("margin %.2f: audited recall %.4f", margin, recall)
+        if recall >= LEAST_RECALL:
+            return found, recall
+        if margin >= 2:
+            raise RuntimeError(f"audited recall {recall:.3f} with every vector in every cluster")
+        margin *= 2
 
 
 def near_duplicate_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
@@ -250,7 +274,7 @@ def near_duplicate_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str
     components link with nothing, vectors of different dimensions neither.  A null id takes part in
     links but names no component (null where a component has none else).  Repeated rows are rows of
     their own; an empty table gives no rows; other columns are not read.  The margin between
-    clusters is doubled until the audited recall is at least LEAST_RECALL.
+    clusters is doubled until the audited recall is at least LEAST_RECALL; the recall is logged.
     """
     rows = checkpoint(table.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("vector"), usable(F.col(vector)).alias("fine")))
     fine = rows.where("fine").select("vec_id", "vector", F.xxhash64("vector").alias("hash"))
@@ -258,12 +282,8 @@ def near_duplicate_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str
     nodes = checkpoint(nodes.withColumn("node", F.xxhash64("hash", "vector")))
     found = rows.sparkSession.createDataFrame([], FOUND)
     for size in [r[0] for r in nodes.select(F.size("vector")).distinct().collect()]:
-        own, margin = nodes.where(F.size("vector") == size).select("node", "vector", "copies"), MARGIN
-        while audited_recall(own, united_links(part := links_within(own, least, margin)), least) < LEAST_RECALL and margin < 2:
-            margin *= 2
-        found = found.union(part)
-    sums = F.aggregate("linked", F.lit(0).cast("bigint"), lambda a, x: a + x["copies"]).alias("beyond")
-    beyond = checkpoint(united_links(found).select("node", sums))
+        found = found.union(audited_links(nodes.where(F.size("vector") == size).select("node", "vector", "copies"), least)[0])
+    beyond = checkpoint(found.groupBy("node").agg(F.sum("copies").alias("beyond")))
     parts = checkpoint(connected_components(found.select("node", "root")))
     named = checkpoint(parts.join(nodes.select("node", "first_id"), "node"))
     least_ids = checkpoint(named.groupBy("component").agg(F.min("first_id").alias("least_id")))
