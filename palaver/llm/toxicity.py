@@ -2,8 +2,9 @@
 
 The lexicon is learned from a bounded sample of labelled documents: a stem enters it if it begins
 words of many toxic and hardly any clean documents, so that inflected forms never seen are met as
-well.  Every distinct word of a text is a Levenshtein automaton (bit-parallel, one edit) that walks
-the trie of stems and of full terms; misspelled terms reach an accepting node.  Around each match a
+well.  Every distinct word of a text is a Levenshtein automaton (bit-parallel, one edit or one swap
+of neighbours) that walks the trie of stems and of full terms; misspelled terms reach an accepting
+node.  A word that several clean texts of the sample use is no misspelling.  Around each match a
 window of words decides whether it stands in quotation or is said; a logistic layer, fitted on the
 same sample, weighs said, misspelled and quoted matches into a score.
 """
@@ -11,10 +12,12 @@ same sample, weighs said, misspelled and quoted matches into a score.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,9 @@ from palaver.llm.subwords import MIX
 #: Labelled documents that the lexicon is learned from, and those that the logistic layer is fitted on.
 SAMPLE_DOCS, LAYER_DOCS = 8000, 3000
 #: A stem has so many characters at least; one edit is allowed from FUZZY characters on.
-SHORTEST, LONGEST, FUZZY = 3, 12, 5
+SHORTEST, FUZZY = 3, 5
+#: Clean texts that make a word near an entry a word of its own.
+USUAL = 3
 #: Toxic documents that a stem needs, however large the sample, and the clean ones allowed for each.
 SUPPORT, CLEAN_PER_TOXIC = 5, 0.03
 WINDOW = 4
@@ -40,22 +45,20 @@ SLICE_BYTES = 3 << 20
 QUOTES = "\"'`«»“”„‘’‚‹›"
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
+#: Parts of a token: runs of letters, digits and signs that may stand for letters, which end in a letter or digit.
+PART = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}@$!]*[\p{L}\p{N}\p{M}])?|[@$!][\p{L}\p{N}\p{M}@$!]*[\p{L}\p{N}\p{M}]")
+#: Letters of scripts that put no space between words: there a match may begin anywhere.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+
 SAID, MISSPELLED, QUOTED = range(3)
 #: The layer before any fit: bias, and the weight of log(1 + matches) of each kind.
 PRIOR = np.array([-3.0, 4.0, 2.0, 1.0])
 
 
-def bare(token: str) -> str:
-    """A token in lower case without what isn't a letter or digit at its ends."""
+def parts_of(token: str) -> list[str]:
+    """The words of a token in lower case: it may hold several, between signs or other white space."""
     token = token.lower()
-    if token.isalnum():
-        return token
-    a, b = 0, len(token)
-    while a < b and not token[a].isalnum():
-        a += 1
-    while b > a and not token[b - 1].isalnum():
-        b -= 1
-    return token[a:b]
+    return [token] if token.isalpha() else PART.findall(token)
 
 
 class Keys:
@@ -82,9 +85,10 @@ class Keys:
 class Trie:
     """Stems (any continuation accepted) and full terms of the lexicon."""
 
-    def __init__(self, stems: list[str], terms: list[str]):
+    def __init__(self, stems: list[str], terms: list[str], usual: frozenset[str] = frozenset()):
         self.root: dict = {}
-        self.digest = hashlib.sha256(repr((sorted(stems), sorted(terms))).encode()).hexdigest()
+        self.usual = usual
+        self.digest = hashlib.sha256(repr((sorted(stems), sorted(terms), sorted(usual))).encode()).hexdigest()
         # the beginnings of entries that one edit can reach, and what is left of them without one character
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         heads = sorted({e[:HEAD] for e in [*stems, *terms] if len(e) >= FUZZY})
@@ -123,9 +127,10 @@ class Trie:
         return near
 
     def within_one(self, word: str) -> bool:
-        """Whether the word's automaton (one edit) accepts a term, or a stem that begins the word.
+        """Whether the word's automaton (one edit or swap) accepts a term, or a stem that begins the word.
 
-        Bit i of a state: the word's first i characters are read; states for no edit and one edit.
+        Bit i of a state: the word's first i characters are read; states for no edit, for one edit,
+        and for a swap of which the first character is read.
         """
         n = len(word)
         if n < 3:
@@ -134,9 +139,9 @@ class Trie:
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         every, final = (1 << (n + 1)) - 1, 1 << n
-        walk = [(self.root, 1, 0b11 & every)]
+        walk = [(self.root, 1, 0b11 & every, 0)]
         while walk:
-            node, none, one = walk.pop()
+            node, none, one, swap = walk.pop()
             if (none | one) & final and node.get("term", 0) >= FUZZY or node.get("stem", 0) > FUZZY:
                 return True
             for c, child in node.items():
@@ -145,27 +150,40 @@ class Trie:
                 mask = masks.get(c, 0)
                 now = (none & mask) << 1
                 # the same character read; then substituted, missing from the word, or one too many in it
-                edited = ((one & mask) << 1 | none << 1 | none | now << 1) & every
+                edited = ((one & mask) << 1 | none << 1 | none | now << 1 | (swap & mask) << 2) & every
                 if now or edited:
-                    walk.append((child, now, edited))
+                    walk.append((child, now, edited, none & mask >> 1))
         return False
 
-    def verdicts(self, tokens: list[str]) -> list[int]:
-        """For each token 0 for no match, 1 exact, 2 misspelled."""
-        words = [bare(t) for t in tokens]
+    def begins_within(self, word: str) -> bool:
+        """Whether an entry begins anywhere in a word of a script without spaces."""
+        return any(self.exact(word[i:]) for i in range(len(word) - 1))
+
+    def words_verdicts(self, words: list[str]) -> list[int]:
+        """For each word 0 for no match, 1 exact, 2 misspelled."""
+        bares = [w.lstrip("@$!") for w in words]
         plains = [w if w.isalpha() else w.translate(LEET) for w in words]
         out = []
-        for word, plain, near in zip(words, plains, self.may_be_near(plains).tolist(), strict=True):
+        for word, bare, plain, near in zip(words, bares, plains, self.may_be_near(plains).tolist(), strict=True):
             if len(word) < SHORTEST:
                 out.append(0)
-            elif self.exact(word):
+            elif self.exact(bare):
                 out.append(1)
             elif plain != word and self.exact(plain):
                 out.append(2)
+            elif UNSPACED.search(word):
+                out.append(int(self.begins_within(word)))
             else:
-                out.append(2 if near and len(plain) >= FUZZY - 1 and self.within_one(plain) else 0)
+                out.append(2 if near and len(plain) >= FUZZY - 1 and plain not in self.usual and self.within_one(plain) else 0)
         return out
 
+    def verdicts(self, tokens: list[str]) -> list[int]:
+        """For each token 0 for no match, 1 if a word of it is an exact one, 2 if one is misspelled."""
+        parts = [parts_of(t) for t in tokens]
+        words = list({w for p in parts for w in p})
+        known = dict(zip(words, self.words_verdicts(words), strict=True))
+        return [min((v for w in p if (v := known[w])), default=0) for p in parts]
+
     def verdict(self, token: str) -> int:
         return self.verdicts([token])[0]
 
@@ -178,11 +196,11 @@ def term_counts(texts: DataFrame, wanted: set[tuple[str, bool]] | None = None) -
         only, counts = shipped.value, {}
         for rows in text_slices(batches, 0):
             codes, before, tokens = word_table(rows.column(0), " \n")
-            words = [bare(t) for t in tokens]
+            words = [parts_of(t) for t in tokens]
             for d in range(rows.num_rows):
-                own = {w for c in np.unique(codes[before[d] : before[d + 1]]) if len(w := words[c]) >= SHORTEST}
+                own = {w for c in np.unique(codes[before[d] : before[d + 1]]) for w in words[c] if len(w) >= SHORTEST}
                 terms = {(w, True) for w in own}
-                terms.update((w[:k], False) for w in own for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+                terms.update((w[:k], False) for w in own for k in range(SHORTEST, len(w) + 1))
                 for t in terms if only is None else terms & only:
                     counts[t] = counts.get(t, 0) + 1
             if len(counts) > 100_000:
@@ -219,7 +237,27 @@ def learn_lexicon(sample: DataFrame) -> Trie:
             term = max(longer, key=lambda t: (begun[t], t))
         stems.append(term)
     covered = set(stems)
-    return Trie(stems, [t for t, whole in pure if whole and (t in covered or not any(t[:k] in covered for k in range(SHORTEST, len(t))))])
+    # whole words of which a stem is the beginning are kept where misspellings of them are looked for
+    terms = [t for t, whole in pure if whole and (len(t) >= FUZZY or t in covered or not any(t[:k] in covered for k in range(SHORTEST, len(t))))]
+    return Trie(stems, terms, usual_words(sample.where("label IS DISTINCT FROM 1"), Trie(stems, terms)))
+
+
+def usual_words(clean: DataFrame, trie: Trie) -> frozenset[str]:
+    """Words near an entry that at least USUAL clean texts use."""
+    shipped = clean.sparkSession.sparkContext.broadcast(trie)  # terms of a bounded sample
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, 0):
+            codes, before, tokens = word_table(rows.column(0), " \n")
+            parts = [parts_of(t) for t in tokens]
+            words = list({w for p in parts for w in p})
+            close = {w for w, v in zip(words, shipped.value.words_verdicts(words), strict=True) if v == 2 and w.isalpha()}
+            mine = [[w for w in p if w in close] for p in parts]
+            found = [w for d in range(rows.num_rows) for w in {w for c in np.unique(codes[before[d] : before[d + 1]]) for w in mine[c]}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+
+    counts = clean.select("text").mapInArrow(near, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return frozenset(r["word"] for r in counts.where(F.col("n") >= USUAL).collect())  # words of a bounded sample
 
 
 def matches(texts: pa.Array, trie: Trie) -> np.ndarray:

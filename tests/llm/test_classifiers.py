@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -64,23 +65,18 @@ def test_viterbi_against_all_paths():
         assert value(labels[a : a + n]) == pytest.approx(max(value(p) for p in product(range(3), repeat=n)), abs=1e-4)
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = _next(row, i, x, b)
-    return row
-
-
-def _next(row, i, x, b):
-    new = [i]
-    for j, y in enumerate(b, 1):
-        new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-    return new
+def distances(a, b):
+    """Edits (with swaps of neighbours) from a to each beginning of b, by the full table."""
+    d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[len(a)]
 
 
 def test_automaton_against_edit_distance():
-    import random
-
     rng = random.Random(8)
     terms, stems = ["idiot", "clown", "moronic"], ["lowei", "lostra"]
     trie = Trie(stems, terms)
@@ -91,7 +87,7 @@ def test_automaton_against_edit_distance():
             word = word[:i] + rng.choice(["", "x", "e"]) + word[i + rng.randint(0, 1) :]
         if len(word) < 3:
             continue
-        near = any(distance(t, word)[-1] <= 1 for t in terms) or any(min(distance(s, word)) <= 1 for s in stems if len(s) > toxicity.FUZZY)
+        near = any(distances(t, word)[-1] <= 1 for t in terms) or any(min(distances(s, word)) <= 1 for s in stems if len(s) > toxicity.FUZZY)
         near_stem = near or any(word.startswith(s) for s in stems)
         assert trie.within_one(word) == near, word
         assert trie.exact(word) == (word in terms or any(word.startswith(s) for s in stems)), word
@@ -151,3 +147,32 @@ def test_rare_terms_are_learned_from_samples_of_any_size(spark):
     sample = spark.createDataFrame([(i, t, int(i < len(bad))) for i, t in enumerate(bad + clean)], "doc_id long, text string, label int")
     trie = toxicity.learn_lexicon(sample)
     assert [trie.verdict(w) for w in ("blackguard", "blackgard", "idiot", "friend", "number")] == [1, 2, 1, 0, 0]
+
+
+def test_terms_between_signs_and_swapped_letters(spark):
+    bad = [f"number {i} is such an idiot" for i in range(40)] + [f"number {i} sees idiotic things" for i in range(40)]
+    clean = [f"number {i} is a real friend of the idiom" for i in range(300)]
+    sample = spark.createDataFrame([(i, t, int(i < len(bad))) for i, t in enumerate(bad + clean)], "doc_id long, text string, label int")
+    trie = toxicity.learn_lexicon(sample)
+    met = ["you\tidiot", "you/idiot", "you-idiot", "well,idiot", "an\u00a0idiot", "(idiot)", "idiot's", "_idiot_"]
+    assert [trie.verdict(w) for w in met] == [1] * len(met)
+    near = ["idoit", "you/idoit", "1diot", "idi0t", "idiiot", "idot", "iditoic", "idiootic", "id!ot", "!diot"]
+    assert [trie.verdict(w) for w in near] == [2] * len(near)
+    # a word that clean texts use is no misspelling, near as it is
+    assert "idiom" in trie.usual and [trie.verdict(w) for w in ("idiom", "friend", "you", "", "!!", "d")] == [0] * 6
+    thai = toxicity.Trie(["คนโง่"], [])
+    assert thai.verdict("เขาเป็นคนโง่มาก") == 1 and thai.verdict("เขาเป็นคนดีมาก") == 0
+
+
+def test_swaps_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        term = "".join(rng.choice("abc") for _ in range(rng.randint(5, 10)))
+        word = list(term)
+        i = rng.randrange(len(term) - 1)
+        word[i], word[i + 1] = word[i + 1], word[i]
+        trie = toxicity.Trie([], [term])
+        assert trie.within_one("".join(word)) and trie.may_be_near(["".join(word)])[0]
+        far = "".join(rng.choice("abc") for _ in range(len(term)))
+        wanted = distances(term, far)[-1] <= 1
+        assert trie.within_one(far) == wanted
