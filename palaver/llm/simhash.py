@@ -1,4 +1,8 @@
-"""SimHash near-duplicates over a byte-position inverted index with count filtering."""
+"""SimHash near-duplicates over a byte-position inverted index with count filtering.
+
+The first part finds all fingerprints within a few bits; the second groups texts of a given
+similarity by longer fingerprints.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import checkpoint, text_slices, with_text
-from palaver.llm.graph import connected_components
+from palaver.llm.graph import connected_components, forest
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -177,19 +181,146 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return rows.join(groups, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """One row of ``docs`` for each group of near_duplicate_groups(): that of the smallest doc_id.
+# ---- groups of a given similarity --------------------------------------------------------------
+#
+# At a similarity of 0.8 about 15 % of the bits differ, more than one in each byte: no number of
+# shared bytes is guaranteed then.  Fingerprints are therefore eight times as long.  Pairs are
+# candidates under random blocks of their bytes, as many as make a pair at that similarity meet with
+# the probability MEET; half of the bits go with each posting and verify it.
+
+WORDS_OF_FP, VERIFIED, MEET = 8, 4, 0.98
+#: Fingerprints under one key that are compared at once; more are dealt to pairs of parts.
+MOST_UNDER_KEY = 4096
+#: Postings that a task compares at once.
+CHUNK = 200_000
+FACTORS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS_OF_FP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(hashes: list[int]) -> list[int]:
+    """A fingerprint of 512 bits in eight numbers, from as many mixtures of each hash."""
+    bits, n = np.zeros(64 * WORDS_OF_FP, dtype=np.int64), len(hashes)
+    for at in range(0, n, 1 << 14):
+        part = np.array(hashes[at : at + (1 << 14)], dtype=np.uint64)[:, None] * FACTORS
+        part ^= part >> np.uint64(32)
+        part *= FACTORS[::-1]
+        bits += np.unpackbits((part ^ part >> np.uint64(29)).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > n, bitorder="little").view("<i8").tolist()
+
+
+def share_of_bits(similarity: float) -> float:
+    """The expected share of differing bits at a Jaccard similarity of two sets of like size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def most_bits(similarity: float) -> int:
+    """Of the verified bits the number that is expected to differ, and one standard deviation."""
+    p, n = share_of_bits(similarity), 64 * VERIFIED
+    return int(p * n + np.sqrt(n * p * (1 - p)))
+
+
+def random_blocks(rows: int, similarity: float) -> list[tuple[int, ...]]:
+    """Blocks of so many bytes that a key has about 256 other fingerprints at most, enough of them to meet at ``similarity``."""
+    size = 2
+    while 256 ** (size + 1) < rows:
+        size += 1
+    same = (1 - share_of_bits(similarity)) ** (8 * size)
+    rng = np.random.default_rng(64)
+    blocks: dict[tuple[int, ...], None] = {}
+    while len(blocks) < np.log(1 - MEET) / np.log(1 - same):
+        blocks[tuple(sorted(int(x) for x in rng.choice(8 * WORDS_OF_FP, size, replace=False)))] = None
+    return list(blocks)
+
+
+def _near_forest(most: int):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = [table.column(k).to_numpy() for k in range(3)]
+                whole = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
+                cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on
+                yield compared(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        node, fps = table.column(3).to_numpy(), np.stack([table.column(4 + k).to_numpy().view(np.uint64) for k in range(VERIFIED)], axis=1)
+        new = np.ones(len(node), dtype=bool)
+        if len(node):
+            new[1:] = np.any([(g := table.column(k).to_numpy())[1:] != g[:-1] for k in range(3)], axis=0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(node)))
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(node))  # rows of the group from here on
+        found, step, first = [], 1, np.arange(len(node))
+        while len(first := first[left[first] > step]):
+            far = np.bitwise_count(fps[first] ^ fps[first + step]).sum(axis=1)
+            near = first[far <= most]
+            found.append((node[near], node[near + step]))
+            step += 1
+        u, v = forest(*(np.concatenate([f[k] for f in found]) for k in range(2))) if found else (node[:0], node[:0])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return links
 
-    Of rows that share that id and fingerprint one stays.
+
+def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) with the components of all candidate pairs whose fingerprints differ in most_bits() at most.
+
+    ``fps``: node long and w0 to w7, all different.  Each task compares the fingerprints of a key
+    and returns a forest of those in range, never their pairs.
+    """
+    names, shown = [f"w{k}" for k in range(WORDS_OF_FP)], [f"w{k}" for k in range(VERIFIED)]
+    keys = []
+    for number, block in enumerate(random_blocks(fps.count(), similarity)):
+        key = F.lit(number).cast("bigint")
+        for p in block:
+            key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(F.col(names[p // 8]), 8 * (p % 8)).bitwiseAND(F.lit(255)))
+        keys.append(key)
+    postings = fps.select("node", *shown, F.explode(F.array(*keys)).alias("key"))
+    # a frequent key's fingerprints are dealt to parts, and every two parts meet
+    half = MOST_UNDER_KEY // 2
+    hot = checkpoint(fps.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_UNDER_KEY))
+    hot = hot.select("key", F.ceil(F.col("n") / half).alias("g"))
+    dealt = postings.join(hot, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")))
+    others = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1))
+    dealt = dealt.select("*", F.explode(others).alias("o")).where("g IS NULL OR b != o")
+    x, y = (F.coalesce(f("b", "o"), F.lit(0)).alias(n) for f, n in ((F.least, "x"), (F.greatest, "y")))
+    dealt = dealt.select("key", x, y, "node", *shown).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.mapInArrow(_near_forest(most_bits(similarity)), "u long, v long")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: that of the smallest doc_id.
+
+    Near copies are texts whose sets of shingles of ``words`` words have a Jaccard similarity of
+    about ``similarity`` or more, judged by wide fingerprints; groups are the components of such
+    links.  Null texts count as empty, texts of any length are read whole; rows without a doc_id
+    come after the others of their group; of rows that share id and text one stays; an empty table
+    gives no rows; all columns are kept, whatever their names.
     """
-    hashed = fingerprints(docs, text, words)
-    rows = checkpoint(hashed.select(F.col("doc").getField(doc_id).cast("bigint").alias("doc_id"), "fp"))
-    groups = fingerprint_groups(rows)
-    kept = groups.where("fp = kept_fp").select(F.col("fp").alias("kept_fp"), "component_id")
-    own = F.col("doc").getField(doc_id)
-    # an id is part of the key, so the copies of one text don't meet in a task
-    out = hashed.join(kept, (F.col("fp") == F.col("kept_fp")) & own.eqNullSafe(F.col("component_id")))
-    repeated = rows.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    names = [f"w{k}" for k in range(WORDS_OF_FP)]
+    slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, 2):
+            fps = np.array([wide_fingerprint(shingle_hashes(t or "", words)) for t in rows.column(2).to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(fps[:, k]) for k in range(WORDS_OF_FP))], names=["doc_id", "body", *names])
+
+    rows = checkpoint(slim.mapInArrow(hashed, "doc_id long, body long, " + ", ".join(f"{n} long" for n in names)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("first")
+    own = checkpoint(rows.groupBy(*names).agg(first).withColumn("node", F.monotonically_increasing_id()))
+    parts = checkpoint(connected_components(similar_links(own.select("node", *names), similarity)))
+    kept = own.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    kept = kept.select("first.none", F.coalesce("first.doc_id", F.lit(0)).alias("id"), "first.body")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    mine = F.col("doc").getField(doc_id).cast("bigint")
+    whole = whole.select("doc", mine.isNull().alias("none"), F.coalesce(mine, F.lit(0)).alias("id"), F.xxhash64(F.col("doc").getField(text)).alias("body"))
+    key = ["none", "id", "body"]
+    out = whole.join(kept, key, "left_semi")
+    repeated = rows.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        out = out.withColumn("own", own).dropDuplicates(["fp", "own"])
+        out = out.dropDuplicates(key)
     return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

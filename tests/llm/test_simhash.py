@@ -7,7 +7,7 @@ import xxhash
 
 from palaver.llm.graph import connected_components, forest
 from palaver.llm.queries import op1_simhash
-from palaver.llm.simhash import covering_blocks, hub_links, near_duplicate_groups, near_links
+from palaver.llm.simhash import VERIFIED, covering_blocks, deduplicated, hub_links, most_bits, near_duplicate_groups, near_links, random_blocks, shingle_hashes, wide_fingerprint
 
 WHITE = " \t\n\r\x0b\x0c"
 
@@ -104,3 +104,73 @@ def test_components_of_long_chains_stars_and_none(spark):
     want = dict(zip(nodes.tolist(), roots.tolist(), strict=True))
     assert {k: v for k, v in got.items() if k != v} == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def jaccard(a, b):
+    a, b = set(shingle_hashes(a, 5)), set(shingle_hashes(b, 5))
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, share):
+    return " ".join(rng.choice(("new", "other", "odd")) + str(rng.randrange(10**6)) if rng.random() < share else w for w in words)
+
+
+def kept_by_all_pairs(rows, most):
+    """Of (id, text) those that stay: wide fingerprints of all pairs, components, the least id."""
+    fps = np.array([np.array(wide_fingerprint(shingle_hashes(t or "", 5))[:VERIFIED], dtype=np.int64).view(np.uint64) for _, t in rows])
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= most:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    return {min(d for (d, _), x in zip(rows, label, strict=True) if x == c) for c in set(label)}
+
+
+def test_near_copies_of_a_similarity_of_four_fifths(spark):
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for i in range(0, 600, 2):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(80, 400))]
+        other = edited(rng, words, rng.choice([0.005, 0.01, 0.02, 0.03, 0.3]))
+        rows += [(i, " ".join(words)), (i + 1, other)]
+        pairs.append((i + 1, jaccard(" ".join(words), other)))
+    kept = {r["doc_id"] for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in range(0, 600, 2)} <= kept  # different texts stay
+    near, nearer, far = ([i not in kept for i, s in pairs if a <= s < b] for a, b in ((0.8, 0.9), (0.9, 1.01), (0, 0.6)))
+    assert min(len(near), len(nearer), len(far)) > 30
+    assert np.mean(near) >= 0.85 and np.mean(nearer) >= 0.97 and np.mean(far) <= 0.02
+    want = kept_by_all_pairs(rows, most_bits(0.8))
+    assert len(kept ^ want) <= 0.02 * len(rows)
+
+
+def test_one_of_a_large_group_stays_whatever_the_keys_hold(spark, monkeypatch):
+    from palaver.llm import simhash
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(i, edited(rng, words, 0.004)) for i in range(10, 400)] + [(i, "other " + " ".join(f"x{rng.randrange(5000)}" for _ in range(60))) for i in range(400, 420)]
+    want = {10, *range(400, 420)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in deduplicated(frame).collect()} == want
+    monkeypatch.setattr(simhash, "MOST_UNDER_KEY", 20)
+    assert {r["doc_id"] for r in deduplicated(frame).collect()} == want
+
+
+def test_blocks_meet_as_often_as_they_should():
+    rng = np.random.default_rng(3)
+    for rows in (1000, 1 << 26):
+        differs = rng.random((4000, 64, 8)) < 0.1515
+        same = ~differs.any(axis=2)
+        met = np.any([same[:, list(b)].all(axis=1) for b in random_blocks(rows, 0.8)], axis=0)
+        assert met.mean() >= 0.93
+
+
+def test_deduplication_of_odd_rows(spark):
+    text = "a quick brown fox jumps over the lazy dog"
+    rows = [(7, text), (3, text.upper()), (3, text), (3, text), (9, None), (5, ""), (None, text), (11, "three words only"), (12, "w " * 60_000), (None, "alone without an id here")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, body int, w0 int")
+    got = deduplicated(docs).collect()
+    assert [list(r.asDict()) for r in got] == [["doc_id", "text", "body", "w0"]] * len(got)
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted([3, 5, 11, 12, None], key=str)
+    assert deduplicated(docs.limit(0)).count() == 0
