@@ -129,20 +129,21 @@ def divided(members: DataFrame, margin: float) -> DataFrame:
         members = checkpoint(split.applyInPandas(assigned, f"node long, vector {kind}, copies long, cluster long, home boolean"))
 
 
-def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The shard's graph as lists of nodes; ``far``: neighbours that are not in the node's home cluster."""
-    ids, homes = pdf["node"].to_numpy(), pdf["at_home"].to_numpy()
-    flat, ends = flatgraph.build(_normalised(pdf["vector"]))
-    everywhere = [set(x) for x in pdf["clusters"]]
-    own = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
-    # within one cluster whose members are all at home nothing is far
-    far = np.array([homes[i] not in everywhere[j] for i, j in zip(own.tolist(), flat.tolist(), strict=True)], dtype=bool) if len(flat) else np.zeros(0, dtype=bool)
-    cuts = ends[:-1]
-    return pd.DataFrame({
-        "node": ids,
-        "edges": [x.tolist() for x in np.split(ids[flat], cuts)],
-        "far": [x[y].tolist() for x, y in zip(np.split(ids[flat], cuts), np.split(far, cuts), strict=True)],
-    })
+def _graph(least: float):
+    """Of a shard its graph as lists of nodes; ``far``: neighbours about in range that are not in the node's home cluster."""
+
+    def graph(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, homes, everywhere = pdf["node"].to_numpy(), pdf["at_home"].to_numpy(), pdf["clusters"].tolist()
+        vectors = _normalised(pdf["vector"])
+        flat, ends = flatgraph.build(vectors)
+        own = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+        near = np.flatnonzero(flatgraph.cosines(vectors, own, vectors, flat) >= least - flatgraph.SLACK)
+        away = near[[homes[i] not in everywhere[j] for i, j in zip(own[near], flat[near], strict=True)]] if len(near) else near
+        lists = np.split(ids[flat], ends[:-1])
+        far = np.split(ids[flat[away]], np.searchsorted(own[away], np.arange(1, len(ids))))
+        return pd.DataFrame({"node": ids, "edges": [x.tolist() for x in lists], "far": [x.tolist() for x in far]})
+
+    return graph
 
 
 def _searched(least: float):
@@ -195,7 +196,7 @@ def links_within(nodes: DataFrame, least: float, margin: float) -> DataFrame:
     sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(MOST_MEMBERS)).alias("g"))
     members = members.join(sizes, "cluster").join(where, "node").withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")))
     members = checkpoint(members)
-    lists = checkpoint(members.groupBy("cluster", "b").applyInPandas(_graph, "node long, edges array<bigint>, far array<bigint>"))
+    lists = checkpoint(members.groupBy("cluster", "b").applyInPandas(_graph(least), "node long, edges array<bigint>, far array<bigint>"))
     united = checkpoint(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges")))
     nothing = F.lit(None).cast("array<bigint>")
     columns = ["cluster", "q", "t", "node", "vector", "copies", "edges", "role"]

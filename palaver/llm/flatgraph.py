@@ -17,6 +17,8 @@ from palaver.llm.common import ranges
 DEGREE, CANDIDATES, STRICT, LENIENT = 20, 20, 1.2, 0.8
 #: Edges of a place that a greedy walk looks at, and the first places of a walk that are candidates for edges.
 WIDTH, WALKED = 40, 16
+#: Places below the range by so much are expanded as well.
+SLACK = 0.02
 #: Places that a greedy search keeps.
 BEAM = 32
 #: Queries that are searched, and found places that are expanded, at once.
@@ -176,7 +178,7 @@ def in_range(queries: np.ndarray, graph: tuple[np.ndarray, np.ndarray], vectors:
     A greedy search from the medoid leads to the query's surroundings; from then on everything
     found in range (with a little slack) is expanded until no new place in range is met.
     """
-    entry, slack, n = medoid(vectors), least - 0.02, len(vectors)
+    entry, slack, n = medoid(vectors), least - SLACK, len(vectors)
     flat, ends = graph
     edges = padded(flat, ends)
     begins, counts = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
