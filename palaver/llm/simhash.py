@@ -6,6 +6,7 @@ similarity by longer fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +60,10 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFra
 # one byte.  Single bytes make posting lists of a 256th of the corpus each, so the index is keyed by
 # byte triples: the blocks below are chosen such that any 4 shared positions hold one whole block.
 POSITIONS, DISTANCE, BLOCK = 8, 4, 3
-#: Fingerprints under one key beyond which their pairs aren't formed; see hub_links().
-HOT_KEY = 1000
+#: Fingerprints under one key that are compared at once; more are dealt to pairs of parts.
+MOST_UNDER_KEY = 4096
+#: Postings that a task compares at once.
+CHUNK = 200_000
 
 
 def covering_blocks(points: int = POSITIONS, guaranteed: int = POSITIONS - DISTANCE, size: int = BLOCK) -> list[tuple[int, ...]]:
@@ -97,70 +100,80 @@ def index_keys(fps: DataFrame, blocks: list[tuple[int, ...]]) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def shared_bytes(a: str, b: str):
-    """The tally of a pair: positions at which both have the same byte."""
-    tally = F.lit(0)
-    for p in range(POSITIONS):
-        tally = tally + (byte_at(a, p) == byte_at(b, p)).cast("int")
-    return tally
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally of each pair: positions at which both have the same byte."""
+    return ((a ^ b).view(np.uint8).reshape(len(a), -1) == 0).sum(axis=1)
 
 
-def near_links(fps: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """Links (u, v) between distinct fingerprints: their components are those of Hamming distance <= 4.
+def compared(postings: DataFrame, words: int, most: int, least_shared: int) -> DataFrame:
+    """Links (u, v) between the nodes of each key: a forest of those with enough shared bytes and at most ``most`` differing bits.
 
-    Candidates come from the index; the join keeps a pair under its first common block only, with a
-    tally of at least 4 shared bytes, verified bit by bit.  Keys of more than ``hot_key``
-    fingerprints form no pairs: all their fingerprints go through hub_links().
+    ``postings``: key, node long, and fingerprints in w0, w1, ...; the forest has the components of
+    all such pairs, and no pair leaves a task.  The nodes of a frequent key are dealt to parts, and
+    every two parts meet in a task of their own.
     """
-    blocks = covering_blocks()
-    postings = checkpoint(index_keys(fps, blocks))
-    hot = checkpoint(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_key).select("key"))
-    any_hot = not hot.isEmpty()
-    usual = postings.join(hot, "key", "left_anti") if any_hot else postings
-    left, right = usual.select("key", F.col("fp").alias("u")), usual.select("key", F.col("fp").alias("v"))
-    number = F.shiftright("key", 8 * BLOCK)
-    first = F.lit(len(blocks))
-    for n in range(len(blocks) - 1, -1, -1):
-        same = F.lit(True)
-        for p in blocks[n]:
-            same = same & (byte_at("u", p) == byte_at("v", p))
-        first = F.when(same, F.lit(n)).otherwise(first)
-    near = (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE) & (shared_bytes("u", "v") >= POSITIONS - DISTANCE)
-    once = F.lit(True) if any_hot else first == number
-    links = left.join(right.withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & (F.col("u") < F.col("v")) & near & once).select("u", "v")
-    if any_hot:
-        links = links.union(hub_links(postings.join(hot, "key", "left_semi").select("fp").distinct()))
-    return links
+    names, half = [f"w{k}" for k in range(words)], MOST_UNDER_KEY // 2
+    hot = checkpoint(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_UNDER_KEY))
+    hot = hot.select("key", F.ceil(F.col("n") / half).alias("g"))
+    dealt = postings.join(hot, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")))
+    others = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1))
+    dealt = dealt.select("*", F.explode(others).alias("o")).where("g IS NULL OR b != o")
+    x, y = (F.coalesce(f("b", "o"), F.lit(0)).alias(n) for f, n in ((F.least, "x"), (F.greatest, "y")))
+    dealt = dealt.select("key", x, y, "node", *names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return dealt.mapInArrow(_near_forest(words, most, least_shared), "u long, v long")
 
 
-def hub_links(fps: DataFrame) -> DataFrame:
-    """Links with the same components as all pairs at distance <= 4, without forming pairs.
+def _near_forest(words: int, most: int, least_shared: int):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = [table.column(k).to_numpy() for k in range(3)]
+                whole = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
+                cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on
+                yield found(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held))
 
-    Every fingerprint names all values at distance <= 2 from it.  Two that name one value are at
-    distance <= 4, and two at distance <= 4 name a common value (halfway); so linking each to the
-    least fingerprint of each value it names gives the components, in 2,081 rows a fingerprint.
-    """
-    one = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
-    two = (one[:, None] | one[None, :])[np.triu_indices(64, 1)]
-    masks = np.concatenate([[np.uint64(0)], one, two])
+    def found(table: pa.Table) -> pa.RecordBatch:
+        node, fps = table.column(3).to_numpy(), np.stack([table.column(4 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
+        new = np.ones(len(node), dtype=bool)
+        if len(node):
+            new[1:] = np.any([(g := table.column(k).to_numpy())[1:] != g[:-1] for k in range(3)], axis=0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(node)))
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(node))  # rows of the group from here on
+        pairs, step, first = [(node[:0], node[:0])], 1, np.arange(len(node))
+        while len(first := first[left[first] > step]):
+            near = first
+            if least_shared:
+                near = near[shared_bytes(fps[near], fps[near + step]) >= least_shared]
+            near = near[np.bitwise_count(fps[near] ^ fps[near + step]).sum(axis=1) <= most]
+            pairs.append((node[near], node[near + step]))
+            step += 1
+        u, v = forest(*(np.concatenate([p[k] for p in pairs]) for k in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(own), 100):
-                part = own[at : at + 100]
-                values = (part[:, None] ^ masks).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.view(np.int64), len(masks))), pa.array(values)], names=["fp", "value"])
+    return links
+
+
+def near_links(fps: DataFrame) -> DataFrame:
+    """Links (u, v) between distinct fingerprints: their components are those of Hamming distance <= 4.
 
-    names = fps.mapInArrow(named, "fp long, value long")
-    least = checkpoint(names.groupBy("value").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least != most").select("value", "least"))
-    return names.join(least, "value").where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+    Candidates share a key of the index; their shared bytes are tallied, and pairs with the
+    guaranteed 4 are verified bit by bit.
+    """
+    postings = index_keys(fps, covering_blocks()).select("key", F.col("fp").alias("node"), F.col("fp").alias("w0"))
+    return compared(postings, 1, DISTANCE, POSITIONS - DISTANCE)
 
 
-def fingerprint_groups(rows: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+def fingerprint_groups(rows: DataFrame) -> DataFrame:
     """(fp, first_id, component_id) for each fingerprint of rows (doc_id, fp)."""
     own = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = checkpoint(connected_components(near_links(own.select("fp"), hot_key)).withColumnRenamed("node", "fp"))
+    parts = checkpoint(connected_components(near_links(own.select("fp"))).withColumnRenamed("node", "fp"))
     linked = parts.join(own, "fp")
     least = checkpoint(linked.groupBy("component").agg(F.min("first_id").alias("least_id"), F.min_by("fp", F.coalesce("first_id", F.lit((1 << 63) - 1))).alias("least_fp")))
     named = checkpoint(parts.join(least, "component").select("fp", "least_id", "least_fp"))
@@ -168,7 +181,7 @@ def fingerprint_groups(rows: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     return checkpoint(joined.select("fp", "first_id", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("least_fp", "fp").alias("kept_fp")))
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, hot_key: int = HOT_KEY) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id: the smallest doc_id reachable by links.
 
     Rows of one fingerprint are linked with each other, so copies of any number are one node.
@@ -177,7 +190,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     rows stay; an empty table gives no rows; other columns are not read.
     """
     rows = checkpoint(fingerprints(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "text", words).select("doc.doc_id", "fp"))
-    groups = fingerprint_groups(rows, hot_key)
+    groups = fingerprint_groups(rows)
     return rows.join(groups, "fp").select(F.col("doc_id").alias(doc_id), "fp", "component_id")
 
 
@@ -188,11 +201,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 # candidates under random blocks of their bytes, as many as make a pair at that similarity meet with
 # the probability MEET; half of the bits go with each posting and verify it.
 
-WORDS_OF_FP, VERIFIED, MEET = 8, 4, 0.98
-#: Fingerprints under one key that are compared at once; more are dealt to pairs of parts.
-MOST_UNDER_KEY = 4096
-#: Postings that a task compares at once.
-CHUNK = 200_000
+WORDS_OF_FP, VERIFIED, MEET = 8, 4, 0.95
 FACTORS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS_OF_FP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -218,59 +227,31 @@ def most_bits(similarity: float) -> int:
     return int(p * n + np.sqrt(n * p * (1 - p)))
 
 
+def meeting(blocks: int, size: int, similarity: float) -> float:
+    """The probability that two texts of a similarity agree in one of so many blocks: over the numbers of bytes that they share."""
+    points, same = 8 * WORDS_OF_FP, (1 - share_of_bits(similarity)) ** 8
+    shared = np.arange(points + 1)
+    weight = np.array([math.comb(points, int(k)) * same**k * (1 - same) ** (points - k) for k in shared])
+    inside = np.array([math.comb(int(k), size) / math.comb(points, size) for k in shared])
+    return float((weight * (1 - (1 - inside) ** blocks)).sum())
+
+
 def random_blocks(rows: int, similarity: float) -> list[tuple[int, ...]]:
     """Blocks of so many bytes that a key has about 256 other fingerprints at most, enough of them to meet at ``similarity``."""
     size = 2
     while 256 ** (size + 1) < rows:
         size += 1
-    same = (1 - share_of_bits(similarity)) ** (8 * size)
-    rng = np.random.default_rng(64)
+    rng, points = np.random.default_rng(64), 8 * WORDS_OF_FP
     blocks: dict[tuple[int, ...], None] = {}
-    while len(blocks) < np.log(1 - MEET) / np.log(1 - same):
-        blocks[tuple(sorted(int(x) for x in rng.choice(8 * WORDS_OF_FP, size, replace=False)))] = None
+    while not blocks or meeting(len(blocks), size, similarity) < MEET:
+        blocks[tuple(sorted(int(x) for x in rng.choice(points, size, replace=False)))] = None
     return list(blocks)
 
 
-def _near_forest(most: int):
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CHUNK:
-                table = pa.Table.from_batches(held).combine_chunks()
-                group = [table.column(k).to_numpy() for k in range(3)]
-                whole = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
-                cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on
-                yield compared(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield compared(pa.Table.from_batches(held))
-
-    def compared(table: pa.Table) -> pa.RecordBatch:
-        node, fps = table.column(3).to_numpy(), np.stack([table.column(4 + k).to_numpy().view(np.uint64) for k in range(VERIFIED)], axis=1)
-        new = np.ones(len(node), dtype=bool)
-        if len(node):
-            new[1:] = np.any([(g := table.column(k).to_numpy())[1:] != g[:-1] for k in range(3)], axis=0)
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(node)))
-        left = np.repeat(starts + sizes, sizes) - np.arange(len(node))  # rows of the group from here on
-        found, step, first = [], 1, np.arange(len(node))
-        while len(first := first[left[first] > step]):
-            far = np.bitwise_count(fps[first] ^ fps[first + step]).sum(axis=1)
-            near = first[far <= most]
-            found.append((node[near], node[near + step]))
-            step += 1
-        u, v = forest(*(np.concatenate([f[k] for f in found]) for k in range(2))) if found else (node[:0], node[:0])
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return links
-
-
 def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) with the components of all candidate pairs whose fingerprints differ in most_bits() at most.
 
-    ``fps``: node long and w0 to w7, all different.  Each task compares the fingerprints of a key
-    and returns a forest of those in range, never their pairs.
+    ``fps``: node long and w0 to w7, all different.
     """
     names, shown = [f"w{k}" for k in range(WORDS_OF_FP)], [f"w{k}" for k in range(VERIFIED)]
     keys = []
@@ -280,16 +261,7 @@ def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
             key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(F.col(names[p // 8]), 8 * (p % 8)).bitwiseAND(F.lit(255)))
         keys.append(key)
     postings = fps.select("node", *shown, F.explode(F.array(*keys)).alias("key"))
-    # a frequent key's fingerprints are dealt to parts, and every two parts meet
-    half = MOST_UNDER_KEY // 2
-    hot = checkpoint(fps.select(F.explode(F.array(*keys)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_UNDER_KEY))
-    hot = hot.select("key", F.ceil(F.col("n") / half).alias("g"))
-    dealt = postings.join(hot, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")))
-    others = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1))
-    dealt = dealt.select("*", F.explode(others).alias("o")).where("g IS NULL OR b != o")
-    x, y = (F.coalesce(f("b", "o"), F.lit(0)).alias(n) for f, n in ((F.least, "x"), (F.greatest, "y")))
-    dealt = dealt.select("key", x, y, "node", *shown).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(_near_forest(most_bits(similarity)), "u long, v long")
+    return compared(postings, VERIFIED, most_bits(similarity), 0)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

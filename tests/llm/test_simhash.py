@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from palaver.llm import simhash
 from palaver.llm.graph import connected_components, forest
 from palaver.llm.queries import op1_simhash
-from palaver.llm.simhash import VERIFIED, covering_blocks, deduplicated, hub_links, most_bits, near_duplicate_groups, near_links, random_blocks, shingle_hashes, wide_fingerprint
+from palaver.llm.simhash import VERIFIED, covering_blocks, deduplicated, most_bits, near_duplicate_groups, near_links, random_blocks, shingle_hashes, wide_fingerprint
 
 WHITE = " \t\n\r\x0b\x0c"
 
@@ -57,8 +58,9 @@ def test_query_against_all_pairs(spark, sf_dir):
     assert [rows[d["doc_id"]]["component_id"] for d in docs] == slow_groups([d["doc_id"] for d in docs], fps)
 
 
-@pytest.mark.parametrize("hot_key", [1000, 3])
-def test_links_have_the_components_of_all_pairs_even_under_hot_keys(spark, hot_key):
+@pytest.mark.parametrize("most", [4096, 4])
+def test_links_have_the_components_of_all_pairs_even_under_hot_keys(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_UNDER_KEY", most)
     rng = random.Random(5)
     fps = set()
     for _ in range(4):
@@ -70,19 +72,12 @@ def test_links_have_the_components_of_all_pairs_even_under_hot_keys(spark, hot_k
             fps.add(fp)
     fps = sorted(fps)
     signed = [fp - (1 << 64) if fp >> 63 else fp for fp in fps]
-    links = near_links(spark.createDataFrame([(s,) for s in signed], "fp long"), hot_key)
+    links = near_links(spark.createDataFrame([(s,) for s in signed], "fp long"))
     parts = {r["node"]: r["component"] for r in connected_components(links).collect()}
     want = slow_groups(signed, fps)
     assert [parts.get(s, s) for s in signed] == want
 
 
-def test_hub_links_alone(spark):
-    fps = [0, 0b1111, 0b11111111, 1 << 40, (1 << 40) | 31 << 50]
-    links = hub_links(spark.createDataFrame([(f,) for f in fps], "fp long"))
-    parts = {r["node"]: r["component"] for r in connected_components(links).collect()}
-    assert [parts.get(f, f) for f in fps] == slow_groups(fps, fps)
-
-
 def test_odd_rows(spark):
     text = "a quick brown fox jumps over the lazy dog"
     rows = [(7, text), (3, text.upper()), (3, text), (9, None), (5, ""), (8, " \n\t"), (None, text), (11, "three words only"), (12, "w " * 60_000), (13, "NBSP is no space here")]
@@ -145,8 +140,6 @@ def test_near_copies_of_a_similarity_of_four_fifths(spark):
 
 
 def test_one_of_a_large_group_stays_whatever_the_keys_hold(spark, monkeypatch):
-    from palaver.llm import simhash
-
     rng = random.Random(9)
     words = [f"w{rng.randrange(5000)}" for _ in range(300)]
     rows = [(i, edited(rng, words, 0.004)) for i in range(10, 400)] + [(i, "other " + " ".join(f"x{rng.randrange(5000)}" for _ in range(60))) for i in range(400, 420)]
