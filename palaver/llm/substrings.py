@@ -2,12 +2,12 @@
 
 Suffixes are sampled at minimizers: in each string of ``length`` bytes the q-gram of least hash, so
 that two equal strings have the same sampled place in them.  A sampled suffix's first bucket is its
-q-gram's hash.  Buckets of one suffix can't begin a repeat and are dropped.  The others are refined
-by the bucket identifiers at later (and earlier) offsets: identifiers of 2q, 4q, ... bytes are made
-of two identifiers of half the length, each computed once and used again by all positions, until
-they stand for the suffix's whole context of ``length`` bytes to either side.  Contexts that occur
-twice are repeats as a whole.  For a context that occurs once, but shares its q-gram with another,
-the identifiers of its single strings of ``length`` bytes are compared.
+q-gram's hash.  Buckets of one suffix can't begin a repeat and are dropped.  Contexts (the bytes
+around a suffix that its strings of ``length`` bytes cover) that occur twice are repeats as a whole.
+For a context that occurs once, but shares its q-gram with another, the strings are compared: the
+contexts of a bucket come to one task, where every place points to the bucket of its first bytes, and
+buckets are refined by sorting places on their own pointer and that of a later place; each round's
+pointers are those that the next one sorts on, and places that are alone in their bucket drop out.
 """
 
 from __future__ import annotations
@@ -77,6 +77,33 @@ FAMILY = 20
 TOP = 7  # the doubling whose identifiers stand for 128 bytes
 
 
+#: Bytes that the first buckets of a comparison are made of.
+FIRST = 8
+
+
+def bucket_pointers(data: np.ndarray, length: int) -> np.ndarray:
+    """For each place the bucket of the ``length`` bytes from there on; equal buckets are equal bytes.
+
+    The first buckets hold places of equal FIRST bytes.  A round makes buckets of up to twice as
+    many bytes: places of a bucket are told apart by the buckets of the places behind.
+    """
+    n = len(data) - FIRST + 1
+    first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, FIRST)).view(np.uint64).ravel()
+    _, pointer, count = np.unique(first, return_inverse=True, return_counts=True)
+    pointer, size, used = pointer.astype(np.int64), FIRST, len(count)
+    live = np.flatnonzero(count[pointer] > 1)
+    while size < length and len(live):
+        step = min(size, length - size)
+        size += step
+        live = live[live + step < n]
+        pairs = pointer[live] * np.int64(used) + pointer[live + step]
+        _, new, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        pointer[live] = new + used  # beyond those of the places that dropped out
+        used += len(count)
+        live = live[count[new] > 1]
+    return pointer
+
+
 def span_ids(levels: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Identifiers of strings of 200 to 372 bytes from three of 128 bytes that cover them."""
     top, size = levels[TOP], last - first
@@ -128,7 +155,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(length: int):
-    """Strings of ``length`` bytes that two contexts of a block share, and what other blocks must know.
+    """Strings of ``length`` bytes that two contexts of a block share, byte for byte, and what other blocks must know.
 
     Rows with a core are for buckets that were cut into blocks: a block's distinct strings, by the
     identifier of the middle that FAMILY neighbouring strings have in common.  A string has its
@@ -141,12 +168,10 @@ def _compared(length: int):
         column = lambda name: np.array([h[name] for h in held], dtype=np.int64)
         sizes = np.array([len(h["bytes"]) for h in held])
         windows = sizes - length + 1
-        top = doubled(data, 128)[0][TOP]
         own = np.repeat(np.arange(len(held)), windows)
         inner = ranges(np.zeros(len(held), dtype=np.int64), windows)
         at = inner + np.repeat(np.cumsum(sizes) - sizes, windows)
-        ids = mixed(top[at] * FACTORS[-1] + top[at + length - 128] + np.uint64(length))
-        _, once, place, count = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+        _, once, place, count = np.unique(bucket_pointers(data, length)[at], return_index=True, return_inverse=True, return_counts=True)
         single, shared = (column("copies") == 1)[own], count[place] > 1
         k, first = column("k")[own], column("first")[own] + inner
         # spans that occur twice are removed as they are; others only where a string is shared
@@ -159,7 +184,9 @@ def _compared(length: int):
             none = np.zeros(len(a), dtype=np.int64)
             yield batch(k[a], first[a], first[b] + length, none, none, np.zeros(len(a) + 1, dtype=np.int64), [none[:0]] * 3)
         cut = once[(column("blocks") > 1)[own[once]]]
-        if len(cut):
+        if len(cut):  # names of strings that other tasks use as well
+            top = doubled(data, 128)[0][TOP]
+            ids = mixed(top[at] * FACTORS[-1] + top[at + length - 128] + np.uint64(length))
             before = column("at")[own[cut]] - inner[cut]
             start = at[cut] + before % FAMILY
             cores = mixed(top[start] * FACTORS[-1] + top[start + middle - 128] + np.uint64(middle)).view(np.int64)

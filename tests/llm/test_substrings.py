@@ -6,7 +6,7 @@ import numpy as np
 
 from palaver.llm import substrings
 from palaver.llm.queries import op4_suffix_dedup
-from palaver.llm.substrings import doubled, joined, remove_repeats, window_minima
+from palaver.llm.substrings import bucket_pointers, doubled, joined, remove_repeats, window_minima
 
 
 def slow(texts, n=200):
@@ -51,6 +51,17 @@ def test_identifiers_and_minima():
         assert window_minima(h, w).tolist() == [i + int(np.argmin(h[i : i + w])) for i in range(len(h) - w + 1)]
 
 
+def test_bucket_pointers_are_equal_for_equal_bytes_alone():
+    rng = random.Random(3)
+    for alphabet in (b"ab", b"a", bytes(range(97, 123))):
+        text = bytes(rng.choice(alphabet) for _ in range(1500))
+        data = np.frombuffer(text + text[200:900] + text[:300] + b"x" + text[100:600], np.uint8)
+        for n in (9, 40, 128, 200, 240):
+            pointers = bucket_pointers(data, n)[: len(data) - n + 1]
+            strings = [data[i : i + n].tobytes() for i in range(len(pointers))]
+            assert len(set(zip(pointers.tolist(), strings, strict=True))) == len(set(strings)) == len(set(pointers.tolist()))
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     want = {d["doc_id"]: digest(*x) for d, x in zip(docs, slow([d["text"] for d in docs]), strict=True)}
@@ -122,3 +133,28 @@ def test_copies_of_a_text_show_their_contexts_once(spark, monkeypatch):
     assert [(r["first"], r["last"]) for r in rows[60]["removed"]] == [(0, 1000), (1001, 2000)]
     assert all([(r["first"], r["last"]) for r in rows[i]["removed"]] == [(0, 2000)] for i in range(60))
     assert 0 < shown.value < 60
+
+
+def test_copies_of_a_text_show_its_contexts_once(spark, monkeypatch):
+    """The contexts that are compared don't grow with the copies of a text."""
+    rng = random.Random(12)
+    text = " ".join(f"word{rng.randrange(900)}" for _ in range(400))
+    near = [text[:1500] + "!" + text[1501:], text[:700] + "?" + text[701:]]
+    seen = []
+    true = substrings._contexts
+    counts = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in true(batches):
+            counts.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(substrings, "_contexts", counted)
+    for copies in (1, 1000):
+        before = counts.value
+        rows = [(i, text) for i in range(copies)] + [(10_000 + i, t) for i, t in enumerate(near)]
+        got = digests(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+        want = {d: [digest(*x)] for (d, _), x in zip(rows, slow([t for _, t in rows]), strict=True)}
+        assert got == want
+        seen.append(counts.value - before)
+    assert 0 < seen[1] <= seen[0]
