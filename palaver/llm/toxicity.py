@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.llm.common import checkpoint, held, text_slices, with_text, word_table
+from palaver.llm.simhash import shingle_hashes
 from palaver.llm.subwords import MIX
 
 #: Labelled documents that the lexicon is learned from, and those that the logistic layer is fitted on.
 SAMPLE_DOCS, LAYER_DOCS = 8000, 3000
 #: A stem has so many characters at least; one edit is allowed from FUZZY characters on.
 SHORTEST, FUZZY = 3, 5
+#: Least shingle hashes by which near copies among the toxic texts are known.
+SIGNATURE = 16
 #: Clean texts that make a word near an entry a word of its own.
 USUAL = 3
 #: Toxic documents that a stem needs, however large the sample, and the clean ones allowed for each.
@@ -215,13 +218,35 @@ def term_counts(texts: DataFrame, wanted: set[tuple[str, bool]] | None = None) -
     return texts.select("text").mapInArrow(counted, "term string, whole boolean, n long").groupBy("term", "whole").agg(F.sum("n").alias("n"))
 
 
+def without_near_copies(texts: DataFrame) -> DataFrame:
+    """Texts less those that agree in three quarters of their least shingle hashes (five words) with another, which stays."""
+    seeds = np.random.default_rng(5).integers(1 << 62, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in text_slices(batches, 1):
+            signs = []
+            for text in rows.column(1).to_pylist():
+                own = np.array(shingle_hashes(text, 5) or [0], dtype=np.uint64)
+                signs.append([int((own * s ^ own * s >> np.uint64(31)).min().view(np.int64)) for s in seeds])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(signs, pa.list_(pa.int64()))], names=["id", "signs"])
+
+    signs = checkpoint(texts.select(F.xxhash64("text").alias("id"), "text").mapInArrow(signed, "id long, signs array<bigint>"))
+    bands = F.array(*[F.xxhash64(F.lit(k), F.slice("signs", k + 1, 4)) for k in range(0, SIGNATURE, 4)])
+    keyed = signs.select("id", "signs", F.explode(bands).alias("band"))
+    first = keyed.groupBy("band").agg(F.min("id").alias("first"), F.min_by("signs", "id").alias("theirs"))
+    same = F.size(F.filter(F.zip_with("signs", "theirs", lambda a, b: a == b), lambda x: x))
+    near = keyed.join(first, "band").where((F.col("id") != F.col("first")) & (same >= SIGNATURE * 3 // 4)).select("id").distinct()
+    return texts.join(near, F.xxhash64("text") == F.col("id"), "left_anti")
+
+
 def learn_lexicon(sample: DataFrame) -> Trie:
     """The shortest pure beginnings, each carried on as long as it keeps nearly all its documents.
 
-    Terms of enough toxic texts are counted first, then those alone in the clean ones.
+    Terms of enough toxic texts are counted first, then those alone in the clean ones; near copies
+    of a toxic text are one witness.
     """
-    sample = sample.dropDuplicates(["text", "label"])  # copies of a text are one witness
-    bad = sample.where("label = 1")
+    sample = sample.dropDuplicates(["text", "label"])
+    bad = checkpoint(without_near_copies(sample.where("label = 1")))
     toxic = {(r["term"], r["whole"]): r["n"] for r in term_counts(bad).where(F.col("n") >= SUPPORT).collect()}
     clean = {(r["term"], r["whole"]): r["n"] for r in term_counts(sample.where("label IS DISTINCT FROM 1"), set(toxic)).collect()}
     pure = sorted((t for t, n in toxic.items() if clean.get(t, 0) <= n * CLEAN_PER_TOXIC), key=lambda t: (-toxic[t], t))
