@@ -19,18 +19,26 @@ from palaver.llm.common import checkpoint
 LEAST_GROUP, MOST_GROUP = 32, 50_000
 
 
-def order_code(column: Column, kind: str) -> Column:
-    """An order-preserving number of a metadata value: numbers as such, text by its first six bytes.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
-    This only places a row on the curve; two values with one code lie in one bin.
+
+def text_bounds(rows: DataFrame, column: str, bins: int) -> list[str]:
+    """The values at which the bins of a text column end, each with about as many rows, by counts of all whole values.
+
+    Distinct values are sorted in ranges; a range's counts are summed up within it, and begin where
+    the sum of the ranges before it ends.
     """
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return column.cast("double")
-    padded = F.rpad(F.left(F.hex(F.encode(column.cast("string"), "UTF-8")), F.lit(12)), 12, "0")
-    return F.conv(padded, 16, 10).cast("double")
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpoint(counts.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    sums = counts.groupBy("part").agg(F.sum("n").alias("in_part"))
+    sums = sums.withColumn("before", F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part"))  # a row for each range
+    total = sums.agg(F.sum("in_part")).first()[0] or 0
+    up_to = F.sum("n").over(Window.partitionBy("part").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    binned = counts.join(sums, "part").select(column, F.floor((up_to - 1) * bins / F.lit(max(total, 1))).alias("bin"))
+    return sorted(r["last"] for r in binned.groupBy("bin").agg(F.max(column).alias("last")).collect())[:-1]  # a row for each bin
 
 
-def equal_depth_bin(code: Column, bounds: list[float]) -> Column:
+def equal_depth_bin(code: Column, bounds: list) -> Column:
     """How many bounds lie below the value; null is in bin 0."""
     over = reduce(lambda a, b: a + b, [(code > F.lit(b)).cast("int") for b in bounds], F.lit(0))
     return F.coalesce(over, F.lit(0))
@@ -107,16 +115,18 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], key: str, text: str =
         raise ValueError("the curve has more than 65,536 cells; use fewer bits or dimensions")
     kinds = dict(docs.dtypes)
     codes = [f"c{i}" for i in range(len(dimensions))]
+    number = {c: kinds[d] in NUMBERS or kinds[d].startswith("decimal") for d, c in zip(dimensions, codes, strict=True)}
     slim = docs.select(
         F.col(key).alias("key"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("bigint").alias("size"),
         F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_crc32"),
-        *[order_code(F.col(d), kinds[d]).alias(c) for d, c in zip(dimensions, codes, strict=True)],
+        *[F.col(d).cast("double" if number[c] else "string").alias(c) for d, c in zip(dimensions, codes, strict=True)],
     )
     slim = checkpoint(slim)
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = slim.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, share, 1000).alias(c) for c in codes]).first()
+    bounds = slim.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, share, 1000).alias(c) for c in codes if number[c]]).first().asDict()
     n = bounds["n"]
+    bounds.update({c: text_bounds(slim, c, 1 << bits) for c in codes if not number[c]})
     binned = slim.select("key", "size", "text_crc32", *[equal_depth_bin(F.col(c), sorted(set(bounds[c] or []))).alias(c) for c in codes])
 
     # at most 2^(bits * dimensions) cells, whatever the number of rows
@@ -144,12 +154,19 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], key: str, text: str =
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, key: str, path: str) -> None:
-    """Write ``docs`` in the order of ``placed``, one folder per shard (keys must be unique here)."""
-    (
-        docs.join(placed.select(key, "shard", "slot"), key)
-        .repartitionByRange("shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+def write_shards(docs: DataFrame, placed: DataFrame, key: str, path: str, text: str = "text") -> None:
+    """Write ``docs`` in the order of ``placed`` (made of the same rows), one folder per shard, with ``slot``.
+
+    Rows find their places by key, size and crc32 of the text, and rows that agree in these, such as
+    repeated ones, by a number among them; null keys are keys like others.
+    """
+    same = ["_none", "_key", "_size", "_crc"]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_tie"))
+    own = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key")
+    size = (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 16).cast("bigint").alias("_size")
+    crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("_crc")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).isNull().alias("_none"), own, size, crc, F.xxhash64(text).alias("_tie"))
+    places = placed.select(F.col(key).isNull().alias("_none"), own, F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.struct("shard", "slot").alias("_tie"), "shard", "slot")
+    both = rows.withColumn("_nth", nth).join(places.withColumn("_nth", nth).drop("_tie"), [*same, "_nth"])
+    out = both.select("_row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    out.write.partitionBy("_shard").parquet(path)

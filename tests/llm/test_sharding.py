@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from palaver.llm.queries import op7_hilbert_shards
-from palaver.llm.sharding import hilbert_index, hilbert_shards
+from palaver.llm.sharding import hilbert_index, hilbert_shards, text_bounds, write_shards
 
 
 def law_holds(rows, shards=40):
@@ -41,7 +41,8 @@ def test_shards_are_narrow_in_the_dimensions(spark, sf_dir):
     placed = hilbert_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["source", "lang", "n_chars"], "doc_id")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     per = placed.join(docs, "doc_id").groupBy("shard").agg(F.count_distinct("source").alias("s"), F.count_distinct("lang").alias("l")).collect()
-    assert sum(r["s"] for r in per) / len(per) < 13 and sum(r["l"] for r in per) / len(per) < 3
+    sources, languages = (sum(r[k] for r in per) / len(per) for k in "sl")
+    assert sources < 13 and languages < 4 and sources * languages < 20
 
 
 def test_nulls_empty_texts_copies_long_texts_and_clashing_columns(spark):
@@ -55,3 +56,52 @@ def test_nulls_empty_texts_copies_long_texts_and_clashing_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert hilbert_shards(docs, ["source"], "doc_id").count() == 0
+
+
+def test_text_dimensions_are_told_apart_behind_a_common_beginning(spark):
+    rows = [(i, "t", f"https://host{i % 20:02d}.example") for i in range(2000)] + [(5000, "t", "a"), (5001, "t", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bounds = text_bounds(docs, "source", 4)
+    assert bounds == [f"https://host{k:02d}.example" for k in (4, 9, 14)]
+    placed = hilbert_shards(docs, ["source", "doc_id"], "doc_id", num_shards=16).join(docs, "doc_id")
+    per = [r["n"] for r in placed.groupBy("shard").agg(F.count_distinct("source").alias("n")).collect()]
+    assert sum(per) / len(per) < 10  # of 20
+
+
+def test_ranks_along_the_curve_against_an_independent_one(spark, sf_dir):
+    """Cells by the query's dimensions in the order of a curve that is computed by rotating squares, not by bits."""
+    rows = [(i, "t", i % 16, i // 16 % 16) for i in range(16 * 16 * 6)]  # each bin is a value
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int, y int")
+    placed = {r["doc_id"]: r for r in hilbert_shards(docs, ["x", "y"], "doc_id", bits=4).collect()}
+
+    def along(x, y, n=16):
+        d, s = 0, n // 2
+        while s:
+            rx, ry = int(x & s > 0), int(y & s > 0)
+            d += s * s * ((3 * rx) ^ ry)
+            if not ry:
+                if rx:
+                    x, y = n - 1 - x, n - 1 - y
+                x, y = y, x
+            s //= 2
+        return d
+
+    ranks = [placed[r[0]]["rank"] for r in rows]
+    assert sorted(ranks) == list(range(len(rows)))
+    ordered = sorted(rows, key=lambda r: placed[r[0]]["rank"])
+    follows = []
+    for first, second in ((2, 3), (3, 2)):  # the curve may begin along either axis, in any corner
+        for u, v in ((0, 0), (0, 15), (15, 0), (15, 15)):
+            cells = [along(r[first] ^ u, r[second] ^ v) for r in ordered]
+            follows.append(cells in (sorted(cells), sorted(cells, reverse=True)))
+    assert any(follows)
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(None, "no id", 7), (None, None, 7), (1, "twice", 1), (1, "twice", 1), (1, "other", 2)] + [(i, f"text {i}", i) for i in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    placed = hilbert_shards(docs, ["shard"], "doc_id", num_shards=8)
+    write_shards(docs, placed, "doc_id", f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards").collect()
+    assert Counter((r["doc_id"], r["text"], r["shard"]) for r in back) == Counter(rows)
+    law_holds([{"shard": r["_shard"], "slot": r["_slot"]} for r in back], 8)
