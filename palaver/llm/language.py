@@ -54,7 +54,7 @@ def letters_and_script(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(sample: DataFrame, bound: int = SAMPLE_DOCS) -> LanguageModel:
     """Count the n-grams of a bounded (text, label) sample by language; label is the language."""
-    rows = sample.limit(2 * bound).select("text", "label").collect()
+    rows = sample.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text", "label").limit(2 * bound).select("text", "label").collect()
     languages = sorted({r["label"] for r in rows})
     grams, uses = np.full((BUCKETS, len(languages)), 0.1), np.zeros((len(SCRIPTS), len(languages)))
     for k, language in enumerate(languages):
@@ -92,8 +92,9 @@ def viterbi(emissions: np.ndarray, before: np.ndarray, penalty: float) -> np.nda
     order = np.argsort(-lengths, kind="stable")
     starts, longest = before[:-1][order], int(lengths.max(initial=0))
     active = np.searchsorted(-lengths[order], -np.arange(1, longest + 1), side="right")  # texts that have a word at each step
-    came = np.zeros(emissions.shape, dtype=np.uint8)
-    own = np.arange(emissions.shape[1], dtype=np.uint8)
+    kind = np.uint8 if emissions.shape[1] <= 256 else np.int32
+    came = np.zeros(emissions.shape, dtype=kind)
+    own = np.arange(emissions.shape[1], dtype=kind)
     best = emissions[starts[: active[0]]].copy() if longest else emissions[:0]
     for step in range(1, longest):
         n = active[step]
@@ -101,10 +102,10 @@ def viterbi(emissions: np.ndarray, before: np.ndarray, penalty: float) -> np.nda
         top = prev.argmax(axis=1)
         switched = prev[np.arange(n), top] - penalty
         stay = prev >= switched[:, None]
-        came[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+        came[at] = np.where(stay, own, top[:, None].astype(kind))
         best[:n] = np.where(stay, prev, switched[:, None]) + emissions[at]
-    labels = np.zeros(len(emissions), dtype=np.uint8)
-    state = best.argmax(axis=1).astype(np.uint8) if longest else np.zeros(0, np.uint8)
+    labels = np.zeros(len(emissions), dtype=kind)
+    state = best.argmax(axis=1).astype(kind) if longest else np.zeros(0, kind)
     for step in range(longest - 1, -1, -1):
         n = active[step]
         at = starts[:n] + step

@@ -106,7 +106,7 @@ def fit(sample: DataFrame, bound: int = SAMPLE_DOCS) -> tuple[np.ndarray, float,
 
     Without labels of both classes every score is the share of label 1 (0.5 without any).
     """
-    rows = sorted(sample.limit(2 * bound).select("doc_id", "text", "label").collect(), key=lambda r: (str(r["doc_id"]), r["text"]))
+    rows = sorted(sample.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text", "label").limit(2 * bound).select("doc_id", "text", "label").collect(), key=lambda r: (str(r["doc_id"]), r["text"]))
     labels = np.array([int(r["label"] == 1) for r in rows], dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
