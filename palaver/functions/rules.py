@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,10 @@ def first_given(*columns: Column, default: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns], default)
 
 
-def timeout_seconds(thinking: Column, usual: int = 30, extended: int = 120) -> Column:
-    return F.when(F.lower(thinking).isin("low", "medium", "high"), extended).otherwise(usual)
+def timeout_seconds(thinking: Column, mode: Column | None = None, usual: int = 30, extended: int = 120) -> Column:
+    """Longer where the level of thinking is; without a level the prompt mode implies one."""
+    implied = F.when(mode == "thinking", "high") if mode is not None else F.lit(None).cast("string")
+    return F.when(F.lower(F.coalesce(thinking, implied)).isin("low", "medium", "high"), extended).otherwise(usual)
 
 
 def output_tier(complexity: Column, thinking: Column) -> Column:
@@ -107,10 +109,34 @@ def numbered_lines(rows: DataFrame, by: str, order: list[str], line: Column) ->
     return keyed.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("block"), F.count(F.lit(1)).alias("lines"))
 
 
+# Texts around the lists of a prompt.
+LIVE_HEAD, LIVE_FOOT = "New live chat messages (oldest to newest):\n", "\nReply once to all of these in one short chat response."
+PINS_HEAD, PINS_FOOT = "=== PINNED MEMORIES FOR THIS CHANNEL ===\n", "\n=== END PINNED MEMORIES ===\n"
+PINS_NOTE = "IMPORTANT: The above pinned messages are persistent memories for this channel. Always keep them in mind when responding."
+
+
 def live_prompt(entries: Column) -> Column:
     """array<struct<author, text>>: one entry as it is, more as a list."""
     lines = F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e["author"], F.lit(": "), e["text"])), "\n")
-    return F.when(F.size(entries) == 0, "").when(F.size(entries) == 1, F.get(entries, F.lit(0))["text"]).otherwise(F.concat(F.lit("New messages, oldest first:\n"), lines))
+    listed = F.concat(F.lit(LIVE_HEAD), lines, F.lit(LIVE_FOOT))
+    return F.when(F.size(entries) == 0, "").when(F.size(entries) == 1, F.get(entries, F.lit(0))["text"]).otherwise(listed)
+
+
+def pins_block(pins: DataFrame, by: str) -> DataFrame:
+    """A group's pins (id, author_name, content) as the block that a prompt begins with; groups without pins have none."""
+    line = F.concat(F.lit("[Pin #"), F.col("id").cast("string"), F.lit("] "), "author_name", F.lit(": "), "content")
+    return numbered_lines(pins, by, ["id"], line).select(by, F.concat(F.lit(PINS_HEAD), "block", F.lit(PINS_FOOT + PINS_NOTE)).alias("block"))
+
+
+def image_entry(kind: Column, message_id: Column, sent: Column, author: Column, name: Column, index: Column, page: Column) -> Column:
+    """What ties an image to its message; ``pdf_page_number`` is null for what isn't a page."""
+    fields = {"source_type": kind, "source_message_id": message_id, "source_timestamp": F.date_format(sent, "yyyy-MM-dd'T'HH:mm:ssXXX"), "source_author": author, "attachment_name": name, "attachment_index": index, "pdf_page_number": page}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
+
+
+def image_order(rows: DataFrame, by: list[str], at: str, message: str, index: str, page: str) -> DataFrame:
+    """Images numbered from 1 by time, message, attachment and page."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(at, message, index, F.coalesce(page, F.lit(0)))))
 
 
 # Image and audio files by ending.
@@ -125,5 +151,5 @@ def media_kind(filename: Column, content_type: Column) -> Column:
 
 
 def image_faults(size: Column, kind: Column, width: Column, height: Column, most_bytes: int, kinds: list[str]) -> Column:
-    rules = [(size > most_bytes, "too large"), (~F.lower(kind).isin(kinds), "format not supported"), ((width < 32) | (height < 32), "too small")]
+    rules = [(size > most_bytes, "too large"), (~F.lower(kind).isin(kinds), "format not supported"), ((width < 32) | (height < 32), "too small"), ((width > 4096) | (height > 4096), "warning: large")]
     return F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in rules]))

@@ -229,3 +229,14 @@ def edit_seconds(kind: Column, width: Column, height: Column) -> Column:
     base = F.coalesce(F.create_map(*[x for k, v in EDIT_SECONDS.items() for x in (F.lit(k), F.lit(v))])[kind], F.lit(3.0)) * megapixels
     scaled = base * F.when(megapixels > 10, 1.5).when(megapixels > 5, 1.2).otherwise(1.0)
     return F.round(F.least(F.greatest(scaled, F.lit(5.0)), F.lit(120.0)), 1)
+
+
+def vector_of(json: Column) -> Column:
+    """A JSON array of numbers as doubles; null where it is malformed or holds anything else."""
+    vector = F.from_json(json, "array<double>")
+    return F.when(F.forall(vector, lambda x: x.isNotNull()), vector)
+
+
+def ids_json(ids: Column) -> Column:
+    """An array of ids as JSON; null counts as empty."""
+    return F.to_json(F.coalesce(ids, F.array().cast("array<bigint>")))

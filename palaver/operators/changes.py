@@ -6,10 +6,11 @@ key's events, so that it is the same however often and in which pieces the log i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.text import content_hash, normalised
+from palaver.functions.text import content_hash, embedding_retry_seconds, normalised
+from palaver.operators.windows import numbered_by_day
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str, columns: list[str]) -> DataFrame:
@@ -51,24 +52,29 @@ MOST_ATTEMPTS = 3
 
 
 def embedding_state(log: DataFrame, key: str = "message_id") -> DataFrame:
-    """Fold of (seq, op, key, hash): op is content, ok or fail; one array fold per key.
+    """State of each key's vector out of (seq, op, key, hash, at, error): op is content, ok or fail.
 
-    New content resets to pending; ok counts only for the hash in force; each fail adds an
-    attempt, the third is final.  A key's events are collected: they are bounded by its edits.
+    New content resets to pending; ok counts only for the hash in force, fail for any; each fail
+    since the last reset or ok adds an attempt, the third is final.  A key that isn't given up has
+    ``next_retry_at``: a minute after the first failure, twice as long after each, an hour at most.
     """
-    events = F.array_sort(F.collect_list(F.struct("seq", "op", "hash")))
-    start = F.struct(F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("status"), F.lit(0).alias("attempts"))
-
-    def step(s: Column, e: Column) -> Column:
-        content, ok, fail = e["op"] == "content", e["op"] == "ok", e["op"] == "fail"
-        changed = content & (s["hash"].isNull() | (s["hash"] != e["hash"]))
-        attempts = F.when(changed, 0).when(ok & (e["hash"] == s["hash"]), 0).when(fail & s["status"].isNotNull(), s["attempts"] + 1).otherwise(s["attempts"])
-        failed = F.when(attempts >= MOST_ATTEMPTS, "failed").otherwise("pending")
-        status = F.when(changed, "pending").when(ok & (e["hash"] == s["hash"]), "done").when(fail & s["status"].isNotNull(), failed).otherwise(s["status"])
-        return F.struct(F.when(content, e["hash"]).otherwise(s["hash"]).alias("hash"), status.alias("status"), attempts.cast("int").alias("attempts"))
-
-    folded = log.groupBy(key).agg(events.alias("events")).select(key, F.aggregate("events", start, step).alias("s"))
-    return folded.select(key, "s.hash", "s.status", "s.attempts").where("status IS NOT NULL")
+    at_key = Window.partitionBy(key)
+    w = at_key.orderBy("seq")
+    content, ok, fail = F.col("op") == "content", F.col("op") == "ok", F.col("op") == "fail"
+    given = F.when(content, F.col("hash"))
+    before = F.last(given, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    now = F.last(given, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    reset = (content & (before.isNull() | (before != F.col("hash")))) | (ok & (F.col("hash") == now))
+    marked = log.withColumn("_reset", F.when(reset, F.col("seq"))).withColumn("_last", F.max("_reset").over(at_key)).where("_last IS NOT NULL")
+    failed = fail & (F.col("seq") > F.col("_last"))
+    state = marked.groupBy(key).agg(
+        F.max_by("hash", F.when(content, F.col("seq"))).alias("hash"), F.max_by("op", "_reset").alias("_op"), F.count_if(failed).cast("int").alias("attempts"),
+        F.max_by("at", F.when(failed, F.col("seq"))).alias("_failed_at"), F.max_by(F.coalesce("error", F.lit("embedding failed")), F.when(failed, F.col("seq"))).alias("_error"),
+    )
+    status = F.when(F.col("attempts") >= MOST_ATTEMPTS, "failed").when((F.col("attempts") > 0) | (F.col("_op") == "content"), "pending").otherwise("done")
+    wait = embedding_retry_seconds(F.col("attempts")).cast("int")
+    retry = F.when((F.col("attempts") > 0) & (F.col("attempts") < MOST_ATTEMPTS), F.timestamp_add("SECOND", wait, F.col("_failed_at")))
+    return state.select(key, "hash", status.alias("status"), "attempts", retry.alias("next_retry_at"), F.left("_error", F.lit(500)).alias("last_error"))
 
 
 STATUSES = ["open", "triaged", "in_progress", "done", "declined"]
@@ -93,3 +99,48 @@ def job_states(log: DataFrame, job: str, status: str, at: str, as_of: Column, ke
     last = log.groupBy(job).agg(F.max_by(status, at).alias("status"), F.max(at).alias("changed_at"))
     ended = F.col("status").isin("completed", "failed", "cancelled")
     return last.where(~ended | (F.col("changed_at") >= as_of - F.expr(f"INTERVAL {keep_hours} HOURS")))
+
+
+# Kinds of reports.
+REPORT_TYPES = ["issue", "feature"]
+
+
+def new_reports(drafts: DataFrame, after: int = 0, types: list[str] = REPORT_TYPES) -> DataFrame:
+    """Drafts (reporter_id, reporter_name, report_type, description, at) as open reports with ids from ``after`` + 1.
+
+    Types are trimmed and in lower case, unknown ones are an error; descriptions are trimmed, drafts
+    without one are left out (see faults_of_draft()); names keep 100 characters, times whole seconds.
+    """
+    kind = F.lower(F.trim(F.coalesce("report_type", F.lit(""))))
+    known = F.when(kind.isin(types), kind).otherwise(F.raise_error(F.concat(F.lit("unknown report type: "), kind)))
+    kept = drafts.withColumn("report_type", known).withColumn("description", F.regexp_replace("description", r"^\s+|\s+$", "")).where("description != ''")
+    numbered = numbered_by_day(kept, "at", [F.col("reporter_id"), F.col("description"), F.col("report_type")], "id", after)
+    second = F.date_trunc("SECOND", "at")
+    return numbered.select(
+        "id", "reporter_id", F.left("reporter_name", F.lit(100)).alias("reporter_name"), "report_type", "description",
+        F.lit("open").alias("status"), second.alias("created_at"), second.alias("updated_at"),
+    )
+
+
+def faults_of_draft(kind: Column, description: Column, types: list[str] = REPORT_TYPES) -> Column:
+    """Why a draft is refused, as an array of texts."""
+    rules = [(~F.lower(F.trim(F.coalesce(kind, F.lit("")))).isin(types), "unknown type"), (F.trim(F.coalesce(description, F.lit(""))) == "", "no description")]
+    return F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in rules]))
+
+
+def remaining(rows: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that no request of deletion names by its keys; what doesn't exist is no error."""
+    return rows.join(requests.select(*keys).distinct(), keys, "left_anti")
+
+
+def deletions(rows: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Each request with the number of rows that it deletes, and whether it deletes any."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    found = F.coalesce("_n", F.lit(0))
+    return requests.join(counts, keys, "left").select(*requests.columns, found.alias("deleted_rows"), (found > 0).alias("deleted"))
+
+
+def accepted_counts(batch: DataFrame, by: list[str], content: str, author_is_bot: Column, forced: Column) -> DataFrame:
+    """Messages of a backfill and how many of them the index takes: people's (or forced ones') with a text."""
+    taken = (~author_is_bot | forced) & (F.coalesce(normalised(F.col(content)), F.lit("")) != "")
+    return batch.groupBy(*by).agg(F.count(F.lit(1)).alias("messages"), F.count_if(taken).alias("indexed"))

@@ -6,31 +6,41 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: (seconds, requests) rules of the text limiter: both must allow a request.
 TEXT_RULES = [(60, 10), (3600, 60)]
+#: The image limiter's rule; its window leaves its end out.
+IMAGE_RULES = [(3600, 10)]
 
 
-class Window:
-    """Accepted times of one user."""
+class Accepted:
+    """Accepted times of one user; ``inclusive``: a request exactly a rule's seconds ago still counts."""
 
-    def __init__(self, rules: list[tuple[int, int]]):
-        self.rules, self.times = rules, deque()
+    def __init__(self, rules: list[tuple[int, int]], inclusive: bool = True):
+        self.rules, self.times, self.edge = rules, deque(), 0 if inclusive else 1
 
     def admit(self, micros: int) -> bool:
+        return self.wait(micros) == 0
+
+    def wait(self, micros: int) -> int:
+        """0 if the request is accepted (and counted); else the whole seconds, 1 at least, until the first rule that it breaks lets go."""
         longest = max(s for s, _ in self.rules) * 1_000_000
         while self.times and self.times[0] < micros - longest:
             self.times.popleft()
-        fits = all(sum(t >= micros - s * 1_000_000 for t in self.times) < most for s, most in self.rules)
-        if fits:
-            self.times.append(micros)
-        return fits
+        for seconds, most in self.rules:
+            within = [t for t in self.times if t >= micros - seconds * 1_000_000 + self.edge]
+            if len(within) >= most:
+                return max(1, (min(within) + seconds * 1_000_000 - micros) // 1_000_000)
+        self.times.append(micros)
+        return 0
+
 
+def admitted(requests: DataFrame, user: str, at: str, key: str, rules: list[tuple[int, int]] = TEXT_RULES, inclusive: bool = True) -> DataFrame:
+    """(user, key, accepted, retry_after) for each request, in order of time and key within a user.
 
-def admitted(requests: DataFrame, user: str, at: str, key: str, rules: list[tuple[int, int]] = TEXT_RULES) -> DataFrame:
-    """(user, key, accepted) for each request, in order of time and key within a user.
+    ``retry_after``: seconds after which a refused request may come again; null if it is accepted.
 
     Acceptance hangs on earlier acceptances, so a user's requests are taken in order: rows are
     dealt by user, sorted, and streamed; a task holds one user's accepted times, of which the
@@ -41,17 +51,43 @@ def admitted(requests: DataFrame, user: str, at: str, key: str, rules: list[tupl
     ordered = slim.repartition("u").sortWithinPartitions("u", "t", "k")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, window = object(), Window(rules)
+        current, window = object(), Accepted(rules, inclusive)
         for batch in batches:
             out = []
             for u, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if u != current:
-                    current, window = u, Window(rules)
-                out.append(window.admit(t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["u", "k", "accepted"])
+                    current, window = u, Accepted(rules, inclusive)
+                out.append(window.wait(t))
+            columns = [batch.column(0), batch.column(1), pa.array([w == 0 for w in out], pa.bool_()), pa.array([w or None for w in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "k", "accepted", "retry_after"])
+
+    done = ordered.mapInArrow(walk, f"u {kinds[user]}, k {kinds[key]}, accepted boolean, retry_after long")
+    return done.toDF(user, key, "accepted", "retry_after")
+
 
-    done = ordered.mapInArrow(walk, f"u {kinds[user]}, k {kinds[key]}, accepted boolean")
-    return done.toDF(user, key, "accepted")
+def retry_minutes(retry_after: Column) -> Column:
+    """The same in minutes begun, as it is told to users where an hour's rule refuses."""
+    return F.greatest(F.lit(1), F.floor(retry_after / 60) + 1).cast("bigint")
+
+
+def waits(requests: DataFrame, at: str, key: str, seconds: int = 60, most: int = 30) -> DataFrame:
+    """(key, wait) of all requests to one service, which delays instead of refusing: every request counts.
+
+    A request that finds ``most`` others within the last ``seconds`` (the end left out) waits until
+    the oldest of them is that old.  Times are dealt to spans of ``seconds``; each request is also
+    seen by the next span, so that windows are computed span by span.
+    """
+    t = F.unix_micros(F.col(at).cast("timestamp"))
+    span = seconds * 1_000_000
+    timed = requests.select(F.col(key).alias("k"), t.alias("t")).withColumn("own", F.expr(f"t div {span}"))
+    seen = timed.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("span"))
+    order = Window.partitionBy("span").orderBy("t")
+    place = F.row_number().over(Window.partitionBy("span").orderBy("t", "k"))
+    gone = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, -span))
+    oldest = F.min("t").over(order.rangeBetween(1 - span, 0))
+    marked = seen.select("k", "t", "own", "span", (place - 1 - gone).alias("before"), oldest.alias("oldest")).where("own = span")
+    wait = F.when(F.col("before") >= most, (F.col("oldest") + span - F.col("t")) / 1e6).otherwise(0.0)
+    return marked.select(F.col("k").alias(key), wait.alias("wait"))
 
 
 def admitted_batch(batch: DataFrame, allowed: DataFrame, user: str) -> DataFrame:

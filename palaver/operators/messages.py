@@ -82,3 +82,14 @@ def complete(names: DataFrame, name: str, typed: str, most: int = 25) -> DataFra
     """Autocomplete: names that hold the typed text, with a title-case label."""
     found = names.where(F.lower(F.col(name)).contains(typed.lower())).select(name).distinct()
     return found.orderBy(name).limit(most).select(F.initcap(F.translate(name, "_", " ")).alias("label"), F.col(name).alias("value"))
+
+
+def not_stale(rows: DataFrame, at: str, as_of: Column, seconds: int = 300) -> DataFrame:
+    """Rows that aren't older than ``seconds``: what a sweep leaves."""
+    return rows.where(F.col(at) >= as_of - F.expr(f"INTERVAL {seconds} SECONDS"))
+
+
+def looked_up(keys: DataFrame, state: DataFrame, by: list[str], defaults: dict[str, object]) -> DataFrame:
+    """Each key's columns of a state table; a key that it doesn't have, or a null there, gets the default."""
+    found = keys.join(state.select(*by, *defaults), by, "left")
+    return found.select(*keys.columns, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()])

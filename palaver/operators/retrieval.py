@@ -32,11 +32,19 @@ def occurrences(spaced_text: str, phrase: list[str]) -> Column:
     return ((F.length(spaced_text) - F.length(without)) / len(wanted)).cast("int")
 
 
+def term_score(tf: Column, df: int, n: int, length: Column, mean: float | None) -> Column:
+    """A term's part of a document's score: Robertson and Zaragoza, with a least weight for terms of most documents."""
+    idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(1e-6))
+    tf = tf.cast("double")
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(float(mean or 1))))
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: str, most: int) -> DataFrame:
-    """(key, score, rank) of documents that hold any phrase of the query, best first.
+    """(key, score, rank) of documents that hold any phrase of the query, best first, without an index.
 
-    Statistics (documents, mean length, document frequencies) cover all of ``docs``; scopes are
-    applied by the caller afterwards.  Two passes: one aggregate for the statistics, one top-k.
+    For one query over a table that isn't indexed (see fulltext).  Statistics (documents, mean
+    length, document frequencies) cover all of ``docs``; scopes are applied by the caller
+    afterwards.  Two passes: one aggregate for the statistics, one top-k.
     """
     spark = docs.sparkSession
     tokens = spark.range(1).select(query_tokens(F.lit(query)).alias("t")).first()["t"]
@@ -46,11 +54,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, most: int) -> DataFra
     length = F.regexp_count(F.lower(F.col(text)), F.lit("[a-z0-9]+")).alias("length")
     counted = docs.select(key, length, spaced(F.col(text)).alias("spaced")).select(key, "length", *[occurrences("spaced", p).alias(f"tf{i}") for i, p in enumerate(phrases)])
     n, mean, *frequencies = counted.agg(F.count(F.lit(1)), F.avg("length"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(phrases))]).first()
-    score = F.lit(0.0)
-    for i, df in enumerate(frequencies):
-        idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(1e-6))
-        tf = F.col(f"tf{i}").cast("double")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1))))
+    score = sum((term_score(F.col(f"tf{i}"), df, n, F.col("length"), mean) for i, df in enumerate(frequencies)), F.lit(0.0))
     hits = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).select(key, F.round(score, 6).alias("score"))
     return ranked(hits, [F.desc("score"), F.asc(key)], most)
 
@@ -124,11 +128,34 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def select_and_anchor(context: DataFrame, chosen: DataFrame, anchors: DataFrame, key: str, at: str, most: int) -> DataFrame:
-    """Known chosen keys once, anchors after them; of too many the last ``most``; in order of time."""
+    """Known chosen keys once, anchors after them; of too many the last ``most``; in order of time.
+
+    ``chosen`` and ``anchors`` have a key and a position; keys of one position count in order of key.
+    """
     ordered = keep_first(chosen.select(key, "position", F.lit(0).alias("bucket")).unionByName(anchors.select(key, "position", F.lit(1).alias("bucket"))), [key], [F.col("bucket"), F.col("position")])
-    last = context.join(ordered, key).orderBy(F.desc("bucket"), F.desc("position")).limit(most)
+    last = context.join(ordered, key).orderBy(F.desc("bucket"), F.desc("position"), F.desc(key)).limit(most)
     return last.orderBy(at, key).drop("bucket", "position")
 
 
-def tier_limit(tier: str) -> int:
-    return TIERS.get(tier, TIERS["low"])
+def prompt_order(rows: DataFrame, by: list[str], pinned: Column, anchor: Column, position: Column, score: Column, at: Column, key: Column) -> DataFrame:
+    """Rows with their ``slot`` from 1 in the prompt: pins by position, anchors by time, the others with the best last."""
+    bucket = F.when(pinned, 0).when(anchor, 1).otherwise(2)
+    order = [bucket, F.when(bucket == 0, position), F.when(bucket == 2, F.coalesce(score, F.lit(0.0))), F.when(bucket > 0, at), key]
+    return rows.withColumn("slot", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+#: Candidates by source, and those that are ranked again.
+LEXICAL, SEMANTIC, RERANK = 40, 40, 30
+
+
+def budgets(most: int, lexical: int = LEXICAL, semantic: int = SEMANTIC, rerank: int = RERANK) -> dict[str, int]:
+    """How many candidates each source may give, and how many the fused pool holds."""
+    return {"recent": max(most, lexical // 2), "lexical": lexical, "semantic": semantic, "pool": max(most, rerank)}
+
+
+#: Messages in a context without an index, by complexity.
+PLAIN_TIERS = {"low": 10, "medium": 30, "high": 50}
+
+
+def tier_limit(tier: str, tiers: dict[str, int] = TIERS) -> int:
+    return tiers.get(tier, tiers["low"])

@@ -63,8 +63,48 @@ def sliding_count(rows: DataFrame, by: list[str], at: str, seconds: int) -> Data
 
 
 def ordinal_labels(rows: DataFrame, by: list[str], order: list[Column], prefix: str = "CTX_MSG_") -> DataFrame:
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("label", F.concat(F.lit(prefix), F.lpad(number.cast("string"), 3, "0")))
+    """Labels by place within a group, of three digits at least."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("string")
+    return rows.withColumn("label", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(3)), "0")))
+
+
+def image_orders(images: DataFrame, context: DataFrame, by: str, key: str, order: list[Column], current: str, replied: str) -> DataFrame:
+    """Images (by, key of their message, position, current, replied) with ``image_index`` and the place of their message.
+
+    The place is the message's ordinal label in the context; else it is the current message, the
+    one that is replied to, or none of the context.
+    """
+    labels = ordinal_labels(context, [by], order).select(by, key, "label")
+    own = F.coalesce("label", F.when(F.col(key) == F.col(current), "CURRENT_USER_MESSAGE").when(F.col(key) == F.col(replied), "REPLIED_TO_MESSAGE").otherwise("NON_CONTEXT_MESSAGE"))
+    index = F.row_number().over(Window.partitionBy(by).orderBy("position"))
+    return images.join(labels, [by, key], "left").select(*images.columns, index.alias("image_index"), own.alias("source_message_order"))
+
+
+def replied_to(rows: DataFrame, by: str, key: str, reference: str, columns: list[str]) -> DataFrame:
+    """Rows with a reference, and the columns (as ``replied_*``) of the row that it names; one hop, null where there is none."""
+    target = rows.select(by, F.col(key).alias(reference), *[F.col(c).alias(f"replied_{c}") for c in columns])
+    return rows.where(F.col(reference).isNotNull()).join(target, [by, reference], "left")
+
+
+def zip_padded(inputs: Column, vectors: Column) -> Column:
+    """array<struct<input, vector>> by place; the shorter side is padded with null."""
+    longest = F.greatest(F.size(inputs), F.size(vectors))
+    places = F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.get(inputs, i).alias("input"), F.get(vectors, i).alias("vector")))
+
+
+def numbered_by_day(rows: DataFrame, at: str, order: list[Column], name: str, after: int = 0) -> DataFrame:
+    """Rows numbered without gaps from ``after`` + 1 in order of time.
+
+    Days are numbered on their own, and begin where the sum of the earlier days' counts ends, so
+    that only the counts are gathered.
+    """
+    days = rows.withColumn("_day", F.to_date(at))
+    before = F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_day")).rowsBetween(Window.unboundedPreceding, -1))  # a row a day
+    counts = days.groupBy("_day").agg(F.count(F.lit(1)).alias("_n")).select("_day", F.coalesce(before, F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_day").orderBy(at, *order))
+    both = days.withColumn("_nth", nth).join(counts.withColumnRenamed("_day", "_own"), F.col("_day").eqNullSafe(F.col("_own")))
+    return both.withColumn(name, F.col("_before") + F.col("_nth") + after).drop("_day", "_own", "_nth", "_before")
 
 
 def newest_of(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

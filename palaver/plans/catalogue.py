@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import text as X
-from palaver.operators import changes, limits, markup, messages, retrieval, usage, windows
+from palaver.operators import changes, fulltext, limits, markup, messages, retrieval, usage, windows
+from palaver.session import shared_folder
 from palaver.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,10 +227,9 @@ def sliding_count_1h(spark, sf_dir):
     return windows.sliding_count(table(spark, sf_dir, "events"), ["user_id"], "ts", 3600).select("event_id", "in_window")
 
 
-@query("""SELECT conv_id, turn, concat('CTX_MSG_', CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE left(CAST(n AS VARCHAR), 3) END) AS label
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)""")
+@query("""SELECT event_id, concat('CTX_MSG_', CASE WHEN n < 10 THEN '00' WHEN n < 100 THEN '0' ELSE '' END, n) AS label FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)""")
 def ordinal_labels(spark, sf_dir):
-    return windows.ordinal_labels(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn")]).select("conv_id", "turn", "label")
+    return windows.ordinal_labels(table(spark, sf_dir, "events"), ["event_type"], [F.col("ts"), F.col("event_id")]).select("event_id", "label")
 
 
 @query("""SELECT user_id, event_id, rn FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 5""")
@@ -240,20 +240,46 @@ def last_five(spark, sf_dir):
 # ---- retrieval ---------------------------------------------------------------------------------
 
 SEARCH = "thing the-eron token"
-BM25_SQL = """SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(s0 + s1 + s2, 6) AS score FROM (
-SELECT doc_id, tf0 + tf1 + tf2 AS hits, {parts} FROM c, s) WHERE hits > 0 ORDER BY score DESC, doc_id LIMIT 40)"""
+BM25_SQL = """SELECT doc_id, round(s0 + s1 + s2, 6) AS score FROM (SELECT doc_id, tf0 + tf1 + tf2 AS hits, {parts} FROM c, s) WHERE hits > 0"""
 _PART = "greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 0.000001) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean)) AS s{i}"
-BM25_SQL = (
+SCORED = (
     """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
 c AS (SELECT doc_id, CAST(len(t) AS DOUBLE) AS length, CAST(len(list_filter(t, lambda x: x = 'thing')) AS DOUBLE) AS tf0,
 CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND t[i + 1] = 'eron')) AS DOUBLE) AS tf1, CAST(len(list_filter(t, lambda x: x = 'token')) AS DOUBLE) AS tf2 FROM w),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean, CAST(count_if(tf0 > 0) AS DOUBLE) AS df0, CAST(count_if(tf1 > 0) AS DOUBLE) AS df1, CAST(count_if(tf2 > 0) AS DOUBLE) AS df2 FROM c) """
     + BM25_SQL.format(parts=", ".join(_PART.format(i=i) for i in range(3)))
 )
+BM25_SQL = f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM ({SCORED}) ORDER BY score DESC, doc_id LIMIT 40)"
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, sf_dir):
+    """The documents' full-text index, built by the first query of an application that needs it."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _INDEXES:
+        path = shared_folder(spark, "fulltext")
+        fulltext.add_documents(table(spark, sf_dir, "documents"), path, "doc_id", "text")
+        _INDEXES[own] = path
+    return _INDEXES[own]
 
 
 def lexical(spark, sf_dir, most=40):
-    return retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", SEARCH, most)
+    return fulltext.search(spark, text_index(spark, sf_dir), SEARCH, most).withColumnRenamed("key", "doc_id")
+
+
+@query("""SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT b.doc_id, score FROM ({SCORED}) b JOIN documents USING (doc_id) WHERE source = 'src3' ORDER BY score DESC, b.doc_id LIMIT 15)""".replace("{SCORED}", SCORED))
+def bm25_scoped(spark, sf_dir):
+    """The scope holds before the best are taken."""
+    scope = table(spark, sf_dir, "documents").where("source = 'src3'").select("doc_id")
+    return fulltext.search(spark, text_index(spark, sf_dir), SEARCH, 15, scope).select(F.col("key").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(BM25_SQL)
+def bm25_unindexed(spark, sf_dir):
+    found = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", SEARCH, 40)
+    return found.select("doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(BM25_SQL)
@@ -289,13 +315,14 @@ SELECT doc_id, score, sources, row_number() OVER (ORDER BY score DESC, first, do
 def fused(spark, sf_dir):
     at = F.timestamp_add("HOUR", F.pmod("doc_id", F.lit(720)), F.lit("2024-01-01").cast("timestamp"))
     docs = table(spark, sf_dir, "documents").select("doc_id", at.alias("at"))
-    recent = retrieval.ranked(docs, [F.desc("at"), F.desc("doc_id")], 20)
+    most = retrieval.budgets(retrieval.tier_limit("high"))
+    recent = retrieval.ranked(docs, [F.desc("at"), F.desc("doc_id")], most["recent"])
     lists = {
         "recent": recent,
         "lexical": lexical(spark, sf_dir).join(docs, "doc_id"),
-        "semantic": semantic(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id"),
+        "semantic": semantic(spark, sf_dir, most["semantic"]).withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id"),
     }
-    return retrieval.fuse(lists, "doc_id", "at", as_of(docs, "at"), 30)
+    return retrieval.fuse(lists, "doc_id", "at", as_of(docs, "at"), most["pool"])
 
 
 @query(FUSION_SQL)
@@ -392,15 +419,6 @@ def json_extract_usage(spark, sf_dir):
     return rows.select("event_id", F.col("u.input_tokens").alias("k"), F.col("u.total_tokens").alias("total"))
 
 
-@query("""SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, CASE WHEN n_regionkey = 1 THEN n_name END, r_name, 'default') AS model
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
-def pref_precedence(spark, sf_dir):
-    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    rows = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left")
-    picked = F.coalesce(F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), F.when(F.col("n_regionkey") == 1, F.col("n_name")), F.col("r_name"), F.lit("default"))
-    return rows.select("c_custkey", picked.alias("model"))
-
-
 @query("""SELECT event_id, concat_ws(' ', CASE WHEN s >= 86400 THEN concat(s // 86400, 'd') END, CASE WHEN s % 86400 >= 3600 THEN concat(s % 86400 // 3600, 'h') END,
 CASE WHEN s % 3600 >= 60 THEN concat(s % 3600 // 60, 'm') END, CASE WHEN s % 60 > 0 OR s = 0 THEN concat(s % 60, 's') END) AS duration
 FROM (SELECT event_id, CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01')) AS BIGINT) AS s FROM events)""")
@@ -457,13 +475,6 @@ def tombstone_fold(spark, sf_dir):
     return changes.message_state(log, "user_id").select("user_id", "updated_seq", "hidden", "deleted")
 
 
-@query()
-def embedding_state(spark, sf_dir):
-    op = F.create_map(*[F.lit(x) for p in {"click": "content", "view": "content", "purchase": "ok", "error": "fail", "signup": "fail"}.items() for x in p])[F.col("event_type")]
-    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), "user_id", F.substring("props", -2, 1).alias("hash"))
-    return changes.embedding_state(log, "user_id")
-
-
 @query("""SELECT o_orderkey AS id, coalesce(u.s, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'triaged' END) AS status, u.n AS admin_notes FROM orders
 LEFT JOIN (SELECT l_orderkey, arg_max(CASE l_returnflag WHEN 'R' THEN 'declined' WHEN 'A' THEN 'in_progress' ELSE 'done' END, q) AS s,
 arg_max(l_linestatus, q) FILTER (l_returnflag = 'R') AS n FROM (SELECT *, CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS q FROM lineitem) GROUP BY l_orderkey) u ON l_orderkey = o_orderkey""")
@@ -483,11 +494,6 @@ def job_states(spark, sf_dir):
     return changes.job_states(rows.withColumn("status", status), "user_id", "status", "ts", as_of(rows, "ts"), 24)
 
 
-@query()
-def limiter_greedy(spark, sf_dir):
-    return limits.admitted(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", [(3600, 2), (86_400, 6)])
-
-
 # ---- sequential texts --------------------------------------------------------------------------
 
 
@@ -501,11 +507,6 @@ def markdown_blocks(spark, sf_dir):
     return markup.markdown_blocks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
-def latex_unicode(spark, sf_dir):
-    return markup.latex_to_unicode(table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query()
 def fuzzy_suggest(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.lower("p_name").alias("typed")).distinct()

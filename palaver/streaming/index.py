@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.functions.text import normalised
+from palaver.operators import fulltext
 from palaver.operators.changes import message_state
 
 LOG_SCHEMA = "seq bigint, op string, message_id bigint, content string, ts timestamp"
@@ -27,6 +29,20 @@ def maintain_index(changes: DataFrame, log_path: str, checkpoint: str):
     return changes.writeStream.foreachBatch(lambda b, i: append_to_log(b, i, log_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_texts(changes: DataFrame, index_path: str, checkpoint: str):
+    """Add the texts of upserts to a full-text index, batch by batch; a batch that is run again replaces itself.
+
+    Empty texts are no upserts.  What is hidden or deleted stays in the index; searches are given
+    the visible keys of current_index() as their scope.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        texts = batch.where("op = 'upsert'").withColumn("content", normalised(F.col("content"))).where("content != ''")
+        fulltext.add_documents(texts.dropDuplicates(["seq"]), index_path, "message_id", "content", F.col("seq"), batch_id)
+
+    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current_index(spark: SparkSession, log_path: str) -> DataFrame:
     """The state of every message; events count once by number, whatever batches they came in."""
     return message_state(spark.read.parquet(log_path).drop("batch").dropDuplicates(["seq"]))

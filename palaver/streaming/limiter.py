@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from palaver.operators.limits import TEXT_RULES, Window
+from palaver.operators.limits import TEXT_RULES, Accepted
 
 
 def admit_stream(requests: DataFrame, user: str, at: str, key: str, rules: list[tuple[int, int]] = TEXT_RULES, late: str = "1 hour") -> DataFrame:
@@ -26,7 +26,7 @@ def admit_stream(requests: DataFrame, user: str, at: str, key: str, rules: list[
         if state.hasTimedOut:
             state.remove()
             return
-        window = Window(rules)
+        window = Accepted(rules)
         if state.exists:
             window.times.extend(state.get[0])
         rows = pd.concat(list(frames)).sort_values(["t", "k"])

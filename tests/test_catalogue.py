@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from palaver.plans import catalogue
+from palaver.plans import records  # noqa: F401
 
 
 @pytest.fixture(scope="session")

@@ -46,7 +46,7 @@ def test_context_rows(spark):
     block = R.numbered_lines(pins, "channel_id", ["id"], F.concat(F.lit("[Pin #"), F.col("id").cast("string"), F.lit("] "), "content")).first()
     assert block["block"] == "[Pin #1] text\n[Pin #2] more" and block["lines"] == 2
     entry = lambda *x: F.array(*[F.struct(F.lit(a).alias("author"), F.lit(t).alias("text")) for a, t in x])
-    assert value(spark, R.live_prompt(entry(("a", "hi")))) == "hi" and value(spark, R.live_prompt(entry(("a", "hi"), ("b", "yo")))).endswith("- a: hi\n- b: yo")
+    assert value(spark, R.live_prompt(entry(("a", "hi")))) == "hi" and value(spark, R.live_prompt(entry(("a", "hi"), ("b", "yo")))) == R.LIVE_HEAD + "- a: hi\n- b: yo" + R.LIVE_FOOT
     assert [value(spark, R.media_kind(F.lit(n), F.lit(t).cast("string"))) for n, t in (("a.PNG", None), ("b", "audio/ogg"), ("c.zip", None))] == ["image", "audio", "other"]
     chunks = F.from_json(F.lit('[{"web": {"uri": "u", "title": "t"}}, {"web": null}]'), "array<struct<web: struct<uri: string, title: string>>>")
     assert [tuple(x) for x in value(spark, R.grounding_sources(chunks))] == [("u", "t")]

@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
-from palaver.operators import limits
-from palaver.streaming.index import change_log, current_index, maintain_index, windowed_counts
+from palaver.operators import fulltext, limits
+from palaver.streaming.index import change_log, compact, current_index, index_texts, live_batches, maintain_index, windowed_counts
 from palaver.streaming.limiter import admit_stream
 
 T0 = datetime(2024, 5, 1, 12)
@@ -39,3 +39,55 @@ def test_windowed_counts_match_the_batch(spark, sf_dir, tmp_path):
     query = windowed_counts(stream, "ts", "event_type", "1 day", "1 hour").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sum(r["n"] for r in spark.table("counts").collect()) == events.count()
+
+
+def test_text_index_follows_the_stream(spark, tmp_path):
+    src, index, log = (f"{tmp_path}/{x}" for x in ("src", "index", "log"))
+    schema = "seq long, op string, message_id long, content string, ts timestamp"
+
+    def more(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        index_texts(change_log(spark, src), index, f"{tmp_path}/c1").awaitTermination()
+        maintain_index(change_log(spark, src), log, f"{tmp_path}/c2").awaitTermination()
+
+    def found(query):
+        seen = current_index(spark, log).where("NOT hidden AND NOT deleted").select("message_id")
+        return [r["key"] for r in fulltext.search(spark, index, query, 10, seen).collect()]
+
+    more([(1, "upsert", 1, "fix the auth module", T0), (2, "upsert", 2, "auth auth auth", T0), (3, "upsert", 3, "lunch", T0), (4, "upsert", 4, " ", T0)])
+    assert found("auth") == [2, 1] and found("lunch") == [3] and found("the-auth") == [1]
+    more([(5, "upsert", 2, "now about lunch", T0), (6, "hide", 3, None, T0)])
+    assert found("auth") == [1] and found("lunch") == [2]
+    more([(7, "delete", 1, None, T0)])
+    assert found("auth") == [] and found("?!") == []
+    compact(spark, log, f"{tmp_path}/snapshot")
+    assert spark.read.parquet(f"{tmp_path}/snapshot").count() == 3
+
+
+def test_phrases_by_places(spark, tmp_path):
+    texts = {1: "a-b a-b-a-b", 2: "a b", 3: "b a", 4: "x x x x x", 5: None, 6: "a, B!"}
+    fulltext.add_documents(spark.createDataFrame(list(texts.items()), "id long, t string"), f"{tmp_path}/i", "id", "t")
+    hits = lambda q: {r["key"] for r in fulltext.search(spark, f"{tmp_path}/i", q, 10).collect()}
+    assert hits("a-b") == {1, 2, 6} and hits("b-a") == {1, 3} and hits("x-x") == {4} and hits("x-x-x-x-x-x") == set()
+    docs = spark.createDataFrame([(k, v or "") for k, v in texts.items()], "id long, t string")
+    from palaver.operators.retrieval import bm25
+
+    for q in ("a-b", "b-a", "x-x b", "aa a-b x"):
+        assert [tuple(r) for r in fulltext.search(spark, f"{tmp_path}/i", q, 10).collect()] == [tuple(r) for r in bm25(docs, "id", "t", q, 10).collect()]
+
+
+def test_live_batches_reply_once_to_each_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"m{i}") for i in range(6)], "id long, text string")
+    for part in range(2):
+        rows.where(f"id % 2 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/src")
+    seen = {}
+    query = live_batches(stream, lambda b, i: seen.setdefault(i, sorted(r["id"] for r in b.collect())), f"{tmp_path}/c", 1)
+    try:
+        for _ in range(60):
+            if sum(map(len, seen.values())) == 6:
+                break
+            query.awaitTermination(0.5)
+    finally:
+        query.stop()
+    assert sorted(x for v in seen.values() for x in v) == list(range(6)) and len([v for v in seen.values() if v]) == 2
