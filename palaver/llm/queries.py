@@ -130,6 +130,16 @@ QUERIES = {
 
 #: The operators whose results SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substring(h, CAST(2 * i + 1 AS BIGINT), 400)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY g) > 1),
+m AS (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS begins FROM r)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM m GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, a, b, substring(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)) AS piece FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs) JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last, string_agg(piece, '' ORDER BY a) AS head FROM pieces GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(concat(coalesce(head, ''), substring(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT))))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)""",
     "op5_decontamination": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

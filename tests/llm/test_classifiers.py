@@ -176,3 +176,67 @@ def test_swaps_against_brute_force():
         far = "".join(rng.choice("abc") for _ in range(len(term)))
         wanted = distances(term, far)[-1] <= 1
         assert trie.within_one(far) == wanted
+
+
+def entries_of(node, before=""):
+    """(kind, entry) of a trie."""
+    for key, child in node.items():
+        if len(key) > 1:
+            yield key, before
+        else:
+            yield from entries_of(child, before + key)
+
+
+def slow_verdict(token, stems, terms, usual):
+    """A token's verdict by comparing each of its words with every entry."""
+    best = 0
+    for word in toxicity.parts_of(token):
+        bare, plain = word.lstrip("@$!"), word if word.isalpha() else word.translate(toxicity.LEET)
+        exact = lambda w: any(w.startswith(s) for s in stems) or w in terms
+        if len(word) < toxicity.SHORTEST:
+            continue
+        if exact(bare):
+            return 1
+        if plain != word and exact(plain):
+            best = 2
+        elif toxicity.UNSPACED.search(word):
+            if any(exact(word[i:]) for i in range(len(word) - 1)):
+                return 1
+        elif len(plain) >= toxicity.FUZZY - 1 and plain not in usual:
+            near = any(len(t) >= toxicity.FUZZY and abs(len(t) - len(plain)) <= 1 and distances(t, plain)[-1] <= 1 for t in terms)
+            near = near or any(len(s) > toxicity.FUZZY and min(distances(s, plain[: len(s) + 1])) <= 1 for s in stems)
+            best = 2 if near else best
+    return best
+
+
+def test_toxicity_query_against_brute_force(spark, sf_dir):
+    from palaver.llm.common import doc_bucket
+    from palaver.llm.queries import table
+
+    sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", doc_bucket(F.col("doc_id"), 5) != 0, toxicity.SAMPLE_DOCS)
+    trie = toxicity.learn_lexicon(sample)
+    entries = list(entries_of(trie.root))
+    stems, terms = ({e for k, e in entries if k == kind} for kind in ("stem", "term"))
+    assert stems
+    known = {}
+
+    def found(text):
+        tokens = (text or "").replace("\n", " ").split(" ")
+        out = [0, 0, 0]
+        for i, token in enumerate(tokens):
+            verdict = known[token] if token in known else known.setdefault(token, slow_verdict(token, stems, terms, trie.usual))
+            if verdict:
+                left, right = tokens[max(0, i - toxicity.WINDOW) : i + 1], [t.rstrip(".,;:!?") for t in tokens[i : i + toxicity.WINDOW + 1]]
+                quoted = any(t and t[0] in toxicity.QUOTES for t in left) and any(t and t[-1] in toxicity.QUOTES for t in right)
+                out[2 if quoted else verdict - 1] += 1
+        return out
+
+    layer = sample.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").limit(toxicity.LAYER_DOCS).collect()
+    weights = toxicity.fit_layer(np.array([found(r["text"]) for r in layer], dtype=float), np.array([r["label"] == 1 for r in layer], dtype=float))
+    docs = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    rows = op10_toxicity(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        logit = weights[0] + np.log1p(found(docs[r["doc_id"]])) @ weights[1:]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
+        assert r["held_out"] == (held(r["doc_id"], 5) == 0) and r["predicted"] == int(r["score"] >= 0.5)
