@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -19,7 +21,7 @@ T = TypeVar("T")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of text that one step of a Python task holds at once (a single longer text is held whole).
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +58,13 @@ def doc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and the C library have kept for reuse: a worker waits long between its tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice holds at most ``most`` bytes of text, or one row.
 
@@ -69,7 +78,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: int, most: int = SLICE_
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def with_text(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, text_slices, with_text
+from palaver.llm.common import checkpoint, give_back, text_slices, with_text
 from palaver.llm.graph import connected_components, forest
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -137,6 +137,7 @@ def _near_forest(words: int, most: int, least_shared: int):
                 held = table.slice(cut).to_batches()
         if held:
             yield found(pa.Table.from_batches(held))
+        give_back()
 
     def found(table: pa.Table) -> pa.RecordBatch:
         node, fps = table.column(3).to_numpy(), np.stack([table.column(4 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)

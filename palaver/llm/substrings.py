@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import checkpoint, ranges, scratch, text_slices, with_text
+from palaver.llm.common import checkpoint, give_back, ranges, scratch, text_slices, with_text
 from palaver.llm.subwords import mixed
 
 Q = 40
@@ -71,7 +71,7 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 #: Contexts of one q-gram that a task compares at once; a larger bucket is cut into blocks of this size.
 BLOCK = 256
 #: Contexts that a task holds at once, in bytes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Neighbouring strings of a context that share one identifier of their common middle.
 FAMILY = 20
 TOP = 7  # the doubling whose identifiers stand for 128 bytes
@@ -216,6 +216,7 @@ def _compared(length: int):
                 last = group
         if held:
             yield from settle(held)
+        give_back()
 
     return compared
 
