@@ -115,7 +115,7 @@ def new_reports(drafts: DataFrame, after: int = 0, types: list[str] = REPORT_TYP
     known = F.when(kind.isin(types), kind).otherwise(F.raise_error(F.concat(F.lit("unknown report type: "), kind)))
     kept = drafts.withColumn("report_type", known).withColumn("description", F.regexp_replace("description", r"^\s+|\s+$", "")).where("description != ''")
     numbered = numbered_by_day(kept, "at", [F.col("reporter_id"), F.col("description"), F.col("report_type")], "id", after)
-    second = F.date_trunc("SECOND", "at")
+    second = F.date_trunc("SECOND", "at").cast(drafts.schema["at"].dataType)
     return numbered.select(
         "id", "reporter_id", F.left("reporter_name", F.lit(100)).alias("reporter_name"), "report_type", "description",
         F.lit("open").alias("status"), second.alias("created_at"), second.alias("updated_at"),

@@ -226,27 +226,27 @@ def recent_of_guild(spark, sf_dir):
     return messages.recent(rows, "ts", "event_id", 30).select("event_id")
 
 
-@query("""SELECT conv_id, turn, list_filter(['author is empty', 'message id isn''t positive', 'channel id isn''t positive', 'a reply without its target', 'a target without a reply'],
-lambda x, i: [role = 'system', turn <= 0, conv_id <= 0, turn % 3 = 1 AND turn % 2 = 0, NOT (turn % 3 = 1) AND turn % 2 = 1][i]) AS faults FROM conversations""")
+@query("""SELECT conv_id, turn, array_to_string(list_filter(['author is empty', 'message id isn''t positive', 'channel id isn''t positive', 'a reply without its target', 'a target without a reply'],
+lambda x, i: [role = 'system', turn <= 0, conv_id <= 0, turn % 3 = 1 AND turn % 2 = 0, NOT (turn % 3 = 1) AND turn % 2 = 1][i]), '; ') AS faults FROM conversations""")
 def message_faults(spark, sf_dir):
     author, target = F.when(F.col("role") != "system", F.col("role")), F.when(F.col("turn") % 2 == 1, F.col("turn"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.faults_of_message(author, F.col("turn"), F.col("conv_id"), F.col("turn") % 3 == 1, target).alias("faults"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(rules.faults_of_message(author, F.col("turn"), F.col("conv_id"), F.col("turn") % 3 == 1, target), "; ").alias("faults"))
 
 
-@query("""SELECT p_partkey, list_filter(['a negative count', 'total below its parts'], lambda x, i: [p_size - 3 < 0, p_size * 2 < p_size - 3 + 30][i]) AS faults,
+@query("""SELECT p_partkey, array_to_string(list_filter(['a negative count', 'total below its parts'], lambda x, i: [p_size - 3 < 0, p_size * 2 < p_size - 3 + 30][i]), '; ') AS faults,
 CASE WHEN p_size - 3 > 0 AND p_size - 3 <= 20 AND 20 <= p_size THEN true ELSE false END AS in_order FROM part""")
 def usage_faults(spark, sf_dir):
     size = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", rules.faults_of_usage(size - 3, F.lit(30), size * 2).alias("faults"), rules.limits_in_order(size - 3, F.lit(20), size).alias("in_order"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(rules.faults_of_usage(size - 3, F.lit(30), size * 2), "; ").alias("faults"), rules.limits_in_order(size - 3, F.lit(20), size).alias("in_order"))
 
 
-@query("""SELECT p_partkey, list_filter(['too large', 'format not supported', 'too small', 'warning: large'], lambda x, i: [p_size > 40, p_brand NOT IN ('Brand#1', 'Brand#2'), p_size < 32 OR p_size * 3 < 32, p_size > 4096 OR p_size * 100 > 4096][i]) AS faults,
+@query("""SELECT p_partkey, array_to_string(list_filter(['too large', 'format not supported', 'too small', 'warning: large'], lambda x, i: [p_size > 40, p_brand NOT IN ('Brand#1', 'Brand#2'), p_size < 32 OR p_size * 3 < 32, p_size > 4096 OR p_size * 100 > 4096][i]), '; ') AS faults,
 CASE WHEN p_size * 100 > 4096 THEN 'wide' END AS mark FROM part""")
 def image_faults(spark, sf_dir):
     size = F.col("p_size")
     height = F.when(size * 100 > 4096, size * 100).otherwise(size * 3)
     faults = rules.image_faults(size, F.upper("p_brand"), size, height, 40, ["brand#1", "brand#2"])
-    return table(spark, sf_dir, "part").select("p_partkey", faults.alias("faults"), F.when(size * 100 > 4096, "wide").alias("mark"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(faults, "; ").alias("faults"), F.when(size * 100 > 4096, "wide").alias("mark"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'image' WHEN p_size % 3 = 1 THEN 'audio' ELSE CASE p_size % 5 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'other' END END AS kind FROM part""")
@@ -302,11 +302,11 @@ def lookup_with_default(spark, sf_dir):
     return messages.looked_up(table(spark, sf_dir, "customer").select("c_custkey"), state, ["c_custkey"], {"orders": 0, "status": "none"})
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN [doc_id, 7] WHEN 1 THEN [doc_id, 9] WHEN 2 THEN [3] END AS ids FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(doc_id, ',7') WHEN 1 THEN concat(doc_id, ',9') WHEN 2 THEN '3' END AS ids FROM documents""")
 def json_ids(spark, sf_dir):
     i = F.col("doc_id").cast("string")
     json = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("["), i, F.lit(', "7", "x", null]'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("[["), i, F.lit(", 9], [1]]"))).when(F.col("doc_id") % 4 == 2, "[3]").otherwise("no list")
-    return table(spark, sf_dir, "documents").select("doc_id", rules.json_ids(json).alias("ids"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(rules.json_ids(json).cast("array<string>"), ",").alias("ids"))
 
 
 @query("""SELECT page_id, len(s) AS sources, array_to_string(list_transform(s, lambda x: coalesce(x, '-')), ' ') AS uris FROM (SELECT page_id, list_filter([url, CASE WHEN page_id % 2 = 0 THEN 'b' END], lambda x: x IS NOT NULL) AS s FROM pages)""")
