@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,9 +18,26 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
+def _folded_letters() -> tuple[str, str]:
+    """Letters that are another letter with marks, and those letters; the marks themselves have none."""
+    marked = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0xD800)}
+    base = {c: d[0] for c, d in marked.items() if len(d) > 1 and d[0].isalpha() and all(map(unicodedata.combining, d[1:])) and c == c.lower()}
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(base) + marks, "".join(base.values())
+
+
+MARKED, PLAIN = _folded_letters()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without diacritics, in any script."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, MARKED, PLAIN)).otherwise(low)
+
+
 def query_tokens(query: Column, most: int = 24) -> Column:
-    """Distinct tokens, letter case aside, of the first ``most``; the first spelling stays."""
-    tokens = F.slice(F.regexp_extract_all(query, F.lit(r"[A-Za-z0-9_@#./:\-]+"), F.lit(0)), 1, most)
+    """Distinct tokens of two characters or more, letter case aside, of the first ``most``; the first spelling stays."""
+    tokens = F.slice(F.regexp_extract_all(query, F.lit(r"[A-Za-z0-9_@#./:\-]{2,}"), F.lit(0)), 1, most)
     first = lambda t, i: ~F.exists(F.slice(tokens, 1, i), lambda u: F.lower(u) == F.lower(t))
     return F.filter(tokens, first)
 

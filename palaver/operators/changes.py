@@ -22,6 +22,51 @@ def latest_given(rows: DataFrame, keys: list[str], seq: str, columns: list[str])
     return rows.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in columns])
 
 
+#: What is kept of a message's events: each column can be merged with another log's, in any order and again.
+FACTS = ["born", "given", "updated_seq", "last_hide", "hide_seq", "deleted_seq"]
+
+
+def message_facts(log: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, *FACTS) of events (seq, op, key, *fields); the first field is the content, normalised.
+
+    Empty content rejects an upsert.  ``given`` holds the fields of the last accepted one.
+    """
+    upsert = F.col("op") == "upsert"
+    text = normalised(F.col(fields[0]))
+    accepted = log.where(~upsert | (F.coalesce(text, F.lit("")) != ""))
+    turned = F.col("op").isin("hide", "unhide")
+    return accepted.select(
+        key, F.when(upsert, F.col("seq")).alias("born"), F.when(upsert, F.struct(text.alias(fields[0]), *fields[1:])).alias("given"), F.when(upsert, F.col("seq")).alias("updated_seq"),
+        F.when(turned, F.col("op") == "hide").alias("last_hide"), F.when(turned, F.col("seq")).alias("hide_seq"), F.when(F.col("op") == "delete", F.col("seq")).alias("deleted_seq"),
+    ).groupBy(key).agg(*merged_facts())
+
+
+def merged_facts() -> list[Column]:
+    """The aggregates that make one row of facts out of several; a fact that is met twice counts once."""
+    return [
+        F.min("born").alias("born"), F.max_by("given", "updated_seq").alias("given"), F.max("updated_seq").alias("updated_seq"),
+        F.max_by("last_hide", "hide_seq").alias("last_hide"), F.max("hide_seq").alias("hide_seq"), F.max("deleted_seq").alias("deleted_seq"),
+    ]
+
+
+def deleted_by() -> Column:
+    """Deleted, of facts; the last event of each kind is after the first upsert if any of that kind is."""
+    return F.coalesce(F.col("deleted_seq") > F.col("born"), F.lit(False))
+
+
+def hidden_by() -> Column:
+    """Hidden, of facts: the last hide or unhide counts, a later deletion hides."""
+    unhidden_later = F.col("hide_seq") > F.coalesce("deleted_seq", F.lit(-1))
+    return F.coalesce(F.when((F.col("hide_seq") > F.col("born")) & (~deleted_by() | unhidden_later), F.col("last_hide")).otherwise(deleted_by()), F.lit(False))
+
+
+def state_of(facts: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Facts as message state; keys without an accepted upsert are no messages."""
+    text = F.col("given").getField(fields[0])
+    more = [F.col("given").getField(f).alias(f) for f in fields[1:]]
+    return facts.where("born IS NOT NULL").select(key, text.alias("content_text"), *more, content_hash(text).alias("content_hash"), "updated_seq", hidden_by().alias("hidden"), deleted_by().alias("deleted"))
+
+
 def message_state(log: DataFrame, key: str = "message_id") -> DataFrame:
     """Fold of (seq, op, key, content, ts): op is upsert, hide, unhide or delete.
 
@@ -29,22 +74,7 @@ def message_state(log: DataFrame, key: str = "message_id") -> DataFrame:
     A deletion is final (later upserts refresh columns but don't bring the message back) and
     hides; else the last hide or unhide counts, whatever upserts follow.
     """
-    text = normalised(F.col("content"))
-    accepted = log.where((F.col("op") != "upsert") | (F.coalesce(text, F.lit("")) != "")).withColumn("text", text)
-    upsert = F.col("op") == "upsert"
-    state = accepted.groupBy(key).agg(
-        F.min(F.when(upsert, F.col("seq"))).alias("born"),
-        F.max_by("text", F.when(upsert, F.col("seq"))).alias("content_text"),
-        F.max(F.when(upsert, F.col("seq"))).alias("updated_seq"),
-        F.max_by(F.col("op") == "hide", F.when(F.col("op").isin("hide", "unhide"), F.col("seq"))).alias("last_hide"),
-        F.max(F.when(F.col("op").isin("hide", "unhide"), F.col("seq"))).alias("hide_seq"),
-        F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("deleted_seq"),
-    )
-    # the last of each kind is after the first upsert if any of that kind is
-    deleted = F.coalesce(F.col("deleted_seq") > F.col("born"), F.lit(False))
-    unhidden_later = F.col("hide_seq") > F.coalesce("deleted_seq", F.lit(-1))
-    hidden = F.when((F.col("hide_seq") > F.col("born")) & (~deleted | unhidden_later), F.col("last_hide")).otherwise(deleted)
-    return state.where("born IS NOT NULL").select(key, "content_text", content_hash(F.col("content_text")).alias("content_hash"), "updated_seq", F.coalesce(hidden, F.lit(False)).alias("hidden"), deleted.alias("deleted"))
+    return state_of(message_facts(log, key, ["content"]), key, ["content"])
 
 
 #: Failures after which a vector isn't tried again.

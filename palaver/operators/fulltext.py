@@ -1,9 +1,14 @@
-"""A full-text index in tables: postings by term and lengths by document, kept by appends, and BM25 over them.
+"""Message state and full-text index in one, kept by batches of changes, and BM25 over the visible messages.
 
-``postings`` has a row for each term of each version of a document (how often, and at which places),
-in folders by batch and by a hash of the term; ``lengths`` has a row for each version.  The newest
-version of a document counts.  A query reads the folders of its own terms, and of those the row
-groups that hold them.
+Four tables of a run (see ``sources.runs``): ``state``, a row for each message that the run's batches
+touch, whole; ``postings``, a row for each term and field of the texts that became visible in it, in
+folders by a hash of the term, as many as the run's size asks for; ``gone``, the texts of earlier runs that are no longer to be found
+(edited, hidden, deleted); ``stats``, one row with what the run adds to the number of visible texts
+and of their terms.  A text is known by its message and the batch that indexed it, so that the same
+words can be hidden and come back.
+
+A search reads the folders of its own terms, leaves out what is gone, and takes its statistics from
+the runs' single rows; it reads no table of all messages.
 """
 
 from __future__ import annotations
@@ -15,37 +20,161 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions.text import query_tokens
+from palaver.operators.changes import FACTS, deleted_by, hidden_by, merged_facts, message_facts, state_of
 from palaver.operators.retrieval import ranked, term_score, terms_of
-
-#: Folders of terms.
-BUCKETS = 64
+from palaver.sources.runs import BEGIN, Run, Runs
+
+#: Changes whenever tables of an older form can't be read.
+FORMAT = 2
+#: Words of text in a folder of postings, about; and folders of a run at most.
+FOLDER_WORDS, FOLDERS = 1 << 24, 1 << 12
+#: The searched fields; the first is the content, without which there is no message.
+FIELDS = ["content", "author_name", "attachment_summary"]
+#: Characters of a field that are kept.
+KEPT = {"author_name": 120}
+#: Rows of ``gone``, or keys of a batch, up to which they are sent to all tasks (16 bytes each).
+BROADCAST_ROWS = 500_000
+
+_GIVEN = "struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ">"
+_FACTS = f"born bigint, given {_GIVEN}, updated_seq bigint, last_hide boolean, hide_seq bigint, deleted_seq bigint"
+_PLACE = "struct<batch: bigint, terms: int, digest: bigint>"
+STATE = f"key bigint, {_FACTS}, place {_PLACE}"
+POSTINGS = "key bigint, batch bigint, term string, field tinyint, places array<int>, terms int, bucket int"
+GONE = "key bigint, batch bigint, terms int"
+STATS = "texts bigint, terms bigint, gone bigint, folders int"
+TABLES = ["state", "postings", "gone", "stats"]
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """Sent to all tasks if that is small; else joined by a shuffle."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def newest_state(runs: Runs, live: list[Run]) -> DataFrame:
+    """The state rows as of the last run, one a message.
+
+    The oldest run has one row a message by itself; it gives those that later runs don't touch, so
+    that only the later ones are grouped.
+    """
+    if len(live) < 2:
+        return runs.read("state", STATE, live).drop("upto")
+    later = runs.read("state", STATE, live[1:]).groupBy("key").agg(F.max_by(F.struct(*FACTS, "place"), "upto").alias("s")).select("key", "s.*")
+    base = runs.read("state", STATE, live[:1]).drop("upto")
+    return base.join(later.select("key"), "key", "left_anti").unionByName(later)
 
 
-def add_documents(docs: DataFrame, path: str, key: str, text: str, version: Column | None = None, batch: int = 0) -> None:
-    """Append documents to the index; ``version`` orders those of one key, ``batch`` names this append.
+def apply_changes(changes: DataFrame, path: str, batch: int, key: str = "message_id") -> None:
+    """Bring a batch of events (seq, op, key, *FIELDS) into state and index; a batch that is committed is left alone.
 
-    A batch that is written again replaces itself.  Texts without terms have a length of 0.
+    Fields that the events don't have count as null.  Batches are numbered from 0 and come in order.
+    Only the state rows of the batch's messages are read, in the range of their keys.
     """
-    version = F.lit(0).cast("bigint") if version is None else version.cast("bigint")
-    slim = docs.select(F.col(key).alias("key"), version.alias("version"), terms_of(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    slim.select("key", "version", F.size("terms").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths/batch={batch}")
-    places = slim.select("key", "version", F.posexplode("terms").alias("place", "term")).groupBy("key", "version", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).alias("bucket")
-    postings = places.select("key", "version", "term", "places", bucket)
-    # a bucket of a frequent term may be written by several tasks
-    postings.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-
-
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """(key, version, length) of each document's newest version."""
-    rows = spark.read.parquet(f"{path}/lengths")
-    return rows.groupBy("key").agg(F.max("version").alias("version"), F.max_by("length", "version").alias("length"))
+    spark = changes.sparkSession
+    runs = Runs(spark, path)
+    live = runs.live()
+    if live and live[-1].upto >= batch:
+        return
+    run = Run(live[-1].upto if live else BEGIN, batch)
+    given = lambda f: F.col(f) if f in changes.columns else F.lit(None).cast("string")
+    fields = [(F.left(given(f), F.lit(KEPT[f])) if f in KEPT else given(f)).alias(f) for f in FIELDS]
+    facts = message_facts(changes.select("seq", "op", F.col(key).cast("bigint").alias("key"), *fields), "key", FIELDS).persist()
+    try:
+        n, low, high = facts.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+        touched = facts.withColumn("place", F.lit(None).cast(_PLACE)).withColumn("upto", F.lit(batch).cast("bigint"))
+        if live and n:
+            known = runs.read("state", STATE, live).where(F.col("key").between(low, high))
+            touched = touched.unionByName(known.join(_small(facts.select("key"), n), "key", "left_semi"))
+        merged = touched.groupBy("key").agg(*merged_facts(), F.max_by("place", F.when(F.col("upto") < batch, F.col("upto"))).alias("was"))
+        words = [terms_of(F.coalesce(F.col("given").getField(f), F.lit(""))) for f in FIELDS]
+        digest = F.xxhash64(*[F.col("given").getField(f) for f in FIELDS])
+        shown = F.col("born").isNotNull() & ~hidden_by() & ~deleted_by()
+        stays = F.coalesce(shown & (F.col("was.digest") == digest), F.lit(False))
+        seen = merged.select("*", *[w.alias(f"_{i}") for i, w in enumerate(words)]).withColumn("_n", sum((F.size(f"_{i}") for i in range(len(FIELDS))), F.lit(0)))
+        fresh = F.when(shown, F.struct(F.lit(batch).cast("bigint").alias("batch"), F.col("_n").alias("terms"), digest.alias("digest")))
+        decided = seen.withColumn("place", F.when(stays, F.col("was")).otherwise(fresh)).persist()
+        try:
+            _write(runs, run, decided, stays)
+        finally:
+            decided.unpersist()
+    finally:
+        facts.unpersist()
+    runs.commit(run)
+
+
+def _write(runs: Runs, run: Run, decided: DataFrame, stays: Column) -> None:
+    runs.write(run, "state", decided.select("key", *FACTS, "place").repartitionByRange("key").sortWithinPartitions("key"))
+    gone = decided.where(F.col("was").isNotNull() & ~stays).select("key", "was.batch", "was.terms")
+    runs.write(run, "gone", gone)
+    new = decided.where(F.col("place.batch") == run.upto)
+    each = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("field"), F.col(f"_{i}").alias("words")) for i in range(len(FIELDS))])
+    by_field = new.select("key", "place.batch", "place.terms", F.inline(each)).select("key", "batch", "terms", "field", F.posexplode("words").alias("at", "term"))
+    places = by_field.groupBy("key", "batch", "terms", "field", "term").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    # both tables are written: the row is their difference
+    less = runs.read("gone", GONE, [run]).agg(F.count(F.lit(1)).alias("gone"), F.coalesce(F.sum("terms"), F.lit(0)).alias("less"))
+    more = runs.read("state", STATE, [run]).where(F.col("place.batch") == run.upto).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("place.terms"), F.lit(0)).alias("more"))
+    (n, added), (dead, lost) = more.first(), less.first()
+    _write_postings(runs, run, places, folders_for(added))
+    runs.write(run, "stats", runs.spark.createDataFrame([(n - dead, added - lost, dead, folders_for(added))], STATS).coalesce(1))
+
+
+def folders_for(words: int) -> int:
+    """A power of two."""
+    return min(FOLDERS, 1 << max(0, -(-words // FOLDER_WORDS) - 1).bit_length())
+
+
+def _write_postings(runs: Runs, run: Run, postings: DataFrame, folders: int) -> None:
+    """A folder of a frequent term may be written by several tasks; a file's rows are in order of terms."""
+    columns = [c.split()[0] for c in POSTINGS.split(", ")]
+    filed = postings.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(folders)).cast("int"))
+    runs.write(run, "postings", filed.select(columns).repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term"), ["bucket"])
+
+
+def merge(spark: SparkSession, path: str, which: list[Run] | None = None) -> None:
+    """Write runs that follow each other (all live ones, if none are given) as one; what is gone within them is left out.
+
+    Marks of texts that older runs hold are kept, so that a merge of all runs has none.
+    """
+    runs = Runs(spark, path)
+    group = runs.live() if which is None else which
+    if len(group) < 2:
+        return
+    run = Run(group[0].start, group[-1].upto)
+    newest = runs.read("state", STATE, group).groupBy("key").agg(F.max_by(F.struct(*FACTS, "place"), "upto").alias("s")).select("key", "s.*")
+    runs.write(run, "state", newest.repartitionByRange("key").sortWithinPartitions("key"))
+    gone = runs.read("gone", GONE, group).drop("upto")
+    stats = runs.read("stats", STATS, group)
+    texts, terms, dead = stats.agg(F.sum("texts"), F.sum("terms"), F.sum("gone")).first()
+    postings = runs.read("postings", POSTINGS, group).drop("upto", "bucket")
+    _write_postings(runs, run, postings.join(_small(gone.select("key", "batch"), dead), ["key", "batch"], "left_anti"), folders_for(terms))
+    runs.write(run, "gone", gone.where(F.col("batch") <= run.start))
+    older = runs.read("gone", GONE, [run]).count()
+    runs.write(run, "stats", spark.createDataFrame([(texts, terms, older, folders_for(terms))], STATS).coalesce(1))
+    runs.commit(run)
+
+
+def keep_up(changes: DataFrame, path: str, batch: int, key: str = "message_id") -> None:
+    """apply_changes(), then a merge of the newest runs where there are many of one size."""
+    apply_changes(changes, path, batch, key)
+    crowd = Runs(changes.sparkSession, path).crowded()
+    if crowd:
+        merge(changes.sparkSession, path, crowd)
+
+
+def current_state(spark: SparkSession, path: str, key: str = "message_id") -> DataFrame:
+    """(key, content_text, the other fields, content_hash, updated_seq, hidden, deleted) of every message."""
+    runs = Runs(spark, path)
+    return state_of(newest_state(runs, runs.live()), "key", FIELDS).withColumnRenamed("key", key)
+
+
+def index_size(spark: SparkSession, path: str) -> DataFrame:
+    """One row: visible texts, their terms, and marks of texts that searches must leave out."""
+    runs = Runs(spark, path)
+    return runs.read("stats", STATS, runs.live()).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("texts", "terms", "gone")])
 
 
 def phrases_of(query: str, spark: SparkSession) -> list[list[str]]:
     """The query's tokens as runs of terms."""
-    tokens = query_tokens(F.lit(query))
-    row = spark.range(1).select(F.transform(tokens, terms_of).alias("p")).first()
+    row = spark.range(1).select(F.transform(query_tokens(F.lit(query)), terms_of).alias("p")).first()
     return [p for p in row["p"] if p]
 
 
@@ -54,7 +183,7 @@ def _moved(places: Column, by: int) -> Column:
 
 
 def _count(phrase: list[str]) -> Column:
-    """How often a phrase stands in a document, by its terms' places; one that overlaps itself counts once."""
+    """How often a phrase stands in a field, by its terms' places; one that overlaps itself counts once."""
     places = [F.col(f"p_{w}") for w in phrase]
     if len(phrase) == 1:
         return F.size(places[0])
@@ -64,26 +193,39 @@ def _count(phrase: list[str]) -> Column:
     return walked["n"]
 
 
-def search(spark: SparkSession, path: str, query: str, most: int, scope: DataFrame | None = None) -> DataFrame:
-    """(key, score, rank) of documents that hold any phrase of the query, best first.
+def search(spark: SparkSession, path: str, query: str, most: int, scope: DataFrame | None = None, fields: list[str] = FIELDS) -> DataFrame:
+    """(key, score, rank) of visible messages that hold any phrase of the query in any of the fields, best first.
 
     ``scope``: the keys that may be found (one column), if not all; it is applied before the best
-    are taken.  Statistics cover all documents of the index.
+    are taken.  Statistics cover all visible messages.  The postings are read once: the phrases'
+    document frequencies are a subquery over the same shuffled rows.
     """
     phrases = phrases_of(query, spark)
     words = sorted({w for p in phrases for w in p})
-    if not words:
-        return newest(spark, path).select("key", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    buckets = sorted({zlib.crc32(w.encode()) % BUCKETS for w in words})
-    current = newest(spark, path)
-    n, mean = current.agg(F.count(F.lit(1)), F.avg("length")).first()
-    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(words)).select("key", "version", "term", "places")
+    runs = Runs(spark, path)
+    live = runs.live()
+    stats = runs.read("stats", STATS, live).collect()  # a row a run
+    n, terms, dead = (sum(r[c] for r in stats) for c in ("texts", "terms", "gone"))
+    if not words or not n:
+        return runs.read("state", STATE, []).select("key", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    of = {r["upto"]: r["folders"] for r in stats}
+    parts = []
+    for folders in sorted(set(of.values())):
+        own = sorted({zlib.crc32(w.encode()) % folders for w in words})
+        parts.append(runs.read("postings", POSTINGS, [r for r in live if of[r.upto] == folders]).where(F.col("bucket").isin(own) & F.col("term").isin(words)))
+    rows = reduce(DataFrame.unionByName, parts)
+    if set(fields) != set(FIELDS):
+        rows = rows.where(F.col("field").isin([FIELDS.index(f) for f in fields]))
+    rows = rows.select("key", "batch", "field", "term", "places", "terms")
+    if dead:
+        rows = rows.join(_small(runs.read("gone", GONE, live).select("key", "batch"), dead), ["key", "batch"], "left_anti")
     none = F.array().cast("array<int>")
-    by_key = rows.groupBy("key", "version").agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("places"))), none).alias(f"p_{w}") for w in words])
-    counted = by_key.join(current, ["key", "version"]).select("key", "length", *[_count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    frequencies = counted.agg(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(phrases))]).first()
-    hits = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases))))
+    held = [F.coalesce(F.max(F.when(F.col("term") == w, F.col("places"))), none).alias(f"p_{w}") for w in words]
+    by_field = rows.repartition("key").groupBy("key", "field", "terms").agg(*held)
+    counted = by_field.groupBy("key", "terms").agg(*[F.sum(_count(p)).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    every = counted.agg(F.struct(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).alias("df")).scalar()
+    hits = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).withColumn("df", every)
     if scope is not None:
         hits = hits.join(scope.toDF("key"), "key", "left_semi")
-    score = sum((term_score(F.col(f"tf{i}"), df, n, F.col("length"), mean) for i, df in enumerate(frequencies)), F.lit(0.0))
+    score = sum((term_score(F.col(f"tf{i}"), F.col(f"df.df{i}"), n, F.col("terms"), terms / n) for i in range(len(phrases))), F.lit(0.0))
     return ranked(hits.select("key", F.round(score, 6).alias("score")), [F.desc("score"), F.asc("key")], most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.functions.text import query_tokens
+from palaver.functions.text import folded, query_tokens
 
 K1, B = 1.2, 0.75
 #: Weight of a rank by source, in the order in which ties are listed.
@@ -16,13 +16,14 @@ TIERS = {"low": 4, "medium": 8, "high": 12}
 
 
 def terms_of(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Runs of letters and digits of any script, in lower case and without diacritics."""
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def spaced(text: Column) -> Column:
-    """The terms of a text, each between spaces of its own."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  "), F.lit(" "))
+    """The terms of a text, each between spaces of its own; empty without terms."""
+    inner = F.trim(F.regexp_replace(folded(text), r"[^\p{L}\p{N}]+", "  "))
+    return F.when(inner == "", inner).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
 def occurrences(spaced_text: str, phrase: list[str]) -> Column:
@@ -32,9 +33,10 @@ def occurrences(spaced_text: str, phrase: list[str]) -> Column:
     return ((F.length(spaced_text) - F.length(without)) / len(wanted)).cast("int")
 
 
-def term_score(tf: Column, df: int, n: int, length: Column, mean: float | None) -> Column:
+def term_score(tf: Column, df: int | Column, n: int, length: Column, mean: float | None) -> Column:
     """A term's part of a document's score: Robertson and Zaragoza, with a least weight for terms of most documents."""
-    idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (F.lit(float(df)) + 0.5)), F.lit(1e-6))
+    df = (df if isinstance(df, Column) else F.lit(df)).cast("double")
+    idf = F.greatest(F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
     tf = tf.cast("double")
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(float(mean or 1))))
 
@@ -51,8 +53,9 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, most: int) -> DataFra
     phrases = [p for p in (spark.range(1).select(terms_of(F.lit(t)).alias("t")).first()["t"] for t in tokens) if p]
     if not phrases:
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    length = F.regexp_count(F.lower(F.col(text)), F.lit("[a-z0-9]+")).alias("length")
-    counted = docs.select(key, length, spaced(F.col(text)).alias("spaced")).select(key, "length", *[occurrences("spaced", p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    # a term has two spaces of its own
+    length = ((F.length("spaced") - F.length(F.replace(F.col("spaced"), F.lit(" "), F.lit("")))) / 2).cast("int").alias("length")
+    counted = docs.select(key, spaced(F.coalesce(F.col(text), F.lit(""))).alias("spaced")).select(key, length, *[occurrences("spaced", p).alias(f"tf{i}") for i, p in enumerate(phrases)])
     n, mean, *frequencies = counted.agg(F.count(F.lit(1)), F.avg("length"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(phrases))]).first()
     score = sum((term_score(F.col(f"tf{i}"), df, n, F.col("length"), mean) for i, df in enumerate(frequencies)), F.lit(0.0))
     hits = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(phrases)))).select(key, F.round(score, 6).alias("score"))

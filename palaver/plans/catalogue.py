@@ -7,6 +7,7 @@ orders for reports.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from palaver.functions import text as X
 from palaver.operators import changes, fulltext, limits, markup, messages, retrieval, usage, windows
 from palaver.session import shared_folder
 from palaver.sources import sinks
+from palaver.sources.runs import Runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -243,7 +245,7 @@ SEARCH = "thing the-eron token"
 BM25_SQL = """SELECT doc_id, round(s0 + s1 + s2, 6) AS score FROM (SELECT doc_id, tf0 + tf1 + tf2 AS hits, {parts} FROM c, s) WHERE hits > 0"""
 _PART = "greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 0.000001) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean)) AS s{i}"
 SCORED = (
-    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS t FROM documents),
 c AS (SELECT doc_id, CAST(len(t) AS DOUBLE) AS length, CAST(len(list_filter(t, lambda x: x = 'thing')) AS DOUBLE) AS tf0,
 CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND t[i + 1] = 'eron')) AS DOUBLE) AS tf1, CAST(len(list_filter(t, lambda x: x = 'token')) AS DOUBLE) AS tf2 FROM w),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean, CAST(count_if(tf0 > 0) AS DOUBLE) AS df0, CAST(count_if(tf1 > 0) AS DOUBLE) AS df1, CAST(count_if(tf2 > 0) AS DOUBLE) AS df2 FROM c) """
@@ -252,17 +254,16 @@ s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean, CAST(count_if(t
 BM25_SQL = f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM ({SCORED}) ORDER BY score DESC, doc_id LIMIT 40)"
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+def text_index(spark, sf_dir):
+    """The documents' full-text index, built by the first query that needs it and again once the table's files change."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length").collect()
+    path = shared_folder(spark, f"fulltext{fulltext.FORMAT}", hashlib.sha256(repr(sorted(map(tuple, files))).encode()).hexdigest()[:32])
+    fulltext.apply_changes(as_upserts(table(spark, sf_dir, "documents")), path, 0, "doc_id")
+    return path
 
 
-def text_index(spark, sf_dir):
-    """The documents' full-text index, built by the first query of an application that needs it."""
-    own = (spark.sparkContext.applicationId, sf_dir)
-    if own not in _INDEXES:
-        path = shared_folder(spark, "fulltext")
-        fulltext.add_documents(table(spark, sf_dir, "documents"), path, "doc_id", "text")
-        _INDEXES[own] = path
-    return _INDEXES[own]
+def as_upserts(docs):
+    return docs.select(F.lit(0).cast("bigint").alias("seq"), F.lit("upsert").alias("op"), "doc_id", F.col("text").alias("content"))
 
 
 def lexical(spark, sf_dir, most=40):
@@ -287,6 +288,39 @@ def bm25_topk(spark, sf_dir):
     return lexical(spark, sf_dir).select("doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+CHANGED = """WITH m AS (SELECT doc_id, CASE WHEN doc_id % 13 = 2 THEN concat('token thing edited ', source) ELSE text END AS content, source AS author, lang AS files FROM documents
+  WHERE doc_id % 11 <> 5 AND (doc_id % 7 <> 3 OR doc_id % 2 = 0) AND regexp_matches(text, '[^\\s]')),
+w AS (SELECT doc_id, list_transform([content, author, files], lambda f: regexp_extract_all(lower(strip_accents(coalesce(f, ''))), '[\\p{L}\\p{N}]+')) AS fields FROM m),
+c AS (SELECT doc_id, CAST(list_sum(list_transform(fields, lambda f: len(f))) AS DOUBLE) AS length, CAST(list_sum(list_transform(fields, lambda t: len(list_filter(t, lambda x: x = 'thing')))) AS DOUBLE) AS tf0,
+  CAST(list_sum(list_transform(fields, lambda t: len(list_filter(range(1, len(t)), lambda i: t[i] = 'the' AND t[i + 1] = 'eron')))) AS DOUBLE) AS tf1, CAST(list_sum(list_transform(fields, lambda t: len(list_filter(t, lambda x: x = 'src3')))) AS DOUBLE) AS tf2 FROM w),
+s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS mean, CAST(count_if(tf0 > 0) AS DOUBLE) AS df0, CAST(count_if(tf1 > 0) AS DOUBLE) AS df1, CAST(count_if(tf2 > 0) AS DOUBLE) AS df2 FROM c) """
+
+
+def changed_index(spark, sf_dir):
+    """A new index of the documents after edits, hidings and deletions, some of them undone, in four batches and a merge of two."""
+    docs, path = table(spark, sf_dir, "documents"), shared_folder(spark, "fulltext")
+    event = lambda seq, op, rows, text=None: rows.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"), "doc_id", (F.col("text") if text is None else text).alias("content"), F.col("source").alias("author_name"), F.col("lang").alias("attachment_summary"))
+    hidden = docs.where("doc_id % 7 = 3")
+    edited = event(4, "upsert", docs.where("doc_id % 13 = 2 AND text RLIKE '[^\\\\s]'"), F.concat(F.lit("token thing edited "), "source"))
+    for i, batch in enumerate([event(1, "upsert", docs), event(2, "hide", hidden).unionByName(event(3, "delete", docs.where("doc_id % 11 = 5"))), edited, event(5, "unhide", hidden.where("doc_id % 2 = 0"))]):
+        fulltext.apply_changes(batch, path, i, "doc_id")
+        if i == 2:
+            fulltext.merge(spark, path, Runs(spark, path).live()[1:])
+    return path
+
+
+@query(CHANGED + """SELECT CAST(n AS BIGINT) AS texts, CAST(sum(length) AS BIGINT) AS terms FROM c, s GROUP BY n""")
+def fulltext_build(spark, sf_dir):
+    """Its time is that of building the index, unlike those of the searches."""
+    return fulltext.index_size(spark, changed_index(spark, sf_dir)).select("texts", "terms")
+
+
+@query("SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, round(s0 + s1 + s2, 6) AS score FROM (" + CHANGED + "SELECT doc_id, tf0 + tf1 + tf2 AS hits, " + ", ".join(_PART.format(i=i) for i in range(3)) + " FROM c, s) WHERE hits > 0 ORDER BY score DESC, doc_id LIMIT 40)")
+def fulltext_after_changes(spark, sf_dir):
+    found = fulltext.search(spark, changed_index(spark, sf_dir), "thing the-eron src3", 40)
+    return found.select(F.col("key").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 COSINE_SQL = """SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
 (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings) WHERE score > 0 ORDER BY score DESC, vec_id LIMIT 40"""
 
@@ -356,7 +390,7 @@ def normalize_hash(spark, sf_dir):
 
 
 @query(r"""SELECT item_id, array_to_string(list_filter(t, lambda x, i: NOT list_contains(list_transform(t[1:i - 1], lambda y: lower(y)), lower(x))), ' ') AS tokens
-FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9_@#./:\-]+')[1:24] AS t FROM benchmark)""")
+FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9_@#./:\-]{2,}')[1:24] AS t FROM benchmark)""")
 def query_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.query_tokens(F.col("text")), " ").alias("tokens"))
 

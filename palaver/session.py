@@ -20,11 +20,15 @@ def session(name: str = "palaver", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map={**SETTINGS, **more}).getOrCreate()
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where driver and executors can write tables; of this machine only where all of Spark runs on it."""
+def shared_folder(spark: SparkSession, name: str, own: str | None = None) -> str:
+    """A folder where driver and executors can write tables; of this machine only where all of Spark runs on it.
+
+    ``own`` tells folders of one name apart; without it the folder is a new one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="palaver-")
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/{name}-{own or uuid.uuid4().hex}"

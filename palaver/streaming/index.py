@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.functions.text import normalised
 from palaver.operators import fulltext
-from palaver.operators.changes import message_state
 
-LOG_SCHEMA = "seq bigint, op string, message_id bigint, content string, ts timestamp"
+LOG_SCHEMA = "seq bigint, op string, message_id bigint, content string, author_name string, attachment_summary string, ts timestamp"
 
 
 def change_log(spark: SparkSession, path: str) -> DataFrame:
@@ -19,38 +17,19 @@ def change_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LOG_SCHEMA).parquet(path)
 
 
-def append_to_log(batch: DataFrame, batch_id: int, log_path: str) -> None:
-    """Write a batch under its own number: a batch that is run again overwrites itself."""
-    batch.dropDuplicates(["seq"]).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+def maintain_index(changes: DataFrame, path: str, checkpoint: str):
+    """Keep message state and full-text index by the stream, exactly once: a batch that is run again is known by its number."""
+    return changes.writeStream.foreachBatch(lambda b, i: fulltext.keep_up(b, path, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def maintain_index(changes: DataFrame, log_path: str, checkpoint: str):
-    """Append change events exactly once; current_index() folds the log."""
-    return changes.writeStream.foreachBatch(lambda b, i: append_to_log(b, i, log_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_index(spark: SparkSession, path: str) -> DataFrame:
+    """The state of every message; of the runs since the last merge only the messages that they touch are grouped."""
+    return fulltext.current_state(spark, path)
 
 
-def index_texts(changes: DataFrame, index_path: str, checkpoint: str):
-    """Add the texts of upserts to a full-text index, batch by batch; a batch that is run again replaces itself.
-
-    Empty texts are no upserts.  What is hidden or deleted stays in the index; searches are given
-    the visible keys of current_index() as their scope.
-    """
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        texts = batch.where("op = 'upsert'").withColumn("content", normalised(F.col("content"))).where("content != ''")
-        fulltext.add_documents(texts.dropDuplicates(["seq"]), index_path, "message_id", "content", F.col("seq"), batch_id)
-
-    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_index(spark: SparkSession, log_path: str) -> DataFrame:
-    """The state of every message; events count once by number, whatever batches they came in."""
-    return message_state(spark.read.parquet(log_path).drop("batch").dropDuplicates(["seq"]))
-
-
-def compact(spark: SparkSession, log_path: str, snapshot_path: str) -> None:
-    """Write the current state as a snapshot table of its own."""
-    current_index(spark, log_path).write.mode("overwrite").parquet(snapshot_path)
+def compact(spark: SparkSession, path: str) -> None:
+    """One run of all; readers take it from the moment of its commit."""
+    fulltext.merge(spark, path)
 
 
 def live_batches(messages: DataFrame, reply: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 2):
