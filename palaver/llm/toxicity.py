@@ -48,8 +48,10 @@ SLICE_BYTES = 3 << 20
 QUOTES = "\"'`«»“”„‘’‚‹›"
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
-#: Parts of a token: runs of letters, digits and signs that may stand for letters, which end in a letter or digit.
-PART = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}@$!]*[\p{L}\p{N}\p{M}])?|[@$!][\p{L}\p{N}\p{M}@$!]*[\p{L}\p{N}\p{M}]")
+#: Runs of letters, digits, marks and signs that may stand for letters.
+RUN = regex.compile(r"[\p{L}\p{N}@$!][\p{L}\p{N}\p{M}@$!]*")
+#: Up to here every beginning of a word is counted; beyond, beginnings that are an eighth longer each time.
+DENSE = 64
 #: Letters of scripts that put no space between words: there a match may begin anywhere.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
@@ -59,9 +61,20 @@ PRIOR = np.array([-3.0, 4.0, 2.0, 1.0])
 
 
 def parts_of(token: str) -> list[str]:
-    """The words of a token in lower case: it may hold several, between signs or other white space."""
+    """The words of a token in lower case: it may hold several, between signs or other white space.
+
+    A word is a run less the signs at its end.
+    """
     token = token.lower()
-    return [token] if token.isalpha() else PART.findall(token)
+    return [token] if token.isalpha() else [w for run in RUN.findall(token) if (w := run.rstrip("@$!"))]
+
+
+def lengths_up_to(n: int) -> Iterator[int]:
+    """The lengths of the beginnings that are counted of a word of n characters: together linear in n."""
+    k = SHORTEST
+    while k <= n:
+        yield k
+        k += 1 if k < DENSE else k // 8
 
 
 class Keys:
@@ -89,7 +102,10 @@ class Trie:
     """Stems (any continuation accepted) and full terms of the lexicon."""
 
     def __init__(self, stems: list[str], terms: list[str], usual: frozenset[str] = frozenset()):
-        self.root: dict = {}
+        # nodes are numbers, so that a trie of any depth can be sent; how long a stem or term ends at a node, or 0
+        self.next: list[dict[str, int]] = [{}]
+        self.stem, self.term = [0], [0]
+        self.deepest = max(map(len, [*stems, *terms]), default=0)
         self.usual = usual
         self.digest = hashlib.sha256(repr((sorted(stems), sorted(terms), sorted(usual))).encode()).hexdigest()
         # the beginnings of entries that one edit can reach, and what is left of them without one character
@@ -100,22 +116,29 @@ class Trie:
             keys = Keys([h for h in heads if len(h) == length])
             for at in (keys.whole(length), *[keys.without(i, length) for i in range(length)]):
                 self.filter[at] = True
-        for kind, entries in (("stem", stems), ("term", terms)):
+        for ends, entries in ((self.stem, stems), (self.term, terms)):
             for entry in entries:
-                node = self.root
+                node = 0
                 for c in entry:
-                    node = node.setdefault(c, {})
-                node[kind] = len(entry)
-
-    def exact(self, word: str) -> bool:
-        node = self.root
-        for c in word:
-            node = node.get(c)
-            if node is None:
+                    child = self.next[node].setdefault(c, len(self.next))
+                    if child == len(self.next):
+                        self.next.append({})
+                        self.stem.append(0)
+                        self.term.append(0)
+                    node = child
+                ends[node] = len(entry)
+
+    def exact(self, word: str, at: int = 0) -> bool:
+        """Whether what stands in the word from ``at`` on is a term or begins with a stem."""
+        node = 0
+        for i in range(at, len(word)):
+            child = self.next[node].get(word[i])
+            if child is None:
                 return False
-            if "stem" in node:
+            if self.stem[child]:
                 return True
-        return "term" in node
+            node = child
+        return self.term[node] > 0
 
     def may_be_near(self, words: list[str]) -> np.ndarray:
         """For each word whether its beginning may be one edit at most from an entry's; no near word is missed."""
@@ -135,6 +158,8 @@ class Trie:
         Bit i of a state: the word's first i characters are read; states for no edit, for one edit,
         and for a swap of which the first character is read.
         """
+        # two characters more than any entry: what follows can't change the answer
+        word = word[: self.deepest + 2]
         n = len(word)
         if n < 3:
             return False
@@ -142,14 +167,12 @@ class Trie:
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         every, final = (1 << (n + 1)) - 1, 1 << n
-        walk = [(self.root, 1, 0b11 & every, 0)]
+        walk = [(0, 1, 0b11 & every, 0)]
         while walk:
             node, none, one, swap = walk.pop()
-            if (none | one) & final and node.get("term", 0) >= FUZZY or node.get("stem", 0) > FUZZY:
+            if (none | one) & final and self.term[node] >= FUZZY or self.stem[node] > FUZZY:
                 return True
-            for c, child in node.items():
-                if len(c) > 1:
-                    continue
+            for c, child in self.next[node].items():
                 mask = masks.get(c, 0)
                 now = (none & mask) << 1
                 # the same character read; then substituted, missing from the word, or one too many in it
@@ -160,7 +183,7 @@ class Trie:
 
     def begins_within(self, word: str) -> bool:
         """Whether an entry begins anywhere in a word of a script without spaces."""
-        return any(self.exact(word[i:]) for i in range(len(word) - 1))
+        return any(self.exact(word, i) for i in range(len(word) - 1))
 
     def words_verdicts(self, words: list[str]) -> list[int]:
         """For each word 0 for no match, 1 exact, 2 misspelled."""
@@ -203,7 +226,7 @@ def term_counts(texts: DataFrame, wanted: set[tuple[str, bool]] | None = None) -
             for d in range(rows.num_rows):
                 own = {w for c in np.unique(codes[before[d] : before[d + 1]]) for w in words[c] if len(w) >= SHORTEST}
                 terms = {(w, True) for w in own}
-                terms.update((w[:k], False) for w in own for k in range(SHORTEST, len(w) + 1))
+                terms.update((w[:k], False) for w in own for k in lengths_up_to(len(w)))
                 for t in terms if only is None else terms & only:
                     counts[t] = counts.get(t, 0) + 1
             if len(counts) > 100_000:
@@ -253,17 +276,18 @@ def learn_lexicon(sample: DataFrame) -> Trie:
     begun = {term: toxic[term, whole] for term, whole in pure if not whole}
     carried: dict[str, list[str]] = {}
     for term in begun:
-        carried.setdefault(term[:-1], []).append(term)
+        *_, before = [0, *lengths_up_to(len(term) - 1)]
+        carried.setdefault(term[:before], []).append(term)
     stems: list[str] = []
     for term in sorted(begun, key=lambda t: (len(t), t)):
-        if any(term[:k] in begun for k in range(SHORTEST, len(term))):
+        if any(term[:k] in begun for k in lengths_up_to(len(term) - 1)):
             continue  # a shorter beginning is pure already
         while longer := [t for t in carried.get(term, ()) if begun[t] >= 0.95 * begun[term]]:
             term = max(longer, key=lambda t: (begun[t], t))
         stems.append(term)
     covered = set(stems)
     # whole words of which a stem is the beginning are kept where misspellings of them are looked for
-    terms = [t for t, whole in pure if whole and (len(t) >= FUZZY or t in covered or not any(t[:k] in covered for k in range(SHORTEST, len(t))))]
+    terms = [t for t, whole in pure if whole and (len(t) >= FUZZY or t in covered or not any(t[:k] in covered for k in lengths_up_to(len(t) - 1)))]
     return Trie(stems, terms, usual_words(sample.where("label IS DISTINCT FROM 1"), Trie(stems, terms)))
 
 
@@ -330,8 +354,9 @@ def score_toxicity(docs: DataFrame, sample: DataFrame, text: str = "text") -> Da
     numbers of matches ``said``, ``misspelled`` and ``quoted``.
 
     Null and empty texts have no match and score by the bias alone; repeated rows and ties score
-    alike; empty tables give no rows; other columns are carried along, whatever their names.
-    Without a toxic label the lexicon is empty.
+    alike; empty tables give no rows; rows without an id and other columns are carried along, whatever
+    their names.  Texts and words of any length are read whole, in time and memory linear in their
+    length.  Without a toxic label the lexicon is empty.
     """
     spark = docs.sparkSession
     sample = checkpoint(sample)

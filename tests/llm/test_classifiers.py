@@ -1,8 +1,11 @@
+import pickle
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from palaver.llm import language, toxicity
@@ -178,13 +181,47 @@ def test_swaps_against_brute_force():
         assert trie.within_one(far) == wanted
 
 
-def entries_of(node, before=""):
+def entries_of(trie, node=0, before=""):
     """(kind, entry) of a trie."""
-    for key, child in node.items():
-        if len(key) > 1:
-            yield key, before
-        else:
-            yield from entries_of(child, before + key)
+    yield from [(kind, before) for kind, ends in (("stem", trie.stem), ("term", trie.term)) if ends[node]]
+    for c, child in trie.next[node].items():
+        yield from entries_of(trie, child, before + c)
+
+
+#: A word by its definition: from a letter, digit or sign to the last letter, digit or mark of the run.
+PART = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}@$!]*[\p{L}\p{N}\p{M}])?|[@$!][\p{L}\p{N}\p{M}@$!]*[\p{L}\p{N}\p{M}]")
+
+
+def test_words_of_a_token_by_their_definition():
+    rng = random.Random(6)
+    for _ in range(20_000):
+        token = "".join(rng.choice("ab1!@$\u0301-é世.") for _ in range(rng.randrange(9)))
+        assert toxicity.parts_of(token) == ([token] if token.isalpha() else PART.findall(token))
+
+
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("kind", ["signs", "word", "digits", "mixed", "unspaced", "near"])
+def test_texts_of_a_megabyte_take_linear_time_and_memory(spark, kind):
+    """One token of a megabyte in the texts that are learned from and in those that are scored."""
+    long = {"signs": "!" * LONG, "word": "a" * LONG, "digits": "0123456789abcdef" * (LONG // 16), "mixed": "!a@b$" * (LONG // 5), "unspaced": "世界" * (LONG // 2), "near": "idioT".lower() + "ot" * (LONG // 2)}[kind]
+    rows = [(i, f"number {i} is such an idiot" + f" {long}" * (i < 2), 1) for i in range(20)] + [(100 + i, f"number {i} is a friend" + f" {long}" * (i == 0), 0) for i in range(40)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    began = time.perf_counter()
+    trie = toxicity.learn_lexicon(sample)
+    # a word of so many texts that it is learned is a deep trie
+    deep = toxicity.Trie(["idiot"], [long], trie.usual)
+    assert pickle.loads(pickle.dumps(deep)).verdicts([long, long + "!", "idiot"])[2] == 1
+    docs = spark.createDataFrame([(1, long), (2, f"an idiot {long}"), (3, long + " idiot " + long)], "doc_id long, text string")
+    said = {r["doc"]["doc_id"]: r["said"] for r in score_toxicity(docs, sample).collect()}
+    assert said[2] - said[1] == 1 and said[3] - 2 * said[1] == 1
+    assert time.perf_counter() - began < 90
+
+
+def test_beginnings_of_a_word_are_linear_in_its_length():
+    assert list(toxicity.lengths_up_to(5)) == [3, 4, 5] and list(toxicity.lengths_up_to(2)) == []
+    assert sum(toxicity.lengths_up_to(LONG)) < 12 * LONG and list(toxicity.lengths_up_to(64)) == list(range(3, 65))
 
 
 def slow_verdict(token, stems, terms, usual):
@@ -215,7 +252,7 @@ def test_toxicity_query_against_brute_force(spark, sf_dir):
 
     sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", doc_bucket(F.col("doc_id"), 5) != 0, toxicity.SAMPLE_DOCS)
     trie = toxicity.learn_lexicon(sample)
-    entries = list(entries_of(trie.root))
+    entries = list(entries_of(trie))
     stems, terms = ({e for k, e in entries if k == kind} for kind in ("stem", "term"))
     assert stems
     known = {}
