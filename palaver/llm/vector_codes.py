@@ -23,8 +23,10 @@ from palaver.llm.common import scratch
 
 #: Dimensions summed for all entries before the first complete distance is taken as a bound.
 LEAD = 4
+#: Share of the pairs below which those left are carried on as a list.
+FEW = 1 / 10
 #: Entries times vectors that are compared at once.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 #: Groups whose sums are small enough to be sent to all tasks (a number of 8 bytes and a key each).
 BROADCAST_GROUPS = 100_000
 #: Copies of the sums where there are more groups; each serves a part of a group's rows.
@@ -86,26 +88,29 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _nearest(rows: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of (components, vectors) and (components, entries), both in the order of search.
+
+    The sums of all pairs stand in a block until the mask of those within their vector's best
+    complete distance leaves few; from there on only these are carried on, as a list.
+    """
     width, n = rows.shape
-    lead = min(LEAD, width)
-    partial = np.zeros((n, entries.shape[1]), dtype=rows.dtype)
-    for d in range(lead):
-        gap = rows[d][:, None] - entries[d]
-        partial += gap * gap
-    probe = partial.argmin(axis=1)
-    best = ((rows - entries[:, probe]) ** 2).sum(axis=0, dtype=rows.dtype)
-    alive = partial <= best[:, None]
+    partial, gap = np.zeros((2, n, entries.shape[1]), dtype=rows.dtype)
+    best, d, alive = None, 0, np.ones(partial.shape, dtype=bool)
+    while d < width and (best is None or np.count_nonzero(alive) > alive.size * FEW):
+        for _ in range(min(LEAD if best is None else 2, width - d)):
+            np.subtract(rows[d][:, None], entries[d], out=gap)
+            np.multiply(gap, gap, out=gap)
+            partial += gap
+            d += 1
+        if best is None or d == 2 * LEAD:  # complete the nearest so far, and bound the others by it
+            whole = ((rows - entries[:, partial.argmin(axis=1)]) ** 2).sum(axis=0, dtype=rows.dtype)
+            best = whole if best is None else np.minimum(best, whole)
+        alive = partial <= best[:, None]
     row, entry = np.nonzero(alive)
     partial = partial[alive]
-    for d in range(lead, width):
-        gap = rows[d, row] - entries[d, entry]
-        partial += gap * gap
-        if d - lead in (1, 4):  # a nearer candidate by now: complete it, and bound the others by it
-            first = np.searchsorted(row, np.arange(n))
-            least = np.minimum.reduceat(partial, first)
-            at = np.flatnonzero(partial == least[row])
-            at = at[np.searchsorted(row[at], np.arange(n))]
-            best = np.minimum(best, ((rows - entries[:, entry[at]]) ** 2).sum(axis=0, dtype=rows.dtype))
+    for d in range(d, width):
+        step = rows[d, row] - entries[d, entry]
+        partial += step * step
         keep = partial <= best[row]
         row, entry, partial = row[keep], entry[keep], partial[keep]
     least = np.minimum.reduceat(partial, np.searchsorted(row, np.arange(n)))
