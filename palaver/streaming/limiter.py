@@ -13,7 +13,9 @@ from palaver.operators.limits import TEXT_RULES, Accepted
 
 
 def admit_stream(requests: DataFrame, user: str, at: str, key: str, rules: list[tuple[int, int]] = TEXT_RULES, late: str = "1 hour") -> DataFrame:
-    """(user, key, accepted) in arrival order by batch, in time order within one.
+    """(user, key, accepted, retry_after) in arrival order by batch, in time order within one.
+
+    ``retry_after``: seconds after which a refused request may come again; null if it is accepted.
 
     A user's state holds the accepted times that a rule can still count, never more than the rules
     allow; it ends once the watermark (``late`` behind the newest request) has passed all that a
@@ -30,12 +32,12 @@ def admit_stream(requests: DataFrame, user: str, at: str, key: str, rules: list[
         if state.exists:
             window.times.extend(state.get[0])
         rows = pd.concat(list(frames)).sort_values(["t", "k"])
-        accepted = [window.admit(int(t)) for t in rows["t"]]
+        wait = [window.wait(int(t)) for t in rows["t"]]
         state.update((list(window.times),))
         state.setTimeoutTimestamp(max(int(rows["t"].max()) // 1000 + longest * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"u": rows["u"], "k": rows["k"], "accepted": accepted})
+        yield pd.DataFrame({"u": rows["u"], "k": rows["k"], "accepted": [w == 0 for w in wait], "retry_after": pd.array([w or None for w in wait], dtype="Int64")})
 
     timed = F.col(at).cast("timestamp")
     slim = requests.select(F.col(user).alias("u"), F.col(key).alias("k"), F.unix_micros(timed).alias("t"), timed.alias("at")).withWatermark("at", late)
-    out = slim.groupBy("u").applyInPandasWithState(update, f"u {kinds[user]}, k {kinds[key]}, accepted boolean", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.toDF(user, key, "accepted")
+    out = slim.groupBy("u").applyInPandasWithState(update, f"u {kinds[user]}, k {kinds[key]}, accepted boolean, retry_after long", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.toDF(user, key, "accepted", "retry_after")
