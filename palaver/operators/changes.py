@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.functions.text import content_hash, embedding_retry_seconds, normalised
-from palaver.operators.windows import numbered_by_day
+from palaver.operators import scans
 
 
 def latest(rows: DataFrame, keys: list[str], seq: str, columns: list[str]) -> DataFrame:
@@ -144,7 +144,7 @@ def new_reports(drafts: DataFrame, after: int = 0, types: list[str] = REPORT_TYP
     kind = F.lower(F.trim(F.coalesce("report_type", F.lit(""))))
     known = F.when(kind.isin(types), kind).otherwise(F.raise_error(F.concat(F.lit("unknown report type: "), kind)))
     kept = drafts.withColumn("report_type", known).withColumn("description", F.regexp_replace("description", r"^\s+|\s+$", "")).where("description != ''")
-    numbered = numbered_by_day(kept, "at", [F.col("reporter_id"), F.col("description"), F.col("report_type")], "id", after)
+    numbered = scans.numbered(kept, [], [F.col(c) for c in ("at", "reporter_id", "description", "report_type")], "id").withColumn("id", F.col("id") + after)
     second = F.date_trunc("SECOND", "at").cast(drafts.schema["at"].dataType)
     return numbered.select(
         "id", "reporter_id", F.left("reporter_name", F.lit(100)).alias("reporter_name"), "report_type", "description",

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palaver.operators import scans
+from palaver.session import checkpoint
+
 #: (seconds, requests) rules of the text limiter: both must allow a request.
 TEXT_RULES = [(60, 10), (3600, 60)]
 #: The image limiter's rule; its window leaves its end out.
@@ -37,26 +40,37 @@ class Accepted:
         return 0
 
 
-def admitted(requests: DataFrame, user: str, at: str, key: str, rules: list[tuple[int, int]] = TEXT_RULES, inclusive: bool = True) -> DataFrame:
+def admitted(requests: DataFrame, user: str, at: str, key: str, rules: list[tuple[int, int]] = TEXT_RULES, inclusive: bool = True, most: int = scans.MOST) -> DataFrame:
     """(user, key, accepted, retry_after) for each request, in order of time and key within a user.
 
     ``retry_after``: seconds after which a refused request may come again; null if it is accepted.
 
     Acceptance hangs on earlier acceptances, so a user's requests are taken in order: rows are
     dealt by user, sorted, and streamed; a task holds one user's accepted times, of which the
-    rules allow a fixed number, however many requests there are.
+    rules allow a fixed number, however many requests there are.  After a gap longer than the longest
+    rule nothing earlier counts: the requests of a user of more than ``most`` are dealt by the stretches
+    between such gaps, and each stretch may be a task of its own.
     """
     kinds = dict(requests.dtypes)
     slim = requests.select(F.col(user).alias("u"), F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
-    ordered = slim.repartition("u").sortWithinPartitions("u", "t", "k")
+    heavy = slim.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("u").alias("h"))  # at most rows / most
+    if heavy.isEmpty():
+        cut = slim.withColumn("stretch", F.lit(0).cast("bigint"))
+    else:
+        heavy = checkpoint(heavy)
+        of = F.col("u").eqNullSafe(F.col("h"))
+        longest = max(s for s, _ in rules)
+        stretches = scans.sessions(slim.join(F.broadcast(heavy), of, "left_semi").withColumn("at", F.timestamp_micros("t")), ["u"], "at", "k", longest, "stretch", most).drop("at")
+        cut = slim.join(F.broadcast(heavy), of, "left_anti").withColumn("stretch", F.lit(0).cast("bigint")).unionByName(stretches)
+    ordered = cut.repartition("u", "stretch").sortWithinPartitions("u", "stretch", "t", "k")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, window = object(), Accepted(rules, inclusive)
         for batch in batches:
             out = []
-            for u, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if u != current:
-                    current, window = u, Accepted(rules, inclusive)
+            for own, t in zip(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True), batch.column(2).to_pylist(), strict=True):
+                if own != current:
+                    current, window = own, Accepted(rules, inclusive)
                 out.append(window.wait(t))
             columns = [batch.column(0), batch.column(1), pa.array([w == 0 for w in out], pa.bool_()), pa.array([w or None for w in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["u", "k", "accepted", "retry_after"])

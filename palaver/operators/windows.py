@@ -1,13 +1,16 @@
-"""Positional operators over conversations: neighbours, sessions, buffers, prefixes, ordinals."""
+"""Positional operators over conversations: neighbours, sessions, buffers, prefixes, ordinals.
+
+Orders are ascending.  Conversations of very many rows are scanned in chunks (see ``scans``).
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str = "rn") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+from palaver.operators import scans
 
 
 def neighbours(rows: DataFrame, anchors: DataFrame, by: str, key: str, order: list[Column], before: int, after: int, drop: Column | None = None) -> DataFrame:
@@ -16,7 +19,7 @@ def neighbours(rows: DataFrame, anchors: DataFrame, by: str, key: str, order: li
     Limits count all rows; rows that ``drop`` names are taken out afterwards, but for the anchor.
     Each place is exploded to the few places it can be near to, so the join is on equal places.
     """
-    placed = numbered(rows, [by], order)
+    placed = scans.numbered(rows, [by], order)
     marked = placed.join(anchors.select(by, key), [by, key], "left_semi").select(by, F.col(key).alias("anchor"), F.col("rn").alias("anchor_rn"))
     reach = marked.select(by, "anchor", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"), "anchor_rn")
     near = reach.withColumn("rn", F.col("anchor_rn") + F.col("offset")).join(placed, [by, "rn"])
@@ -25,47 +28,50 @@ def neighbours(rows: DataFrame, anchors: DataFrame, by: str, key: str, order: li
 
 def sessions(rows: DataFrame, by: list[str], at: str, gap_seconds: int, key: str) -> DataFrame:
     """Each row's session number from 1: a new one after a gap longer than ``gap_seconds``."""
-    w = Window.partitionBy(*by).orderBy(at, key)
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
-    begins = F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)
-    return rows.withColumn("_begins", begins).withColumn("session", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
+    return scans.sessions(rows, by, at, key, gap_seconds)
 
 
 def session_tail(rows: DataFrame, by: list[str], at: str, key: str, gap_seconds: int = 86_400, most: int = 500) -> DataFrame:
-    """The newest rows of each conversation back to its last long gap, ``most`` at most."""
+    """The newest rows of each conversation back to its last long gap, ``most`` at most.
+
+    The newest ones are taken first, by each task of its own rows, so that gaps are looked for among few.
+    """
     w = Window.partitionBy(*by).orderBy(F.desc(at), F.desc(key))
-    newer = F.lag(at).over(w)
-    gap = F.unix_micros(newer.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
-    marked = rows.withColumn("_gap", F.when(gap > gap_seconds * 1_000_000, 1).otherwise(0)).withColumn("back", F.row_number().over(w))
-    return marked.withColumn("_gaps", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_gaps") == 0) & (F.col("back") <= most)).drop("_gap", "_gaps")
+    newest = rows.withColumn("back", F.row_number().over(w)).where(F.col("back") <= most)
+    w = Window.partitionBy(*by).orderBy("back")
+    gap = F.unix_micros(F.lag(at).over(w).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
+    marked = newest.withColumn("_gap", F.when(gap > gap_seconds * 1_000_000, 1).otherwise(0))
+    return marked.withColumn("_gaps", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_gaps = 0").drop("_gap", "_gaps")
 
 
 def rolling_buffer(rows: DataFrame, by: list[str], order: list[Column], value: str, size: int = 12) -> DataFrame:
     """Each row with the buffer of the last ``size`` values of its conversation, itself included."""
-    return rows.withColumn("buffer", F.collect_list(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - size, 0)))
+    return scans.rolling(rows, by, order, value, size, "buffer")
 
 
 def last_rows(rows: DataFrame, by: list[str], newest_first: list[Column], size: int) -> DataFrame:
-    return numbered(rows, by, newest_first).where(F.col("rn") <= size)
+    """Spark keeps ``size`` rows of a group in each task before they are brought together."""
+    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*newest_first))).where(F.col("rn") <= size)
 
 
 def through_first(rows: DataFrame, by: list[str], order: list[Column], flag: Column) -> DataFrame:
     """Rows up to and including the first flagged one of each group; ``kept`` tells them from the rest."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_flag", flag.cast("int")).withColumn("kept", F.coalesce(F.sum("_flag").over(w), F.lit(0)) == 0).drop("_flag")
+    place = F.struct(*order)
+    first = rows.where(flag).groupBy(*by).agg(F.min(place).alias("_first")).select(*[F.col(k).alias(f"_of_{k}") for k in by], "_first")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by])
+    return rows.join(first, on, "left").withColumn("kept", F.col("_first").isNull() | (place <= F.col("_first"))).drop("_first", *[f"_of_{k}" for k in by])
 
 
 def sliding_count(rows: DataFrame, by: list[str], at: str, seconds: int) -> DataFrame:
     """Rows of the key within the last ``seconds``, both ends included."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    w = Window.partitionBy(*by).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
-    return rows.withColumn("in_window", F.count(F.lit(1)).over(w))
+    return scans.within(rows, by, at, seconds, "in_window")
 
 
 def ordinal_labels(rows: DataFrame, by: list[str], order: list[Column], prefix: str = "CTX_MSG_") -> DataFrame:
     """Labels by place within a group, of three digits at least."""
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("string")
-    return rows.withColumn("label", F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(3)), "0")))
+    number = F.col("_rn").cast("string")
+    label = F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(3)), "0"))
+    return scans.numbered(rows, by, order, "_rn").withColumn("label", label).drop("_rn")
 
 
 def image_orders(images: DataFrame, context: DataFrame, by: str, key: str, order: list[Column], current: str, replied: str) -> DataFrame:
@@ -93,20 +99,6 @@ def zip_padded(inputs: Column, vectors: Column) -> Column:
     return F.transform(places, lambda i: F.struct(F.get(inputs, i).alias("input"), F.get(vectors, i).alias("vector")))
 
 
-def numbered_by_day(rows: DataFrame, at: str, order: list[Column], name: str, after: int = 0) -> DataFrame:
-    """Rows numbered without gaps from ``after`` + 1 in order of time.
-
-    Days are numbered on their own, and begin where the sum of the earlier days' counts ends, so
-    that only the counts are gathered.
-    """
-    days = rows.withColumn("_day", F.to_date(at))
-    before = F.sum("_n").over(Window.orderBy(F.asc_nulls_first("_day")).rowsBetween(Window.unboundedPreceding, -1))  # a row a day
-    counts = days.groupBy("_day").agg(F.count(F.lit(1)).alias("_n")).select("_day", F.coalesce(before, F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy("_day").orderBy(at, *order))
-    both = days.withColumn("_nth", nth).join(counts.withColumnRenamed("_day", "_own"), F.col("_day").eqNullSafe(F.col("_own")))
-    return both.withColumn(name, F.col("_before") + F.col("_nth") + after).drop("_day", "_own", "_nth", "_before")
-
-
 def newest_of(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The last row of each group, as an aggregate."""
     return rows.select(*by, F.struct(*order).alias("o"), F.struct(*rows.columns).alias("row")).groupBy(*by).agg(F.max_by("row", "o").alias("row")).select("row.*")

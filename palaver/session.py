@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,3 +32,11 @@ def shared_folder(spark: SparkSession, name: str, own: str | None = None) -> str
         path = "file://" + tempfile.mkdtemp(prefix="palaver-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{name}-{own or uuid.uuid4().hex}"
+
+
+def checkpoint(rows: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder; what is lost with an executor is read again from there."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+    return rows.checkpoint(eager=True)
