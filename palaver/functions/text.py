@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palaver.functions.terms import first_group
+
 
 def normalised(text: Column) -> Column:
     """Runs of white space (of any script) as one space, none at the ends."""
@@ -64,7 +66,7 @@ def wants_search(prompt: Column) -> Column:
 ERROR_TERMS = [
     ("image_size_error", ["image size", "file too large", "exceeds maximum size"]),
     ("image_format_error", ["unsupported format", "invalid format", "image format"]),
-    ("image_service_error", ["nano-banana", "nano_banana", "image editing service"]),
+    ("nano_banana_api_error", ["nano-banana", "nano_banana", "image editing service"]),
     ("image_validation_error", ["image validation", "corrupted image", "invalid image"]),
     ("image_upload_error", ["image upload", "upload failed"]),
     ("image_download_error", ["image download", "download failed"]),
@@ -82,19 +84,28 @@ ERROR_TERMS = [
     ("validation_error", ["validation", "invalid format", "format error"]),
     ("context_collection_error", ["context", "history", "message retrieval"]),
 ]
-RETRYABLE = ["rate_limit", "timeout", "service_unavailable", "chat_http_error", "chat_connection_error", "image_service_error", "image_upload_error", "image_download_error", "message_split_error"]
+RETRYABLE = ["rate_limit", "timeout", "service_unavailable", "discord_http_error", "discord_connection_error", "nano_banana_api_error", "image_upload_error", "image_download_error", "message_split_error"]
 WARNINGS = ["rate_limit", "timeout", "empty_response"]
-#: Classes of exceptions that decide before any term does.
-ERROR_CLASSES = {"Forbidden": "chat_permission_error", "HTTPException": "chat_http_error", "ConnectionClosed": "chat_connection_error"}
+# Classes of exceptions that decide before any term does, and those that come from them.
+ERROR_CLASSES = {"Forbidden": "discord_permission_error", "HTTPException": "discord_http_error", "ConnectionClosed": "discord_connection_error"}
+ERROR_BASES = {"NotFound": "HTTPException", "DiscordServerError": "HTTPException"}
+
 
+def error_category(message: Column, error_class: Column | None = None, bases: Column | None = None) -> Column:
+    """The category by class, else by the first group of terms that the message has; null messages are unknown.
 
-def error_category(message: Column, error_class: Column | None = None) -> Column:
-    low, case = F.lower(message), F.when(F.lit(False), F.lit(""))
-    for name, kind in ERROR_CLASSES.items() if error_class is not None else ():
-        case = case.when(error_class == name, F.lit(kind))
-    for kind, terms in ERROR_TERMS:
-        case = case.when(reduce(lambda a, b: a | b, [low.contains(t) for t in terms]), F.lit(kind))
-    return case.otherwise(F.lit("unknown_error"))
+    ``error_class``: the exception's class; ``bases``: the classes that it comes from, as an array,
+    where they are known (those of ERROR_BASES are).
+    """
+    case = F.when(F.lit(False), F.lit(""))
+    if error_class is not None:
+        known = F.create_map(*[F.lit(x) for pair in ERROR_BASES.items() for x in pair])
+        names = F.array_compact(F.array(error_class, F.try_element_at(known, error_class)))
+        names = names if bases is None else F.concat(names, F.coalesce(bases, F.array().cast("array<string>")))
+        for name, kind in ERROR_CLASSES.items():
+            case = case.when(F.array_contains(names, name), F.lit(kind))
+    by_term = F.get(F.array(*[F.lit(kind) for kind, _ in ERROR_TERMS]), first_group(message, [terms for _, terms in ERROR_TERMS]))
+    return case.otherwise(F.coalesce(by_term, F.lit("unknown_error")))
 
 
 def is_retryable(category: Column) -> Column:

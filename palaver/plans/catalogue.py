@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import text as X
-from palaver.operators import changes, fulltext, limits, markup, messages, retrieval, usage, windows
+from palaver.operators import changes, fulltext, limits, markup, messages, retrieval, usage, usage_log, vector_index, windows
 from palaver.session import shared_folder
 from palaver.sources import sinks
 from palaver.sources.runs import Runs
@@ -239,6 +239,19 @@ def last_five(spark, sf_dir):
     return windows.last_rows(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 5).select("user_id", "event_id", F.col("rn").cast("bigint").alias("rn"))
 
 
+@query("""SELECT user_id, CAST(count(*) AS BIGINT) AS requests, CAST(sum(cents) AS BIGINT) AS total_tokens FROM (SELECT user_id, event_id, CAST(floor(value * 100) AS BIGINT) AS cents FROM events WHERE value >= 0)
+WHERE event_id % 5 <> 0 GROUP BY user_id ORDER BY total_tokens DESC, user_id LIMIT 10""")
+def leaders_by_increments(spark, sf_dir):
+    """Usage in three batches, a fifth of it taken back in later ones."""
+    cents = F.floor(F.col("value") * 100).cast("bigint")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", F.lit(None).cast("string").alias("username"), F.lit(0).alias("input_tokens"), cents.alias("output_tokens"), cents.alias("total_tokens"))
+    path, added, back = shared_folder(spark, "usage"), rows.withColumn("op", F.lit("add")), rows.where("seq % 5 = 0").withColumn("op", F.lit("retract"))
+    for i in range(3):
+        batch = added.where(f"seq % 3 = {i}")
+        usage_log.apply_usage(batch.unionByName(back.where("seq % 3 = 0" if i == 1 else "seq % 3 > 0")) if i else batch, path, i)
+    return usage_log.leaders(spark, path, 10).select("user_id", "requests", "total_tokens")
+
+
 # ---- retrieval ---------------------------------------------------------------------------------
 
 SEARCH = "thing the-eron token"
@@ -335,6 +348,15 @@ def cosine_topk(spark, sf_dir):
     return semantic(spark, sf_dir).select("vec_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(COSINE_SQL.replace("FROM embeddings) WHERE", "FROM embeddings WHERE label % 2 = 1) WHERE"))
+def cosine_indexed(spark, sf_dir):
+    """By the folders of an index that is built here, among the vectors of some labels."""
+    rows, path = table(spark, sf_dir, "embeddings"), shared_folder(spark, "vectors")
+    vector_index.build(rows, path, "vec_id", "embedding")
+    found = vector_index.search(spark, path, rows.where("vec_id = 0").first()["embedding"], 40, rows.where("label % 2 = 1").select("vec_id"))
+    return found.select(F.col("key").alias("vec_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 # a message's time: hours after the epoch by its id
 AT_SQL = "TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 720 AS BIGINT))"
 FUSION_SQL = f"""WITH docs AS (SELECT doc_id, {AT_SQL} AS sent FROM documents), latest AS (SELECT max(sent) AS now FROM docs), lex AS ({BM25_SQL}), sem AS ({COSINE_SQL}),
@@ -395,23 +417,32 @@ def query_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.query_tokens(F.col("text")), " ").alias("tokens"))
 
 
-def _any(column: str, patterns: list[str]) -> str:
-    return "(" + " OR ".join("regexp_matches({}, '{}')".format(column, p.replace("'", "''")) for p in patterns) + ")"
-
-
-LOW = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
-
-
-@query(f"""SELECT doc_id, {_any(LOW, [X.URL_PATTERN, *X.EXPLICIT_SEARCH, *X.LIVE_DATA])} OR ({_any(LOW, [X.RECENT_WORDS])} AND {_any(LOW, [X.RECENT_TOPICS])}) AS wants_search FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(t, '(https?://|www\.)|\bsearch\b|\bweb search\b|\binternet search\b|\blook ?up\b|\bcheck online\b|\bfind online\b|\bgoogle\b|\bsearch for\b')
+OR regexp_matches(t, '\b(news|weather|forecast|stock price|crypto price|scores?|standings)\b')
+OR (regexp_matches(t, '\b(latest|newest|most recent|breaking|today(?:''s)?|recent)\b') AND regexp_matches(t, '\b(news|updates?|events?|prices?|scores?)\b')) AS wants_search
+FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)""")
 def search_intent(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.wants_search(F.col("text")).alias("wants_search"))
 
 
-_CASE = "CASE " + " ".join("WHEN {} THEN '{}'".format(" OR ".join(f"contains(lower(text), '{t}')" for t in terms), kind) for kind, terms in X.ERROR_TERMS) + " ELSE 'unknown_error' END"
-
-
-@query(f"""SELECT category, count(*) AS documents, bool_or(category IN ({", ".join(f"'{x}'" for x in X.RETRYABLE)})) AS retryable,
-max(CASE WHEN category IN ({", ".join(f"'{x}'" for x in X.WARNINGS)}) THEN 'WARNING' ELSE 'ERROR' END) AS level FROM (SELECT {_CASE} AS category FROM documents) GROUP BY category""")
+ERROR_CASE = """CASE WHEN t LIKE '%image size%' OR t LIKE '%file too large%' OR t LIKE '%exceeds maximum size%' THEN 'image_size_error'
+WHEN t LIKE '%unsupported format%' OR t LIKE '%invalid format%' OR t LIKE '%image format%' THEN 'image_format_error'
+WHEN t LIKE '%nano-banana%' OR contains(t, 'nano_banana') OR t LIKE '%image editing service%' THEN 'nano_banana_api_error'
+WHEN t LIKE '%image validation%' OR t LIKE '%corrupted image%' OR t LIKE '%invalid image%' THEN 'image_validation_error'
+WHEN t LIKE '%image upload%' OR t LIKE '%upload failed%' THEN 'image_upload_error' WHEN t LIKE '%image download%' OR t LIKE '%download failed%' THEN 'image_download_error'
+WHEN t LIKE '%image processing%' OR t LIKE '%image edit%' THEN 'image_processing_error' WHEN t LIKE '%message split%' OR t LIKE '%splitting failed%' THEN 'message_split_error'
+WHEN t LIKE '%markdown processing%' OR t LIKE '%markdown error%' THEN 'markdown_processing_error' WHEN t LIKE '%message too long%' OR t LIKE '%exceeds character limit%' THEN 'message_too_long_error'
+WHEN t LIKE '%rate limit%' OR t LIKE '%quota exceeded%' OR t LIKE '%too many requests%' THEN 'rate_limit' WHEN t LIKE '%timeout%' OR t LIKE '%timed out%' THEN 'timeout'
+WHEN t LIKE '%authentication%' OR t LIKE '%unauthorized%' OR t LIKE '%api key%' OR t LIKE '%invalid key%' THEN 'authentication_error'
+WHEN t LIKE '%service unavailable%' OR t LIKE '%server error%' OR t LIKE '%503%' OR t LIKE '%502%' OR t LIKE '%500%' THEN 'service_unavailable'
+WHEN t LIKE '%empty response%' OR t LIKE '%no content%' OR t LIKE '%blank response%' THEN 'empty_response'
+WHEN t LIKE '%invalid request%' OR t LIKE '%bad request%' OR t LIKE '%400%' OR t LIKE '%malformed%' THEN 'invalid_request'
+WHEN t LIKE '%config%' OR t LIKE '%missing token%' OR t LIKE '%token not found%' THEN 'configuration_error' WHEN t LIKE '%validation%' OR t LIKE '%format error%' THEN 'validation_error'
+WHEN t LIKE '%context%' OR t LIKE '%history%' OR t LIKE '%message retrieval%' THEN 'context_collection_error' ELSE 'unknown_error' END"""
+
+
+@query(f"""SELECT category, count(*) AS documents, bool_or(category IN ('rate_limit', 'timeout', 'service_unavailable', 'discord_http_error', 'discord_connection_error', 'nano_banana_api_error', 'image_upload_error', 'image_download_error', 'message_split_error')) AS retryable,
+max(CASE WHEN category IN ('rate_limit', 'timeout', 'empty_response') THEN 'WARNING' ELSE 'ERROR' END) AS level FROM (SELECT {ERROR_CASE} AS category FROM (SELECT lower(text) AS t FROM documents)) GROUP BY category""")
 def error_category(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(X.error_category(F.col("text")).alias("category"))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("documents"), F.bool_or(X.is_retryable(F.col("category"))).alias("retryable"), F.max(X.log_level(F.col("category"))).alias("level"))

@@ -386,10 +386,10 @@ def latex_equations(spark, sf_dir):
     return found.select("doc_id", F.col("place").cast("bigint").alias("place"), F.col("number").cast("bigint").alias("number"), "expression", "plain")
 
 
-@query(r"""SELECT p_partkey, concat('```', chr(10), rpad('name', w, ' '), ' | ', rpad('b', v, ' '), chr(10), repeat('-', w), '-+-', repeat('-', v), chr(10), rpad(p_name, w, ' '), ' | ', rpad(p_brand, v, ' '), chr(10), rpad('x', w, ' '), ' | ', rpad('', v, ' '), chr(10), '```') AS block
+@query(r"""SELECT p_partkey, concat('```', chr(10), rpad('name', w, ' '), ' | ', rpad('b', v, ' '), chr(10), repeat('-', w), '-+-', repeat('-', v), chr(10), rpad(p_name, w, ' '), ' | ', rpad(p_brand, v, ' '), chr(10), rpad('x', w, ' '), ' | ', rpad('', v, ' '), chr(10), rpad('', w, ' '), ' | ', rpad('y', v, ' '), chr(10), '```') AS block
 FROM (SELECT *, CAST(greatest(4, length(p_name)) AS INTEGER) AS w, CAST(greatest(1, length(p_brand)) AS INTEGER) AS v FROM part)""")
 def table_code_block(spark, sf_dir):
-    text = F.concat(F.lit("| name | b |\n|:---|---:|\n| "), F.col("p_name"), F.lit(" | "), F.col("p_brand"), F.lit(" |\n| x |\n"))
+    text = F.concat(F.lit("| name | b |\n|:---|---:|\n| "), F.col("p_name"), F.lit(" | "), F.col("p_brand"), F.lit(" |\n| x |\n|| y |\n"))
     return markup.table_blocks(table(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "p_partkey", "t")
 
 

@@ -1,6 +1,7 @@
 """Cases that the tables don't hold."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -179,9 +180,13 @@ def test_suggestions_and_help(spark):
 
 def test_text_functions(spark):
     assert value(spark, X.normalised(F.lit(" a \tb\n "))) == "a b"
-    assert value(spark, X.query_tokens(F.lit("Fix fix auth.py FIX b"))) == ["Fix", "auth.py", "b"]
+    assert value(spark, X.query_tokens(F.lit("Fix fix auth.py FIX b"))) == ["Fix", "auth.py"]  # one character is no token
     assert value(spark, X.error_category(F.lit("Invalid format given"))) == "image_format_error"
-    assert value(spark, X.error_category(F.lit("x"), F.lit("Forbidden"))) == "chat_permission_error"
+    kind = lambda *a: value(spark, X.error_category(*a))
+    assert kind(F.lit("x"), F.lit("Forbidden")) == "discord_permission_error" and kind(F.lit("x"), F.lit("ConnectionClosed")) == "discord_connection_error"
+    assert kind(F.lit("timeout"), F.lit("NotFound")) == kind(F.lit("x"), F.lit("DiscordServerError")) == kind(F.lit("x"), F.lit("HTTPException")) == "discord_http_error"
+    assert kind(F.lit("x"), F.lit("MyError"), F.array(F.lit("HTTPException"), F.lit("Exception"))) == "discord_http_error" and kind(F.lit("It Timed Out"), F.lit("OSError")) == "timeout"
+    assert kind(F.lit("nano_banana broke")) == "nano_banana_api_error" and kind(F.lit(None).cast("string")) == kind(F.lit("")) == "unknown_error"
     assert value(spark, X.duration_text(F.lit(90061))) == "1d 1h 1m 1s" and value(spark, X.duration_text(F.lit(0))) == "0s"
     assert value(spark, X.hard_split(F.lit(""), 3)) == [""] and value(spark, X.hard_split(F.lit("abcdefg"), 3)) == ["abc", "def", "g"]
     assert value(spark, X.clean_instruction(F.lit("please  remove the car"))) == "Remove the car"
@@ -209,3 +214,64 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sorted(map(tuple, spark.read.option("header", "true").csv(f"{tmp_path}/csv").collect())) == [("n", "2.0"), ("rate", "0.5")]
     assert [r["value"] for r in sinks.markdown_lines(rows, "Use").collect()] == ["# Use", "- **n**: 2.00", "- **rate**: 0.50"]
     assert value(spark, sinks.log_line(F.lit("done"), user=F.lit(1), why=F.lit(None))) == "done [user=1]"
+
+
+def test_cells_at_the_edges_of_a_table(spark):
+    """One bar at each end is the frame; more are empty cells, as a walk over the lines finds them."""
+
+    def slow(table):
+        lines, rows = table.strip().split("\n"), []
+        for line in map(str.strip, lines):
+            if not re.match(r"^\|[\s\-:|]+\|$", line):
+                cells = [c.strip() for c in line.split("|")]
+                cells = cells[1:] if cells and cells[0] == "" else cells
+                cells = cells[:-1] if cells and cells[-1] == "" else cells
+                rows += [cells] if cells else []
+        if len(lines) < 2 or not rows:
+            return table
+        full = [r + [""] * (max(map(len, rows)) - len(r)) for r in rows]
+        widths = [max(len(r[i]) for r in full) for i in range(len(full[0]))]
+        out = [" | ".join(c.ljust(w) for c, w in zip(r, widths)) for r in full]
+        return "\n".join(["```", out[0], "-+-".join("-" * w for w in widths), *out[1:], "```"])
+
+    rng = random.Random(8)
+    tables_ = ["|| x |\n|---|---|\n| a | b |", "| a |\n||\n| | |", "a | b\n--- | ---\nc"]
+    tables_ += ["\n".join("|".join(rng.choice(["", " ", "x", "long cell", "--", ":-:"]) for _ in range(rng.randrange(5))) for _ in range(rng.randrange(4))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(tables_)), "i long, t string")
+    assert {r["i"]: r["block"] for r in markup.table_blocks(rows, "i", "t").collect()} == {i: slow(t) for i, t in enumerate(tables_)}
+
+
+def test_usage_by_increments_after_any_cut(spark, tmp_path):
+    """Totals of all batches so far equal the sums over all events, retractions and merges included."""
+    from palaver.operators import usage_log
+    from palaver.sources.runs import Runs
+
+    rng, live, rows = random.Random(4), [], []
+    for seq in range(300):
+        if live and rng.random() < 0.25:
+            event = live.pop(rng.randrange(len(live)))
+            rows.append((seq, "retract", event[2], None, *event[4:]))
+        else:
+            counts = [rng.randrange(-1 if rng.random() < 0.1 else 0, 50) for _ in range(2)]
+            event = (seq, "add", rng.randrange(9), rng.choice([None, f"name{seq}"]), *counts, sum(map(abs, counts)) if rng.random() > 0.05 else None)
+            rows.append(event)
+            live.append(event)
+    schema = "seq long, op string, user_id long, username string, input_tokens long, output_tokens long, total_tokens long"
+    cuts, path = [0, *sorted(rng.sample(range(300), 9)), 300], f"{tmp_path}/u"
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        for _ in range(2):  # the second time it is known
+            usage_log.apply_usage(spark.createDataFrame(rows[a:b], schema), path, i)
+        want = {}
+        for seq, op, user, name, *counts in rows[:b]:
+            if all(c is not None and c >= 0 for c in counts):
+                sign = 1 if op == "add" else -1
+                t = want.setdefault(user, [None, 0, 0, 0, 0])
+                t[0] = name if op == "add" and name else t[0]
+                t[1:] = [x + sign * y for x, y in zip(t[1:], [1, *counts])]
+        want = {u: tuple(t) for u, t in want.items() if t[1] > 0}
+        got = {r["user_id"]: tuple(r)[1:] for r in usage_log.totals(spark, path).collect()}
+        assert {u: t[1:] for u, t in got.items()} == {u: t[1:] for u, t in want.items()}
+    assert got == want and len(Runs(spark, path).live()) < 10
+    usage_log.merge(spark, path)
+    best = sorted(want.items(), key=lambda x: (-x[1][4], x[0]))[:3]
+    assert [r["user_id"] for r in usage_log.leaders(spark, path, 3).collect()] == [u for u, _ in best] and usage_log.rollup(spark, path).first()["users"] == len(want)
