@@ -61,12 +61,42 @@ def faults_of_message(author: Column, message_id: Column, channel_id: Column, is
         (is_reply & replied_to.isNull(), "a reply without its target"),
         (~is_reply & replied_to.isNotNull(), "a target without a reply"),
     ]
+    return _faults(rules)
+
+
+def _faults(rules: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in rules]))
 
 
+def _empty(value: Column) -> Column:
+    """Null, or without characters or bytes."""
+    return F.coalesce(F.length(value) == 0, F.lit(True))
+
+
 def faults_of_usage(inputs: Column, outputs: Column, total: Column) -> Column:
     negative = (inputs < 0) | (outputs < 0) | (total < 0)
-    return F.array_compact(F.array(F.when(negative, F.lit("a negative count")), F.when(total < inputs + outputs, F.lit("total below its parts"))))
+    return _faults([(negative, "a negative count"), (total < inputs + outputs, "total below its parts")])
+
+
+def faults_of_response(success: Column, content: Column, error_type: Column, retry_after: Column, has_usage: Column) -> Column:
+    """Of a model's answer: what it must have, by whether it succeeded."""
+    return _faults([
+        (success & _empty(content), "a success without content"), (~success & _empty(error_type), "a failure without an error type"),
+        (retry_after < 0, "a negative wait"), (has_usage & ~success, "token usage of a failure"),
+    ])
+
+
+def faults_of_edit_request(user_id: Column, image: Column, instruction: Column, channel_id: Column) -> Column:
+    """Of an order to edit an image; an instruction of white space is none."""
+    return _faults([(_empty(user_id), "no user"), (_empty(image), "no image"), (_empty(F.regexp_replace(instruction, r"(?U)^\s+|\s+$", "")), "no instruction"), (_empty(channel_id), "no channel")])
+
+
+def faults_of_edit_result(success: Column, image: Column, error: Column, seconds: Column) -> Column:
+    return _faults([(success & _empty(image), "a success without an image"), (~success & _empty(error), "a failure without a message"), (seconds < 0, "a negative time")])
+
+
+def faults_of_validation(valid: Column, error: Column, megabytes: Column, width: Column, height: Column) -> Column:
+    return _faults([(~valid & _empty(error), "invalid without a message"), (megabytes < 0, "a negative size"), ((width <= 0) | (height <= 0), "no dimensions")])
 
 
 def limits_in_order(low: Column, medium: Column, high: Column) -> Column:
@@ -74,6 +104,72 @@ def limits_in_order(low: Column, medium: Column, high: Column) -> Column:
     return (low > 0) & (low <= medium) & (medium <= high)
 
 
+# Rules of the configuration by key.  Numbers that must be positive, that mustn't be negative,
+# and that have a least and a greatest value; texts that mustn't be empty; limits by tier.
+POSITIVE = ["context.max_messages", "context.reply_range", "response.timeout", "image_processing.max_size_mb", "image_processing.timeout", "image_processing.max_concurrent_edits", "messages.split_length", "generation.max_output_tokens", "models.router_cache_size", "models.router_cache_ttl", "validation.max_pdf_pages"]
+NOT_NEGATIVE = ["context.max_images", "response.max_retries"]
+RANGES = [("reports.web_port", 1, 65535), ("messages.split_length", 100, 2000), ("ux.command_suggestion_threshold", 0.0, 1.0), ("generation.temperature", 0.0, 2.0)]
+AT_MOST = [("image_processing.max_size_mb", 25), ("image_processing.timeout", 300), ("image_processing.max_concurrent_edits", 10)]
+FILLED = ["bot.token_db_path", "reports.web_host", "nano_banana.model", "system_prompts.high_complexity", "system_prompts.medium_complexity", "system_prompts.low_complexity", "models.default", "models.router"]
+TIERED = ["context.context_messages", "generation.max_output_tokens"]
+RAG_POSITIVE = ["rag.lexical_candidates", "rag.semantic_candidates", "rag.recency_half_life_hours", "rag.max_context_messages_low", "rag.max_context_messages_medium", "rag.max_context_messages_high"]
+RAG_NOT_NEGATIVE = ["rag.backfill_limit", "rag.rerank_candidates"]
+THINKING_BACKENDS = ["thinking_level", "thinking_budget", "none"]
+THINKING_LEVELS = ["default", "off", "minimal", "low", "medium", "high", "none", "inherit", "disabled"]
+
+
+def faults_of_config(settings: dict[str, str]) -> Column:
+    """The rules that a configuration row breaks, as an array of texts; ``settings`` has the columns' types by key.
+
+    A key's column has its name with underscores for dots.  Rules of keys that the row doesn't have
+    are left out; null breaks the rule of a key that it has.  ``models.valid`` and ``models.available``
+    are arrays, ``models.thinking_backend`` a map by model, ``model_complexity`` a map by tier of structs
+    with model and thinking_level.
+    """
+    col = lambda key: F.col(key.replace(".", "_"))
+    broken = lambda ok: ~F.coalesce(ok, F.lit(False))
+    trimmed = lambda key: F.regexp_replace(col(key), r"(?U)^\s+|\s+$", "")
+    have = lambda *keys: all(k in settings for k in keys)
+    rules = [(broken(col(k) > 0), f"{k} must be positive") for k in POSITIVE if have(k)]
+    rules += [(broken(col(k) >= 0), f"{k} must be zero or positive") for k in NOT_NEGATIVE if have(k)]
+    rules += [(broken(col(k).between(a, b)), f"{k} must be between {a} and {b}") for k, a, b in RANGES if have(k)]
+    rules += [(broken(col(k) <= b), f"{k} must be at most {b}") for k, b in AT_MOST if have(k)]
+    rules += [(_empty(trimmed(k)), f"{k} must not be empty") for k in FILLED if have(k)]
+    for k in TIERED:
+        names = [f"{k}_{tier}" for tier in ("low", "medium", "high")]
+        if have(*names):
+            low, medium, high = map(col, names)
+            rules += [(broken((low > 0) & (medium > 0) & (high > 0)), f"{k}_low/medium/high must all be positive"), (broken((low <= medium) & (medium <= high)), f"{k}_low <= medium <= high is required")]
+    if have("rag.enabled"):
+        on = F.coalesce(col("rag.enabled"), F.lit(False))
+        rules += [(on & broken(col(k) > 0), f"{k} must be positive") for k in RAG_POSITIVE if have(k)]
+        rules += [(on & broken(col(k) >= 0), f"{k} must be zero or positive") for k in RAG_NOT_NEGATIVE if have(k)]
+        rules += [(on & _empty(col(k)), f"{k} must not be empty") for k in ["rag.embedding_model"] if have(k)]
+    if have("models.valid"):
+        valid = F.coalesce(col("models.valid"), F.array().cast("array<string>"))
+        unknown = lambda names: F.exists(names, lambda x: ~F.coalesce(F.array_contains(valid, F.trim(x)), F.lit(False)))
+        rules += [(F.size(valid) == 0, "models.valid must contain at least one model")]
+        rules += [(~_empty(col(k)) & ~F.array_contains(valid, col(k)), f"{k} must be one of models.valid") for k in ("models.default", "models.router") if have(k)]
+        if have("models.available"):
+            rules += [(unknown(col("models.available")), "models.available values must all exist in models.valid")]
+        if have("models.thinking_backend"):
+            names, kinds = F.map_keys(col("models.thinking_backend")), F.map_values(col("models.thinking_backend"))
+            rules += [
+                (unknown(names), "models.thinking_backend keys must be present in models.valid"), (F.exists(kinds, lambda x: ~F.lower(F.trim(x)).isin(THINKING_BACKENDS)), "models.thinking_backend values must be known"),
+                (F.size(F.array_except(valid, names)) > 0, "models.thinking_backend is missing model entries"),
+            ]
+        for tier in ("high", "low", "medium") if have("model_complexity") else ():
+            entry = F.try_element_at(col("model_complexity"), F.lit(tier))
+            rules += [
+                (entry.isNull(), f"model_complexity is missing {tier}"), (entry.isNotNull() & broken(F.array_contains(valid, F.trim(entry["model"]))), f"model_complexity.{tier}.model must be one of models.valid"),
+                (entry.isNotNull() & broken(F.lower(F.trim(entry["thinking_level"])).isin(THINKING_LEVELS)), f"model_complexity.{tier}.thinking_level must be known"),
+            ]
+    minute, hour = "rate_limiting.text_rate_limit_per_minute", "rate_limiting.text_rate_limit_per_hour"
+    if have(minute, hour):
+        rules += [(broken((col(minute) > 0) & (col(hour) > 0)), f"{minute}/hour must be positive"), (col(minute) > col(hour), f"{minute} cannot exceed text_rate_limit_per_hour")]
+    return _faults(rules)
+
+
 def json_ids(json: Column) -> Column:
     """Ids of a JSON list, or of the first list in a list of lists; what isn't a number is left out."""
     flat = F.from_json(json, "array<string>")
@@ -152,4 +248,4 @@ def media_kind(filename: Column, content_type: Column) -> Column:
 
 def image_faults(size: Column, kind: Column, width: Column, height: Column, most_bytes: int, kinds: list[str]) -> Column:
     rules = [(size > most_bytes, "too large"), (~F.lower(kind).isin(kinds), "format not supported"), ((width < 32) | (height < 32), "too small"), ((width > 4096) | (height > 4096), "warning: large")]
-    return F.array_compact(F.array(*[F.when(broken, F.lit(text)) for broken, text in rules]))
+    return _faults(rules)

@@ -174,3 +174,25 @@ def accepted_counts(batch: DataFrame, by: list[str], content: str, author_is_bot
     """Messages of a backfill and how many of them the index takes: people's (or forced ones') with a text."""
     taken = (~author_is_bot | forced) & (F.coalesce(normalised(F.col(content)), F.lit("")) != "")
     return batch.groupBy(*by).agg(F.count(F.lit(1)).alias("messages"), F.count_if(taken).alias("indexed"))
+
+
+#: Messages of a channel that a backfill takes.
+BACKFILL = 500
+
+
+def backfill(history: DataFrame, own_bot: int | None = None, most: int = BACKFILL, by: str = "channel_id", at: str = "created_at") -> tuple[DataFrame, DataFrame]:
+    """The newest ``most`` messages of each channel as upserts for the index, and (channel, messages, indexed).
+
+    ``history``: message_id, channel_id, author_id, is_bot, content and the index's other fields.
+    Bots' messages are left out, but for those of ``own_bot``, and so is what has no text.  Each task
+    keeps the newest of its own rows before they are brought together.  An upsert's ``seq`` is the
+    message's time in microseconds.
+    """
+    order = Window.partitionBy(by).orderBy(F.desc(at), F.desc("message_id"))
+    newest = history.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= max(0, most)).drop("_nth")
+    bot = F.coalesce(F.col("is_bot"), F.lit(False))
+    own = F.col("author_id") == F.lit(own_bot) if own_bot is not None else F.lit(False)
+    taken = (~bot | F.coalesce(own, F.lit(False))) & (F.coalesce(normalised(F.col("content")), F.lit("")) != "")
+    events = newest.where(taken).withColumns({"seq": F.unix_micros(F.col(at).cast("timestamp")), "op": F.lit("upsert")})
+    counts = newest.groupBy(by).agg(F.count(F.lit(1)).alias("messages"), F.count_if(taken).alias("indexed"))
+    return events, counts

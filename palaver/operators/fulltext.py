@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from palaver.functions.text import query_tokens
 from palaver.operators.changes import FACTS, deleted_by, hidden_by, merged_facts, message_facts, state_of
 from palaver.operators.retrieval import ranked, term_score, terms_of
-from palaver.sources.runs import BEGIN, Run, Runs
+from palaver.sources.runs import Run, Runs
 
 #: Changes whenever tables of an older form can't be read.
-FORMAT = 2
+FORMAT = 3
 #: Words of text in a folder of postings, about; and folders of a run at most.
 FOLDER_WORDS, FOLDERS = 1 << 24, 1 << 12
 #: The searched fields; the first is the content, without which there is no message.
@@ -63,34 +63,33 @@ def newest_state(runs: Runs, live: list[Run]) -> DataFrame:
     return base.join(later.select("key"), "key", "left_anti").unionByName(later)
 
 
-def apply_changes(changes: DataFrame, path: str, batch: int, key: str = "message_id") -> None:
+def apply_changes(changes: DataFrame, path: str, batch: int, key: str = "message_id", source: str = "events") -> None:
     """Bring a batch of events (seq, op, key, *FIELDS) into state and index; a batch that is committed is left alone.
 
-    Fields that the events don't have count as null.  Batches are numbered from 0 and come in order.
+    Fields that the events don't have count as null.  The batches of a source are numbered and come in order.
     Only the state rows of the batch's messages are read, in the range of their keys.
     """
     spark = changes.sparkSession
     runs = Runs(spark, path)
-    live = runs.live()
-    if live and live[-1].upto >= batch:
+    live, run = runs.live(), runs.next(source, batch)
+    if run is None:
         return
-    run = Run(live[-1].upto if live else BEGIN, batch)
     given = lambda f: F.col(f) if f in changes.columns else F.lit(None).cast("string")
     fields = [(F.left(given(f), F.lit(KEPT[f])) if f in KEPT else given(f)).alias(f) for f in FIELDS]
     facts = message_facts(changes.select("seq", "op", F.col(key).cast("bigint").alias("key"), *fields), "key", FIELDS).persist()
     try:
         n, low, high = facts.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
-        touched = facts.withColumn("place", F.lit(None).cast(_PLACE)).withColumn("upto", F.lit(batch).cast("bigint"))
+        touched = facts.withColumn("place", F.lit(None).cast(_PLACE)).withColumn("upto", F.lit(run.upto).cast("bigint"))
         if live and n:
             known = runs.read("state", STATE, live).where(F.col("key").between(low, high))
             touched = touched.unionByName(known.join(_small(facts.select("key"), n), "key", "left_semi"))
-        merged = touched.groupBy("key").agg(*merged_facts(), F.max_by("place", F.when(F.col("upto") < batch, F.col("upto"))).alias("was"))
+        merged = touched.groupBy("key").agg(*merged_facts(), F.max_by("place", F.when(F.col("upto") < run.upto, F.col("upto"))).alias("was"))
         words = [terms_of(F.coalesce(F.col("given").getField(f), F.lit(""))) for f in FIELDS]
         digest = F.xxhash64(*[F.col("given").getField(f) for f in FIELDS])
         shown = F.col("born").isNotNull() & ~hidden_by() & ~deleted_by()
         stays = F.coalesce(shown & (F.col("was.digest") == digest), F.lit(False))
         seen = merged.select("*", *[w.alias(f"_{i}") for i, w in enumerate(words)]).withColumn("_n", sum((F.size(f"_{i}") for i in range(len(FIELDS))), F.lit(0)))
-        fresh = F.when(shown, F.struct(F.lit(batch).cast("bigint").alias("batch"), F.col("_n").alias("terms"), digest.alias("digest")))
+        fresh = F.when(shown, F.struct(F.lit(run.upto).cast("bigint").alias("batch"), F.col("_n").alias("terms"), digest.alias("digest")))
         decided = seen.withColumn("place", F.when(stays, F.col("was")).otherwise(fresh)).persist()
         try:
             _write(runs, run, decided, stays)
@@ -98,7 +97,7 @@ def apply_changes(changes: DataFrame, path: str, batch: int, key: str = "message
             decided.unpersist()
     finally:
         facts.unpersist()
-    runs.commit(run)
+    runs.commit(run, source, batch)
 
 
 def _write(runs: Runs, run: Run, decided: DataFrame, stays: Column) -> None:
@@ -152,9 +151,9 @@ def merge(spark: SparkSession, path: str, which: list[Run] | None = None) -> Non
     runs.commit(run)
 
 
-def keep_up(changes: DataFrame, path: str, batch: int, key: str = "message_id") -> None:
+def keep_up(changes: DataFrame, path: str, batch: int, key: str = "message_id", source: str = "events") -> None:
     """apply_changes(), then a merge of the newest runs where there are many of one size."""
-    apply_changes(changes, path, batch, key)
+    apply_changes(changes, path, batch, key, source)
     crowd = Runs(changes.sparkSession, path).crowded()
     if crowd:
         merge(changes.sparkSession, path, crowd)

@@ -25,17 +25,16 @@ def apply_usage(changes: DataFrame, path: str, batch: int) -> None:
     rejected or deleted later).  Events with a missing or negative count are neither.
     """
     runs = Runs(changes.sparkSession, path)
-    live = runs.live()
-    if live and live[-1].upto >= batch:
+    run = runs.next("usage", batch)
+    if run is None:
         return
     sign = F.when(F.col("op") == "add", 1).when(F.col("op") == "retract", -1)
     rows = valid_usage(changes).where(sign.isNotNull()).select(
         F.col("user_id").cast("bigint").alias("user_id"), "username", F.when(F.col("op") == "add", F.col("seq")).alias("named_seq"), sign.cast("bigint").alias("requests"),
         *[(sign * F.col(c)).cast("bigint").alias(c) for c in COUNTS],
     )
-    run = Run(live[-1].upto if live else BEGIN, batch)
     runs.write(run, "totals", _summed(rows))
-    runs.commit(run)
+    runs.commit(run, "usage", batch)
     crowd = runs.crowded()
     if crowd:
         merge(changes.sparkSession, path, crowd)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions import rules
 from palaver.functions import text as X
-from palaver.operators import changes, limits, markup, messages, retrieval, usage, windows
+from palaver.operators import changes, limits, markup, messages, retrieval, suggestions, usage, windows
 from palaver.plans.catalogue import as_of, query, table
 
 # ---- prompts -----------------------------------------------------------------------------------
@@ -178,6 +178,33 @@ def backfill_counts(spark, sf_dir):
     return changes.accepted_counts(rows, ["conv_id"], "content", F.col("role") == "assistant", F.col("turn") == 1)
 
 
+@query("""SELECT conv_id, count(*) AS messages, count_if((role <> 'assistant' OR turn % 4 = 1) AND trim(text) <> '') AS indexed FROM conversations QUALIFY_3 GROUP BY conv_id""".replace("FROM conversations QUALIFY_3", "FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)"))
+def backfill_newest(spark, sf_dir):
+    """The last three messages of each conversation; every second answer of the assistant is one's own."""
+    rows = table(spark, sf_dir, "conversations").withColumnsRenamed({"text": "content", "conv_id": "channel_id"})
+    history = rows.withColumns({"message_id": F.col("turn"), "created_at": F.timestamp_seconds("turn"), "is_bot": F.col("role") == "assistant", "author_id": F.when(F.col("turn") % 4 == 1, 1).otherwise(2)})
+    return changes.backfill(history, own_bot=1, most=3)[1].withColumnRenamed("channel_id", "conv_id")
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN ok AND c = '' THEN 'a success without content' END, CASE WHEN NOT ok AND e IS NULL THEN 'a failure without an error type' END, CASE WHEN w < 0 THEN 'a negative wait' END,
+CASE WHEN u AND NOT ok THEN 'token usage of a failure' END], lambda x: x IS NOT NULL), ';') AS faults FROM (SELECT doc_id, doc_id % 3 > 0 AS ok, CASE WHEN doc_id % 5 = 0 THEN '' ELSE coalesce(text, '') END AS c, CASE WHEN doc_id % 2 = 0 THEN source END AS e, doc_id % 7 - 1 AS w, doc_id % 4 = 0 AS u FROM documents)""")
+def response_faults(spark, sf_dir):
+    d = F.col("doc_id")
+    faults = rules.faults_of_response(d % 3 > 0, F.when(d % 5 == 0, F.lit("")).otherwise(F.col("text")), F.when(d % 2 == 0, F.col("source")), d % 7 - 1, d % 4 == 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(faults, ";").alias("faults"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size <= 5 THEN 'context.max_messages must be positive' END, CASE WHEN p_size * 50 NOT BETWEEN 100 AND 2000 THEN 'messages.split_length must be between 100 and 2000' END,
+CASE WHEN p_size > 40 THEN 'generation.temperature must be between 0.0 and 2.0' END, CASE WHEN p_size % 7 = 0 OR p_size % 11 = 0 THEN 'context.context_messages_low/medium/high must all be positive' END,
+CASE WHEN p_size % 7 > p_size % 11 OR p_size % 11 > 10 THEN 'context.context_messages_low <= medium <= high is required' END], lambda x: x IS NOT NULL), ';') AS faults FROM part""")
+def configuration_faults(spark, sf_dir):
+    """Configurations made of each part's size."""
+    size = F.col("p_size")
+    made = {"context.max_messages": size - 5, "messages.split_length": size * 50, "generation.temperature": size / 20.0, "context.context_messages_low": size % 7, "context.context_messages_medium": size % 11, "context.context_messages_high": F.lit(10)}
+    rows = table(spark, sf_dir, "part").select("p_partkey", *[c.alias(k.replace(".", "_")) for k, c in made.items()])
+    return rows.select("p_partkey", F.array_join(rules.faults_of_config(dict.fromkeys(made, "double")), ";").alias("faults"))
+
+
 @query("""SELECT user_id, concat('[', string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id), ']') AS selected_message_ids, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id""")
 def retrieval_events(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
@@ -349,7 +376,7 @@ def message_contents(spark, sf_dir):
 def help_relevance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sections = docs.select("source").distinct().select(F.col("source").alias("title"), F.array("source").alias("keywords"), F.col("source").alias("content"), F.array(F.lit("en")).alias("examples"))
-    scored = markup.help_scores(docs.select("doc_id", F.concat_ws(" ", "lang", "source").alias("query")).select("query").distinct(), sections)
+    scored = suggestions.help_scores(docs.select("doc_id", F.concat_ws(" ", "lang", "source").alias("query")).select("query").distinct(), sections)
     both = docs.select("doc_id", F.concat_ws(" ", "lang", "source").alias("query")).join(scored, "query")
     return both.select("doc_id", "title", F.col("score").cast("double").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 

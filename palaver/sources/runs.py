@@ -1,6 +1,7 @@
 """Tables kept as committed runs.
 
-A run holds what a range of numbered batches changed, in one folder a table.  It counts once its
+A run holds what a range of batches changed, in one folder a table.  Batches are numbered as they come
+from whatever source; each source's own numbers tell which of its batches are there already.  It counts once its
 commit, a row appended to the ``commits`` table, is there; until then readers don't see it, and
 whoever writes it again replaces it.  Merging writes the runs of a range as one run of the whole
 range: the commit of that one is the moment from which readers take it in place of its parts.
@@ -13,12 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 #: Runs of one size that are merged into one.
 FANOUT = 8
 #: What stands before the first batch.
 BEGIN = -1
+COMMITS = "start bigint, upto bigint, source string, batch bigint"
 
 
 @dataclass(frozen=True, order=True)
@@ -35,15 +37,26 @@ class Runs:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def committed(self) -> set[Run]:
-        """All runs with a commit; a row a batch or merge, less those that were swept."""
+    def _commits(self) -> list[Row]:
+        """A row a batch or merge."""
         try:
-            rows = self.spark.read.schema("start bigint, upto bigint").parquet(f"{self.path}/commits").collect()
+            return self.spark.read.schema(COMMITS).parquet(f"{self.path}/commits").collect()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return set()
-        return {Run(r["start"], r["upto"]) for r in rows}
+            return []
+
+    def committed(self) -> set[Run]:
+        """All runs with a commit, merged ones too."""
+        return {Run(r["start"], r["upto"]) for r in self._commits()}
+
+    def next(self, source: str, batch: int) -> Run | None:
+        """The run that a source's batch is to be written as, or None if it is committed: a source's batches come in order."""
+        rows = self._commits()
+        if any(r["source"] == source and r["batch"] >= batch for r in rows):
+            return None
+        last = max((r["upto"] for r in rows), default=BEGIN)
+        return Run(last, last + 1)
 
     def live(self) -> list[Run]:
         """The fewest committed runs that cover all batches, oldest first: of those that end alike the widest."""
@@ -64,9 +77,9 @@ class Runs:
         out = rows.write.mode("overwrite")
         (out.partitionBy(*by) if by else out).parquet(self.folder(table, run))
 
-    def commit(self, run: Run) -> None:
+    def commit(self, run: Run, source: str | None = None, batch: int | None = None) -> None:
         """One row in one file, which the job's commit moves into place whole."""
-        self.spark.createDataFrame([(run.start, run.upto)], "start bigint, upto bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        self.spark.createDataFrame([(run.start, run.upto, source, batch)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def read(self, table: str, schema: str, runs: list[Run]) -> DataFrame:
         """A table's rows in these runs, with ``upto``, the newest batch that the row's run covers."""

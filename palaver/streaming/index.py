@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.operators import fulltext
+from palaver.operators import changes, fulltext
+from palaver.operators.changes import BACKFILL
 
 LOG_SCHEMA = "seq bigint, op string, message_id bigint, content string, author_name string, attachment_summary string, ts timestamp"
 
@@ -17,9 +18,9 @@ def change_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LOG_SCHEMA).parquet(path)
 
 
-def maintain_index(changes: DataFrame, path: str, checkpoint: str):
+def maintain_index(events: DataFrame, path: str, checkpoint: str):
     """Keep message state and full-text index by the stream, exactly once: a batch that is run again is known by its number."""
-    return changes.writeStream.foreachBatch(lambda b, i: fulltext.keep_up(b, path, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(lambda b, i: fulltext.keep_up(b, path, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_index(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +33,18 @@ def compact(spark: SparkSession, path: str) -> None:
     fulltext.merge(spark, path)
 
 
+def backfill(history: DataFrame, path: str, number: int, own_bot: int | None = None, most: int = BACKFILL) -> DataFrame:
+    """Bring the channels' newest messages into the index as a batch of its own; (channel_id, messages, indexed).
+
+    ``number`` tells backfills apart: one that is run again changes nothing.  What the index has of a
+    message already stays, unless the message is newer.  One writer at a time: before the stream of
+    events is started, or between two of its runs.
+    """
+    events, counts = changes.backfill(history, own_bot, most)
+    fulltext.keep_up(events, path, number, source="backfill")
+    return counts
+
+
 def live_batches(messages: DataFrame, reply: Callable[[DataFrame, int], None], checkpoint: str, seconds: int = 2):
     """Hand each micro-batch of live messages to ``reply``, at most one every ``seconds``."""
     return messages.writeStream.foreachBatch(reply).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

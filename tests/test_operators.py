@@ -1,5 +1,6 @@
 """Cases that the tables don't hold."""
 
+import difflib
 import random
 import re
 from datetime import datetime, timedelta
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palaver.functions import text as X
-from palaver.operators import changes, limits, markup, messages, retrieval, windows
+from palaver.operators import changes, limits, markup, messages, retrieval, suggestions, windows
 from palaver.sources import sinks, tables
 
 T0 = datetime(2024, 5, 1, 12)
@@ -170,14 +171,61 @@ def test_safe_points_and_context(spark):
 def test_suggestions_and_help(spark):
     typed = spark.createDataFrame([("lyve",), ("pins please",), ("zzz",)], "typed string")
     known = spark.createDataFrame([("live",), ("pins",), ("stats",)], "command string")
-    assert sorted((r["typed"], r["command"]) for r in markup.suggest(typed, known).collect()) == [("lyve", "live"), ("pins please", "pins")]
-    got = {r["typed"]: (r["command"], r["confidence"]) for r in markup.suggest(typed, known, typos={"zzz": "stats"}).where("rank = 1").collect()}
+    assert sorted((r["typed"], r["command"]) for r in suggestions.suggest(typed, known).collect()) == [("lyve", "live"), ("pins please", "pins")]
+    got = {r["typed"]: (r["command"], r["confidence"]) for r in suggestions.suggest(typed, known, typos={"zzz": "stats"}).where("rank = 1").collect()}
     assert got["lyve"] == ("live", 0.75) and got["pins please"][0] == "pins" and got["zzz"] == ("stats", 0.95)
     sections = spark.createDataFrame([("Pins", ["pin"], "keep a message", ["/pin hello"]), ("Images", ["image"], "edit an image", [])], "title string, keywords array<string>, content string, examples array<string>")
-    rows = markup.help_scores(spark.createDataFrame([("how do i pin a message",)], "query string"), sections).collect()
+    rows = suggestions.help_scores(spark.createDataFrame([("how do i pin a message",)], "query string"), sections).collect()
     assert [(r["title"], r["score"]) for r in rows if r["rank"] == 1] == [("Pins", 3.0)]
 
 
+def slow_suggestions(typed, commands, least, most):
+    out = []
+    for t in set(typed):
+        low, found = t.lower().strip(), []
+        for command in set(commands):
+            c = command.lower()
+            words, own = set(low.split()), set(c.split())
+            shared = len(words & own) / max(len(words), len(own), 1)
+            confidence = max(0.8 if low in c or c in low else 0.0, shared * 0.7, difflib.SequenceMatcher(None, low, c).ratio())
+            if confidence >= least:
+                found.append((-confidence, command))
+        out += [(t, c, pytest.approx(-s, abs=2e-6), i) for i, (s, c) in enumerate(sorted(found)[:most], 1)]
+    return sorted(out, key=lambda r: (r[0], r[3]))
+
+
+@pytest.mark.parametrize("least", [0.7, 0.4])
+def test_suggestions_from_long_lists_in_blocks(spark, monkeypatch, least):
+    monkeypatch.setattr(suggestions, "LEFT_ROWS", 7)
+    monkeypatch.setattr(suggestions, "RIGHT_ROWS", 300)
+    rng = random.Random(5)
+    words = ["pin", "pins", "live", "Stats", "report", "help me", "usage", "é", "reset all", "set"]
+    commands = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(12))) for _ in range(1500)] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    typed = [c[: rng.randrange(len(c) + 1)] + rng.choice(["", "x", " a"]) for c in rng.sample(commands, 25)] + ["", " ", "PIN", "x" * 300]
+    got = suggestions.suggest(spark.createDataFrame([(t,) for t in typed], "typed string"), spark.createDataFrame([(c,) for c in commands], "command string"), least)
+    assert sorted((tuple(r) for r in got.select("typed", "command", "confidence", "rank").collect()), key=lambda r: (r[0], r[3])) == slow_suggestions(typed, commands, least, 5)
+
+
+def test_help_of_long_lists_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suggestions, "LEFT_ROWS", 9)
+    monkeypatch.setattr(suggestions, "RIGHT_ROWS", 40)
+    rng = random.Random(6)
+    words = ["pin", "pins", "a", "message", "Live", "mode", "image", "edit", ""]
+    some = lambda n: [rng.choice(words) for _ in range(rng.randrange(n))]
+    sections = [(f"{' '.join(some(3))} {i}", some(4), rng.choice([" ".join(some(6)), None]), [" ".join(some(3)) for _ in range(rng.randrange(3))]) for i in range(150)]
+    queries = list({" ".join(some(7)) for _ in range(30)} | {"", "PINS Mode"})
+    frame = spark.createDataFrame(sections, "title string, keywords array<string>, content string, examples array<string>")
+    got = {(r["query"], r["title"]): r["score"] for r in suggestions.help_scores(spark.createDataFrame([(q,) for q in queries], "query string"), frame).collect()}
+    want, split = {}, lambda t: re.split(r"\s+", t.lower())
+    for q in queries:
+        for title, keywords, content, examples in sections:
+            score = 2 * sum(k in q.lower() for k in keywords) + 3 * any(w in q.lower() for w in split(title)) + sum(any(w in q.lower() for w in split(e)) for e in examples)
+            score += 0.5 * len(set(split(content)) & set(split(q))) if content is not None else 0
+            if score > 0:
+                want[q, title] = score
+    assert got == want
+
+
 def test_text_functions(spark):
     assert value(spark, X.normalised(F.lit(" a \tb\n "))) == "a b"
     assert value(spark, X.query_tokens(F.lit("Fix fix auth.py FIX b"))) == ["Fix", "auth.py"]  # one character is no token
@@ -209,6 +257,9 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "files/b.log").write_bytes(b"\xe9")
     (tmp_path / "files/c.exe").write_bytes(b"x")
     assert sorted(r["text"] for r in tables.read_text_files(spark, f"{tmp_path}/files").collect()) == ["é", "é"]
+    types = spark.createDataFrame([(f"file:{tmp_path}/files/c.exe", "application/JSON"), (f"file:{tmp_path}/files/a.txt", "image/png")], "path string, content_type string")
+    assert sorted(r["text"] for r in tables.read_text_files(spark, f"{tmp_path}/files", types=types).collect()) == ["x", "é"]
+    assert tables.read_text_files(spark, f"{tmp_path}/files", largest=1).count() == 1
     rows = sinks.long_format(spark.createDataFrame([(2, 0.5)], "n int, rate double"), ["n", "rate"])
     sinks.write_csv(rows, f"{tmp_path}/csv")
     assert sorted(map(tuple, spark.read.option("header", "true").csv(f"{tmp_path}/csv").collect())) == [("n", "2.0"), ("rate", "0.5")]
@@ -275,3 +326,51 @@ def test_usage_by_increments_after_any_cut(spark, tmp_path):
     usage_log.merge(spark, path)
     best = sorted(want.items(), key=lambda x: (-x[1][4], x[0]))[:3]
     assert [r["user_id"] for r in usage_log.leaders(spark, path, 3).collect()] == [u for u, _ in best] and usage_log.rollup(spark, path).first()["users"] == len(want)
+
+
+def test_images_and_their_sizes(spark, tmp_path):
+    (tmp_path / "i").mkdir()
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xff\xc2\x00\x0b\x08" + (300).to_bytes(2, "big") + (400).to_bytes(2, "big") + bytes(9)
+    webp = lambda kind, rest: b"RIFF\0\0\0\0WEBP" + kind + b"\0\0\0\0" + rest + bytes(20)
+    files = {
+        "a.png": (b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (9).to_bytes(4, "big"), ("image/png", 7, 9)), "b.GIF": (b"GIF89a" + bytes([5, 1, 6, 0]), ("image/gif", 261, 6)), "c.jpg": (jpeg, ("image/jpeg", 400, 300)),
+        "d.webp": (webp(b"VP8X", b"\0\0\0\0" + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")), ("image/webp", 100, 50)), "e.webp": (webp(b"VP8L", b"\x2f" + (31 | 63 << 14).to_bytes(4, "little")), ("image/webp", 32, 64)),
+        "f.webp": (webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + (640).to_bytes(2, "little") + (480).to_bytes(2, "little")), ("image/webp", 640, 480)), "g.png": (b"no image", (None, None, None)), "h.jpeg": (b"\xff\xd8\xff\xd9", (None, None, None)), "j.bin": (b"GIF87a\1\0\1\0", ("image/gif", 1, 1)), "k.bin": (b"x", None), "l.png": (bytes(5000), None),
+    }
+    for name, (data, _) in files.items():
+        (tmp_path / "i" / name).write_bytes(data)
+    types = spark.createDataFrame([(f"file:{tmp_path}/i/j.bin", "image/gif")], "path string, content_type string")
+    rows = tables.read_images(spark, f"{tmp_path}/i", 4000, types).collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["format"], r["width"], r["height"]) for r in rows} == {k: v for k, (_, v) in files.items() if v}
+    assert all(len(r["content"]) == r["length"] for r in rows) and "content" not in tables.read_images(spark, f"{tmp_path}/i", 9, with_content=False).columns
+
+
+def test_attachments_that_are_read_as_text(spark):
+    cases = [("a.PY", None, True), ("a.pdf", "text/plain", False), ("a.bin", "text/x-odd", True), ("a.bin", "application/ld+json", True), ("x.png", "image/svg+xml", False), ("noending", None, False), ("b.dart", "application/octet-stream", True), ("b", "application/pdf", False)]
+    rows = spark.createDataFrame([(i, n, t) for i, (n, t, _) in enumerate(cases)], "i int, n string, t string")
+    assert [r[0] for r in rows.orderBy("i").select(tables.is_text(F.col("n"), F.col("t"))).collect()] == [c[2] for c in cases]
+
+
+def test_backfill_takes_the_newest_of_each_channel(spark, tmp_path):
+    from palaver.operators import fulltext
+    from palaver.streaming import index
+
+    rows = [(i, i % 2, 50 + i % 3, i % 3 == 0, f"word{i} common" if i % 5 else " ", T0 + timedelta(minutes=i)) for i in range(40)]
+    history = spark.createDataFrame(rows, "message_id long, channel_id long, author_id long, is_bot boolean, content string, created_at timestamp")
+    taken = {}
+    for channel in (0, 1):
+        newest = sorted((r for r in rows if r[1] == channel), key=lambda r: -r[0])[:12]
+        taken[channel] = (len(newest), {r[0] for r in newest if r[4].strip() and (not r[3] or r[2] == 50)})
+    events, counts = changes.backfill(history, own_bot=50, most=12)
+    assert {r["channel_id"]: (r["messages"], r["indexed"]) for r in counts.collect()} == {c: (n, len(ids)) for c, (n, ids) in taken.items()}
+    path, every = f"{tmp_path}/i", set().union(*(ids for _, ids in taken.values()))
+    for _ in range(2):
+        index.backfill(history, path, 0, 50, 12)
+    assert {r["key"] for r in fulltext.search(spark, path, "common", 100).collect()} == every
+    # the stream's batches have numbers of their own, and its later words count
+    edit = spark.createDataFrame([(10**17, "upsert", min(every), "changed"), (10**17 + 1, "delete", max(every), None)], "seq long, op string, message_id long, content string")
+    fulltext.keep_up(edit, path, 0)
+    index.backfill(history, path, 1, 50, 12)
+    assert {r["key"] for r in fulltext.search(spark, path, "common", 100).collect()} == every - {min(every), max(every)}
+    assert [r["key"] for r in fulltext.search(spark, path, "changed", 100).collect()] == [min(every)]
+    assert changes.backfill(history, most=0)[1].count() == 0 and changes.backfill(history)[0].count() == sum(not r[3] and r[4].strip() != "" for r in rows)
