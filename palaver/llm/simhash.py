@@ -58,7 +58,8 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4) -> DataFra
 
 # Two fingerprints that differ in at most 4 bits share at least 4 of their 8 bytes: each bit spoils
 # one byte.  Single bytes make posting lists of a 256th of the corpus each, so the index is keyed by
-# byte triples: the blocks below are chosen such that any 4 shared positions hold one whole block.
+# byte triples, or fours where there are very many: the blocks below are chosen such that any 4 shared
+# positions hold one whole block.
 POSITIONS, DISTANCE, BLOCK = 8, 4, 3
 #: Fingerprints under one key that are compared at once; more are dealt to pairs of parts.
 MOST_UNDER_KEY = 4096
@@ -85,6 +86,12 @@ def covering_blocks(points: int = POSITIONS, guaranteed: int = POSITIONS - DISTA
     return [b for b in combinations(range(points), size) if taken(b)]
 
 
+def block_size(fingerprints: int) -> int:
+    """Three bytes to a key, or four where so many fingerprints would meet under three that the more postings of four are fewer steps."""
+    steps = {size: len(covering_blocks(size=size)) * (1 + fingerprints / 256**size) for size in (BLOCK, BLOCK + 1)}
+    return min(steps, key=steps.__getitem__)
+
+
 def byte_at(fp: str, position: int):
     return F.shiftrightunsigned(F.col(fp), 8 * position).bitwiseAND(F.lit(255))
 
@@ -105,69 +112,96 @@ def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a ^ b).view(np.uint8).reshape(len(a), -1) == 0).sum(axis=1)
 
 
-def compared(postings: DataFrame, words: int, most: int, least_shared: int) -> DataFrame:
-    """Links (u, v) between the nodes of each key: a forest of those with enough shared bytes and at most ``most`` differing bits.
+def grouped(postings: DataFrame, names: list[str]) -> DataFrame:
+    """Postings (key, node, *names) as (g, node, *names), sorted by group within partitions.
 
-    ``postings``: key, node long, and fingerprints in w0, w1, ...; the forest has the components of
-    all such pairs, and no pair leaves a task.  The nodes of a frequent key are dealt to parts, and
-    every two parts meet in a task of their own.
+    A group is a key; the nodes of a frequent key are dealt to parts, and every two parts are a group
+    of their own, numbered by a hash.  Groups that share a number are compared as one, which adds
+    comparisons and no links.
     """
-    names, half = [f"w{k}" for k in range(words)], MOST_UNDER_KEY // 2
+    half = MOST_UNDER_KEY // 2
     hot = checkpoint(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_UNDER_KEY))
     hot = hot.select("key", F.ceil(F.col("n") / half).alias("g"))
     dealt = postings.join(hot, "key", "left").withColumn("b", F.pmod(F.xxhash64("node"), F.col("g")))
     others = F.when(F.col("g").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("g") - 1))
     dealt = dealt.select("*", F.explode(others).alias("o")).where("g IS NULL OR b != o")
-    x, y = (F.coalesce(f("b", "o"), F.lit(0)).alias(n) for f, n in ((F.least, "x"), (F.greatest, "y")))
-    dealt = dealt.select("key", x, y, "node", *names).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(_near_forest(words, most, least_shared), "u long, v long")
+    number = F.when(F.col("g").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")))
+    return dealt.select(number.alias("g"), "node", *names).repartition("g").sortWithinPartitions("g")
 
 
-def _near_forest(words: int, most: int, least_shared: int):
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= CHUNK:
-                table = pa.Table.from_batches(held).combine_chunks()
-                group = [table.column(k).to_numpy() for k in range(3)]
-                whole = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
-                cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on
-                yield found(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield found(pa.Table.from_batches(held))
-        give_back()
+def compared(postings: DataFrame, words: int, most: int, least_shared: int) -> DataFrame:
+    """Links (u, v) between the nodes of each key: a forest of those with enough shared bytes and at most ``most`` differing bits.
+
+    ``postings``: key, node long, and fingerprints in w0, w1, ...; the forest has the components of
+    all such pairs, and no pair leaves a task.
+    """
+    return grouped(postings, [f"w{k}" for k in range(words)]).mapInArrow(_near_forest(words, most, least_shared), "u long, v long")
+
+
+def _by_groups(batches: Iterator[pa.RecordBatch], found) -> Iterator[pa.RecordBatch]:
+    """``found`` of whole groups of sorted rows (g, ...), about CHUNK rows at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CHUNK:
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = table.column(0).to_numpy()
+            whole = np.flatnonzero(group != group[-1])
+            cut = int(whole[-1]) + 1 if len(whole) else 0  # the last group may go on
+            yield found(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield found(pa.Table.from_batches(held))
+    give_back()
+
+
+def _near_pairs(table: pa.Table, words: int, most: int, least_shared: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of the pairs of a group that are near enough, those of one distance between places at a time."""
+    group = table.column(0).to_numpy()
+    fps = np.stack([table.column(2 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(group)))
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(group))  # rows of the group from here on
+    step, first = 1, np.arange(len(group))
+    while len(first := first[left[first] > step]):
+        near = first
+        if least_shared:
+            near = near[shared_bytes(fps[near], fps[near + step]) >= least_shared]
+        near = near[np.bitwise_count(fps[near] ^ fps[near + step]).sum(axis=1) <= most]
+        yield near, near + step
+        step += 1
+
 
+def _near_forest(words: int, most: int, least_shared: int):
     def found(table: pa.Table) -> pa.RecordBatch:
-        node, fps = table.column(3).to_numpy(), np.stack([table.column(4 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
-        new = np.ones(len(node), dtype=bool)
-        if len(node):
-            new[1:] = np.any([(g := table.column(k).to_numpy())[1:] != g[:-1] for k in range(3)], axis=0)
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(node)))
-        left = np.repeat(starts + sizes, sizes) - np.arange(len(node))  # rows of the group from here on
-        pairs, step, first = [(node[:0], node[:0])], 1, np.arange(len(node))
-        while len(first := first[left[first] > step]):
-            near = first
-            if least_shared:
-                near = near[shared_bytes(fps[near], fps[near + step]) >= least_shared]
-            near = near[np.bitwise_count(fps[near] ^ fps[near + step]).sum(axis=1) <= most]
-            pairs.append((node[near], node[near + step]))
-            step += 1
+        node = table.column(1).to_numpy()
+        pairs = [(node[:0], node[:0])] + [(node[a], node[b]) for a, b in _near_pairs(table, words, most, least_shared)]
         u, v = forest(*(np.concatenate([p[k] for p in pairs]) for k in range(2)))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return links
+    return lambda batches: _by_groups(batches, found)
+
+
+def _with_partner(words: int, most: int):
+    """Of each group the rows (g, node) that are near enough to another one of it."""
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        keep = np.zeros(table.num_rows, dtype=bool)
+        for a, b in _near_pairs(table, words, most, 0):
+            keep[a] = keep[b] = True
+        group, node = table.column(0).to_numpy()[keep], table.column(1).to_numpy()[keep]
+        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(node)], names=["g", "node"])
+
+    return lambda batches: _by_groups(batches, found)
 
 
 def near_links(fps: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints: their components are those of Hamming distance <= 4.
 
     Candidates share a key of the index; their shared bytes are tallied, and pairs with the
-    guaranteed 4 are verified bit by bit.
+    guaranteed 4 are verified bit by bit.  The links are the same with blocks of either size.
     """
-    postings = index_keys(fps, covering_blocks()).select("key", F.col("fp").alias("node"), F.col("fp").alias("w0"))
+    postings = index_keys(fps, covering_blocks(size=block_size(fps.count()))).select("key", F.col("fp").alias("node"), F.col("fp").alias("w0"))
     return compared(postings, 1, DISTANCE, POSITIONS - DISTANCE)
 
 
@@ -200,9 +234,12 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 # At a similarity of 0.8 about 15 % of the bits differ, more than one in each byte: no number of
 # shared bytes is guaranteed then.  Fingerprints are therefore eight times as long.  Pairs are
 # candidates under random blocks of their bytes, as many as make a pair at that similarity meet with
-# the probability MEET; half of the bits go with each posting and verify it.
+# the probability MEET; a quarter of the bits goes with each posting, and the rows of a block that
+# are about near another one by these get all bits, which verify the pair.
 
-WORDS_OF_FP, VERIFIED, MEET = 8, 4, 0.95
+WORDS_OF_FP, CARRIED, MEET = 8, 2, 0.985
+#: Standard deviations above the expected number of differing bits that a pair may have, of all bits and of those carried.
+DEVIATIONS, CARRIED_DEVIATIONS = 1.5, 3.5
 FACTORS = np.random.default_rng(8).integers(1 << 62, 1 << 63, WORDS_OF_FP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -222,10 +259,10 @@ def share_of_bits(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def most_bits(similarity: float) -> int:
-    """Of the verified bits the number that is expected to differ, and one standard deviation."""
-    p, n = share_of_bits(similarity), 64 * VERIFIED
-    return int(p * n + np.sqrt(n * p * (1 - p)))
+def most_bits(similarity: float, words: int = WORDS_OF_FP, deviations: float = DEVIATIONS) -> int:
+    """Of the bits of so many words the number that is expected to differ, and some standard deviations."""
+    p, n = share_of_bits(similarity), 64 * words
+    return int(p * n + deviations * np.sqrt(n * p * (1 - p)))
 
 
 def meeting(blocks: int, size: int, similarity: float) -> float:
@@ -254,7 +291,7 @@ def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
 
     ``fps``: node long and w0 to w7, all different.
     """
-    names, shown = [f"w{k}" for k in range(WORDS_OF_FP)], [f"w{k}" for k in range(VERIFIED)]
+    names, shown = [f"w{k}" for k in range(WORDS_OF_FP)], [f"w{k}" for k in range(CARRIED)]
     keys = []
     for number, block in enumerate(random_blocks(fps.count(), similarity)):
         key = F.lit(number).cast("bigint")
@@ -262,7 +299,9 @@ def similar_links(fps: DataFrame, similarity: float) -> DataFrame:
             key = F.shiftleft(key, 8).bitwiseOR(F.shiftrightunsigned(F.col(names[p // 8]), 8 * (p % 8)).bitwiseAND(F.lit(255)))
         keys.append(key)
     postings = fps.select("node", *shown, F.explode(F.array(*keys)).alias("key"))
-    return compared(postings, VERIFIED, most_bits(similarity), 0)
+    close = grouped(postings, shown).mapInArrow(_with_partner(CARRIED, most_bits(similarity, CARRIED, CARRIED_DEVIATIONS)), "g long, node long")
+    whole = close.join(fps, "node").select("g", "node", *names).repartition("g").sortWithinPartitions("g")
+    return whole.mapInArrow(_near_forest(WORDS_OF_FP, most_bits(similarity), 0), "u long, v long")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
