@@ -3,7 +3,8 @@
 A word's script (by code point ranges) narrows its candidate languages to those that use the
 script in the learning sample; its character n-grams give a log likelihood under each candidate;
 Viterbi over the words, with a penalty for each change of language, labels the words.  The text's
-language is that of most of its letters.
+language is that of most of its letters.  A word is of one script: what stands between spaces or
+line ends is cut where its letters change script, and between the letters of scripts without spaces.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palaver.llm.common import text_slices, word_table
+from palaver.llm.common import ranges, text_slices, word_table
 from palaver.llm.subwords import char_grams
 
 SAMPLE_DOCS = 5000
@@ -34,6 +35,48 @@ SCRIPTS = sorted(set(SCRIPT_NAMES))
 SCRIPT_OF_RANGE = np.array([SCRIPTS.index(n) for n in SCRIPT_NAMES])
 
 
+#: Scripts whose words aren't set apart: each letter is a word there, and runs of one language are found among them.
+UNSPACED = {SCRIPTS.index(n) for n in ("Han", "Kana", "Thai")}
+#: Numbers of a slice's words times languages that are held at once, about.
+HELD = 12 << 20
+
+
+def script_of(letter: str) -> int:
+    return int(SCRIPT_OF_RANGE[np.searchsorted(SCRIPT_STARTS, ord(letter), side="right") - 1])
+
+
+def one_script(token: str) -> list[str]:
+    """The token's words: joined they are the token."""
+    if not token or max(token) < "\u0250":  # all Latin
+        return [token]
+    cuts, last = [0], -1
+    for i, c in enumerate(token):
+        if c.isalpha():
+            script = script_of(c)
+            if last >= 0 and (script != last or script in UNSPACED):
+                cuts.append(i)
+            last = script
+    return [token[a:b] for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True)]
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Words' codes in order, the number of words before each text, the distinct words, and where each word begins in its text."""
+    codes, before, tokens = word_table(texts, " \n")
+    parts = [one_script(t) for t in tokens]
+    known: dict[str, int] = {}
+    flat = np.array([known.setdefault(w, len(known)) for p in parts for w in p], dtype=np.int64)
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    words, count = list(known), sizes[codes]
+    out = flat[ranges((np.cumsum(sizes) - sizes)[codes], count)]
+    ends = np.cumsum(count)
+    taken = np.fromiter(map(len, words), dtype=np.int64, count=len(words))[out]
+    taken[ends - 1] += 1  # the separator after a token's last word
+    new = np.concatenate([[0], ends])[before]
+    begins = np.cumsum(taken) - taken
+    first = np.append(begins, 0)[np.minimum(new[:-1], len(begins))]
+    return out, new, words, begins - np.repeat(first, np.diff(new))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -58,7 +101,7 @@ def fit(sample: DataFrame, bound: int = SAMPLE_DOCS) -> LanguageModel:
     languages = sorted({r["label"] for r in rows})
     grams, uses = np.full((BUCKETS, len(languages)), 0.1), np.zeros((len(SCRIPTS), len(languages)))
     for k, language in enumerate(languages):
-        codes, _, words = word_table(pa.array([r["text"] for r in rows if r["label"] == language]), " \n")
+        codes, _, words, _ = words_of(pa.array([r["text"] for r in rows if r["label"] == language], pa.string()))
         count, lower = np.bincount(codes, minlength=len(words)), [w.lower() for w in words]
         letters, script = letters_and_script(words)
         ids, owner = char_grams(lower, 1, 4)
@@ -120,23 +163,26 @@ def label_languages(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id",
 
     ``lang_pred`` is ``und`` for a null text and one without a letter; else the language of most
     letters (ties: the first by name).  ``score`` is the share of the letters in it, times the mean
-    confidence of its words.  ``spans``: (lang, first, last) word numbers of each run of one
-    language.  Repeated rows get equal results; an empty table gives no rows; other columns are
-    not read.  Without any learned language every text is ``und``.
+    confidence of its words.  ``spans``: (lang, first, last, start, end) of each run of one language,
+    as word numbers and as code points, end exclusive.  Repeated rows get equal results; rows without
+    an id are rows like others; texts of any length are read whole, one at a time where they are long;
+    an empty table gives no rows; other columns are not read.  Without any learned language every
+    text is ``und``.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit(sample))  # 2^17 numbers a language
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
-    schema += ", spans array<struct<lang: string, first: bigint, last: bigint>>" * with_spans
-    span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
+    schema += ", spans array<struct<lang: string, first: bigint, last: bigint, start: bigint, end: bigint>>" * with_spans
+    span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         names = np.array([*known.languages, UNKNOWN], dtype=object)
         k = len(known.languages)
-        for rows in text_slices(batches, 1, 3 << 20):
-            codes, before, words = word_table(rows.column(1), " \n")
+        # a word is five bytes or so, and its scores are held three times over
+        for rows in text_slices(batches, 1, min(3 << 20, 5 * HELD // max(k, 1))):
+            codes, before, words, begins = words_of(rows.column(1))
             doc = np.repeat(np.arange(rows.num_rows), np.diff(before))
             if k:
                 letters, scores = word_scores(words, known)
@@ -159,10 +205,10 @@ def label_languages(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id",
                 change[1:-1] = (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])
                 at = np.flatnonzero(change)
                 firsts, lasts = at[:-1], at[1:] - 1
-                runs = [[] for _ in range(rows.num_rows)]
+                runs, ends = [[] for _ in range(rows.num_rows)], begins + np.fromiter(map(len, words), dtype=np.int64, count=len(words))[codes]
                 for a, b in zip(firsts, lasts, strict=True):
                     if best[d := doc[a]] < k:
-                        runs[d].append({"lang": names[labels[a]], "first": int(a - before[d]), "last": int(b - before[d])})
+                        runs[d].append({"lang": names[labels[a]], "first": int(a - before[d]), "last": int(b - before[d]), "start": int(begins[a]), "end": int(ends[b])})
                 out.append(pa.array(runs, span_type))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "spans"][: len(out)])
 

@@ -138,6 +138,7 @@ def test_language_odd_rows_scripts_and_spans(spark):
     by = {r["doc_id"]: r for r in rows}
     assert [by[i]["lang_pred"] for i in (1, 2, 3, 4, 7)] == ["und", "und", "und", "en", "ru"] and by[8]["lang_pred"] in texts
     assert [(s["lang"], s["first"], s["last"]) for s in by[6]["spans"]] == [("en", 0, 5), ("fr", 6, 13)] and by[6]["lang_pred"] == "fr"
+    assert [extra[0][1][s["start"] : s["end"]] for s in by[6]["spans"]] == ["the house is on the hill", "la maison est sur la colline la maison"]
     assert len(rows) == len(ROWS) + 3 and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["lang_pred"] for r in label_languages(frame, sample.limit(0)).collect()} == {"und"}
     assert label_languages(frame.limit(0), sample).count() == 0
@@ -277,3 +278,129 @@ def test_toxicity_query_against_brute_force(spark, sf_dir):
         logit = weights[0] + np.log1p(found(docs[r["doc_id"]])) @ weights[1:]
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-9)
         assert r["held_out"] == (held(r["doc_id"], 5) == 0) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def slow_mixed(h):
+    h = (h ^ h >> 32) * 0x9E3779B97F4A7C15 % 2**64
+    return h ^ h >> 29
+
+
+def slow_grams(word, shortest, longest):
+    """Hashes of a word's n-grams, its ends marked."""
+    codes, out = [2, *map(ord, word), 3], []
+    for i in range(len(codes)):
+        h = slow_mixed(codes[i])
+        for n in range(1, longest + 1):
+            if n > 1:
+                if i + n > len(codes):
+                    break
+                h = slow_mixed((h * 0x100000001B3 + codes[i + n - 1]) % 2**64)
+            if n >= shortest and (n > 1 or codes[i] > 3):
+                out.append((h + n) % 2**64)
+    return out
+
+
+def test_quality_query_against_brute_force(spark, sf_dir):
+    """Scores by adding up every feature's number, one document after another, with the fitted numbers."""
+    from palaver.llm import quality
+    from palaver.llm.common import doc_bucket
+    from palaver.llm.queries import table
+
+    sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", doc_bucket(F.col("doc_id"), 4) != 2, quality.SAMPLE_DOCS)
+    numbers, bias, slope, shift = quality.fit(sample)
+    numbers, known = numbers.astype(np.float32).astype(np.float64), {}
+
+    def word(w):
+        if w not in known:
+            h = 0
+            for i, c in enumerate([2, *map(ord, w), 3]):
+                h += slow_mixed(c) * pow(0x100000001B3, i + 1, 2**64)
+            own = slow_mixed(h % 2**64)
+            features = [own, *slow_grams(w, 2, 4)]
+            known[w] = own, sum(numbers[f % len(numbers)] for f in features), len(features)
+        return known[w]
+
+    rows = {r["doc_id"]: r for r in op2_quality(spark, sf_dir).collect()}
+    docs = table(spark, sf_dir, "documents").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        words = [word(w) for w in (d["text"] or "").replace("\n", " ").split(" ")]
+        pairs = [int(quality.SAME) if a[0] == b[0] else slow_mixed((a[0] * 0x9E3779B97F4A7C15 + b[0]) % 2**64) for a, b in zip(words, words[1:])]
+        total = sum(w[1] for w in words) + sum(numbers[p % len(numbers)] for p in pairs)
+        logit = slope * (total / (sum(w[2] for w in words) + len(pairs)) + bias) + shift
+        r = rows[d["doc_id"]]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+        assert r["held_out"] == (held(r["doc_id"], 4) == 2) and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def slow_language(text, model):
+    """(language or und, score) of a text: words of one script, their scores gram by gram, the best path word by word."""
+    words = []
+    for token in (text or "").replace("\n", " ").split(" "):
+        word, last = "", None
+        for c in token:
+            script = language.script_of(c) if c.isalpha() else None
+            if script is not None and last is not None and (script != last or script in language.UNSPACED):
+                words.append(word)
+                word = ""
+            word, last = word + c, last if script is None else script
+        words.append(word)
+    k, known, emissions, letters = len(model.languages), {}, [], []
+    for w in words:
+        if w not in known:
+            grams = [g % language.BUCKETS for g in slow_grams(w.lower(), 1, 4)]
+            own = [c for c in w if c.isalpha()]
+            scores = model.likelihood[grams].astype(np.float64).sum(axis=0) * min(max(len(grams), 1), 8) / max(len(grams), 1) if own else np.zeros(k)
+            if own and model.uses[language.script_of(own[0])].any():
+                scores = np.where(model.uses[language.script_of(own[0])], scores, scores.min() - 20)
+            known[w] = scores, len(own)
+        emissions.append(known[w][0])
+        letters.append(known[w][1])
+    best, came = emissions[0], []
+    for e in emissions[1:]:
+        top = int(best.argmax())
+        stay = best >= best[top] - language.SWITCH
+        came.append(np.where(stay, np.arange(k), top))
+        best = np.where(stay, best, best[top] - language.SWITCH) + e
+    path = [int(best.argmax())]
+    for c in reversed(came):
+        path.append(int(c[path[-1]]))
+    path = path[::-1]
+    total, sure = np.zeros(k), 0.0
+    for label, e, n in zip(path, emissions, letters):
+        total[label] += n
+        sure += n * np.exp(e[label] - e.max()) / np.exp(e - e.max()).sum()
+    if not total.sum():
+        return "und", 0.0
+    return model.languages[int(total.argmax())], total.max() / total.sum() * sure / total.sum()
+
+
+def test_language_query_against_brute_force(spark, sf_dir):
+    from palaver.llm.common import doc_bucket
+    from palaver.llm.queries import table
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(labelled_sample(docs, docs, "lang", doc_bucket(F.col("doc_id"), 3) != 1, language.SAMPLE_DOCS))
+    rows = {r["doc_id"]: r for r in op6_language(spark, sf_dir).collect()}
+    near, every = 0, docs.where("doc_id % 3 <> 0").collect()
+    for d in every:
+        name, score = slow_language(d["text"], model)
+        r = rows[d["doc_id"]]
+        near += r["lang_pred"] == name and abs(r["score"] - score) < 1e-3
+        assert r["held_out"] == (held(r["doc_id"], 3) == 1)
+    # sums of single precision may turn a tie of two paths the other way
+    assert len(rows) == docs.count() and near >= 0.998 * len(every)
+
+
+def test_languages_of_texts_without_spaces_and_of_mixed_scripts(spark):
+    rng = random.Random(3)
+    draw = lambda low, n: "".join(chr(rng.randrange(low, low + 60)) for _ in range(n))
+    kinds = {"zh": lambda: draw(0x4E00, 30), "ja": lambda: "".join(rng.choice([draw(0x3042, 1), draw(0x4E00, 1)]) for _ in range(30)), "th": lambda: draw(0x0E01, 30)[:30], "en": lambda: " ".join(rng.choice(["the", "house", "on", "hill", "hello"]) for _ in range(8)), "ru": lambda: " ".join(rng.choice(["дом", "стоит", "на", "холме"]) for _ in range(8))}
+    sample = spark.createDataFrame([(i, kinds[k](), k) for i, k in enumerate(list(kinds) * 30)], "doc_id long, text string, label string")
+    mixed = "hello" + draw(0x4E00, 40) + "стоит" + draw(0x4E00, 2)
+    frame = spark.createDataFrame([(1, mixed), (2, kinds["zh"]()), (3, "дом-house"), (4, "x" * 200_000 + draw(0x4E00, 200_000))], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in label_languages(frame, sample).collect()}
+    spans = [(s["lang"], mixed[s["start"] : s["end"]]) for s in rows[1]["spans"]]
+    assert rows[1]["lang_pred"] == rows[2]["lang_pred"] == "zh" and spans[0] == ("en", "hello") and spans[1] == ("zh", mixed[5:45]) and spans[2][1].startswith("стоит")
+    assert [(s["lang"], s["start"], s["end"]) for s in rows[3]["spans"]] == [("ru", 0, 4), ("en", 4, 9)]
+    assert len(rows[4]["spans"]) == 2 and language.one_script("") == [""] and "".join(language.one_script(mixed)) == mixed
