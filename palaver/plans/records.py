@@ -211,12 +211,14 @@ def retrieval_events(spark, sf_dir):
     return rows.select("user_id", X.ids_json(F.col("ids")).alias("selected_message_ids"), F.size("ids").cast("bigint").alias("n"))
 
 
-@query("""SELECT vec_id, len(embedding) AS dimensions FROM embeddings WHERE vec_id % 3 = 0""")
+@query("""SELECT vec_id, len(v) AS dimensions, round(list_sum(v), 6) AS total, round(list_sum(list_transform(v, lambda x, i: x * i)), 6) AS weighted
+FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(x AS VARCHAR) AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 3 = 0)""")
 def parsed_vectors(spark, sf_dir):
     json = F.to_json("embedding")
     broken = F.when(F.col("vec_id") % 3 == 0, json).when(F.col("vec_id") % 3 == 1, F.left(json, F.length(json) - 5)).otherwise('{"a": 1}')
     rows = table(spark, sf_dir, "embeddings").select("vec_id", X.vector_of(broken).alias("v")).where("v IS NOT NULL")
-    return rows.select("vec_id", F.size("v").cast("bigint").alias("dimensions"))
+    added = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6)
+    return rows.select("vec_id", F.size("v").cast("bigint").alias("dimensions"), added("v").alias("total"), added(F.transform("v", lambda x, i: x * (i + 1))).alias("weighted"))
 
 
 STATE = """WITH l AS (SELECT user_id, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'content' WHEN 'view' THEN 'content' WHEN 'purchase' THEN 'ok' ELSE 'fail' END AS op, substring(props, length(props) - 1, 1) AS hash FROM events),
