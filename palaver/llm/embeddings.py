@@ -1,7 +1,9 @@
 """Near-duplicate vectors by robust-pruned flat graphs on overlapping cluster shards.
 
 Vectors are assigned to every cluster whose centroid is nearly as close as the closest one, their
-home; too large clusters are divided in the same way.  Each shard gets a flat graph (see flatgraph),
+home; too large clusters are divided in the same way.  Centroids that crowd together, as in a large
+group of vectors that are all near each other, are one cluster, of which each vector is a member
+once; it is cut into blocks that meet in pairs.  Each shard gets a flat graph (see flatgraph),
 and a vector's adjacency lists from all of its shards are united.  A shard is then searched for its
 home vectors: greedy walks from the medoid, expanded over everything in range, through its members
 and through the vectors of other shards to which the united lists of its home vectors lead.  Links
@@ -30,6 +32,8 @@ CENTROID_SAMPLE, PER_CLUSTER, MOST_CENTROIDS = 12_000, 250, 4096
 MARGIN = 0.06
 #: Members of a shard at most; a larger cluster is divided, by centroids while they divide it, else by a hash.
 MOST_MEMBERS = 2000
+#: Centroids near one of them (by half the margin) that are one cluster with it, and members of a block of such a cluster.
+CROWD, BLOCK_MEMBERS = 12, 6000
 #: Audit queries to begin with and at most, those with links that are enough, and the recall to reach.
 AUDIT_QUERIES, MOST_QUERIES, LINKED_QUERIES, LEAST_RECALL = 1000, 16_000, 50, 0.9
 
@@ -59,12 +63,32 @@ def usable(vector):
     return vector.isNotNull() & (F.size(vector) > 0) & fine & F.exists(doubles, lambda x: x != 0)
 
 
+def crowds(centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each centre the one that stands for it, and whether that is a crowd of more than CROWD within half the margin.
+
+    Without this each vector amid a large group of near ones would belong to all of the group's clusters.
+    """
+    near = (centres.astype(np.float32) @ centres.astype(np.float32).T) >= 1 - margin / 2
+    label, crowded, left = np.arange(len(centres)), np.zeros(len(centres), dtype=bool), np.ones(len(centres), dtype=bool)
+    for i in np.argsort(-near.sum(axis=1), kind="stable"):
+        own = near[i] & left
+        if left[i] and own.sum() > CROWD:
+            label[own], crowded[own], left = i, True, left & ~own
+    return label, crowded
+
+
 def nearest_clusters(vectors: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (row, cluster) of all clusters within the margin of a row's best, and whether it is the best."""
+    """Pairs (row, cluster), each once, of all clusters within the margin of a row's best, and whether it is the best.
+
+    A crowd of centres is one cluster, numbered below 0.
+    """
+    label, crowded = crowds(centres, margin)
+    number = np.where(crowded, -1 - label, label)
     sims = vectors @ centres.T
     best = sims.argmax(axis=1)
     row, cluster = np.nonzero(sims >= sims[np.arange(len(sims)), best][:, None] - margin)
-    return row, cluster, best[row] == cluster
+    row, cluster = np.unique(np.stack([row, number[cluster]]), axis=1)
+    return row, cluster, number[best][row] == cluster
 
 
 def first_level(nodes: DataFrame, margin: float) -> DataFrame:
@@ -93,13 +117,14 @@ def _members(nodes: DataFrame) -> str:
 def divided(members: DataFrame, margin: float) -> DataFrame:
     """Members with their clusters of over MOST_MEMBERS divided by centroids, level by level, as long as that makes them smaller.
 
+    Crowds (numbered below 0) aren't divided.
     A cluster's centroids are fitted on a sample of about 2 * MOST_MEMBERS of it; its members are
     dealt to tasks by a hash.
     """
     kind = members.schema["vector"].dataType.simpleString()
     done, most, size = None, None, PER_CLUSTER
     while True:
-        sizes = checkpoint(members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MEMBERS))
+        sizes = checkpoint(members.where("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MEMBERS))
         largest = sizes.agg(F.max("n")).first()[0]
         if largest is None or most is not None and largest > 0.7 * most:
             return members if done is None else done.unionByName(members)
@@ -123,7 +148,8 @@ def divided(members: DataFrame, margin: float) -> DataFrame:
             known = np.stack(sorted(known["centre"], key=tuple))
             row, child, home = nearest_clusters(_normalised(pdf["vector"]), known, margin)
             out = pdf.iloc[row].reset_index(drop=True)
-            return out.assign(cluster=key[0] * 65_599 + child + 1, home=out["home"].to_numpy() & home)[["node", "vector", "copies", "cluster", "home"]]
+            number = np.where(child < 0, -1 - (key[0] * 65_599 - child), key[0] * 65_599 + child + 1)
+            return out.assign(cluster=number, home=out["home"].to_numpy() & home)[["node", "vector", "copies", "cluster", "home"]]
 
         split = large.groupBy("cluster", "part").cogroup(centres.groupBy("cluster", "part"))
         members = checkpoint(split.applyInPandas(assigned, f"node long, vector {kind}, copies long, cluster long, home boolean"))
@@ -164,16 +190,23 @@ def _searched(least: float):
         here = known[place] == flat
         own = np.repeat(np.arange(len(known)), counts)[here]
         graph = place[here], np.cumsum(np.bincount(own, minlength=len(known)))
-        q, at = flatgraph.in_range(vectors[asked], graph, vectors[target], least)
-        other = ids[asked][q] != known[at]
-        q, at = q[other], at[other]
-        found, sums = np.bincount(q, minlength=len(asked)), np.bincount(q, weights=copies[target][at], minlength=len(asked))
+        found, sums, trees = np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=np.int64), [(ids[:0], ids[:0])]
+        for first in range(0, len(asked), flatgraph.QUERIES):  # amid near vectors the pairs are many: counts and a forest are kept of them
+            part = asked[first : first + flatgraph.QUERIES]
+            q, at = flatgraph.in_range(vectors[part], graph, vectors[target], least)
+            other = ids[part][q] != known[at]
+            q, at = q[other], at[other]
+            found[first : first + len(part)] = np.bincount(q, minlength=len(part))
+            sums[first : first + len(part)] = np.bincount(q, weights=copies[target][at], minlength=len(part))
+            if len(q):
+                trees.append(forest(ids[part][q], known[at]))
         own = np.flatnonzero(found)
-        node, root = forest(ids[asked][q], known[at]) if len(q) else (ids[:0], ids[:0])
+        u, v = (np.concatenate([t[k] for t in trees]) for k in range(2))
+        node, root = forest(u, v) if len(u) else (u, v)
         none = np.zeros(len(node), dtype=np.int64)
         return pd.DataFrame({
             "node": np.concatenate([ids[asked][own], node]), "found": np.concatenate([found[own], none]),
-            "copies": np.concatenate([sums[own].astype(np.int64), none]), "root": np.concatenate([ids[asked][own], root]),
+            "copies": np.concatenate([sums[own], none]), "root": np.concatenate([ids[asked][own], root]),
         })
 
     return search
@@ -193,7 +226,8 @@ def links_within(nodes: DataFrame, least: float, margin: float) -> DataFrame:
     members = divided(first_level(nodes, margin), margin)
     where = members.groupBy("node").agg(F.collect_set("cluster").alias("clusters"), F.max(F.when(F.col("home"), F.col("cluster"))).alias("at_home"))
     # a cluster that centroids don't divide has g blocks: each has a graph, and is searched for the home vectors of all of them
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(MOST_MEMBERS)).alias("g"))
+    most = F.when(F.col("cluster") < 0, BLOCK_MEMBERS).otherwise(MOST_MEMBERS)
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", F.ceil(F.col("n") / most).alias("g"))
     members = members.join(sizes, "cluster").join(where, "node").withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("g")))
     members = checkpoint(members)
     lists = checkpoint(members.groupBy("cluster", "b").applyInPandas(_graph(least), "node long, edges array<bigint>, far array<bigint>"))
@@ -207,10 +241,11 @@ def links_within(nodes: DataFrame, least: float, margin: float) -> DataFrame:
     cut = here.where("g > 1")
     found = cut.select("*", blocks.alias("q")).where("q != b").select("cluster", "q", F.col("b").alias("t"), "node", "vector", "copies", "edges", F.lit(TARGET).alias("role"))
     asked = cut.where("home").select("*", blocks.alias("t")).where("t != b").select("cluster", F.col("b").alias("q"), "t", "node", "vector", "copies", nothing.alias("edges"), F.lit(QUERY).alias("role"))
-    # vectors of other clusters that lists lead to; blocks go without, as each would count them
-    whole = members.where("home and g = 1").select("node", "cluster")
-    far = lists.select("node", F.explode("far").alias("other")).join(whole, "node").select("cluster", F.col("other").alias("node")).distinct()
-    halo = far.join(nodes, "node").join(united, "node").select("cluster", F.lit(0).cast("bigint").alias("q"), F.lit(0).cast("bigint").alias("t"), "node", "vector", "copies", "edges", F.lit(TARGET).alias("role"))
+    # vectors of other clusters that lists lead to: each is a target in one block, for the home vectors of all blocks
+    homes = members.where("home").select("node", "cluster", "g")
+    far = lists.select("node", F.explode("far").alias("other")).join(homes, "node").select("cluster", "g", F.col("other").alias("node")).distinct()
+    halo = far.join(nodes, "node").join(united, "node").select("*", blocks.alias("q"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("g")).alias("t"))
+    halo = halo.select("cluster", "q", "t", "node", "vector", "copies", "edges", F.lit(TARGET).alias("role"))
     shards = own.unionByName(found).unionByName(asked).unionByName(halo).select(*columns)
     return checkpoint(shards.groupBy("cluster", "q", "t").applyInPandas(_searched(least), FOUND))
 
@@ -232,13 +267,13 @@ def audited_recall(nodes: DataFrame, found: DataFrame, least: float) -> float:
         shipped = spark.sparkContext.broadcast(_normalised([r["vector"] for r in chosen]))  # 2 * MOST_QUERIES vectors at most
 
         def compared(batches):
+            counts = np.zeros(len(ids), dtype=np.int64)
             for pdf in batches:
-                counts = np.zeros(len(ids), dtype=np.int64)
                 for at in range(0, len(pdf), 1000):
                     part = pdf.iloc[at : at + 1000]
                     counts += (shipped.value @ _normalised(part["vector"]).T >= least + 1e-12).sum(axis=1)
                     counts -= np.isin(ids, part["node"].to_numpy())  # itself
-                yield pd.DataFrame({"node": ids, "real": counts})
+            yield pd.DataFrame({"node": ids, "real": counts})  # once a task
 
         truth = nodes.mapInPandas(compared, "node long, real long").groupBy("node").agg(F.sum("real").alias("real")).where("real > 0")
         rows = truth.join(links, "node", "left").select("real", F.coalesce("mine", F.lit(0)).alias("mine")).collect()  # a row for each query
@@ -253,8 +288,42 @@ def audited_recall(nodes: DataFrame, found: DataFrame, least: float) -> float:
     return min(means, default=1.0)
 
 
+def all_links(nodes: DataFrame, least: float) -> DataFrame:
+    """FOUND rows by comparing all vectors, in pairs of blocks: the exact way where graphs don't find enough."""
+    g = max(1, -(-nodes.count() // BLOCK_MEMBERS))
+    b = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(g))
+    dealt = nodes.withColumn("b", b).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(g - 1).cast("bigint"))))
+    dealt = dealt.select("node", "vector", "copies", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
+
+    def compared(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, copies, vectors, block = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), _normalised(pdf["vector"]), pdf["b"].to_numpy()
+        left, right = np.flatnonzero(block == key[0]), np.flatnonzero(block == key[1])
+        found, sums, trees = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64), [(ids[:0], ids[:0])]
+        for at in range(0, len(left), flatgraph.QUERIES):
+            part = left[at : at + flatgraph.QUERIES]
+            q, other = np.nonzero(vectors[part] @ vectors[right].T >= least)
+            a, c = part[q], right[other]
+            once = a < c if key[0] == key[1] else np.ones(len(a), dtype=bool)  # in one block every pair is met twice
+            a, c = a[once], c[once]
+            for i, j in ((a, c), (c, a)):
+                found += np.bincount(i, minlength=len(ids))
+                sums += np.bincount(i, weights=copies[j], minlength=len(ids)).astype(np.int64)
+            if len(a):
+                trees.append(forest(ids[a], ids[c]))
+        own = np.flatnonzero(found)
+        u, v = (np.concatenate([t[k] for t in trees]) for k in range(2))
+        node, root = forest(u, v) if len(u) else (u, v)
+        none = np.zeros(len(node), dtype=np.int64)
+        return pd.DataFrame({"node": np.concatenate([ids[own], node]), "found": np.concatenate([found[own], none]), "copies": np.concatenate([sums[own], none]), "root": np.concatenate([ids[own], root])})
+
+    return checkpoint(dealt.groupBy("x", "y").applyInPandas(compared, FOUND))
+
+
 def audited_links(nodes: DataFrame, least: float) -> tuple[DataFrame, float]:
-    """FOUND rows and their audited recall, with the clusters' margin doubled while that is below LEAST_RECALL."""
+    """FOUND rows and their audited recall, with the clusters' margin doubled while that is below LEAST_RECALL.
+
+    Where it stays below with every vector in every cluster, all vectors are compared.
+    """
     margin = MARGIN
     while True:
         found = links_within(nodes, least, margin)
@@ -263,7 +332,7 @@ def audited_links(nodes: DataFrame, least: float) -> tuple[DataFrame, float]:
         if recall >= LEAST_RECALL:
             return found, recall
         if margin >= 2:
-            raise RuntimeError(f"audited recall {recall:.3f} with every vector in every cluster")
+            return all_links(nodes, least), 1.0
         margin *= 2
 
 
@@ -275,7 +344,8 @@ def near_duplicate_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str
     components link with nothing, vectors of different dimensions neither.  A null id takes part in
     links but names no component (null where a component has none else).  Repeated rows are rows of
     their own; an empty table gives no rows; other columns are not read.  The margin between
-    clusters is doubled until the audited recall is at least LEAST_RECALL; the recall is logged.
+    clusters is doubled until the audited recall is at least LEAST_RECALL, and at last all vectors
+    are compared; the recall is logged.
     """
     rows = checkpoint(table.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("vector"), usable(F.col(vector)).alias("fine")))
     fine = rows.where("fine").select("vec_id", "vector", F.xxhash64("vector").alias("hash"))

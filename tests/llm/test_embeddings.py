@@ -102,3 +102,33 @@ def test_audit_does_not_weigh_queries_by_links(spark):
     nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vector array<double>")
     rows = spark.createDataFrame([(i, 99, 99, 0) for i in range(100)], embeddings.FOUND)
     assert audited_recall(nodes, rows, 0.95) < 0.1
+
+
+def hot_group(n, others, seed=2):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=16)
+    near = base / np.linalg.norm(base) + 0.04 * rng.normal(size=(n, 16))
+    return np.concatenate([near, rng.normal(size=(others, 16))])
+
+
+def test_vectors_of_a_hot_group_are_members_once(spark, monkeypatch):
+    """A group of mutually near vectors, of more than a block: few memberships, and every link."""
+    for name, value in {"PER_CLUSTER": 20, "MOST_MEMBERS": 200, "BLOCK_MEMBERS": 250}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    x = hot_group(900, 200)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    nodes = spark.createDataFrame([(i, v, 1) for i, v in rows], "node long, vector array<float>, copies long")
+    members = embeddings.divided(embeddings.first_level(nodes, embeddings.MARGIN), embeddings.MARGIN)
+    assert members.count() < 3 * len(rows) and members.where("home").count() == len(rows)
+    want = {r[0]: r for r in brute(rows)}
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    assert all(n <= want[v][1] for v, n, _ in got) and sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want.values()) > 100_000
+    assert sum(r[2] == want[r[0]][2] for r in got) >= 0.99 * len(got)
+
+
+def test_all_pairs_where_graphs_find_too_little(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK_MEMBERS", 40)
+    monkeypatch.setattr(embeddings, "audited_recall", lambda *a: 0.5)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(hot_group(100, 60))] + [(500, [1.0] * 16), (501, [1.0] * 16)]
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    assert sorted(got) == sorted(brute(rows))
