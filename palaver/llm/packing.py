@@ -34,7 +34,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     ``sequence_id`` runs from 0 without gaps over all pieces, longer buckets first; ``offset`` is 0
     as each piece opens its own sequence.  Null and empty texts are the end id alone (one piece of
-    length 1); repeated rows are packed each on its own; an empty table gives no rows; other
+    length 1); repeated rows are packed each on its own; a text of any length is encoded whole and
+    becomes as many pieces as it needs; an empty table gives no rows; other
     columns are not read, so their names don't matter.
 
     The pieces are written once to the shared folder with their task's number and their count

@@ -124,7 +124,8 @@ def score_quality(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", te
     """(doc_id, score) for every row; score is the probability of label 1.
 
     Null texts count as empty and an empty text scores by its one empty word; ties and repeated
-    rows get equal scores; an empty table gives no rows; other columns are not read.
+    rows get equal scores; rows without an id are scored like others; texts of any length are read
+    whole, one at a time where they are long; an empty table gives no rows; other columns are not read.
     """
     numbers, bias, slope, shift = fit(sample)
     model = docs.sparkSession.sparkContext.broadcast(numbers.astype(np.float32))  # one number per bucket

@@ -106,7 +106,8 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], key: str, text: str =
     ``shard`` and ``slot`` (0 to the shard's rows less one).  Law: row counts of any two shards
     differ by one at most.
 
-    Nulls are in the lowest bin; an empty table gives no rows; repeated rows each get their own
+    Nulls are in the lowest bin, null keys among them; of a text of any length only size and
+    checksum are kept; an empty table gives no rows; repeated rows each get their own
     slot; columns besides those named are not looked at, so their names may clash with ours.
     A cell of any share of the rows is divided into groups by a hash of key and text, sized by the
     row count, so that no task ranks more than one group.

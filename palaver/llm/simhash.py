@@ -222,7 +222,8 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     Rows of one fingerprint are linked with each other, so copies of any number are one node.
     Null texts count as empty, texts without words have fingerprint 0; rows without a doc_id take
     part, and the smallest id that isn't null names the component (null if none has one); repeated
-    rows stay; an empty table gives no rows; other columns are not read.
+    rows stay; texts of any length are hashed whole, one at a time where they are long; an empty
+    table gives no rows; other columns are not read.
     """
     rows = checkpoint(fingerprints(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "text", words).select("doc.doc_id", "fp"))
     groups = fingerprint_groups(rows)

@@ -296,7 +296,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     A byte is removed if a string of ``length`` bytes (200 to 300) that covers it also starts
     anywhere else, in the same text or another; overlaps count, and all strings are judged on the
     input.  Null texts count as empty; shorter texts and empty tables have nothing to remove;
-    repeated rows are repeats of each other; other columns are carried along, whatever their names.
+    repeated rows are repeats of each other; texts of any length are searched whole, one at a time
+    where they are long; other columns are carried along, whatever their names.  Texts are known to
+    each other by 64 bits of hash.
     """
     if not 200 <= length <= 240:
         raise ValueError("the identifiers of this module cover strings of 200 to 240 bytes")
