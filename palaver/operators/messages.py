@@ -58,11 +58,13 @@ def bounded(wanted: int, least: int = 1, most: int = 500) -> int:
 
 
 def pending_embeddings(index: DataFrame, embeddings: DataFrame, model: str, as_of: Column, most: int) -> DataFrame:
-    """Visible messages whose vector is due, newest first, with the text to embed."""
+    """Visible messages whose vector is due, newest first, with the text to embed and the content's hash."""
     due = embeddings.where((F.col("embedding_model") == model) & (F.col("embedding_status") == "pending") & (F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= as_of)))
-    rows = visible(index).join(due.select("message_id"), "message_id")
-    text = F.concat(F.lit("title: "), F.coalesce("author_name", F.lit("")), F.lit(" text: "), "content_text")
-    return recent(rows, "created_at", "message_id", most).select("message_id", text.alias("document"))
+    rows = visible(index).join(due.select("message_id", "content_hash"), "message_id")
+    sent = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss") if dict(index.dtypes)["created_at"].startswith("timestamp") else F.col("created_at").cast("string")
+    # fixed value: the form in which texts are embedded
+    text = F.concat(F.lit("title: Discord message by "), F.coalesce("author_name", F.lit("")), F.lit(" at "), F.coalesce(sent, F.lit("")), F.lit(" | text: "), "content_text")
+    return recent(rows, "created_at", "message_id", most).select("message_id", text.alias("document"), "content_hash")
 
 
 def status_counts(index: DataFrame, embeddings: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:

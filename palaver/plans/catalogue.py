@@ -146,12 +146,12 @@ def messages_by_ids(spark, sf_dir):
     return messages.by_ids(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 0"), "doc_id").select("doc_id", "source", "lang")
 
 
-@query("""SELECT doc_id, concat('title: ', source, ' text: ', text) AS document FROM documents JOIN labels USING (doc_id)
-WHERE quality = 1 AND toxic = 0 ORDER BY n_chars DESC, doc_id DESC LIMIT 16""")
+@query("""SELECT doc_id, concat('title: Discord message by ', source, ' at ', strftime(sent, '%Y-%m-%dT%H:%M:%S'), ' | text: ', text) AS document, sha256(text) AS content_hash
+FROM (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(CAST(n_chars AS BIGINT)) AS sent FROM documents) JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 ORDER BY n_chars DESC, doc_id DESC LIMIT 16""")
 def pending_embeddings(spark, sf_dir):
     docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    index = docs.join(marks, "doc_id").select(F.col("doc_id").alias("message_id"), F.col("source").alias("author_name"), F.col("text").alias("content_text"), F.col("n_chars").alias("created_at"), (F.col("toxic") == 1).alias("hidden"), F.lit(None).alias("deleted_at"))
-    vectors = marks.select(F.col("doc_id").alias("message_id"), F.lit("m").alias("embedding_model"), F.when(F.col("quality") == 1, "pending").otherwise("done").alias("embedding_status"), F.lit(None).cast("timestamp").alias("next_retry_at"))
+    index = docs.join(marks, "doc_id").select(F.col("doc_id").alias("message_id"), F.col("source").alias("author_name"), F.col("text").alias("content_text"), F.timestamp_add("SECOND", F.col("n_chars"), F.lit("2024-01-01").cast("timestamp")).alias("created_at"), (F.col("toxic") == 1).alias("hidden"), F.lit(None).alias("deleted_at"))
+    vectors = docs.join(marks, "doc_id").select(F.col("doc_id").alias("message_id"), F.sha2("text", 256).alias("content_hash"), F.lit("m").alias("embedding_model"), F.when(F.col("quality") == 1, "pending").otherwise("done").alias("embedding_status"), F.lit(None).cast("timestamp").alias("next_retry_at"))
     return messages.pending_embeddings(index, vectors, "m", F.current_timestamp(), 16).withColumnRenamed("message_id", "doc_id")
 
 
