@@ -39,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def as_of(rows: DataFrame, at: str):
-    """The newest time of a table, as a literal (one aggregate that reads one column)."""
-    return F.lit(rows.agg(F.max(at)).first()[0])
+    """The newest time of a table, as a subquery (one aggregate that reads one column)."""
+    return rows.agg(F.max(at)).scalar()
 
 
 # ---- usage -------------------------------------------------------------------------------------
