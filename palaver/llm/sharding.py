@@ -22,12 +22,36 @@ LEAST_GROUP, MOST_GROUP = 32, 50_000
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def text_bounds(rows: DataFrame, column: str, bins: int) -> list[str]:
-    """The values at which the bins of a text column end, each with about as many rows, by counts of all whole values.
+#: Distinct values of a text dimension whose counts are added up on the driver.
+FEW_VALUES = 10_000
+
+
+def all_text_bounds(rows: DataFrame, columns: list[str], bins: int) -> dict[str, list[str]]:
+    """The values at which the bins of each text column end, each with about as many rows, by counts of all whole values.
 
-    Distinct values are sorted in ranges; a range's counts are summed up within it, and begin where
-    the sum of the ranges before it ends.
+    All columns are counted in one pass; those of more than FEW_VALUES values are added up in ranges.
     """
+    if not columns:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in columns]))
+    counts = rows.select(pairs.alias("p")).select("p.*").where("value IS NOT NULL").groupBy("of", "value").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.limit(FEW_VALUES + 1).collect()
+    if len(few) > FEW_VALUES:
+        return {c: text_bounds(rows, c, bins) for c in columns}
+    out = {}
+    for c in columns:
+        own = sorted((r["value"], r["n"]) for r in few if r["of"] == c)
+        total, up_to, last = sum(n for _, n in own), 0, {}
+        for value, n in own:
+            up_to += n
+            last[(up_to - 1) * bins // total] = value
+        out[c] = list(last.values())[:-1]
+    return out
+
+
+def text_bounds(rows: DataFrame, column: str, bins: int) -> list[str]:
+    """The same for a column of any number of values: sorted in ranges, a range's counts are summed up within it, and
+    begin where the sum of the ranges before it ends."""
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     counts = checkpoint(counts.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
     sums = counts.groupBy("part").agg(F.sum("n").alias("in_part"))
@@ -127,7 +151,7 @@ def hilbert_shards(docs: DataFrame, dimensions: list[str], key: str, text: str =
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
     bounds = slim.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, share, 1000).alias(c) for c in codes if number[c]]).first().asDict()
     n = bounds["n"]
-    bounds.update({c: text_bounds(slim, c, 1 << bits) for c in codes if not number[c]})
+    bounds.update(all_text_bounds(slim, [c for c in codes if not number[c]], 1 << bits))
     binned = slim.select("key", "size", "text_crc32", *[equal_depth_bin(F.col(c), sorted(set(bounds[c] or []))).alias(c) for c in codes])
 
     # at most 2^(bits * dimensions) cells, whatever the number of rows

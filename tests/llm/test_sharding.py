@@ -1,8 +1,10 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from palaver.llm import sharding
 from palaver.llm.queries import op7_hilbert_shards
 from palaver.llm.sharding import hilbert_index, hilbert_shards, text_bounds, write_shards
 
@@ -105,3 +107,13 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
     back = spark.read.parquet(f"file://{tmp_path}/shards").collect()
     assert Counter((r["doc_id"], r["text"], r["shard"]) for r in back) == Counter(rows)
     law_holds([{"shard": r["_shard"], "slot": r["_slot"]} for r in back], 8)
+
+
+def test_bounds_of_text_columns_are_the_same_by_either_way(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "é", "世", "b" * 50, ""]) + str(rng.randrange(60)) if rng.random() > 0.1 else None, rng.choice(["x", "x", "x", "y", None])) for _ in range(3000)]
+    frame = spark.createDataFrame(rows, "c0 string, c1 string")
+    few = sharding.all_text_bounds(frame, ["c0", "c1"], 16)
+    monkeypatch.setattr(sharding, "FEW_VALUES", 3)
+    assert sharding.all_text_bounds(frame, ["c0", "c1"], 16) == few and len(few["c0"]) == 15 and few["c1"] == ["x"]
+    assert sharding.all_text_bounds(frame.limit(0), ["c0"], 16) == {"c0": []} and sharding.all_text_bounds(frame, [], 4) == {}
