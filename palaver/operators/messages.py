@@ -95,3 +95,8 @@ def looked_up(keys: DataFrame, state: DataFrame, by: list[str], defaults: dict[s
     """Each key's columns of a state table; a key that it doesn't have, or a null there, gets the default."""
     found = keys.join(state.select(*by, *defaults), by, "left")
     return found.select(*keys.columns, *[F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()])
+
+
+def chronological(rows: DataFrame, at: str, key: str) -> DataFrame:
+    """Oldest first; rows of one time by key, those without a time first."""
+    return rows.orderBy(F.asc_nulls_first(at), F.asc(key))

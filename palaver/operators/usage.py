@@ -36,3 +36,17 @@ def remaining_quota(requests: DataFrame, by: str, at: str, as_of: Column, second
 def column_widths(cells: DataFrame, by: list[str], row_cells: str) -> DataFrame:
     """The longest cell of each column of each table."""
     return cells.select(*by, F.posexplode(row_cells).alias("col", "cell")).groupBy(*by, "col").agg(F.max(F.length("cell")).alias("width"))
+
+
+def split_statistics(parts: DataFrame, by: list[str], text: str, most: int) -> DataFrame:
+    """Parts, their characters, mean, least and greatest length, and those that are as long as ``most``; one pass of partial sums."""
+    length = F.length(text)
+    return parts.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(length), F.lit(0)).alias("characters"), F.round(F.avg(length), 4).alias("mean_length"),
+        F.min(length).alias("shortest"), F.max(length).alias("longest"), F.count_if(length == most).alias("full_parts"),
+    )
+
+
+def snapshot(rows: DataFrame, by: list[str], **states: Column) -> DataFrame:
+    """All rows by group, and how many of them are in each of the named states: the counts that a queue shows."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in states.items()])

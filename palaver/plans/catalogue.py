@@ -86,10 +86,8 @@ def quota_remaining(spark, sf_dir):
 max(length) AS longest, count_if(length = 500) AS full_parts FROM (SELECT source, length(substring(text, CAST(i * 500 + 1 AS BIGINT), 500)) AS length
 FROM documents, LATERAL (SELECT unnest(range(0, greatest(CAST(ceil(length(text) / 500.0) AS BIGINT), 1))) AS i)) GROUP BY source""")
 def split_statistics(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").select("source", F.explode(X.hard_split(F.col("text"), 500)).alias("part")).select("source", F.length("part").alias("length"))
-    return parts.groupBy("source").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("length").alias("characters"), F.round(F.avg("length"), 4).alias("mean_length"), F.min("length").alias("shortest"), F.max("length").alias("longest"), F.count_if(F.col("length") == 500).alias("full_parts")
-    )
+    parts = table(spark, sf_dir, "documents").select("source", F.explode(X.hard_split(F.col("text"), 500)).alias("part"))
+    return usage.split_statistics(parts, ["source"], "part", 500)
 
 
 @query("""SELECT doc_id, col, max(length(cell)) AS width FROM (SELECT doc_id, unnest(range(0, len(cells))) AS col, unnest(cells) AS cell FROM (
@@ -105,7 +103,7 @@ def column_widths(spark, sf_dir):
 @query("""SELECT o_orderstatus, count(*) AS total, count_if(o_orderpriority LIKE '1%') AS urgent, count_if(o_totalprice > 100000) AS large FROM orders GROUP BY o_orderstatus""")
 def status_counts(spark, sf_dir):
     rows = table(spark, sf_dir, "orders")
-    return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("urgent"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
+    return usage.snapshot(rows, ["o_orderstatus"], urgent=F.col("o_orderpriority").startswith("1"), large=F.col("o_totalprice") > 100000)
 
 
 @query("""SELECT lang, count(*) AS total, count_if(s = 'done') AS done, count_if(s = 'pending') AS pending, count_if(s = 'failed') AS failed
@@ -162,7 +160,7 @@ def reports_recent(spark, sf_dir):
 
 @query("SELECT event_id, ts, value FROM events WHERE event_type = 'signup' ORDER BY ts, event_id")
 def pins_oldest_first(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'signup'").orderBy("ts", "event_id").select("event_id", "ts", "value")
+    return messages.chronological(table(spark, sf_dir, "events").where("event_type = 'signup'"), "ts", "event_id").select("event_id", "ts", "value")
 
 
 @query("""SELECT conv_id, turn, length(text) AS characters FROM (SELECT *, row_number() OVER (ORDER BY turn DESC, conv_id DESC) AS n FROM conversations WHERE role = 'assistant')
@@ -448,18 +446,20 @@ def error_category(spark, sf_dir):
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("documents"), F.bool_or(X.is_retryable(F.col("category"))).alias("retryable"), F.max(X.log_level(F.col("category"))).alias("level"))
 
 
-def _count(p: str) -> str:
-    return "len(regexp_extract_all(trim(lower(text)), '{}'))".format(p.replace("'", "''"))
+EDIT_SQL = r"""WITH t AS (SELECT conv_id, turn, trim(lower(text)) AS t FROM conversations), k AS (SELECT conv_id, turn,
+len(regexp_extract_all(t, '\b(remove|delete|erase|eliminate|take\s+out)\b.*\b(object|person|thing|item)\b')) + len(regexp_extract_all(t, '\b(get\s+rid\s+of|clear\s+away)\b')) + len(regexp_extract_all(t, '\bremove\s+the\s+\w+')) + len(regexp_extract_all(t, '\bdelete\s+\w+')) AS removal,
+len(regexp_extract_all(t, '\b(change|replace|swap|switch)\s+(the\s+)?background\b')) + len(regexp_extract_all(t, '\bbackground\s+(to|with|as)\b')) + len(regexp_extract_all(t, '\bput\s+.*\s+(in|on|at|to)\b')) + len(regexp_extract_all(t, '\bplace\s+.*\s+(in|on|at|to)\b'))
+  + len(regexp_extract_all(t, '\bmake\s+the\s+background\b')) + len(regexp_extract_all(t, '\bon\s+top\s+of\b')) + len(regexp_extract_all(t, '\bin\s+front\s+of\b')) + len(regexp_extract_all(t, '\b(move|relocate|position)\s+\w+\s+to\b')) AS background,
+len(regexp_extract_all(t, '\b(style|artistic|art)\s+(of|like|as)\b')) + len(regexp_extract_all(t, '\bmake\s+it\s+(look\s+like|in\s+the\s+style\s+of)\b')) + len(regexp_extract_all(t, '\b(convert|transform)\s+to\s+\w+\s+style\b')) + len(regexp_extract_all(t, '\bapply\s+.*\s+style\b')) AS style,
+len(regexp_extract_all(t, '\b(adjust|change|modify)\s+(color|brightness|contrast|saturation)\b')) + len(regexp_extract_all(t, '\bmake\s+it\s+(brighter|darker|more\s+colorful|less\s+colorful)\b')) + len(regexp_extract_all(t, '\b(increase|decrease|enhance)\s+(brightness|contrast|saturation)\b')) + len(regexp_extract_all(t, '\bcolor\s+(correction|grading)\b')) AS color FROM t)
+SELECT conv_id, turn, CASE WHEN m = 0 THEN 'general_edit' WHEN removal = m THEN 'object_removal' WHEN background = m THEN 'background_replacement' WHEN style = m THEN 'style_transfer' ELSE 'color_adjustment' END AS kind,
+CAST(CASE WHEN m = 0 THEN 0.5 ELSE least(m / 3.0, 1.0) END AS DOUBLE) AS confidence FROM (SELECT *, greatest(removal, background, style, color) AS m FROM k)"""
 
 
-_KINDS = ", ".join(f"{' + '.join(_count(p) for p in ps)} AS k{i}" for i, ps in enumerate(X.EDIT_PATTERNS.values()))
-_BEST = "CASE WHEN m = 0 THEN 'general_edit' " + " ".join(f"WHEN k{i} = m THEN '{k}'" for i, k in enumerate(X.EDIT_PATTERNS)) + " END"
-
-
-@query(f"""SELECT conv_id, turn, {_BEST} AS kind, CASE WHEN m = 0 THEN 0.5 ELSE least(m / 3.0, 1.0) END::DOUBLE AS confidence
-FROM (SELECT *, greatest(k0, k1, k2, k3) AS m FROM (SELECT conv_id, turn, {_KINDS} FROM conversations))""")
+@query(EDIT_SQL.replace("trim(lower(text))", "trim(lower(concat(CASE turn % 5 WHEN 1 THEN 'remove the hat, ' WHEN 2 THEN 'change background to blue and ' WHEN 3 THEN 'make it brighter with more color correction ' WHEN 4 THEN 'delete it; apply oil style ' ELSE '' END, text)))"))
 def edit_kind(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.edit_kind(F.col("text")).alias("e"))
+    asked = F.element_at(F.array(*map(F.lit, ["", "remove the hat, ", "change background to blue and ", "make it brighter with more color correction ", "delete it; apply oil style "])), (F.col("turn") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.edit_kind(F.concat(asked, F.col("text"))).alias("e"))
     return rows.select("conv_id", "turn", "e.kind", F.col("e.confidence").cast("double").alias("confidence"))
 
 
