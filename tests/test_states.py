@@ -106,7 +106,7 @@ def test_live_channels_as_a_stream(spark, tmp_path):
     switch(1, True, 0)
     switch(2, True, 0)
     say((1, 1), (1, 2), (2, 3), (3, 4))  # channel 3 isn't live
-    stream = live.live_queues(spark.readStream.schema(schema).parquet(f"{tmp_path}/said"), spark.readStream.schema("channel_id long, enabled boolean, at timestamp").parquet(f"{tmp_path}/set"), 12.0)
+    stream = live.live_queues(spark.readStream.schema(schema).parquet(f"{tmp_path}/said"), spark.readStream.schema("channel_id long, enabled boolean, at timestamp").parquet(f"{tmp_path}/set"), 20.0)
     query = stream.writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
 
     def batches():
