@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import text as X
-from palaver.operators import changes, fulltext, limits, markup, messages, retrieval, suggestions, usage, usage_log, vector_index, windows
+from palaver.operators import changes, fulltext, markup, messages, retrieval, suggestions, usage, usage_log, vector_index, windows
 from palaver.session import shared_folder
 from palaver.sources import sinks
 from palaver.sources.runs import Runs
