@@ -118,3 +118,14 @@ def test_reports_of_one_day_are_numbered_without_gaps(spark, monkeypatch):
     real = scans.dealt
     monkeypatch.setattr(scans, "dealt", lambda rows, by, order, most=0: real(rows, by, order, 50))
     assert [tuple(r) for r in changes.new_reports(frame, 5).orderBy("id").collect()] == whole and [r[0] for r in whole] == list(range(6, 606))
+
+
+def test_rows_without_a_time_are_alike_in_large_and_small_groups(spark, rows):
+    odd = [(c, i, None if i % 6 == 0 else t, n) for c, i, t, n in rows[:600]]
+    frame = spark.createDataFrame(odd, SCHEMA).repartition(3)
+    for scan in (
+        lambda most: scans.numbered(frame, ["channel"], ORDER, "v", most), lambda most: scans.sessions(frame, ["channel"], "at", "id", 60, "v", most),
+        lambda most: scans.within(frame, ["channel"], "at", 900, "v", most), lambda most: scans.rolling(frame, ["channel"], ORDER, "n", 7, "v", most),
+    ):
+        small, large = ({r["id"]: r["v"] for r in scan(most).collect()} for most in (10_000, 30))
+        assert small == large and len(small) == len(odd)
