@@ -71,9 +71,10 @@ def apply_changes(changes: DataFrame, path: str, batch: int, key: str = "message
     """
     spark = changes.sparkSession
     runs = Runs(spark, path)
-    live, run = runs.live(), runs.next(source, batch)
+    run = runs.next(source, batch)
     if run is None:
         return
+    live = runs.live()
     given = lambda f: F.col(f) if f in changes.columns else F.lit(None).cast("string")
     fields = [(F.left(given(f), F.lit(KEPT[f])) if f in KEPT else given(f)).alias(f) for f in FIELDS]
     facts = message_facts(changes.select("seq", "op", F.col(key).cast("bigint").alias("key"), *fields), "key", FIELDS).persist()
