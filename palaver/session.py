@@ -25,12 +25,12 @@ def shared_folder(spark: SparkSession, name: str, own: str | None = None) -> str
 
     ``own`` tells folders of one name apart; without it the folder is a new one.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        path = "file://" + tempfile.mkdtemp(prefix="palaver-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="palaver-"))
+        path = spark.sparkContext.getCheckpointDir()
     return f"{path.rstrip('/')}/{name}-{own or uuid.uuid4().hex}"
 
 
