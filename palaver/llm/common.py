@@ -26,12 +26,12 @@ SLICE_BYTES = 3 << 20
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where a session on one machine names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        path = "file://" + tempfile.mkdtemp(prefix="palaver-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="palaver-shared-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
