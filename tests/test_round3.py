@@ -24,3 +24,10 @@ def test_edit_kinds_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     mine, theirs = both(spark, "edit_kind", str(tmp_path), "conversations")
     assert mine == theirs
+
+
+def test_query_tokens_of_one_character_count(spark, tmp_path):
+    rows = [(1, "Fix a B fix b C++"), (2, "x"), (3, None), (4, " ".join(map(str, range(30))))]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    mine, theirs = both(spark, "query_tokens", str(tmp_path), "benchmark")
+    assert mine == theirs and mine[0] == (1, "Fix a B C") and mine[1] == (2, "x")
