@@ -84,23 +84,29 @@ def retry_minutes(retry_after: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(retry_after / 60) + 1).cast("bigint")
 
 
-def waits(requests: DataFrame, at: str, key: str, seconds: int = 60, most: int = 30) -> DataFrame:
+def waits(requests: DataFrame, at: str, key: str, seconds: int = 60, most: int = 30, size: int = scans.MOST) -> DataFrame:
     """(key, wait) of all requests to one service, which delays instead of refusing: every request counts.
 
     A request that finds ``most`` others within the last ``seconds`` (the end left out) waits until
     the oldest of them is that old.  Times are dealt to spans of ``seconds``; each request is also
-    seen by the next span, so that windows are computed span by span.
+    seen by the next span, so that requests are numbered span by span.  A request asks how many are before
+    its window; the one after those is the oldest, found by its number: no window is walked for each
+    request.  A span of more than ``size`` marks is dealt to several tasks.
     """
     t = F.unix_micros(F.col(at).cast("timestamp"))
     span = seconds * 1_000_000
-    timed = requests.select(F.col(key).alias("k"), t.alias("t")).withColumn("own", F.expr(f"t div {span}"))
-    seen = timed.select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("span"))
-    order = Window.partitionBy("span").orderBy("t")
-    place = F.row_number().over(Window.partitionBy("span").orderBy("t", "k"))
-    gone = F.count(F.lit(1)).over(order.rangeBetween(Window.unboundedPreceding, -span))
-    oldest = F.min("t").over(order.rangeBetween(1 - span, 0))
-    marked = seen.select("k", "t", "own", "span", (place - 1 - gone).alias("before"), oldest.alias("oldest")).where("own = span")
-    wait = F.when(F.col("before") >= most, (F.col("oldest") + span - F.col("t")) / 1e6).otherwise(0.0)
+    timed = requests.select(F.col(key).alias("k"), t.alias("t")).where("t IS NOT NULL").withColumn("own", F.expr(f"t div {span}"))
+    mark = lambda of, kind, u: F.struct(of.alias("span"), F.lit(kind).alias("kind"), u.alias("u"))
+    # 1: a request; 2: the end of what is before its window, after requests of that very time
+    marks = F.array(mark(F.col("own"), 1, F.col("t")), mark(F.col("own") + 1, 1, F.col("t")), mark(F.col("own"), 2, F.col("t") - span))
+    seen = scans.running(timed.select("k", "t", "own", F.inline(marks)), ["span"], [F.col("u"), F.col("kind"), F.col("k")], F.col("kind") == 1, "n", size)
+    own, request = seen.where("own = span"), F.when(F.col("kind") == 1, F.col("n"))
+    # equal requests have numbers that follow each other
+    asked = own.groupBy("span", "k", "t").agg(F.min(request).alias("first"), F.max(request).alias("last"), F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("gone"))
+    each = asked.select("k", "t", F.col("span").alias("of"), "gone", F.explode(F.sequence("first", "last")).alias("place"))
+    oldest = seen.where("kind = 1").select("span", "n", F.col("t").alias("oldest"))
+    marked = each.join(oldest, (F.col("of") == F.col("span")) & (F.col("gone") + 1 == F.col("n")))
+    wait = F.when(F.col("place") - 1 - F.col("gone") >= most, (F.col("oldest") + span - F.col("t")) / 1e6).otherwise(0.0)
     return marked.select(F.col("k").alias(key), wait.alias("wait"))
 
 

@@ -85,6 +85,19 @@ def numbered(rows: DataFrame, by: list[str], order: list[Column | str], name: st
     return small.unionByName(large.drop("_before", "_chunk", "_key"))
 
 
+def running(rows: DataFrame, by: list[str], order: list[Column | str], counted: Column, name: str, most: int = MOST) -> DataFrame:
+    """Each row with how many rows of its group, of those that are counted, stand up to it."""
+    parts = dealt(rows, by, order, most)
+    one, upto = counted.cast("bigint"), (Window.unboundedPreceding, 0)
+    small = parts.small.withColumn(name, F.sum(one).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)))
+    if parts.large is None:
+        return small
+    totals = parts.large.groupBy(*by, "_chunk").agg(F.count_if(counted).alias("_n"))
+    carried = _beside(parts.large, _carried(totals, by, _before=F.sum("_n")), [*by, "_chunk"])
+    large = carried.withColumn(name, F.sum(one).over(_window(by, order).rowsBetween(*upto)) + F.coalesce("_before", F.lit(0)))
+    return small.unionByName(large.drop("_before", "_chunk", "_key"))
+
+
 def sessions(rows: DataFrame, by: list[str], at: str, key: str, gap_seconds: float, name: str = "session", most: int = MOST) -> DataFrame:
     """Each row's session number from 1: a new one after a gap longer than ``gap_seconds``."""
     order = [F.col(at), F.col(key)]

@@ -31,3 +31,25 @@ def test_query_tokens_of_one_character_count(spark, tmp_path):
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     mine, theirs = both(spark, "query_tokens", str(tmp_path), "benchmark")
     assert mine == theirs and mine[0] == (1, "Fix a B C") and mine[1] == (2, "x")
+
+
+def test_waits_of_dense_requests_by_whatever_spans(spark):
+    from datetime import datetime, timedelta, timezone
+
+    from palaver.operators import limits
+
+    zero = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    seconds = [(i * 37) % 400 + (i % 3) * 60 for i in range(300)] + [10, 10, 10, 70, 70]
+    rows = [(i if i < 300 else 7, zero + timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    order = sorted((s, k[0]) for s, k in zip(seconds, rows, strict=True))
+    slow = []
+    for i, (s, k) in enumerate(order):
+        window = [u for u, _ in order if s - 60 < u <= s]
+        before = i - sum(u <= s - 60 for u, _ in order)
+        slow.append((k, float(window[0] + 60 - s) if before >= 5 else 0.0))
+    frame = spark.createDataFrame(rows, "k long, at timestamp").repartition(3)
+    for size in (1_000_000, 20):
+        found = limits.waits(frame, "at", "k", 60, 5, size)
+        assert sorted(map(tuple, found.collect())) == sorted(slow)
+    # earlier: a sliding minimum, which walks the whole window for each request
+    assert "specifiedwindowframe(RangeFrame" not in limits.waits(frame, "at", "k")._jdf.queryExecution().optimizedPlan().toString()
