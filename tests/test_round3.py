@@ -67,7 +67,7 @@ def test_a_table_block_computes_its_cells_once(spark):
 def test_unindexed_bm25_reads_texts_once(spark):
     from palaver.operators import retrieval
 
-    docs = spark.createDataFrame([(1, "a token here"), (2, None), (3, "token token")], "id long, t string")
+    docs = spark.createDataFrame([(1, "a token here"), (2, None), (3, "token token"), (4, "x"), (5, "y"), (6, "z")], "id long, t string")
     found = retrieval.bm25(docs, "id", "t", "token", 5)
     assert [r["id"] for r in found.collect()] == [3, 1]
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()  # earlier in each term of a filter
