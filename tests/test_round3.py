@@ -1,9 +1,12 @@
 """Queries and operators on inputs that earlier forms of them got wrong."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from palaver.operators import fulltext
 from palaver.plans import catalogue
 from palaver.plans import records  # noqa: F401
+from palaver.sources.runs import Runs
 
 
 def both(spark, name, sf_dir, *tables):
@@ -71,3 +74,17 @@ def test_unindexed_bm25_reads_texts_once(spark):
     found = retrieval.bm25(docs, "id", "t", "token", 5)
     assert [r["id"] for r in found.collect()] == [3, 1]
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()  # earlier in each term of a filter
+
+
+def test_postings_stay_with_their_texts(spark, tmp_path, monkeypatch):
+    """Each file has the places of some texts, in order of the terms' hashes: none of them is shuffled."""
+    monkeypatch.setattr(fulltext, "TASK_BYTES", 400)
+    rows = [(i, "upsert", i, f"common word{i} other common", "Zoë B") for i in range(60)]
+    path = f"{tmp_path}/i"
+    fulltext.apply_changes(spark.createDataFrame(rows, "seq long, op string, message_id long, content string, author_name string"), path, 0)
+    files = {}
+    for r in Runs(spark, path).read("postings", fulltext.POSTINGS, Runs(spark, path).live()).withColumn("file", F.input_file_name()).collect():
+        files.setdefault(r["file"], []).append(r)
+    assert len(files) > 2 and sum(len({r["key"] for r in f}) for f in files.values()) == 60 and sum(map(len, files.values())) == 360
+    assert all([r["digest"] for r in f] == sorted(r["digest"] for r in f) for f in files.values())
+    assert {r["place"] for r in files[min(files)] if r["term"] in ("common", "zoe")} == {0, 3, fulltext.FIELD_STEP}
