@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from palaver.functions import text as X
 from palaver.operators import fulltext
 from palaver.plans import catalogue
 from palaver.plans import records  # noqa: F401
@@ -36,6 +37,17 @@ def test_query_tokens_of_one_character_count(spark, tmp_path):
     assert mine == theirs and mine[0] == (1, "Fix a B C") and mine[1] == (2, "x")
 
 
+def test_query_tokens_are_those_of_the_whole_text(spark, tmp_path):
+    letters, words = "abcdefghijklmnopqrstuvwxyz", [f"Word{i}" for i in range(3000)]
+    texts = [" ".join(letters) + " Later A later z1", " ".join(["x"] * 30) + " y", " ".join(words + [w.upper() for w in reversed(words)]), "b B a A", "é,ü!", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    mine, theirs = both(spark, "query_tokens", str(tmp_path), "benchmark")
+    assert mine == theirs
+    assert [t for _, t in mine] == [" ".join(letters) + " Later z1", "x y", " ".join(words), "b a", "", "", None]
+    searched = spark.range(1).select(X.query_tokens(F.lit(texts[2]))).first()[0]
+    assert searched == words[:24]  # searches keep their limit
+
+
 def test_waits_of_dense_requests_by_whatever_spans(spark):
     from datetime import datetime, timedelta, timezone
 
